@@ -1,8 +1,59 @@
-"""Corpus pipeline: stages over documents."""
+"""Corpus pipeline: five stages over documents, each on all that the one before kept."""
 
-STAGES = []
+from pyspark.sql import functions as F
+
+from temporalis.llm.langid import predict_languages, train_languages
+from temporalis.llm.neardup import near_duplicates
+from temporalis.llm.packing import pack
+from temporalis.llm.secrets import mask_secrets, train_secrets
+from temporalis.llm.shared import stored
+from temporalis.llm.tokens import tokenizer_path
+from temporalis.llm.toxicity import score_toxicity, severity_grade, train_toxicity
+
+#: A text is rejected if its main language holds less than this share of its letters.
+LEAST_SHARE = 0.5
+
+
+def _rejected(docs, verdicts):
+    """docs without those whose doc_id has a verdict to go; rows without doc_id stay."""
+    gone = stored(verdicts.select("doc_id").where("doc_id is not null").distinct(), "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def toxicity(spark, docs, sf_dir):
+    """Documents that the ordinal model finds toxic go."""
+    model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), severity_grade())
+    return _rejected(docs, score_toxicity(docs, model).where("toxic"))
+
+
+def language(spark, docs, sf_dir):
+    """Texts without a letter, or of no main language, go."""
+    found = predict_languages(docs, train_languages(docs))
+    return _rejected(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SHARE)))
+
+
+def near_dedup(spark, docs, sf_dir):
+    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
+    return _rejected(docs, near_duplicates(docs).where("not kept"))
+
+
+def secrets(spark, docs, sf_dir):
+    """Every secret is masked in its text."""
+    return mask_secrets(docs, train_secrets(docs))
+
+
+def packing(spark, docs, sf_dir):
+    """Pieces of documents in sequences along the curve."""
+    return pack(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [("toxicity", toxicity), ("language_id", language), ("near_dedup", near_dedup), ("secret_scan", secrets), ("packing", packing)]
+#: The stages hold trained models: SQL can't express them.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .hamming import comparison_code, top_k
+from .huffman import read_ids, tokenised, write_ids
+from .langid import predict_languages, train_languages
 from .neardup import near_duplicates
+from .packing import pack
+from .pieces import encode_nbest
+from .quality import quality_rules, train_quality
+from .secrets import find_secrets, train_secrets
+from .shared import scratch_path
+from .tokens import tokenizer_path
+from .toxicity import score_toxicity, severity_grade, train_toxicity
+from .warc import read_warc, write_warc
 
 #: Words and 5-word sets as the contracts define them, for the SQL forms.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,6 +29,49 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_piece_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best segmentations of every document, and whether they decode to it."""
+    return encode_nbest(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, _table(spark, sf_dir, "labels"), severity_grade()))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return predict_languages(docs, train_languages(docs))
+
+
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-ids")
+    write_ids(tokenised(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")), path)
+    return read_ids(spark, path, with_ids=False)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_rules(docs, train_quality(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten rows nearest to each row whose id is divisible by 20, by 32-bit codes."""
+    codes = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), comparison_code(F.col("embedding")).alias("code"))
+    return top_k(codes, codes.where("id % 20 = 0"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    write_warc(_table(spark, sf_dir, "pages"), path, "2024-01-01T00:00:00Z")
+    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return find_secrets(docs, train_secrets(docs))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -47,13 +102,53 @@ from w left join n on w.doc_id = n.doc_id join c on w.doc_id = c.doc_id
 """
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+OP6_SQL = """
+with c as materialized (
+  select vec_id as id, list_sum(list_transform(range(1, 33), lambda i: case when embedding[i] > embedding[i + 32] then 1::bigint << (i - 1)::int else 0 end))::bigint as code
+  from embeddings where vec_id is not null and len(embedding) >= 64
+),
+d as (
+  select q.id as query_id, c.id, bit_count(xor(q.code, c.code))::int as distance
+  from c q cross join c where q.id % 20 = 0
+),
+r as (select *, row_number() over (partition by query_id order by distance, id)::int as rank from d)
+select query_id, rank, id, distance from r where rank <= 10
+"""
+
+OP7_SQL = """
+with p as (
+  select page_id, url, coalesce(html, '') as body, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest
+  from pages
+),
+f as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by payload_digest)
+select page_id, payload_bytes, payload_digest, case when first < page_id then 'revisit' else 'response' end as record_type,
+  case when first < page_id then first end as refers_to, url
+from p left join f using (payload_digest)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_piece_segmentation": op1_piece_segmentation,
+        "op2_toxicity": op2_toxicity,
+        "op3_language_id": op3_language_id,
+        "op4_token_ids": op4_token_ids,
+        "op5_quality_rules": op5_quality_rules,
+        "op6_hamming_top_k": op6_hamming_top_k,
+        "op7_warc": op7_warc,
+        "op8_secrets": op8_secrets,
         "op9_near_duplicates": op9_near_duplicates,
+        "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_hamming_top_k": OP6_SQL,
+        "op7_warc": OP7_SQL,
         "op9_near_duplicates": OP9_SQL,
     }

@@ -48,10 +48,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -67,12 +67,13 @@ def drop_tree(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def running_total(df: DataFrame, order: list[str], value: str, partitions: int | None = None) -> DataFrame:
+def running_total(df: DataFrame, order: list[str], value: str, partitions: int | None = None, compression: str = "snappy") -> DataFrame:
     """Adds ``start``: the sum of value over all rows that come before in the given order.
 
     Range partitions are sorted and summed on their own; only one total a partition meets
-    at the driver. df should be narrow (ids and lengths). Rows that tie on ``order`` keep
-    an arbitrary but fixed order, because the sorted rows are stored first.
+    at the driver. df should be a stored table, since its range bounds take a pass of their
+    own. Rows that tie on ``order`` keep an arbitrary but fixed order, because the sorted
+    rows are stored first.
     """
     import numpy as np
 
@@ -95,7 +96,7 @@ def running_total(df: DataFrame, order: list[str], value: str, partitions: int |
             )
 
     ordered = df.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
-    kept = stored(ordered.mapInArrow(local, f"{schema.simpleString()[7:-1]}, _part long, _local long".replace(":", " ")), "order")
+    kept = stored(ordered.mapInArrow(local, f"{schema.simpleString()[7:-1]}, _part long, _local long".replace(":", " ")), "order", compression)
     sums = sorted((r[0], r[1]) for r in kept.groupBy("_part").agg(F.sum(F.coalesce(F.col(value), F.lit(0)))).collect())
     base, rows = 0, []
     for part, total in sums:
