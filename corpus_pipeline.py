@@ -11,7 +11,7 @@ from temporalis.llm.tokens import tokenizer_path
 from temporalis.llm.toxicity import score_toxicity, severity_grade, train_toxicity
 
 #: A text is rejected if its main language holds less than this share of its letters.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.4
 
 
 def _rejected(docs, verdicts):

@@ -1,11 +1,12 @@
 """Toxicity: a cumulative-link ordinal regression over sparse word features.
 
 P(grade >= k) = sigmoid(w . x - t_k): one weight vector for all ordered thresholds
-t_1 < t_2 < ... . x has a 1 for each selected word that a whole text holds (runs of letters,
-A-Z in lower case). The severity is the expected grade, sum over k of P(grade >= k); a
+t_1 < t_2 < ... . x has a 1 for each selected feature that a whole text holds: words (runs
+of letters, A-Z in lower case) and their beginnings of ``HEADS`` bytes, which stand for
+stems with any ending. The severity is the expected grade, sum over k of P(grade >= k); a
 document is toxic if P(grade >= 1) is at least one half.
 
-Training takes at most ``SAMPLE`` labelled rows. Words in at least ``LEAST_DOCS`` of them
+Training takes at most ``SAMPLE`` labelled rows. Features of at least ``LEAST_DOCS`` of them
 compete; the ``FEATURES`` with the largest chi-square against grade >= 1 are kept. Without
 labelled rows, or with one grade only, nothing is toxic (severity 0).
 
@@ -29,12 +30,13 @@ from .textcore import LETTERS, LOWER, find_words, slices, span_hashes
 SAMPLE = 6000
 FEATURES = 4096
 LEAST_DOCS = 4
-RIDGE = 0.5
+HEADS = (4, 5)
+RIDGE = 0.05
 STEPS = 400
 
 
 class OrdinalModel(NamedTuple):
-    """Sorted word hashes, their shared weights, and the ascending thresholds."""
+    """Sorted feature hashes, their shared weights, and the ascending thresholds."""
 
     hashes: np.ndarray
     weights: np.ndarray
@@ -45,19 +47,25 @@ class OrdinalModel(NamedTuple):
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - z[:, None], -60, 60)))
 
 
-def _words(texts):
-    """For each slice: its size, document number and hash of every word."""
+def _features(texts):
+    """For each slice: its size, hashes of all features, and where each document's begin."""
     for s in slices(texts):
         low = LOWER[s.buf]
         words = find_words(low, s.offs, LETTERS)
-        yield s.last - s.first, words, span_hashes(low, words.starts, words.ends)
+        kinds = [span_hashes(low, words.starts, words.ends)]
+        for k, n in enumerate(HEADS):
+            own = np.flatnonzero(words.ends - words.starts > n)
+            head = kinds[0].copy()
+            head[own] = span_hashes(low, words.starts[own], words.starts[own] + n) ^ np.uint64(k + 1)
+            kinds.append(head)
+        yield s.last - s.first, np.stack(kinds, axis=1).ravel(), words.bounds * len(kinds)
 
 
 def _distinct(batches):
     for b in batches:
         at = 0
-        for size, words, hashes in _words(b.column(2)):
-            sets = [np.unique(hashes[words.bounds[d] : words.bounds[d + 1]]).view(np.int64) for d in range(size)]
+        for size, hashes, bounds in _features(b.column(2)):
+            sets = [np.unique(hashes[bounds[d] : bounds[d + 1]]).view(np.int64) for d in range(size)]
             flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([b.column(0).slice(at, size), b.column(1).slice(at, size), lists], names=["doc_id", "label", "words"])
@@ -135,14 +143,14 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
         first[(hashes >> np.uint64(48)).astype(np.int64)] = True
         for b in batches:
             at = 0
-            for size, words, h in _words(b.column(1)):
+            for size, h, bounds in _features(b.column(1)):
                 z = np.zeros(size)
                 if len(hashes):
                     near = np.flatnonzero(first[(h >> np.uint64(48)).astype(np.int64)])
                     col = np.searchsorted(hashes, h[near])
                     col[col == len(hashes)] = 0
                     hit = hashes[col] == h[near]
-                    docs_of = np.searchsorted(words.bounds, near[hit], side="right") - 1
+                    docs_of = np.searchsorted(bounds, near[hit], side="right") - 1
                     pair = np.unique(docs_of * len(hashes) + col[hit])
                     z = np.bincount(pair // len(hashes), weights=weights[pair % len(hashes)], minlength=size)
                 p = known.at_least(z) if len(thresholds) else np.zeros((size, 1))
