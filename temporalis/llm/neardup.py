@@ -10,10 +10,13 @@ How every link is found. Documents with one word sequence form a class, and clas
 their smallest doc_id, are what is compared. Each class has 128 minima of a universal
 hash family and falls into 32 buckets of 4 minima; a pair at similarity 0.75 misses all of
 them once in 200,000. A bucket never emits all its pairs: first each member meets the
-bucket's smallest member; the links found give components; only buckets that still span
-several components are looked at again, with other pivots and at last in blocks that
-compare members of different components only, so links within a component (which can't
-change the result) are the only ones left out.
+bucket's most central member (the one whose buckets are largest in sum). The links found give
+components; only buckets that still span several are looked at again, block against block
+inside tasks, between members of different components only. So links within a component
+(which can't change the result) are the only ones left out. Those blocks first compare
+signatures. A block with no more near pairs than members returns these pairs, to be verified
+as above; another returns its members that have a near partner, and the blocks of these
+then compare full sets and return links that join components, at most one fewer than members.
 
 Nulls: a null text has no words. A null doc_id joins nothing and gets a null
 component_id and kept = true. Rows that repeat a doc_id are one node that has the links of
@@ -23,26 +26,27 @@ each row; every row is returned. Columns other than the two named ones are ignor
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, ship, stored
+from .shared import checkpointed, drop_tree, scratch_path, ship, stored
 from .textcore import LOWER, find_words, mix64, random_words, sequence_hash, shingle_set, slices, span_hashes
 
 WIDTH = 5
 HASHES = 128
 BANDS = 32
 ROWS = HASHES // BANDS
-#: A link's expected agreement is 96 of 128 with a standard deviation under 5; below this
-#: bound (six deviations) a pair isn't read in full.
-LEAST_AGREEING = 66
-#: Pivots that a bucket tries before its members are compared in blocks.
-PIVOTS = 3
-BLOCK = 256
+#: Of the 128 minima the low bytes are kept to verify pairs. A link's expected agreement is
+#: 96 or more with a standard deviation under 5; below this bound (4.5 deviations, once in
+#: 300,000 links at the bar itself) a pair isn't read in full.
+LEAST_AGREEING = 74
+BLOCK = 512
+#: So many ids (8 bytes each) may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 _MULT = (random_words(21, HASHES) | np.uint64(1)).astype(np.uint32)[:, None]
 _ADD = (random_words(22, HASHES) >> np.uint64(32)).astype(np.uint32)[:, None]
@@ -80,9 +84,9 @@ def _documents(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_shingles, a digest of the word sequence, the minima."""
+    """doc_id, n_shingles, a digest of the word sequence, low bytes of the minima, band keys."""
     for b in batches:
-        count, digest, sigs = [], [], []
+        count, digest, sigs, keys = [], [], [], []
         for words in _documents(b.column(1)):
             found = shingle_set(words, WIDTH)
             count.append(len(found))
@@ -90,11 +94,14 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 with np.errstate(over="ignore"):
                     second = sequence_hash(mix64(words))
                 digest.append(sequence_hash(words).to_bytes(8, "big") + second.to_bytes(8, "big"))
-                sigs.append(signature(found).tobytes())
+                minima = signature(found)
+                sigs.append(minima.astype(np.uint8).tobytes())
+                keys.append(band_keys(minima).tobytes())
             else:
                 digest.append(None)
                 sigs.append(None)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
+                keys.append(None)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, sigs, keys))], names=["doc_id", "n_shingles", "digest", "sig", "keys"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,11 +109,10 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        sigs = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
-        keys = np.stack([band_keys(s) for s in sigs])
+        keys = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.int64)
         ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS)
         for i in range(0, keys.size, 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)[i : i + 65536].view(np.int64)), pa.array(ids[i : i + 65536])], names=["key", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 65536]), pa.array(ids[i : i + 65536])], names=["key", "doc_id"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,43 +130,62 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 some, size = [], 0
 
 
+def _rows(column) -> np.ndarray:
+    """Signatures of a column, a row each."""
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, HASHES)
+
+
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Signature verification: keep pairs whose minima agree often enough."""
     for b in batches:
-        if not b.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint32).reshape(-1, HASHES) for i in (2, 3))
-        keep = pa.array((x == y).sum(axis=1) >= LEAST_AGREEING)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(keep)
+        if b.num_rows:
+            same = (_rows(b.column(2).to_pylist()) == _rows(b.column(3).to_pylist())).sum(axis=1)
+            yield b.select([0, 1]).filter(pa.array(same >= LEAST_AGREEING))
+
+
+def _similar(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether 100 * intersection >= 75 * union, of sorted sets."""
+    if len(p) > len(q):
+        p, q = q, p
+    if 100 * len(p) < 75 * len(q):
+        return False
+    at = np.searchsorted(q, p)
+    at[at == len(q)] = 0
+    both = int((q[at] == p).sum())
+    return 100 * both >= 75 * (len(p) + len(q) - both)
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Full verification: keep pairs with 100 * intersection >= 75 * union."""
+    """Full verification: keep pairs that are linked."""
     for b in batches:
-        keep = []
-        for x, y in zip(b.column(2), b.column(3), strict=True):
-            p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-            if len(p) > len(q):
-                p, q = q, p
-            if 100 * len(p) < 75 * len(q):
-                keep.append(False)
-                continue
-            at = np.searchsorted(q, p)
-            at[at == len(q)] = 0
-            both = int((q[at] == p).sum())
-            keep.append(100 * both >= 75 * (len(p) + len(q) - both))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        keep = [_similar(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in pair)) for pair in zip(b.column(2), b.column(3), strict=True)]
+        yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and full set of the rows with these ids; texts move only if the ids are too many to broadcast."""
+    ids = stored(ids, "ids")
+    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return stored(docs.join(some, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "sets", "none")
+
+
+def _end(df: DataFrame, name: str, value: list[str]) -> DataFrame:
+    return df.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in value])
+
+
+def _full(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that full verification keeps."""
+    full = pairs.join(_end(sets, "b", ["shingles"]), "b").join(_end(sets, "a", ["shingles"]), "a")
+    return full.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_linked, "a long, b long")
 
 
-def _verify(pairs: DataFrame, profiles: DataFrame, docs: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
     """The links (a, b) among candidate pairs; stored. Skewed joins are Spark's to split."""
-    sigs = profiles.select("doc_id", "sig")
-    near = pairs.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
+    near = pairs.join(_end(sigs, "b", ["sig", "n_shingles"]), "b").join(_end(sigs, "a", ["sig", "n_shingles"]), "a")
+    near = near.where(100 * F.least("n_shingles_a", "n_shingles_b") >= 75 * F.greatest("n_shingles_a", "n_shingles_b"))
     near = stored(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_agree, "a long, b long"), "near")
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
-    full = near.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("q")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("p")), "a")
-    return stored(full.select("a", "b", "p", "q").mapInArrow(_linked, "a long, b long").distinct(), "links")
+    sets = _sets_of(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    return stored(_full(near, sets).distinct(), "links")
 
 
 def alternating_stars(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -184,92 +209,161 @@ def alternating_stars(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before = state
     roots = edges.select(F.col("v").alias("doc_id")).distinct().select("doc_id", F.col("doc_id").alias("component_id"))
-    return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).unionByName(roots)
+    return stored(edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).unionByName(roots), "components")
+
+
+class Cell(NamedTuple):
+    """Rows of one block (side 0) or of two (sides 0 and 1), as arrays."""
+
+    key: int
+    side: np.ndarray
+    ids: np.ndarray
+    comps: np.ndarray
+    sizes: np.ndarray
+    sigs: np.ndarray
+    sets: pa.Array | None
+
+    def near(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each row of side 0 with the rows of the other side (or its own, once) that are near by signature."""
+        one = not self.side.any()
+        other = np.flatnonzero(self.side == (0 if one else 1))
+        for nth, i in enumerate(np.flatnonzero(self.side == 0).tolist()):
+            rest = other[nth + 1 :] if one else other
+            n, m = self.sizes[i], self.sizes[rest]
+            rest = rest[(self.comps[rest] != self.comps[i]) & (100 * np.minimum(n, m) >= 75 * np.maximum(n, m))]
+            if len(rest):
+                hit = rest[(self.sigs[rest] == self.sigs[i]).sum(axis=1) >= LEAST_AGREEING]
+                if len(hit):
+                    yield i, hit
+
+
+def _near_members(cell: Cell) -> list[tuple]:
+    """Pairs near by signature in different components, (None, a, b), if they are no more than the
+    cell's members; else the members that take part, (key, doc_id, None)."""
+    pairs, found, most = [], set(), len(cell.ids)
+    for i, hit in cell.near():
+        x = int(cell.ids[i])
+        found.add(x)
+        found.update(cell.ids[hit].tolist())
+        if len(pairs) <= most:
+            pairs += [(None, min(x, y), max(x, y)) for y in cell.ids[hit[: most + 1]].tolist()]
+    return pairs if len(pairs) <= most else [(cell.key, i, None) for i in sorted(found)]
+
+
+def _joining_links(cell: Cell) -> list[tuple[int, int]]:
+    """Links that join components, by full sets: a forest."""
+    root: dict[int, int] = {c: c for c in cell.comps.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
 
+    out = []
+    sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in cell.sets]
+    for i, hit in cell.near():
+        for k in hit.tolist():
+            u, v = find(int(cell.comps[i])), find(int(cell.comps[k]))
+            if u != v and _similar(sets[i], sets[k]):
+                root[max(u, v)] = min(u, v)
+                x, y = int(cell.ids[i]), int(cell.ids[k])
+                out.append((min(x, y), max(x, y)))
+    return out
+
+
+def _each_cell(work, names: tuple[str, ...]):
+    """Run work on every cell of sorted batches; a cell may lie across batches."""
+
+    def run(batches):
+        held = None
+        for b in _with_end(batches):
+            if b is not None and not b.num_rows:
+                continue
+            if b is not None:
+                held = b if held is None else pa.concat_batches([held, b])
+            if held is None:
+                continue
+            key, i, j = (held.column(c).to_numpy() for c in range(3))
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            bounds = [0, *cuts.tolist(), *([held.num_rows] if b is None else [])]
+            side, ids, comps, sizes = (held.column(c).to_numpy() for c in range(3, 7))
+            sigs = _rows(held.column(7).to_pylist())
+            found = []
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                own = slice(lo, hi)
+                found += work(Cell(int(key[lo]), side[own], ids[own], comps[own], sizes[own], sigs[own], held.column(8).slice(lo, hi - lo) if held.num_columns > 8 else None))
+            held = held.slice(bounds[-1]) if b is not None else None
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(len(names))], names=list(names))
 
-def _cells(pdf):
-    """Candidate pairs of different components within a cell of one or two blocks of a bucket."""
-    import pandas as pd
+    return run
 
-    own, other = pdf[pdf.side == 0], pdf[pdf.side == 1]
-    if not len(other):
-        other = own
-    out = []
-    if len(own) and len(other):
-        y = np.frombuffer(b"".join(other.sig), dtype=np.uint32).reshape(-1, HASHES)
-        ids, comps = other.doc_id.to_numpy(), other.component_id.to_numpy()
-        for i, c, s in zip(own.doc_id, own.component_id, own.sig, strict=True):
-            hit = (comps != c) & ((y == np.frombuffer(s, dtype=np.uint32)).sum(axis=1) >= LEAST_AGREEING)
-            out += [(min(i, j), max(i, j)) for j in ids[hit] if i != j]
-    return pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
 
+def _with_end(batches):
+    yield from batches
+    yield None
 
-def _open_buckets(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members, with components, of the buckets that span several components."""
-    known = members.join(comps, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
-    known = stored(known, "known")
-    span = known.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    return known.join(span.select("key", "size"), "key")
+
+def _cells(members: DataFrame, extra: DataFrame) -> DataFrame:
+    """Members (key, doc_id, component_id) with extra columns, dealt and sorted by pairs of blocks of a bucket.
+
+    A bucket of n members has ceil(n / BLOCK) blocks; each pair of blocks is a cell of its
+    own, so no cell grows with its bucket.
+    """
+    size = stored(members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "sizes")
+    dealt = members.join(size, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(extra, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = [c for c in extra.columns if c != "doc_id"]
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "doc_id", "component_id", *columns)
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    every = stored(docs.mapInArrow(_profile, "doc_id long, n_shingles long, digest binary, sig binary"), "profiles")
+    every = stored(docs.mapInArrow(_profile, "doc_id long, n_shingles long, digest binary, sig binary, keys binary"), "profiles", "none")
     able = every.where("doc_id is not null and digest is not null")
     # exact copies: the smallest id of a class stands for it
     least = able.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     same = stored(able.select("doc_id", "digest").join(least, "digest").select("doc_id", "rep").distinct(), "classes")
     reps = same.where("doc_id = rep").select("doc_id")
-    profiles = able.select("doc_id", "sig").join(reps, "doc_id", "left_semi")
-
-    bands = stored(profiles.mapInArrow(_bands, "key long, doc_id long"), "bands")
-    first = bands.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("key", "a")
-    members = stored(bands.join(first, "key").distinct(), "members")
-    pairs = members.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    links = _verify(pairs, profiles, docs)
-    tried = [pairs]
-
-    members = members.select("key", "doc_id")
-    copies = same.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    for turn in range(PIVOTS + 1):
-        comps = checkpointed(alternating_stars(links))
-        left = stored(_open_buckets(members, comps), "open")
-        if left.isEmpty():
-            break
-        members = left.select("key", "doc_id")
-        if turn < PIVOTS:
-            order = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id"), F.col("component_id"))
-            pivot = left.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.doc_id").alias("x"), F.col("p.component_id").alias("c"))
-            pairs = left.join(pivot, "key").where("component_id <> c").select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
-        else:
-            pairs = stored(_blocks(left, profiles), "pairs")
-        pairs = stored(pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"), "pairs")
-        tried.append(pairs)
-        links = stored(links.unionByName(_verify(pairs, profiles, docs)).distinct(), "links")
-    else:
-        comps = checkpointed(alternating_stars(links))
 
-    # nodes of different texts under one doc_id can tie classes together: then walk again
+    path = scratch_path(spark, "bands")
+    able.select("doc_id", "keys").join(reps, "doc_id", "left_semi").select("doc_id", "keys").mapInArrow(_bands, "key long, doc_id long").write.option("compression", "none").parquet(path)
+    bands = spark.read.schema("key long, doc_id long").parquet(path)
+    shared = stored(bands.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("key"), "shared")
+    members = stored(bands.join(shared, "key").distinct(), "members")
+    drop_tree(spark, path)
+    sigs = stored(able.select("doc_id", "n_shingles", "sig").join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "sigs", "none")
+
+    sizes = stored(members.groupBy("key").agg(F.count("*").alias("size")), "sizes")
+    central = stored(members.join(sizes, "key").groupBy("doc_id").agg(F.sum("size").alias("weight")), "central")
+    pivots = stored(members.join(central, "doc_id").groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("doc_id"))).alias("p")).select("key", F.col("p.doc_id").alias("x")), "pivots")
+    pairs = members.join(pivots, "key").where("doc_id <> x").select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct()
+    links = _verify(pairs, sigs, docs)
+    comps = alternating_stars(links)
+
+    known = stored(members.join(comps, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id")), "known")
+    several = stored(known.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi").select("key"), "several")
+    spread = stored(known.join(several, "key"), "spread")
+    near = stored(_cells(spread, sigs).mapInArrow(_each_cell(_near_members, ("key", "a", "b")), "key long, a long, b long").distinct(), "near")
+    if not near.isEmpty():
+        crowded = near.where("key is not null").select("key", F.col("a").alias("doc_id"))
+        sets = _sets_of(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).where("doc_id is not null").distinct())
+        rest = stored(spread.join(crowded, ["key", "doc_id"]), "rest")
+        more = _cells(rest, sigs.join(sets, "doc_id")).mapInArrow(_each_cell(_joining_links, ("a", "b")), "a long, b long")
+        links = stored(links.unionByName(_full(near.where("key is null").select("a", "b"), sets)).unionByName(more).distinct(), "links")
+        comps = alternating_stars(links)
+
+    # rows of different texts under one doc_id can tie classes together: then walk again
     if not same.groupBy("doc_id").count().where("count > 1").isEmpty():
-        comps = checkpointed(alternating_stars(links.unionByName(copies)))
-        found = comps
+        copies = same.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+        found = alternating_stars(links.unionByName(copies))
     else:
         found = same.join(comps.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("component_id", "rep").alias("component_id"))
     out = every.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
-
-
-def _blocks(left: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Pairs of different components in the buckets still open, found block against block.
-
-    A bucket of n members has ceil(n / BLOCK) blocks; each pair of blocks is a group of its
-    own, so no group grows with its bucket.
-    """
-    n = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    dealt = left.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
-    dealt = dealt.join(profiles, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    cells = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "doc_id", "component_id", "sig")
-    return cells.groupBy("key", "i", "j").applyInPandas(_cells, "a long, b long").distinct()

@@ -78,7 +78,7 @@ def test_components(spark):
 def test_blocks(spark, monkeypatch, seed):
     from temporalis.llm import neardup
 
-    monkeypatch.setattr(neardup, "PIVOTS", 0)
+    monkeypatch.setattr(neardup, "BLOCK", 2)
     rows = made(seed)
     got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got == brute(rows)
