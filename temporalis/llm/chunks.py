@@ -71,8 +71,8 @@ def ragged_take(flat: np.ndarray, offs: np.ndarray, index: np.ndarray) -> tuple[
 class ChunkCodes:
     """Codes of chunks: ``encode`` takes distinct chunks and returns (flat codes, lengths)."""
 
-    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], dtype=np.uint16):
-        self.encode = encode
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], dtype=np.uint16, limit: int | None = None):
+        self.encode, self.limit = encode, limit
         self.known = pa.array([], pa.large_binary())
         self.flat, self.offs = np.zeros(0, dtype=dtype), np.zeros(1, dtype=np.int64)
 
@@ -93,7 +93,7 @@ class ChunkCodes:
         else:
             rows = have.to_numpy(zero_copy_only=False).astype(np.int64)
         result = self.flat, self.offs, rows[index]
-        if len(self.known) > CACHE:
+        if len(self.known) > (CACHE if self.limit is None else self.limit):
             flat, size = ragged_take(self.flat, self.offs, rows)
             self.known, self.flat, self.offs = distinct, flat, np.concatenate([[0], np.cumsum(size)])
         return result

@@ -40,7 +40,10 @@ from .textcore import segment_sums, slices
 N_BEST = 3
 LONG = 96
 UNKNOWN = 10.0
-SLICE = 8 << 20
+SLICE = 4 << 20
+#: Cells that a worker remembers; each takes about 80 bytes.
+CELLS = 400_000
+SIDE_BY_SIDE = 1 << 13
 _BAR = "▁"
 _LEAD = np.ones(256, dtype=bool)
 _LEAD[128:192] = False
@@ -282,7 +285,7 @@ def cell_codes(path: str, n: int) -> tuple[Vocabulary, ChunkCodes]:
     v = load_vocabulary(path)
     known = f"{path}|{n}"
     if known not in _coders:
-        _coders[known] = ChunkCodes(lambda cells: _encode(v, cells, n), np.uint32)
+        _coders[known] = ChunkCodes(lambda cells: _encode(v, cells, n), np.uint32, CELLS)
     return v, _coders[known]
 
 
@@ -295,8 +298,8 @@ def _encode(v: Vocabulary, cells: pa.Array, n: int) -> tuple[np.ndarray, np.ndar
     short = np.flatnonzero(width <= LONG)
     sizes, scores = np.zeros((len(width), n), dtype=np.int64), np.full((len(width), n), -np.inf)
     parts, owners = [], []
-    for i in range(0, len(short), 1 << 16):
-        own = short[i : i + (1 << 16)]
+    for i in range(0, len(short), SIDE_BY_SIDE):
+        own = short[i : i + SIDE_BY_SIDE]
         b, size = ragged_take(buf, offs, own)
         flat, count, total = search_cells(v, b, np.concatenate([[0], np.cumsum(size)]), n)
         sizes[own], scores[own] = count.reshape(-1, n), total
@@ -372,15 +375,20 @@ def _combine(scores: np.ndarray, bounds: np.ndarray, n: int):
         return choice, totals
     with np.errstate(invalid="ignore"):
         regret = best[:, None] - scores
-    order = np.lexsort((regret[:, 1], np.repeat(np.arange(docs), np.diff(bounds))))
     cells = np.full((docs, n - 1), -1)
+    some = np.flatnonzero(np.diff(bounds))
+    left, owner = regret[:, 1].copy(), np.repeat(np.arange(len(some)), np.diff(bounds)[some])
     for j in range(n - 1):
-        has = np.diff(bounds) > j
-        cells[has, j] = order[bounds[:-1][has] + j]
+        least = np.minimum.reduceat(left, bounds[some])
+        at = np.flatnonzero(left == least[owner])
+        first = at[np.searchsorted(owner[at], np.arange(len(some)))]
+        cells[some, j] = first
+        left[first] = np.inf
     ways = np.array(list(product(range(n), repeat=n - 1)))
     cost = np.zeros((docs, len(ways)))
     for j in range(n - 1):
-        own = np.where((cells[:, j] >= 0)[:, None], regret[np.maximum(cells[:, j], 0)], np.where(np.arange(n) > 0, np.inf, 0.0))
+        taken = (cells[:, j] >= 0) & ~(cells[:, :j] == cells[:, j : j + 1]).any(axis=1)  # a text may have fewer cells
+        own = np.where(taken[:, None], regret[np.maximum(cells[:, j], 0)], np.where(np.arange(n) > 0, np.inf, 0.0))
         cost += own[:, ways[:, j]]
     top = np.argsort(cost, axis=1, kind="stable")[:, :n]
     lost = np.take_along_axis(cost, top, 1)
