@@ -1,11 +1,12 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 A code of b bits is cut into m segments of b / m bits, about log2 of the number of codes
-each. The index has a row (segment, key) for each segment of each distinct code. Round r
-probes every segment of a query's code with all keys at distance r from its own and
-verifies the codes found there by their full Hamming distance. After round r each code
-within m * (r + 1) - 1 has been seen (pigeonhole), so a query leaves as soon as its k-th
-verified distance is no larger than that; only the others go on to the next radius.
+each. The index has a row (segment, key) for each segment of each distinct code. Step
+(r, i) probes segment i of a query's code with all keys at distance r from its own and
+verifies the codes found there by their full Hamming distance. After it each code within
+m * r + i has been seen (any other differs by more than r in the segments up to i and by r in the
+rest), so a query leaves as soon as its k-th verified distance is no larger than that; only
+the others go on.
 
 Copies of a code are searched once: a code keeps its k smallest ids (no other copy can be
 among a query's k, since ties go by id), queries with one code are one query. When a
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -94,22 +95,22 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) ->
     index = stored(reduce(DataFrame.unionByName, [codes.select(F.lit(i).alias("segment"), _segment(F.col("code"), i, width).alias("key"), "code", "least", "n") for i in range(m)]), "index")
     names = ["q", "code", "distance", "least", "n"]
     best, active = None, wanted
-    for radius in range(width + 1):
+    for radius, i in product(range(width + 1), range(m)):
         if math.comb(width, radius) > min(MASKS, max(size, 64)):
-            best = _compare(active, codes, k).select(*names).unionByName(best.join(active, "q", "left_anti")) if best is not None else _compare(active, codes, k).select(*names)
+            rest = _compare(active, codes, k).select(*names)
+            best = rest if best is None else rest.unionByName(best.join(active, "q", "left_anti"))
             break
         masks = spark.createDataFrame([(sum(1 << b for b in c),) for c in combinations(range(width), radius)], "mask long")
         # at most MASKS rows
-        probes = active.crossJoin(F.broadcast(masks)).select("q", F.explode(F.array(*[F.struct(F.lit(i).alias("segment"), _segment(F.col("q"), i, width).bitwiseXOR(F.col("mask")).alias("key")) for i in range(m)])).alias("p")).select("q", "p.segment", "p.key")
+        probes = active.crossJoin(F.broadcast(masks)).select("q", _segment(F.col("q"), i, width).bitwiseXOR(F.col("mask")).alias("key"))
         both = F.col("q").bitwiseXOR(F.col("code"))
-        # a pair counts where it is seen first: by no earlier radius, nor an earlier segment of this one
-        first = reduce(lambda x, y: x & y, [F.when(F.col("segment") > j, F.bit_count(_segment(both, j, width)) > radius).when(F.col("segment") < j, F.bit_count(_segment(both, j, width)) >= radius).otherwise(True) for j in range(m)])
-        seen = probes.join(index, ["segment", "key"]).where(first).select("q", "code", F.bit_count(both).alias("distance"), "least", "n")
+        # a pair counts in the step that sees it first
+        first = reduce(lambda x, y: x & y, [F.bit_count(_segment(both, j, width)) >= (radius + 1 if j < i else radius) for j in range(m) if j != i], F.lit(True))
+        seen = probes.join(index.where(F.col("segment") == i), "key").where(first).select("q", "code", F.bit_count(both).alias("distance"), "least", "n")
         ranked = stored(_first_codes(seen if best is None else seen.unionByName(best), k), "best")
         best = ranked.select(*names)
         kth = ranked.groupBy("q").agg(F.min(F.when(F.col("upto") >= k, F.col("distance"))).alias("kth"))
-        covered = m * (radius + 1) - 1
-        active = stored(wanted.join(kth, "q", "left").where(F.col("kth").isNull() | (F.col("kth") > covered)).select("q"), "active")
+        active = stored(wanted.join(kth, "q", "left").where(F.col("kth").isNull() | (F.col("kth") > m * radius + i)).select("q"), "active")
         if active.isEmpty():
             break
     near = asked.join(best.select("q", "code", "distance"), "q").join(pairs, "code").groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
