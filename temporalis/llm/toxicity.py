@@ -31,7 +31,7 @@ SAMPLE = 6000
 FEATURES = 4096
 LEAST_DOCS = 4
 HEADS = (4, 5)
-RIDGE = 0.05
+RIDGE = 0.5
 STEPS = 400
 
 
