@@ -2,13 +2,17 @@
 
 Rules, leftmost and non-overlapping for each kind: assign (a keyword, = or :, and a value of
 6 or more characters), access (AKIA and capitals or digits, 20 or more in all), hex (24 or
-more of 0-9a-f). The method adds kind markov: a run of ``RUN`` characters of at least
-``LEAST_RUN`` whose log-likelihood under a first-order character model of random strings
-exceeds that under one of ordinary identifiers by ``LEAST_RATIO``, and by ``LEAST_EACH`` a
-character; runs that touch a span of a rule are left out.
+more of 0-9a-f). The method adds kind markov: runs of ``RUN`` characters are cut at the spans
+of the rules, and of each part the stretch is taken whose log-likelihood under a first-order
+character model of random strings exceeds that under one of ordinary identifiers most (less
+``LEAST_EACH`` a character, where that stretch is thinner), widened to the ends of its outer
+words of letters, digits and +, and to = signs behind it. It counts if it has ``LEAST_RUN``
+characters and its whole part exceeds by ``LEAST_RATIO`` and by ``LEAST_EACH`` a character, or
+it does so itself, the former raised by the log of the number of stretches it was chosen from
+(chance makes the best of many look random). Then what is left of the part on both sides is searched likewise.
 
 Both models are counted from labelled samples: what the rules find in at most ``SAMPLE``
-documents is random, other runs that are short or without digits are ordinary, and ``MADE`` strings drawn from usual
+documents is random, other runs that are short (under ``SHORT``) or without digits are ordinary, and ``MADE`` strings drawn from usual
 alphabets with a fixed seed are random too.
 
 Spans are in code points, end exclusive. Nulls: a null text is empty and has no spans. Every
@@ -32,7 +36,8 @@ from .textcore import byte_class, find_words, segment_sums, slices
 
 SAMPLE = 4000
 MADE = 3000
-LEAST_RUN = 20
+SHORT = 20
+LEAST_RUN = 12
 LEAST_RATIO = 20.0
 LEAST_EACH = 0.4
 KINDS = ["assign", "access", "hex", "markov"]
@@ -48,6 +53,9 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 _DIGIT = byte_class(range(48, 58))
 _SIGN = byte_class(b":=")
 _LEAD = ~byte_class(range(128, 192))
+_WORD = byte_class(*_LETTER_DIGIT, b"+")
+#: Ratios are summed as whole numbers of this part, so that sums are exact.
+_UNIT = 1 << 20
 
 
 def rule_spans(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -126,7 +134,7 @@ def train_secrets(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id",
                 spans = rule_spans(s.buf, s.offs)
                 runs = find_words(s.buf, s.offs, RUN)
                 hit = _touches(runs.starts, runs.ends, spans)
-                long = runs.ends - runs.starts >= LEAST_RUN
+                long = runs.ends - runs.starts >= SHORT
                 digits = np.concatenate([[0], np.cumsum(_DIGIT[s.buf])])
                 plain = ~long | (digits[runs.ends] == digits[runs.starts])
                 for kind, own in ((0, hit & long), (1, ~hit & plain)):
@@ -141,18 +149,94 @@ def train_secrets(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id",
     return ratio_table(kept[0] + made_counts(), kept[1])
 
 
+def _outside(starts: np.ndarray, ends: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of ranges that lie outside all spans."""
+    hit = _touches(starts, ends, spans)
+    order = np.argsort(spans[:, 1], kind="stable")
+    begins, stops = spans[order, 1], np.maximum.accumulate(spans[order, 2])
+    parts = []
+    for at, end in zip(starts[hit].tolist(), ends[hit].tolist(), strict=True):
+        i = int(np.searchsorted(stops, at, side="right"))
+        while i < len(begins) and begins[i] < end:
+            if begins[i] > at:
+                parts.append((at, int(begins[i])))
+            at = max(at, int(stops[i]))
+            i += 1
+        if at < end:
+            parts.append((at, end))
+    more = np.array(parts, dtype=np.int64).reshape(-1, 2)
+    return np.concatenate([starts[~hit], more[:, 0]]), np.concatenate([ends[~hit], more[:, 1]])
+
+
+def _best(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stretch of each range (of two bytes or more) with the largest sum of ratios, and this sum."""
+    code, size = _pairs(buf, starts, ends)
+    value = ratios[code]
+    # before each range the sum falls below all that came before, so that a running minimum is its own
+    head = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+    fall = segment_sums(np.abs(value), np.concatenate([[0], np.cumsum(size)])) + 1
+    steps = np.insert(value, np.concatenate([[0], np.cumsum(size)[:-1]]), -np.concatenate([[0], fall[:-1]]))
+    total = np.cumsum(steps)
+    low = np.minimum.accumulate(total)
+    gain = total - low
+    most = np.maximum.reduceat(gain, head)
+    at = np.flatnonzero(gain == np.repeat(most, size + 1))
+    last = at[np.searchsorted(at, head)]
+    first = np.maximum.accumulate(np.where(total == low, np.arange(len(total)), 0))[last]
+    return starts + first - head, starts + last - head + 1, most
+
+
+def _widened(buf: np.ndarray, lo: int, hi: int, start: int, end: int) -> tuple[int, int]:
+    """A stretch up to the ends of its outer words, within lo and hi."""
+    while start > lo and _WORD[buf[start]] and _WORD[buf[start - 1]]:
+        start -= 1
+    while end < hi and _WORD[buf[end - 1]] and _WORD[buf[end]]:
+        end += 1
+    while end < hi and buf[end] == 61:
+        end += 1
+    return start, end
+
+
+def _random(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, ratios: np.ndarray, more: np.ndarray | int = 0) -> np.ndarray:
+    """Whether each whole range exceeds both bars, the first raised by more."""
+    code, size = _pairs(buf, starts, ends)
+    score = segment_sums(ratios[code], np.concatenate([[0], np.cumsum(size)]))
+    return (score >= round(LEAST_RATIO * _UNIT) + more) & (score >= round(LEAST_EACH * _UNIT) * size)
+
+
+def markov_spans(buf: np.ndarray, offs: np.ndarray, table: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Rows (document, start, end, kind) of the stretches outside spans that look random."""
+    runs = find_words(buf, offs, RUN)
+    long = runs.ends - runs.starts >= LEAST_RUN
+    starts, ends = _outside(runs.starts[long], runs.ends[long], spans)
+    ratios = np.rint(table * _UNIT).astype(np.int64)
+    least, each = round(LEAST_RATIO * _UNIT), round(LEAST_EACH * _UNIT)
+    found: list[np.ndarray] = []
+    while True:
+        long = ends - starts >= LEAST_RUN
+        starts, ends = starts[long], ends[long]
+        if not len(starts):
+            break
+        begin, stop, score = _best(buf, starts, ends, ratios)
+        own = score >= least
+        starts, ends, begin, stop, score = starts[own], ends[own], begin[own], stop[own], score[own]
+        thin = np.flatnonzero(score < each * (stop - begin - 1))
+        if len(thin):
+            begin[thin], stop[thin], _ = _best(buf, starts[thin], ends[thin], ratios - each)
+        wide = np.array([_widened(buf, *x) for x in np.stack([starts, ends, begin, stop], axis=1).tolist()], dtype=np.int64).reshape(-1, 2)
+        size = (ends - starts).astype(np.float64)
+        chosen = np.rint(np.log(size * (size - 1) / 2) * _UNIT).astype(np.int64)
+        hit = (_random(buf, wide[:, 0], wide[:, 1], ratios, chosen) | _random(buf, starts, ends, ratios)) & (wide[:, 1] - wide[:, 0] >= LEAST_RUN)
+        found.append(wide[hit])
+        starts, ends = np.concatenate([starts, wide[:, 1]]), np.concatenate([wide[:, 0], ends])
+    at = np.concatenate([np.zeros((0, 2), dtype=np.int64), *found])
+    return np.stack([np.searchsorted(offs, at[:, 0], side="right") - 1, at[:, 0], at[:, 1], np.full(len(at), 3)], axis=1)
+
+
 def all_spans(buf: np.ndarray, offs: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Rows (document, start, end, kind) of a slice, by start, then kind."""
     spans = rule_spans(buf, offs)
-    runs = find_words(buf, offs, RUN)
-    long = np.flatnonzero(runs.ends - runs.starts >= LEAST_RUN)
-    if len(long):
-        starts, ends = runs.starts[long], runs.ends[long]
-        code, size = _pairs(buf, starts, ends)
-        score = segment_sums(table[code], np.concatenate([[0], np.cumsum(size)]))
-        hit = (score >= LEAST_RATIO) & (score >= LEAST_EACH * size) & ~_touches(starts, ends, spans)
-        docs = runs.docs[long]
-        spans = np.concatenate([spans, np.stack([docs[hit], starts[hit], ends[hit], np.full(int(hit.sum()), 3)], axis=1)])
+    spans = np.concatenate([spans, markov_spans(buf, offs, table, spans)])
     return spans[np.lexsort((spans[:, 3], spans[:, 1]))]
 
 

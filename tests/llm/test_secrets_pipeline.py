@@ -85,3 +85,38 @@ def test_pipeline_stages(spark, tmp_path):
     assert at["secret_scan"][502].endswith(" [secret]")
     pieces = p.run(spark, str(tmp_path)).collect()
     assert {x.doc_id for x in pieces} == kept | {502, None} and len(p.STAGES) == 5
+
+
+def test_markov_finds_parts_short_keys_and_keys_in_long_runs(spark):
+    r = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = "configuration the parser internationalisation run this function name modules common interface".split()
+    plain = [*words, *(w.capitalize() for w in words), *(w.upper() for w in words), *(f"{w}_{n}" for w in words for n in (7, 12, 345)), "2024", "68", "90"]
+    ordinary = lambda n: "/".join(r.choice(words) for _ in range(n))
+    rows = [(i, " ".join(r.choice(plain) + r.choice(["", ".", "/" + r.choice(words)]) for _ in range(300))) for i in range(200)]
+    key = lambda n: "".join(r.choice(letters) for _ in range(n))
+    a, b, c, d, e = key(40), key(30), key(16), key(30), key(24)
+    rows += [(500, f"AKIA{'Q7' * 8}/{a} end"), (501, f"{'0123456789abcdef' * 2}.{b} end"), (502, f"see {c} end"), (503, f"{ordinary(60)}/{d}/{ordinary(40)}/{e}/{ordinary(60)}"), (504, ordinary(200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = train_secrets(docs.where("doc_id < 500"))
+    got = {x.doc_id: x for x in find_secrets(docs, table).collect()}
+    assert [got[i].n_markov for i in range(500, 505)] == [1, 1, 1, 2, 0] and sum(x.n_markov for x in got.values()) == 5
+    assert got[500].n_access == 1 and got[501].n_hex == 1 and got[502].spans == "markov:4:20"
+    masked = {x.doc_id: x.text for x in mask_secrets(docs, table).collect()}
+    assert not any(k in masked[i] for i, k in ((500, a), (501, b), (502, c), (503, d), (503, e)))
+    assert masked[500].startswith("[secret]") and masked[504] == rows[-1][1] and len(masked[503]) > len(rows[-2][1]) - 60
+    assert all(masked[i][-4:] == " end" and len(masked[i]) <= 21 for i in (500, 501))
+
+
+def test_best_stretch_equals_brute_force():
+    from temporalis.llm.secrets import _best
+
+    r = np.random.default_rng(3)
+    ratios = r.integers(-9, 9, 65536)
+    buf = r.integers(97, 105, 400).astype(np.uint8)
+    cuts = np.concatenate([[0], np.cumsum(r.integers(2, 30, 20))])
+    cuts = cuts[cuts <= 400]
+    begin, stop, most = _best(buf, cuts[:-1], cuts[1:], ratios)
+    total = lambda x, y: sum(int(ratios[int(buf[k]) * 256 + int(buf[k + 1])]) for k in range(x, y - 1))
+    for lo, hi, x, y, n in zip(cuts, cuts[1:], begin, stop, most, strict=False):
+        assert lo <= x < y <= hi and total(x, y) == n == max(0, max(total(i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1)))
