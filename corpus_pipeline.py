@@ -44,7 +44,7 @@ def secrets(spark, docs, sf_dir):
 
 def packing(spark, docs, sf_dir):
     """Pieces of documents in sequences along the curve."""
-    return pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    return pack(docs, tokenizer_path("byte_bpe_50k.json"), literal=False)
 
 
 STAGES = [("toxicity", toxicity), ("language_id", language), ("near_dedup", near_dedup), ("secret_scan", secrets), ("packing", packing)]

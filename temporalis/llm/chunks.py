@@ -31,8 +31,8 @@ def _after_wide_space(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return two | e280 | (p3 == 0xE2) & (p2 == 0x81) & (p1 == 0x9F) | (p3 == 0xE3) & (p2 == 0x80) & (p1 == 0x80) | (p3 == 0xE1) & (p2 == 0x9A) & (p1 == 0x80)
 
 
-def cut_chunks(buf: np.ndarray, offs: np.ndarray, white: np.ndarray = WHITE) -> tuple[pa.Array, np.ndarray]:
-    """(chunks, bounds): those of document d are ``bounds[d]`` up to ``bounds[d + 1]``.
+def cut_chunks(buf: np.ndarray, offs: np.ndarray, white: np.ndarray = WHITE, more: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
+    """(chunks, bounds): those of document d are ``bounds[d]`` up to ``bounds[d + 1]``; more: places to cut as well.
 
     A cut is left out where wide white space comes right before, so that a run of white
     space always lies in one chunk.
@@ -45,6 +45,8 @@ def cut_chunks(buf: np.ndarray, offs: np.ndarray, white: np.ndarray = WHITE) ->
     first = np.zeros(n + 1, dtype=bool)
     first[at] = True
     first[offs] = True
+    if more is not None:
+        first[more] = True
     cuts = np.flatnonzero(first).astype(np.int64)
     chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(buf))])
     return chunks, np.searchsorted(cuts, offs)

@@ -36,13 +36,13 @@ STRIDE = 128
 _BLOCKS = "shard int, block int, first long, doc_ids array<long>, counts array<int>, checkpoints array<int>, payload binary"
 
 
-def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", literal: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (unsigned 16-bit, little-endian) of every document; stored."""
     ship(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, last, ids, bounds in token_slices(b.column(1), path):
+            for first, last, ids, bounds in token_slices(b.column(1), path, literal=literal):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(np.diff(bounds)), packed_ids(ids, bounds)], names=["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

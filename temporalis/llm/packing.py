@@ -76,14 +76,14 @@ def document_keys(ids: np.ndarray, bounds: np.ndarray, signs: np.ndarray) -> np.
     return hilbert_keys(np.minimum((place * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
-def pack(docs: DataFrame, tokenizer: str, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, literal: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece, and its ids."""
     ship(docs.sparkSession)
 
     def encode(batches):
         signs = token_signs()
         for b in batches:
-            for first, last, ids, bounds in token_slices(b.column(1), tokenizer):
+            for first, last, ids, bounds in token_slices(b.column(1), tokenizer, literal=literal):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(document_keys(ids, bounds, signs)), pa.array(np.diff(bounds)), packed_ids(ids, bounds)], names=["doc_id", "curve", "doc_tokens", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

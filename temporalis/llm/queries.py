@@ -46,7 +46,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-ids")
-    write_ids(tokenised(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")), path)
+    write_ids(tokenised(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), literal=False), path)
     return read_ids(spark, path, with_ids=False)
 
 
@@ -103,7 +103,7 @@ from w left join n on w.doc_id = n.doc_id join c on w.doc_id = c.doc_id
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), literal=False)
 
 
 OP6_SQL = """

@@ -3,11 +3,16 @@
 Both tokenizers cut a text by a pattern that never crosses from other characters to white
 space, so a text's ids are the chain of its chunks' ids (see chunks.py). A run of white
 space stays whole within a chunk.
+
+The library takes a special token that a text holds literally (``<|endoftext|>``) for that
+token: texts are cut around these strings, and each is a chunk of its own. With ``literal``
+they are encoded like any other characters instead.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +32,7 @@ _KIND[[*range(65, 91), *range(97, 123), 0xC3]] = 1
 _KIND[48:58] = 2
 _KIND[[32, *range(9, 14)]] = 0
 _KIND[39] = 4  # an apostrophe may begin a contraction
-_made: dict[str, ChunkCodes] = {}
+_made: dict[tuple[str, bool], tuple[ChunkCodes, list[bytes]]] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -74,15 +79,18 @@ def _chained(tok, chunks: pa.Array, at: np.ndarray, closes):
         yield at[i:j], ids, np.diff(upto, prepend=0)
 
 
-def chunk_encoder(path: str) -> ChunkCodes:
-    """Codes of chunks under a tokenizers file; one a worker process and file."""
-    if path in _made:
-        return _made[path]
+def chunk_encoder(path: str, literal: bool = True) -> tuple[ChunkCodes, list[bytes]]:
+    """Codes of chunks under a tokenizers file, and the special tokens to cut around; one a worker process, file and mode."""
+    if (path, literal) in _made:
+        return _made[path, literal]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    tok.encode_special_tokens = literal
+    special = [] if literal else [t for t in tok.get_added_tokens_decoder().values() if t.special]
+    if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in special):
+        raise ValueError(f"{path}: special tokens must stand for themselves")
     vocab = tok.get_vocab()
     by_bytes = not any(w.endswith("</w>") for w in vocab)
     widths = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
@@ -133,15 +141,24 @@ def chunk_encoder(path: str) -> ChunkCodes:
             parts.append((at[i:j], ids[~cut], np.diff(at_mark - np.arange(len(at_mark)), prepend=0)))
         return _place(parts, len(chunks))
 
-    _made[path] = ChunkCodes(level if by_bytes else worded)
-    return _made[path]
+    _made[path, literal] = ChunkCodes(level if by_bytes else worded), sorted((t.content.encode() for t in special), key=lambda t: (-len(t), t))
+    return _made[path, literal]
+
+
+def _special_cuts(buf: np.ndarray, offs: np.ndarray, special: list[bytes]) -> np.ndarray | None:
+    """Where special tokens begin and end in the documents of a slice."""
+    raw = buf.tobytes() if special else b""
+    if not any(t in raw for t in special):
+        return None
+    any_of = re.compile(b"|".join(map(re.escape, special)))
+    return np.array([x for lo, hi in zip(offs.tolist(), offs[1:].tolist(), strict=False) for m in any_of.finditer(raw, lo, hi) for x in m.span()], dtype=np.int64)
 
 
-def token_slices(texts, path: str, target: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def token_slices(texts, path: str, target: int = SLICE, literal: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last, ids, bounds) of a batch's documents; each one's ids end with END_ID."""
-    codes = chunk_encoder(path)
+    codes, special = chunk_encoder(path, literal)
     for s in slices(texts, target):
-        chunks, bounds = cut_chunks(s.buf, s.offs)
+        chunks, bounds = cut_chunks(s.buf, s.offs, more=_special_cuts(s.buf, s.offs, special))
         flat, offs, row = codes.of(chunks)
         ids, size = ragged_take(flat, offs, row)
         ends = np.concatenate([[0], np.cumsum(size)])[bounds[1:]]

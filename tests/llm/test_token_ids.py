@@ -127,3 +127,32 @@ def test_packing(spark):
     key = lambda x: (x[0] is not None, x[0] or 0, x[1])
     assert sorted(docs_seen, key=key) == sorted(([r[0], i] for r, i in zip(rows, ids, strict=True)), key=key)
     assert pack(docs.where("false"), tokenizer_path(FILES[1])).count() == 0
+
+
+def as_library(name, texts):
+    tok = Tokenizer.from_file(tokenizer_path(name))
+    return [e.ids + [1] for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_special_tokens_as_the_library_takes_them(name):
+    r = random.Random(6)
+    parts = [*PARTS, "<|startoftext|>", "<|endof", "text|>", "<|ENDOFTEXT|>", "<|endoftext|>"]
+    texts = ["hello <|endoftext|> world", "x<|endof", "text|>y", None, "<|endoftext|><|startoftext|>", *("".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(1500))]
+    want = as_library(name, texts)
+    assert want[0] == ([31373, 220, 50256, 995, 1] if name.startswith("byte") else [3306, 49407, 1002, 1])
+    for target in (1 << 12, 1 << 24):
+        for first, last, ids, bounds in token_slices(pa.array(texts), tokenizer_path(name), target, literal=False):
+            for i in range(first, last):
+                assert ids[bounds[i - first] : bounds[i - first + 1]].tolist() == want[i], repr(texts[i])
+
+
+def test_queries_take_special_tokens(spark, tmp_path):
+    from temporalis.llm.queries import queries
+
+    texts = ["hello <|endoftext|> world", "plain", "<|startoftext|>a<|endoftext|>"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for query, name, size in (("op4_token_ids", FILES[0], "n_tokens"), ("op10_packing", FILES[1], "doc_tokens")):
+        got = {x.doc_id: x for x in queries()[query](spark, str(tmp_path)).collect()}
+        for i, ids in enumerate(as_library(name, texts)):
+            assert (got[i][size], got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
