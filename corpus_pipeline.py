@@ -12,29 +12,47 @@ from temporalis.llm.toxicity import score_toxicity, severity_grade, train_toxici
 
 #: A text is rejected if its main language holds less than this share of its letters.
 LEAST_SHARE = 0.4
+#: The column that tells rows apart within a stage: doc_id may be null or repeat.
+KEY = "_row"
 
 
-def _rejected(docs, verdicts):
-    """docs without those whose doc_id has a verdict to go; rows without doc_id stay."""
-    gone = stored(verdicts.select("doc_id").where("doc_id is not null").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs):
+    """docs with a key of its own for each row; stored, so that retries can't deal the keys anew."""
+    return stored(docs.withColumn(KEY, F.monotonically_increasing_id()), "rows", "zstd")
+
+
+def _by_row(rows):
+    """What the operators look at, with the row's key as doc_id."""
+    return rows.select(F.col(KEY).alias("doc_id"), "text")
+
+
+def _rejected(rows, verdicts):
+    """rows without those whose own verdict is to go, and without the key."""
+    gone = stored(verdicts.select(F.col("doc_id").alias(KEY)), "gone")
+    return rows.join(gone, KEY, "left_anti").drop(KEY)
 
 
 def toxicity(spark, docs, sf_dir):
     """Documents that the ordinal model finds toxic go."""
     model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), severity_grade())
-    return _rejected(docs, score_toxicity(docs, model).where("toxic"))
+    rows = _keyed(docs)
+    return _rejected(rows, score_toxicity(_by_row(rows), model).where("toxic"))
 
 
 def language(spark, docs, sf_dir):
     """Texts without a letter, or of no main language, go."""
-    found = predict_languages(docs, train_languages(docs))
-    return _rejected(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SHARE)))
+    rows = _keyed(docs)
+    found = predict_languages(_by_row(rows), train_languages(docs))
+    return _rejected(rows, found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SHARE)))
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
-    return _rejected(docs, near_duplicates(docs).where("not kept"))
+    """One row of each group of near-duplicates stays: one with the smallest doc_id, or without any if all are."""
+    rows = _keyed(docs)
+    groups = near_duplicates(_by_row(rows)).select(F.col("doc_id").alias(KEY), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", KEY)
+    first = groups.join(rows.select(KEY, "doc_id"), KEY).groupBy("component_id").agg(F.min_by(KEY, order).alias("first"))
+    return rows.join(stored(first.select(F.col("first").alias(KEY)), "kept"), KEY, "left_semi").drop(KEY)
 
 
 def secrets(spark, docs, sf_dir):

@@ -120,3 +120,34 @@ def test_best_stretch_equals_brute_force():
     total = lambda x, y: sum(int(ratios[int(buf[k]) * 256 + int(buf[k + 1])]) for k in range(x, y - 1))
     for lo, hi, x, y, n in zip(cuts, cuts[1:], begin, stop, most, strict=False):
         assert lo <= x < y <= hi and total(x, y) == n == max(0, max(total(i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1)))
+
+
+def made_corpus(spark, path, lang="en"):
+    """80 clean and 40 toxic rows with ids and labels, and a maker of clean texts."""
+    r = random.Random(12)
+    vocab = [f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqr"]
+    text = lambda bad=False: " ".join(r.choice(vocab) for _ in range(60)) + (" vile foul rotten" if bad else "")
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return [(i, text(i % 3 == 0), lang) for i in range(120)], text
+
+
+def run_stage(spark, stage, rows, path):
+    got = stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), str(path))
+    assert got.columns == ["doc_id", "text", "lang"]
+    return sorted(((x.doc_id, x.text) for x in got.collect()), key=str)
+
+
+def test_each_row_has_its_own_verdict(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rows, text = made_corpus(spark, tmp_path)
+    clean = [text() for _ in range(5)]
+    extra = [(None, text(True), "en"), (None, clean[0], "en"), (201, text(True), "en"), (201, text(), "en"), (200, "12 34", "en"), (200, clean[1], "en"), (None, "12 34", "en")]
+    got = run_stage(spark, p.toxicity, rows + extra, tmp_path)
+    assert got == sorted(((i, t) for i, t, _ in rows + extra if "vile" not in t), key=str)
+    rows = [x for x in rows if x[0] % 3]
+    got = run_stage(spark, p.language, rows + extra, tmp_path)
+    assert got == sorted(((i, t) for i, t, _ in rows + extra if t != "12 34"), key=str)
+    copies = [(7, clean[2], "en")] * 4 + [(None, clean[3], "en")] * 3 + [(None, clean[4], "en"), (300, clean[4], "en"), (299, clean[4] + " tail", "en"), (7, text(), "en"), (8, None, "en"), (8, None, "en")]
+    got = run_stage(spark, p.near_dedup, copies, tmp_path)
+    assert got == sorted([(7, clean[2]), (None, clean[3]), (299, clean[4] + " tail"), (7, copies[-3][1]), (8, None), (8, None)], key=str)
