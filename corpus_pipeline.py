@@ -40,10 +40,12 @@ def toxicity(spark, docs, sf_dir):
 
 
 def language(spark, docs, sf_dir):
-    """Texts without a letter, or of no main language, go."""
+    """Texts without a letter, or of no main language, go; if no language could be learned, only the former."""
+    model = train_languages(docs)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     rows = _keyed(docs)
-    found = predict_languages(_by_row(rows), train_languages(docs))
-    return _rejected(rows, found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SHARE)))
+    return _rejected(rows, predict_languages(_by_row(rows), model).where((F.col("n_spans") == 0) | (F.col("score") < LEAST_SHARE)))
 
 
 def near_dedup(spark, docs, sf_dir):

@@ -151,3 +151,12 @@ def test_each_row_has_its_own_verdict(spark, tmp_path):
     copies = [(7, clean[2], "en")] * 4 + [(None, clean[3], "en")] * 3 + [(None, clean[4], "en"), (300, clean[4], "en"), (299, clean[4] + " tail", "en"), (7, text(), "en"), (8, None, "en"), (8, None, "en")]
     got = run_stage(spark, p.near_dedup, copies, tmp_path)
     assert got == sorted([(7, clean[2]), (None, clean[3]), (299, clean[4] + " tail"), (7, copies[-3][1]), (8, None), (8, None)], key=str)
+
+
+def test_without_languages_every_text_with_letters_stays(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rows, text = made_corpus(spark, tmp_path, None)
+    extra = [(200, "12 34", None), (201, None, None), (None, "日本", None), (None, "", None)]
+    got = run_stage(spark, p.language, rows + extra, tmp_path)
+    assert got == sorted([(i, t) for i, t, _ in rows] + [(None, "日本")], key=str)
