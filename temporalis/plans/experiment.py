@@ -87,20 +87,30 @@ def _text(formulas: list[Formula], chosen, target: str, picks) -> str:
     return str(simplify(fold(parts, And)))
 
 
-def explain_run(panel: DataFrame, long: DataFrame, steps: int, config: Config) -> tuple[list[tuple], list[tuple]]:
-    """(locals, globals) for the TEST series: rows as the sinks take them."""
+def explained(panel: DataFrame, long: DataFrame, steps: int, config: Config) -> tuple[list[Formula], DataFrame, DataFrame, DataFrame]:
+    """(formulas, long features, reparametrisation, greedy picks of the TEST series) under a trained bank."""
     formulas, feats, model, _, _ = _fit(panel, long, steps, config, config.base_seed + config.n_run)
     rho, coef, pred = _predicted(feats, model)
     pred = cut(pred)
     rep = cut(explain.reparametrised(explain.reference_classes(explain.class_medians(rho))))
-    chosen = {(r.formula_id, r.target): (r.sign, r.delta) for r in rep.collect()}  # a row a formula and class
     pool = explain.top_m(explain.contributions(rho.where("split = 'TEST'"), coef, pred), config.pool_size)
     pool = pool.join(pred.select("series_id", F.col("pred").alias("target")), "series_id").select("series_id", "target", "formula_id", "rank")
-    found = cut(explain.greedy_picks(pool, explain.sign_words(rho, rep), explain.class_words(feats), config.pool_size, config.precision_threshold))
-    local = [(r.series_id, r.target, _text(formulas, chosen, r.target, r.picks), len(r.picks), r.precision, r.n_tp) for r in found.orderBy("series_id").collect()]
+    return formulas, rho, rep, cut(explain.greedy_picks(pool, explain.sign_words(rho, rep), explain.class_words(feats), config.pool_size, config.precision_threshold))
+
+
+def overall(rho: DataFrame, rep: DataFrame, found: DataFrame) -> DataFrame:
+    """Quality of each class's disjunction of its distinct local conjunctions."""
     distinct = found.groupBy("target", "picks").agg(F.min("series_id").alias("pick_id"))
     picks = distinct.select("target", "pick_id", F.explode("picks").alias("formula_id"))
-    quality = {r.target: r.f1 for r in explain.global_quality(explain.conjunction_values(rho.where("split = 'TEST'"), picks, rep)).collect()}
+    return explain.global_quality(explain.conjunction_values(rho.where("split = 'TEST'"), picks, rep))
+
+
+def explain_run(panel: DataFrame, long: DataFrame, steps: int, config: Config) -> tuple[list[tuple], list[tuple]]:
+    """(locals, globals) for the TEST series: rows as the sinks take them."""
+    formulas, rho, rep, found = explained(panel, long, steps, config)
+    chosen = {(r.formula_id, r.target): (r.sign, r.delta) for r in rep.collect()}  # a row a formula and class
+    local = [(r.series_id, r.target, _text(formulas, chosen, r.target, r.picks), len(r.picks), r.precision, r.n_tp) for r in found.orderBy("series_id").collect()]
+    quality = {r.target: r.f1 for r in overall(rho, rep, found).collect()}
     texts: dict[str, dict[str, None]] = {}
     for _, target, text, *_ in local:
         texts.setdefault(target, {})[text] = None

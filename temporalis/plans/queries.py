@@ -1,7 +1,9 @@
 """Queries over the driver's tables, one a group of operators, each with its SQL form.
 
 The fixed bank and the fixed weights stand in for a sampled bank and a trained model, so
-that both engines can compute every step that follows them.
+that both engines can compute every step that follows them. Queries named ``_whole`` take
+every round, pair or formula, as the operators do; SQL follows only round one of the greedy
+picks, so those have none. ``trained_global_f1`` samples its bank and trains its model.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from ..functions.robustness import column, features, long_features, sql, window_
 from ..operators import analytics, bank, classify, explain, scale
 from ..session import r6
 from ..sources import panels, results
+from . import experiment
 
 STEPS = 64
 BANK = [
@@ -33,6 +36,8 @@ ONE = {
     "atom_ge": Atom(0, 0.1), "atom_le": Atom(0, 0.1, True), "stl_not": BANK[6], "stl_and": BANK[4], "stl_or": BANK[5], "stl_globally": BANK[0], "stl_eventually": BANK[1], "stl_until": BANK[7], "stl_nested_gf": BANK[2], "stl_nested_fg": BANK[3],
 }
 MULTI = And(Globally(Or(Atom(0, 40.0, True), Atom(1, 1.0)), 0, 20), Eventually(And(Atom(2, 5.0), Not(Atom(3, 30.0))), 3, 28))
+#: The smaller of the two banks of the results grid.
+TRAINED = experiment.Config(n_formulas=100, batch_size=100)
 TOP, POOL, LIMIT, CORR = 3, 4, 0.75, 0.9
 
 # Text shared by the SQL forms: each entry is one common table.
@@ -153,6 +158,18 @@ class Frames:
         picks = self.locals().select("target", F.col("first_id").alias("pick_id"), "formula_id")
         return explain.global_quality(explain.conjunction_values(self.feat().where("split = 'TEST'"), picks, self.rep()))
 
+    def whole_locals(self):
+        return self.greedy(POOL).groupBy("target", F.array_sort("picks").alias("picks")).agg(F.min("series_id").alias("first_id"))
+
+    def whole_glob(self):
+        picks = self.whole_locals().select("target", F.col("first_id").alias("pick_id"), F.explode("picks").alias("formula_id"))
+        return explain.global_quality(explain.conjunction_values(self.feat().where("split = 'TEST'"), picks, self.rep()))
+
+    def trained_glob(self):
+        long, panel, steps = experiment.load(self.spark, "embeddings", self.dir)
+        _, rho, rep, found = experiment.explained(panel, long, steps, TRAINED)
+        return experiment.overall(rho, rep, found)
+
     def events(self):
         return panels.daily_events(self.spark, self.dir)
 
@@ -236,6 +253,11 @@ def _all() -> dict[str, Query]:
     add("distinct_locals", lambda f: f.locals(), _sql(more + " locals", "select target, formula_id, first_id from locals"))
     add("global_f1", lambda f: _rounded(f.glob(), "precision", "coverage", "f1"), _sql(more + " locals gvals quality", f"select target, n_pos, tp, n_class, {_r('precision')} as precision, {_r('coverage')} as coverage, {_r('f1')} as f1 from quality"))
     add("global_macro", lambda f: _rounded(explain.macro(f.glob()), "macro_f1"), _sql(more + " locals gvals quality", f"select {_r('avg(f1)')} as macro_f1, count(f1) as n_defined from quality"))
+    add("local_quality_whole", lambda f: f.greedy(POOL).select("target", F.array_sort("picks").alias("picks"), r6("precision").alias("precision"), "n_tp").distinct(), None)
+    add("distinct_locals_whole", lambda f: f.whole_locals(), None)
+    add("global_f1_whole", lambda f: _rounded(f.whole_glob(), "precision", "coverage", "f1"), None)
+    add("global_macro_whole", lambda f: _rounded(explain.macro(f.whole_glob()), "macro_f1"), None)
+    add("trained_global_f1", lambda f: _rounded(f.trained_glob(), "precision", "coverage", "f1"), None)
     add("fp_rate", lambda f: f.feat().where("split = 'TEST'").join(F.broadcast(f.rep()), "formula_id").groupBy("formula_id", "target").agg(r6(F.avg(F.when(F.col("label") == F.col("target"), (explain.moved(F.col("rho")) > 0).cast("double")))).alias("tp_rate"), r6(F.avg(F.when(F.col("label") != F.col("target"), (explain.moved(F.col("rho")) > 0).cast("double")))).alias("fp_rate")), _sql("emb feat med refs rep moved", f"select formula_id, target, {_r('avg((rho > 0)::int) filter (label = target)')} as tp_rate, {_r('avg((rho > 0)::int) filter (label <> target)')} as fp_rate from moved where split = 'TEST' group by all"))
     # further analytics
     test = lambda f: f.feat().where("split = 'TEST'")
@@ -275,6 +297,7 @@ def _all() -> dict[str, Query]:
     add("results_groupby", lambda f: f.runs().groupBy("n_formulas", "depth_max").agg(r6(F.avg("balanced_accuracy")).alias("mean_acc"), r6(F.stddev_samp("balanced_accuracy")).alias("std_acc"), r6(F.avg(F.col("time_features_s") + F.col("time_train_s"))).alias("mean_time"), F.countDistinct("dataset").alias("n_datasets"), F.max(F.format_string("n=%d d=%d", "n_formulas", "depth_max")).alias("setting")), _sql("runs", f"select n_formulas, depth_max, {_r('avg(balanced_accuracy)')} as mean_acc, {_r('stddev_samp(balanced_accuracy)')} as std_acc, {_r('avg(time_features_s + time_train_s)')} as mean_time, count(distinct dataset) as n_datasets, max('n=' || n_formulas || ' d=' || depth_max) as setting from runs group by all"))
     add("results_pivot", lambda f: f.runs().groupBy("dataset", "n_formulas").pivot("depth_max", [2, 3]).agg(r6(F.avg("balanced_accuracy"))).withColumnsRenamed({"2": "d2", "3": "d3"}), _sql("runs", f"select dataset, n_formulas, {_r('avg(balanced_accuracy) filter (depth_max = 2)')} as d2, {_r('avg(balanced_accuracy) filter (depth_max = 3)')} as d3 from runs group by all"))
     add("results_class_grid_left", lambda f: f.emb().select(F.col("label").alias("class")).distinct().crossJoin(f.runs().select("n_formulas").distinct()).join(f.glob().select(F.col("target").alias("class"), r6("f1").alias("f1")), "class", "left"), _sql(more + " locals gvals quality runs", f"select class, n_formulas, {_r('f1')} as f1 from (select distinct label as class from emb) cross join (select distinct n_formulas from runs) left join quality on quality.target = class"))
+    add("results_class_grid_whole", lambda f: f.emb().select(F.col("label").alias("class")).distinct().crossJoin(f.runs().select("n_formulas").distinct()).join(f.whole_glob().select(F.col("target").alias("class"), r6("f1").alias("f1")), "class", "left"), None)
     return q
 
 
