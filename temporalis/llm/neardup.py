@@ -208,6 +208,8 @@ def alternating_stars(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"edges still move after {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("doc_id")).distinct().select("doc_id", F.col("doc_id").alias("component_id"))
     return stored(edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).unionByName(roots), "components")
 

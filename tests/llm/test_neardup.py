@@ -82,3 +82,10 @@ def test_blocks(spark, monkeypatch, seed):
     rows = made(seed)
     got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got == brute(rows)
+
+
+def test_unfinished_components_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
+    with pytest.raises(RuntimeError, match="rounds"):
+        alternating_stars(chain, max_rounds=1)
+    assert {r.component_id for r in alternating_stars(chain).collect()} == {0}
