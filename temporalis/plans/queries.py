@@ -288,6 +288,23 @@ def _all() -> dict[str, Query]:
     add("reparam_diagnostics", lambda f: f.feat().where("split = 'TRAIN'").join(F.broadcast(f.rep()), "formula_id").withColumn("v", explain.moved(F.col("rho"))).groupBy("formula_id", "target").agg(r6(F.median(F.when(own(), F.col("v")))).alias("med_target"), r6(F.median(F.when(~own(), F.col("v")))).alias("med_others"), r6(F.avg(F.when(own(), (F.col("v") > 0).cast("double")))).alias("satisfied"), r6(F.avg(F.when(~own(), (F.col("v") <= 0).cast("double")))).alias("violated")), _sql("emb feat med refs rep moved", f"select formula_id, target, {_r('median(rho) filter (label = target)')} as med_target, {_r('median(rho) filter (label <> target)')} as med_others, {_r('avg((rho > 0)::int) filter (label = target)')} as satisfied, {_r('avg((rho <= 0)::int) filter (label <> target)')} as violated from moved where split = 'TRAIN' group by all"))
     add("kde", lambda f: _rounded(analytics.density(f.feat().where("split = 'TRAIN' and formula_id = 1").select("label", F.col("rho").alias("x")), 50), "g", "density"), _sql("emb feat", f"""select v.label, k::int as k, {_r('g')} as g, {_r('avg(exp(-(((g - rho) / h) ** 2) / 2)) / (h * sqrt(2 * pi()))')} as density from (select label, rho from feat where split = 'TRAIN' and formula_id = 1) v
       join (select label, k, s * n ** -0.2 as h, a - 1 + (z - a + 2) * k / 49 as g from (select label, count(*)::double as n, stddev_samp(rho) as s, min(rho) as a, max(rho) as z from feat where split = 'TRAIN' and formula_id = 1 group by label), (select unnest(range(0, 50))::double as k)) t on v.label = t.label group by v.label, k, g, h"""))
+    def all_pairs(f: Frames) -> DataFrame:
+        """(class_idx, competitor, formula_id, d, worst) of every two classes."""
+        a, b = f.coef(), f.coef().select(F.col("class_idx").alias("competitor"), "formula_id", F.col("w").alias("other"))
+        d = a.join(b, "formula_id").where("class_idx <> competitor").select("class_idx", "competitor", "formula_id", (F.col("w") - F.col("other")).alias("d"))
+        return analytics.worst_case(d, analytics.quantile_box(f.feat())).select("class_idx", "competitor", "formula_id", "d", "worst")
+
+    def all_gains(f: Frames) -> DataFrame:
+        """What each formula of a TEST series adds to the margin of its predicted class over every other one."""
+        low = all_pairs(f)
+        bars = low.groupBy("class_idx", "competitor").agg((F.lit(1e-6) - F.sum("worst")).alias("lb"))
+        low = low.join(F.broadcast(bars), ["class_idx", "competitor"])
+        own = test(f).join(f.pred().select("series_id", "class_idx"), "series_id")
+        return own.join(F.broadcast(low), ["class_idx", "formula_id"]).select("series_id", "competitor", "formula_id", F.round(F.col("d") * F.col("rho") - F.col("worst"), 9).alias("a"), F.round("lb", 9).alias("lb"))
+
+    add("worst_case_whole", lambda f: _rounded(all_pairs(f), "worst"), None)
+    add("abduce_whole", lambda f: analytics.abduce(all_gains(f)).select("series_id", "n_needed"), None)
+    add("kde_whole", lambda f: _rounded(analytics.density(f.feat().where("split = 'TRAIN'").select(F.struct("formula_id", "label").alias("label"), F.col("rho").alias("x"))), "g", "density").select(F.col("label.formula_id").alias("formula_id"), F.col("label.label").alias("label"), "k", "g", "density"), None)
     # settings and results
     grid = lambda f: f.spark.range(26 * 2).select(F.col("id").alias("task"), F.pmod("id", F.lit(26)).alias("dataset_no"), F.when(F.floor(F.col("id") / 26) % 2 == 0, 100).otherwise(1000).alias("n_formulas"), F.lit(3).alias("depth_max"))
     task = "select task, task % 26 as dataset_no, case when (task // 26) % 2 = 0 then 100 else 1000 end as n_formulas, 3 as depth_max from (select unnest(range(0, 52)) as task)"

@@ -1,5 +1,7 @@
+import itertools
 import os
 
+import numpy as np
 import pytest
 
 from temporalis.plans import queries
@@ -55,6 +57,39 @@ def test_whole_picks_equal_plain_loops(spark):
     assert run(spark, "global_macro_whole")[0].macro_f1 == pytest.approx(sum(known) / len(known), abs=2e-6)
 
 
+def test_whole_abduction_equals_all_subsets(spark):
+    f = queries.Frames(spark, SF)
+    feat, w = {}, {(r.class_idx, r.formula_id): r.w for r in f.coef().collect()}
+    train: dict = {}
+    for r in f.feat().collect():
+        feat[r.series_id, r.formula_id] = r.rho
+        if r.split == "TRAIN":
+            train.setdefault((r.formula_id, r.label), []).append(r.rho)
+    formulas, classes = range(len(queries.BANK)), range(10)
+    box = {j: np.quantile([x for (k, _), v in train.items() if k == j for x in v], [0.1, 0.9]) for j in formulas}
+    worst = {(a, b, j): (w[a, j] - w[b, j]) * box[j][0 if w[a, j] > w[b, j] else 1] for a in classes for b in classes if a != b for j in formulas}
+    got = run(spark, "worst_case_whole")
+    assert len(got) == len(worst) and all(r.worst == pytest.approx(worst[r.class_idx, r.competitor, r.formula_id], abs=2e-6) for r in got)
+    subsets = np.array(sorted(itertools.product((0, 1), repeat=len(formulas)), key=sum))
+    pred = {r.series_id: r.class_idx for r in f.pred().collect()}
+    need = {}
+    for s, a in pred.items():
+        others = [b for b in classes if b != a]
+        gain = np.array([[round((w[a, j] - w[b, j]) * feat[s, j] - worst[a, b, j], 9) for b in others] for j in formulas])
+        bar = np.array([round(1e-6 - sum(worst[a, b, j] for j in formulas), 9) for b in others])
+        ok = (subsets @ gain >= bar - 1e-12).all(axis=1)
+        need[s] = int(subsets[ok.argmax()].sum()) if ok.any() else -1
+    assert {r.series_id: r.n_needed for r in run(spark, "abduce_whole")} == need
+    kde = run(spark, "kde_whole")
+    wide = {k for k, v in train.items() if len(v) > 1 and np.std(v, ddof=1) > 1e-12}
+    assert {(r.formula_id, r.label) for r in kde} == wide and len(kde) == 400 * len(wide)
+    for r in kde[::997]:
+        x = np.array(train[r.formula_id, r.label])
+        h = np.std(x, ddof=1) * len(x) ** -0.2
+        g = x.min() - 1 + (x.max() - x.min() + 2) * r.k / 399
+        assert r.density == pytest.approx(np.exp(-(((g - x) / h) ** 2) / 2).mean() / (h * np.sqrt(2 * np.pi)), abs=2e-6)
+
+
 def test_trained_bank(spark):
     rows = run(spark, "trained_global_f1")
     assert rows and all(r.tp <= r.n_pos and r.tp <= r.n_class for r in rows)
