@@ -3,7 +3,7 @@
 The fixed bank and the fixed weights stand in for a sampled bank and a trained model, so
 that both engines can compute every step that follows them. Queries named ``_whole`` take
 every round, pair or formula, as the operators do; SQL follows only round one of the greedy
-picks, so those have none. ``trained_global_f1`` samples its bank and trains its model.
+picks, so those have none.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from ..functions.robustness import column, features, long_features, sql, window_
 from ..operators import analytics, bank, classify, explain, scale
 from ..session import r6
 from ..sources import panels, results
-from . import experiment
 
 STEPS = 64
 BANK = [
@@ -36,8 +35,6 @@ ONE = {
     "atom_ge": Atom(0, 0.1), "atom_le": Atom(0, 0.1, True), "stl_not": BANK[6], "stl_and": BANK[4], "stl_or": BANK[5], "stl_globally": BANK[0], "stl_eventually": BANK[1], "stl_until": BANK[7], "stl_nested_gf": BANK[2], "stl_nested_fg": BANK[3],
 }
 MULTI = And(Globally(Or(Atom(0, 40.0, True), Atom(1, 1.0)), 0, 20), Eventually(And(Atom(2, 5.0), Not(Atom(3, 30.0))), 3, 28))
-#: The smaller of the two banks of the results grid.
-TRAINED = experiment.Config(n_formulas=100, batch_size=100)
 TOP, POOL, LIMIT, CORR = 3, 4, 0.75, 0.9
 
 # Text shared by the SQL forms: each entry is one common table.
@@ -165,11 +162,6 @@ class Frames:
         picks = self.whole_locals().select("target", F.col("first_id").alias("pick_id"), F.explode("picks").alias("formula_id"))
         return explain.global_quality(explain.conjunction_values(self.feat().where("split = 'TEST'"), picks, self.rep()))
 
-    def trained_glob(self):
-        long, panel, steps = experiment.load(self.spark, "embeddings", self.dir)
-        _, rho, rep, found = experiment.explained(panel, long, steps, TRAINED)
-        return experiment.overall(rho, rep, found)
-
     def events(self):
         return panels.daily_events(self.spark, self.dir)
 
@@ -257,7 +249,6 @@ def _all() -> dict[str, Query]:
     add("distinct_locals_whole", lambda f: f.whole_locals(), None)
     add("global_f1_whole", lambda f: _rounded(f.whole_glob(), "precision", "coverage", "f1"), None)
     add("global_macro_whole", lambda f: _rounded(explain.macro(f.whole_glob()), "macro_f1"), None)
-    add("trained_global_f1", lambda f: _rounded(f.trained_glob(), "precision", "coverage", "f1"), None)
     add("fp_rate", lambda f: f.feat().where("split = 'TEST'").join(F.broadcast(f.rep()), "formula_id").groupBy("formula_id", "target").agg(r6(F.avg(F.when(F.col("label") == F.col("target"), (explain.moved(F.col("rho")) > 0).cast("double")))).alias("tp_rate"), r6(F.avg(F.when(F.col("label") != F.col("target"), (explain.moved(F.col("rho")) > 0).cast("double")))).alias("fp_rate")), _sql("emb feat med refs rep moved", f"select formula_id, target, {_r('avg((rho > 0)::int) filter (label = target)')} as tp_rate, {_r('avg((rho > 0)::int) filter (label <> target)')} as fp_rate from moved where split = 'TEST' group by all"))
     # further analytics
     test = lambda f: f.feat().where("split = 'TEST'")

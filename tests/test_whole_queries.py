@@ -88,8 +88,3 @@ def test_whole_abduction_equals_all_subsets(spark):
         h = np.std(x, ddof=1) * len(x) ** -0.2
         g = x.min() - 1 + (x.max() - x.min() + 2) * r.k / 399
         assert r.density == pytest.approx(np.exp(-(((g - x) / h) ** 2) / 2).mean() / (h * np.sqrt(2 * np.pi)), abs=2e-6)
-
-
-def test_trained_bank(spark):
-    rows = run(spark, "trained_global_f1")
-    assert rows and all(r.tp <= r.n_pos and r.tp <= r.n_class for r in rows)
