@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, drop_tree, scratch_path, ship, stored
+from .shared import cut, drop_tree, lean, scratch_path, ship, stored
 from .textcore import LOWER, find_words, mix64, random_words, sequence_hash, shingle_set, slices, span_hashes
 
 WIDTH = 5
@@ -166,7 +166,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and full set of the rows with these ids; texts move only if the ids are too many to broadcast."""
     ids = stored(ids, "ids")
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return stored(docs.join(some, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "sets", "none")
+    return stored(docs.join(some, "doc_id", "left_semi").mapInArrow(lean(_sets), "doc_id long, shingles binary"), "sets", "none")
 
 
 def _end(df: DataFrame, name: str, value: list[str]) -> DataFrame:
@@ -176,14 +176,14 @@ def _end(df: DataFrame, name: str, value: list[str]) -> DataFrame:
 def _full(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that full verification keeps."""
     full = pairs.join(_end(sets, "b", ["shingles"]), "b").join(_end(sets, "a", ["shingles"]), "a")
-    return full.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_linked, "a long, b long")
+    return full.select("a", "b", "shingles_a", "shingles_b").mapInArrow(lean(_linked), "a long, b long")
 
 
 def _verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
     """The links (a, b) among candidate pairs; stored. Skewed joins are Spark's to split."""
     near = pairs.join(_end(sigs, "b", ["sig", "n_shingles"]), "b").join(_end(sigs, "a", ["sig", "n_shingles"]), "a")
     near = near.where(100 * F.least("n_shingles_a", "n_shingles_b") >= 75 * F.greatest("n_shingles_a", "n_shingles_b"))
-    near = stored(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_agree, "a long, b long"), "near")
+    near = stored(near.select("a", "b", "sig_a", "sig_b").mapInArrow(lean(_agree), "a long, b long"), "near")
     sets = _sets_of(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     return stored(_full(near, sets).distinct(), "links")
 
@@ -195,7 +195,7 @@ def alternating_stars(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     neighbours), then small stars (the smaller ones and the node do), until nothing moves.
     A node's neighbours are never gathered: only minima are grouped, and joined back.
     """
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -203,7 +203,7 @@ def alternating_stars(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.where("u <> v").distinct())
+        edges = cut(small.where("u <> v").distinct())
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break
@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    every = stored(docs.mapInArrow(_profile, "doc_id long, n_shingles long, digest binary, sig binary, keys binary"), "profiles", "none")
+    every = stored(docs.mapInArrow(lean(_profile), "doc_id long, n_shingles long, digest binary, sig binary, keys binary"), "profiles", "none")
     able = every.where("doc_id is not null and digest is not null")
     # exact copies: the smallest id of a class stands for it
     least = able.groupBy("digest").agg(F.min("doc_id").alias("rep"))
@@ -334,7 +334,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = same.where("doc_id = rep").select("doc_id")
 
     path = scratch_path(spark, "bands")
-    able.select("doc_id", "keys").join(reps, "doc_id", "left_semi").select("doc_id", "keys").mapInArrow(_bands, "key long, doc_id long").write.option("compression", "none").parquet(path)
+    able.select("doc_id", "keys").join(reps, "doc_id", "left_semi").select("doc_id", "keys").mapInArrow(lean(_bands), "key long, doc_id long").write.option("compression", "none").parquet(path)
     bands = spark.read.schema("key long, doc_id long").parquet(path)
     shared = stored(bands.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("key"), "shared")
     members = stored(bands.join(shared, "key").distinct(), "members")
@@ -351,12 +351,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = stored(members.join(comps, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id")), "known")
     several = stored(known.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi").select("key"), "several")
     spread = stored(known.join(several, "key"), "spread")
-    near = stored(_cells(spread, sigs).mapInArrow(_each_cell(_near_members, ("key", "a", "b")), "key long, a long, b long").distinct(), "near")
+    near = stored(_cells(spread, sigs).mapInArrow(lean(_each_cell(_near_members, ("key", "a", "b"))), "key long, a long, b long").distinct(), "near")
     if not near.isEmpty():
         crowded = near.where("key is not null").select("key", F.col("a").alias("doc_id"))
         sets = _sets_of(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).where("doc_id is not null").distinct())
         rest = stored(spread.join(crowded, ["key", "doc_id"]), "rest")
-        more = _cells(rest, sigs.join(sets, "doc_id")).mapInArrow(_each_cell(_joining_links, ("a", "b")), "a long, b long")
+        more = _cells(rest, sigs.join(sets, "doc_id")).mapInArrow(lean(_each_cell(_joining_links, ("a", "b"))), "a long, b long")
         links = stored(links.unionByName(_full(near.where("key is null").select("a", "b"), sets)).unionByName(more).distinct(), "links")
         comps = alternating_stars(links)
 

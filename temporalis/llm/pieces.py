@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import SPACE, ChunkCodes, chunk_bytes, cut_chunks, ragged_take
-from .shared import ship
+from .shared import lean, ship
 from .textcore import segment_sums, slices
 
 N_BEST = 3
@@ -442,7 +442,7 @@ def encode_nbest(docs: DataFrame, path: str, n: int = N_BEST, id_col: str = "doc
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, rank int, score double, n_pieces long, ids_crc32 long, decodes boolean" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(lean(encode), "doc_id long, rank int, score double, n_pieces long, ids_crc32 long, decodes boolean" + ", ids array<int>" * with_ids)
 
 
 def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -457,4 +457,4 @@ def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             text = [None if x is None else b"".join(v.pieces[i] for i in x)[1:].decode("utf-8", "replace") for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*names, "text"])
 
-    return rows.drop("text").select(*names).mapInArrow(decode, rows.schema.simpleString()[7:-1].replace(":", " ") + ", text string")
+    return rows.drop("text").select(*names).mapInArrow(lean(decode), rows.schema.simpleString()[7:-1].replace(":", " ") + ", text string")

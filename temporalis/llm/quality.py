@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .samples import labelled_sample
-from .shared import ship, stored
+from .shared import lean, ship, stored
 from .textcore import byte_class, find_words, segment_sums, slices, span_hashes, window_hashes
 
 SAMPLE = 6000
@@ -202,7 +202,7 @@ def train_quality(docs: DataFrame, labels: DataFrame) -> Forest | None:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, size), b.column(1).slice(at, size), pa.FixedSizeListArray.from_arrays(pa.array(stats.reshape(-1)), len(STATS)).cast(pa.list_(pa.float64()))], names=["doc_id", "label", "stats"])
                 at += size
 
-    rows = stored(labelled_sample(docs, labels, F.col("quality"), SAMPLE).mapInArrow(seen, "doc_id long, label int, stats array<double>"), "stats").orderBy("doc_id", "stats").collect()
+    rows = stored(labelled_sample(docs, labels, F.col("quality"), SAMPLE).mapInArrow(lean(seen), "doc_id long, label int, stats array<double>"), "stats").orderBy("doc_id", "stats").collect()
     y = np.array([r.label > 0 for r in rows], dtype=float)
     return fit_forest(np.array([r.stats for r in rows]), y) if len(set(y)) == 2 else None
 
@@ -223,4 +223,4 @@ def quality_rules(docs: DataFrame, forest: Forest | None) -> DataFrame:
                 at += size
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, kept boolean, quality double"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(judge, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(judge), schema)

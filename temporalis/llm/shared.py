@@ -2,46 +2,52 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import ctypes
+import gc
 import uuid
-import zipfile
-from pathlib import Path
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
+from ..session import cut, shared_dir
+from ..session import ship as ship_package
+from .textcore import free_tables
+
+__all__ = ["cut", "shared_dir", "ship", "lean", "scratch_path", "stored", "drop_tree", "forget", "range_partitions", "running_total"]
+
+#: Settings for wide rows, with Spark's own values, which suit narrow ones: so many texts make
+#: large batches. They are set only where the session still has Spark's own.
+TEXT_BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b"),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "1024"),
+}
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python workers."""
-    root = Path(__file__).resolve().parents[2]
-    app = spark.sparkContext.applicationId
-    if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(":"):
-        return
-    fd, name = tempfile.mkstemp(suffix=".zip", prefix="temporalis-")
-    with os.fdopen(fd, "wb") as f, zipfile.ZipFile(f, "w") as z:
-        for p in sorted((root / "temporalis").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    spark.sparkContext.addPyFile(name)
-    _shipped.add(app)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, as the cluster names it.
-
-    Only where ``spark.checkpoint.dir`` is unset, as in tests, one of our own is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    """Make this package importable in the workers, and batches of texts small."""
+    ship_package(spark)
+    for name, (default, ours) in TEXT_BATCHES.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, ours)
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, after which a Python worker (it lives on) gives what it has freed back to the system."""
+
+    def run(batches):
+        yield from work(batches)
+        free_tables()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+    return run
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -55,11 +61,6 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def drop_tree(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared store that nothing reads any more."""
     jvm = spark.sparkContext._jvm
@@ -67,6 +68,22 @@ def drop_tree(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Remove the folders of stored tables that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            drop_tree(df.sparkSession, folder)
+
+
+#: Bytes that one range partition holds at about.
+RANGE_BYTES = 64 << 20
+
+
+def range_partitions(spark: SparkSession, total: int) -> int:
+    """How many range partitions so many bytes take: RANGE_BYTES each, and no fewer than the shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
+
+
 def running_total(df: DataFrame, order: list[str], value: str, partitions: int | None = None, compression: str = "snappy") -> DataFrame:
     """Adds ``start``: the sum of value over all rows that come before in the given order.
 

@@ -49,6 +49,11 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def free_tables() -> None:
+    """Drop the tables of powers; they come back when they are needed."""
+    _powers.clear()
+
+
 def byte_class(*parts: bytes | range) -> np.ndarray:
     """A table of 256 booleans that is true for the given bytes."""
     table = np.zeros(256, dtype=bool)
