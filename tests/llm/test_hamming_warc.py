@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 
@@ -46,7 +47,7 @@ def test_codes(spark):
 
 
 def test_archives_round_trip(spark, monkeypatch):
-    monkeypatch.setattr(warc, "FILE_BYTES", 4000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 200_000)
     page = "<p>é\r\n\r\nWARC/1.1\r\n</p>" * 20
     rows = [(5, "http://a/5", page), (3, "http://a/3\r\nX: y", page), (9, None, page), (3, "http://a/3", page), (1, "u", "short"), (2, "u", "short"), (4, "u", None), (6, "u", None), (None, "n", page), (7, "u", "x" * 100), (8, "u", "x" * 100), (10, "u", "y" * 99), (11, "u", "y" * 99), (12, "z", "日" * 300_000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string").repartition(3)
@@ -61,8 +62,21 @@ def test_archives_round_trip(spark, monkeypatch):
         again = i is not None and to is not None and i != to
         want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", to if again else None))
     assert got == sorted(want, key=str)
-    raw = b"".join(r.content for r in spark.read.format("binaryFile").load(path + "/part-*").collect())
-    assert raw.count(page.encode()) == 3 and raw.count(b"WARC-Refers-To: <urn:page:3>\r\n") == 2 and raw.count(b"WARC-Refers-To-Target-URI: http://a/3\r\n") + raw.count(b"WARC-Refers-To-Target-URI: http://a/3%0AX: y\r\n") == 2
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").load(path + "/part-*").collect()]
+    raw = b"".join(gzip.decompress(x) for x in files)
+    assert raw == b"".join(warc.inflated(memoryview(x)) for x in files) and len(files) > 1
+    assert raw.count(page.encode()) == 3 and raw.count(f"WARC-Refers-To: <urn:page:3:{hashlib.sha256(page.encode()).hexdigest()[:16]}>\r\n".encode()) == 2 and raw.count(b"WARC-Refers-To-Target-URI: http://a/3\r\n") + raw.count(b"WARC-Refers-To-Target-URI: http://a/3%0AX: y\r\n") == 2
     empty = scratch_path(spark, "warc")
     write_warc(df.where("false"), empty, "2024-01-01T00:00:00Z")
     assert read_warc(spark, empty).count() == 0
+
+
+def test_records_larger_than_a_member(monkeypatch):
+    data = bytes(range(256)) * 300
+    packed = warc.members(data)
+    assert packed[-1] == 0 and gzip.decompress(packed) == data == warc.inflated(memoryview(packed))
+    monkeypatch.setattr(warc, "MEMBER", 1000)
+    packed = warc.members(data)
+    assert packed.count(b"\x1f\x8b\x08") >= 76 and packed[-1] == 0 and warc.inflated(memoryview(packed)) == data
+    with pytest.raises(ValueError):
+        warc.inflated(memoryview(packed[:-2]))
