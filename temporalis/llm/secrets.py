@@ -11,9 +11,10 @@ characters and its whole part exceeds by ``LEAST_RATIO`` and by ``LEAST_EACH`` a
 it does so itself, the former raised by the log of the number of stretches it was chosen from
 (chance makes the best of many look random). Then what is left of the part on both sides is searched likewise.
 
-Both models are counted from labelled samples: what the rules find in at most ``SAMPLE``
-documents is random, other runs that are short (under ``SHORT``) or without digits are ordinary, and ``MADE`` strings drawn from usual
-alphabets with a fixed seed are random too.
+Both models are counted from labelled samples. Random: what the rules find in at most
+``SAMPLE`` documents, and ``MADE`` strings of each of the usual alphabets with a fixed seed.
+Ordinary, in equal parts: other runs of these documents that are short (under ``SHORT``) or
+without digits, and identifiers (``ordinary_names``).
 
 Spans are in code points, end exclusive. Nulls: a null text is empty and has no spans. Every
 row is returned, repeated ones too; a null doc_id stays null. Other columns are ignored by
@@ -23,7 +24,10 @@ row is returned, repeated ones too; a null doc_id stays null. Other columns are
 from __future__ import annotations
 
 import hashlib
+import importlib
+import random
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship
+from .shared import lean, ship
 from .textcore import byte_class, find_words, segment_sums, slices
 
 SAMPLE = 4000
 MADE = 3000
+NAMES = 20_000
+FEW = 50
+#: Modules whose names count as ordinary identifiers, and runs in order.
+MODULES = ["argparse", "asyncio", "builtins", "calendar", "codecs", "collections", "configparser", "csv", "ctypes", "datetime", "decimal", "email.message", "errno", "ftplib", "functools", "html.parser", "http.client", "http.cookies", "imaplib", "inspect", "json", "locale", "logging", "mimetypes", "multiprocessing", "os", "pathlib", "pickle", "platform", "shutil", "signal", "smtplib", "socket", "sqlite3", "ssl", "statistics", "subprocess", "tarfile", "threading", "tokenize", "traceback", "unittest", "urllib.request", "uuid", "xml.dom.minidom", "xml.sax.handler", "zipfile"]
+ORDERED = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "9876543210", "zyxwvutsrqponmlkjihgfedcba", "qwertyuiop", "asdfghjkl", "zxcvbnm", "xxxxxxxx", "00000000", "========", "--------", "________", "........"]
 SHORT = 20
 LEAST_RUN = 12
-LEAST_RATIO = 20.0
+LEAST_RATIO = 12.0
 LEAST_EACH = 0.4
 KINDS = ["assign", "access", "hex", "markov"]
 MASK = "[secret]"
@@ -108,15 +117,62 @@ def made_counts(n: int = MADE) -> np.ndarray:
     return counts
 
 
-def ratio_table(random: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratio of each pair of bytes, smoothed over the characters of a run."""
+def ordinary_names(n: int = NAMES) -> list[str]:
+    """Identifiers known to be ordinary: public names of Python's standard library, and n names made
+    of their words by a fixed seed in usual styles (camel, snake, kebab, dotted, paths), with versions and dates."""
+    own: set[str] = set(sys.stdlib_module_names)
+    for module in MODULES:
+        m = importlib.import_module(module)
+        own.update(dir(m))
+        for part in vars(m).values():
+            if isinstance(part, type):
+                own.update([*dir(part), f"{part.__module__}.{part.__qualname__}"])
+    names = sorted(x.strip("_") for x in own if len(x) > 3 and x.isascii())
+    words = sorted({w.lower() for x in names for w in re.findall(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])", x)})
+    r = random.Random(17)
+    pick = lambda lo, hi: [r.choice(words) for _ in range(r.randint(lo, hi))]
+    ending = lambda: r.choice(["", "", "", str(r.randint(0, 99)), f"-{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}", f"_v{r.randint(1, 9)}", f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}"])
+
+    def camel(w):
+        return "".join(x.upper() if r.random() < 0.08 and len(x) < 5 else x.capitalize() for x in w)
+
+    styles = [
+        lambda: camel(pick(2, 6)),
+        lambda: r.choice(words) + camel(pick(1, 5)),
+        lambda: "_".join(pick(2, 6)),
+        lambda: "_".join(pick(1, 5)).upper(),
+        lambda: "-".join(pick(2, 5)),
+        lambda: ".".join(pick(2, 6)) + "." + camel(pick(1, 4)),
+        lambda: r.choice(["", "/"]) + "/".join(r.choice(["_".join(pick(1, 2)), "-".join(pick(1, 2)), r.choice(words)]) for _ in range(r.randint(2, 7))) + r.choice(["", ".", "/"]) + r.choice(words)[:4],
+    ]
+    return [*names, *(r.choice(styles)() + ending() for _ in range(n))]
+
+
+def name_counts() -> np.ndarray:
+    """Pairs of bytes in ordinary names; alphabets and digits in order count as a small part of them."""
+    data = "\n".join([*ordinary_names(), *ORDERED * 100]).encode()
+    pairs = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+    return np.bincount(pairs[:-1] * 256 + pairs[1:], minlength=65536)
+
+
+def ratio_table(randoms: np.ndarray, *ordinary: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of each pair of bytes, smoothed over the characters of a run.
+
+    The ordinary model is a mixture of one from each table of counts: after a character that
+    tables have seen n times, each weighs n / (n + ``FEW``), so about evenly unless it is rare.
+    """
     k = np.flatnonzero(RUN)
     out = np.zeros((256, 256))
-    logs = []
-    for counts in (random, ordinary):
+
+    def model(counts):
         own = counts.reshape(256, 256)[np.ix_(k, k)] + 0.5
-        logs.append(np.log(own / own.sum(axis=1, keepdims=True)))
-    out[np.ix_(k, k)] = logs[0] - logs[1]
+        total = own.sum(axis=1, keepdims=True)
+        seen = total - 0.5 * len(k)
+        return own / total, seen / (seen + FEW) + 1e-9
+
+    models = [model(c) for c in ordinary]
+    mixed = sum(p * w for p, w in models) / sum(w for _, w in models)
+    out[np.ix_(k, k)] = np.log(model(randoms)[0]) - np.log(mixed)
     return out.ravel()
 
 
@@ -144,9 +200,9 @@ def train_secrets(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id",
 
     # at most 2 * 67^2 rows
     kept = np.zeros((2, 65536), dtype=np.int64)
-    for r in some.mapInArrow(count, "kind int, pair int, n long").groupBy("kind", "pair").agg(F.sum("n").alias("n")).collect():
+    for r in some.mapInArrow(lean(count), "kind int, pair int, n long").groupBy("kind", "pair").agg(F.sum("n").alias("n")).collect():
         kept[r.kind, r.pair] = r.n
-    return ratio_table(kept[0] + made_counts(), kept[1])
+    return ratio_table(kept[0] + made_counts(), kept[1], name_counts())
 
 
 def _outside(starts: np.ndarray, ends: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +327,7 @@ def find_secrets(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, size), *(pa.array(c.astype(np.int64)) for c in counts[:3]), pa.array(digest), pa.array(text), pa.array(counts[3].astype(np.int64))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
+    return rows.mapInArrow(lean(scan), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
 
 
 def mask_secrets(docs: DataFrame, table: np.ndarray, text_col: str = "text", mask: str = MASK) -> DataFrame:
@@ -279,19 +335,25 @@ def mask_secrets(docs: DataFrame, table: np.ndarray, text_col: str = "text", mas
     ship(docs.sparkSession)
     names, at = docs.columns, docs.columns.index(text_col)
 
+    def masked(raw: memoryview, start: int, end: int, spans: list) -> str:
+        out, done = [], start
+        for _, x, y, _ in spans:
+            if y > done:
+                out += [raw[done : max(x, done)], mask.encode() if x >= done else b""]
+                done = y
+        return b"".join([*out, raw[done:end]]).decode("utf-8", "replace")
+
     def hide(batches):
         for b in batches:
-            texts = b.column(at).to_pylist()
-            for s, spans, _ in _scan(b.column(at), table):
-                raw = s.buf.tobytes() if len(spans) else b""
+            column = b.column(at)
+            parts, done = [], 0  # texts without spans pass through as they are
+            for s, spans, _ in _scan(column, table):
+                raw = memoryview(s.buf)
                 for d in np.unique(spans[:, 0]).tolist():
-                    out, done = [], int(s.offs[d])
-                    for _, x, y, _ in spans[spans[:, 0] == d].tolist():
-                        if y <= done:
-                            continue
-                        out += [raw[done : max(x, done)], mask.encode() if x >= done else b""]
-                        done = y
-                    texts[s.first + d] = b"".join([*out, raw[done : int(s.offs[d + 1])]]).decode("utf-8", "replace")
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))], names=names)
-
-    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(hide, docs.withColumn(text_col, F.col(text_col).cast("string")).schema)
+                    parts += [column.slice(done, s.first + d - done), pa.array([masked(raw, int(s.offs[d]), int(s.offs[d + 1]), spans[spans[:, 0] == d].tolist())], column.type)]
+                    done = s.first + d + 1
+            if parts:
+                column = pa.concat_arrays([*parts, column.slice(done)])
+            yield pa.RecordBatch.from_arrays([column if i == at else b.column(i) for i in range(len(names))], names=names)
+
+    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(lean(hide), docs.withColumn(text_col, F.col(text_col).cast("string")).schema)

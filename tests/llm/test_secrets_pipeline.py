@@ -160,3 +160,56 @@ def test_without_languages_every_text_with_letters_stays(spark, tmp_path):
     extra = [(200, "12 34", None), (201, None, None), (None, "日本", None), (None, "", None)]
     got = run_stage(spark, p.language, rows + extra, tmp_path)
     assert got == sorted([(i, t) for i, t, _ in rows] + [(None, "日本")], key=str)
+
+
+NAMES = [
+    "getUserAccountInformationByIdentifier", "XMLHttpRequestEventTargetAddListener", "com.example.service.impl.UserAccountManagerFactoryBean",
+    "/usr/lib/python3.13/site-packages/numpy/core/_multiarray_umath.py", "abcdefghijklmnopqrstuvwxyz", "node_modules/react-dom/cjs/react-dom.production.min.js", "KUBERNETES_SERVICE_PORT_HTTPS", "application/x-www-form-urlencoded",
+]
+
+
+def scan_lines(lines, table):
+    """The spans of lines that are documents of their own."""
+    from temporalis.llm.secrets import all_spans
+
+    data = [x.encode() for x in lines]
+    return all_spans(np.frombuffer(b"".join(data), dtype=np.uint8), np.cumsum([0, *map(len, data)]), table).tolist()
+
+
+def test_random_strings_are_found_and_names_are_not():
+    from temporalis.llm.secrets import name_counts, ordinary_names
+
+    table = ratio_table(made_counts(), name_counts())
+    assert not {n.lower() for n in NAMES} & {n.lower() for n in ordinary_names()}
+    assert scan_lines([f"see {n} end" for n in NAMES], table) == []
+    r = random.Random(31)
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for alphabet in (letters + letters.upper() + digits, letters + letters.upper() + digits + "+/", "0123456789abcdef", letters.upper() + digits, letters + digits):
+        for size in (16, 20, 32):
+            found = scan_lines(["key " + "".join(r.choice(alphabet) for _ in range(size)) + " end" for _ in range(400)], table)
+            assert len({d for d, *_ in found}) >= 0.9 * 400, (alphabet, size)
+
+
+def test_ratio_table_equals_counts_by_hand():
+    r = random.Random(2)
+    letters = "abcxyz"
+    texts = ["".join(r.choice(letters) for _ in range(50)) for _ in range(3)]
+    tables = []
+    for t in texts:
+        counts = np.zeros(65536, dtype=np.int64)
+        for a, b in zip(t, t[1:], strict=False):
+            counts[ord(a) * 256 + ord(b)] += 1
+        tables.append(counts)
+
+    def share(t, a, b):
+        return (sum(x == a and y == b for x, y in zip(t, t[1:], strict=False)) + 0.5) / (t[:-1].count(a) + 0.5 * 68)
+
+    def weight(t, a):
+        return t[:-1].count(a) / (t[:-1].count(a) + 50) + 1e-9
+
+    got = ratio_table(*tables)
+    for a in letters + "Q":
+        for b in letters:
+            ordinary = sum(weight(t, a) * share(t, a, b) for t in texts[1:]) / sum(weight(t, a) for t in texts[1:])
+            assert abs(got[ord(a) * 256 + ord(b)] - np.log(share(texts[0], a, b) / ordinary)) < 1e-9
+    assert np.allclose(ratio_table(tables[0], tables[1], np.zeros(65536, dtype=np.int64)), ratio_table(tables[0], tables[1]), atol=1e-6)
