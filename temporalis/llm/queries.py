@@ -17,7 +17,7 @@ from .quality import quality_rules, train_quality
 from .secrets import find_secrets, train_secrets
 from .shared import scratch_path
 from .tokens import tokenizer_path
-from .toxicity import score_toxicity, severity_grade, train_toxicity
+from .toxicity import score_toxicity, train_toxicity
 from .warc import read_warc, write_warc
 
 #: Words and 5-word sets as the contracts define them, for the SQL forms.
@@ -36,7 +36,7 @@ def op1_piece_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return score_toxicity(docs, train_toxicity(docs, _table(spark, sf_dir, "labels"), severity_grade()))
+    return score_toxicity(docs, train_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

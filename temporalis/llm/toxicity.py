@@ -6,6 +6,9 @@ of letters, A-Z in lower case) and their beginnings of ``HEADS`` bytes, which st
 stems with any ending. The severity is the expected grade, sum over k of P(grade >= k); a
 document is toxic if P(grade >= 1) is at least one half.
 
+Labels only tell toxic from not; grades 1 and 2 of toxic rows are told by how many marked
+features their texts hold (see ``graded``), unless a grade column is given.
+
 Training takes at most ``SAMPLE`` labelled rows. Features of at least ``LEAST_DOCS`` of them
 compete; the ``FEATURES`` with the largest chi-square against grade >= 1 are kept. Without
 labelled rows, or with one grade only, nothing is toxic (severity 0).
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .samples import labelled_sample
-from .shared import ship, stored
+from .shared import lean, ship, stored
 from .textcore import LETTERS, LOWER, find_words, slices, span_hashes
 
 SAMPLE = 6000
@@ -32,7 +35,11 @@ FEATURES = 4096
 LEAST_DOCS = 4
 HEADS = (4, 5)
 RIDGE = 0.5
+#: A feature is marked if at least this share of the training rows that have it are toxic.
+MARKED = 0.8
 STEPS = 400
+#: A document is toxic from this P(grade >= 1) on.
+TOXIC_AT = 0.5
 
 
 class OrdinalModel(NamedTuple):
@@ -106,11 +113,30 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, width: i
     return w, free[0] + np.concatenate([[0], np.cumsum(np.exp(np.clip(free[1:], -20, 20)))])
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, grade: Column) -> OrdinalModel:
-    """Fit on at most SAMPLE labelled rows; grade is an ordered integer column of labels."""
+def graded(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, width: int) -> np.ndarray:
+    """Grades 0, 1, 2 of rows that are only known to be toxic or not, from their places of ones.
+
+    A feature is marked if at least ``MARKED`` of the rows that have it are toxic. A toxic row
+    is of grade 2 if it has more marked features than the median toxic row, else of grade 1: of two toxic
+    rows, one with more of the marked features never has the lower grade.
+    """
+    have = np.bincount(cols, minlength=width)
+    marked = np.bincount(cols, weights=toxic[rows], minlength=width) >= MARKED * np.maximum(have, 1)
+    count = np.bincount(rows, weights=marked[cols], minlength=len(toxic))
+    middle = np.median(count[toxic]) if toxic.any() else 0
+    return np.where(toxic, np.where(count > middle, 2, 1), 0)
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, grade: Column | None = None) -> OrdinalModel:
+    """Fit on at most SAMPLE labelled rows.
+
+    grade is an ordered integer column of labels; without it rows are toxic or not by their
+    column toxic, and graded by their texts (see ``graded``).
+    """
     ship(docs.sparkSession)
     none = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-    bags = stored(labelled_sample(docs, labels, grade, SAMPLE).mapInArrow(_distinct, "doc_id long, label int, words array<long>"), "bags")
+    label = F.col("toxic") if grade is None else grade
+    bags = stored(labelled_sample(docs, labels, label, SAMPLE).mapInArrow(lean(_distinct), "doc_id long, label int, words array<long>"), "bags")
     total = bags.agg(F.count("*").alias("n"), F.count_if(F.col("label") >= 1).alias("bad"), F.countDistinct("label").alias("kinds")).first()
     if total.kinds < 2:
         return none
@@ -125,42 +151,56 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, grade: Column) -> Ordinal
     rows = each.join(F.broadcast(picked), "word").groupBy("doc_id").agg(F.collect_set("word").alias("words"))
     bag = bags.select("doc_id", "label").distinct().join(rows, "doc_id", "left").orderBy("doc_id").collect()
     grades = np.array([r.label for r in bag], dtype=np.int64)
-    levels, grades = np.unique(grades, return_inverse=True)  # grades that never occur are skipped
     at = np.repeat(np.arange(len(bag)), [len(r.words or ()) for r in bag])
     cols = np.searchsorted(hashes, np.array([w for r in bag for w in sorted(r.words or ())], dtype=np.int64).view(np.uint64))
+    if grade is None:
+        grades = graded(at, cols, grades >= 1, len(hashes))
+    _, grades = np.unique(grades, return_inverse=True)  # grades that never occur are skipped
     w, t = fit_ordinal(at, cols, grades, len(hashes))
     return OrdinalModel(hashes, w, t)
 
 
+def _judged(texts, model: OrdinalModel):
+    """(size, P(grade >= k) of each document) of each slice."""
+    hashes, weights, thresholds = model
+    first = np.zeros(1 << 16, dtype=bool)
+    first[(hashes >> np.uint64(48)).astype(np.int64)] = True
+    for size, h, bounds in _features(texts):
+        z = np.zeros(size)
+        if len(hashes):
+            near = np.flatnonzero(first[(h >> np.uint64(48)).astype(np.int64)])
+            col = np.searchsorted(hashes, h[near])
+            col[col == len(hashes)] = 0
+            hit = hashes[col] == h[near]
+            docs_of = np.searchsorted(bounds, near[hit], side="right") - 1
+            pair = np.unique(docs_of * len(hashes) + col[hit])
+            z = np.bincount(pair // len(hashes), weights=weights[pair % len(hashes)], minlength=size)
+        yield size, model.at_least(z) if len(thresholds) else np.zeros((size, 1))
+
+
 def score_toxicity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """doc_id, p_toxic, severity, toxic, kept of every document, over its whole text."""
     ship(docs.sparkSession)
-    hashes, weights, thresholds = model
 
     def score(batches):
-        known = OrdinalModel(hashes, weights, thresholds)
-        first = np.zeros(1 << 16, dtype=bool)
-        first[(hashes >> np.uint64(48)).astype(np.int64)] = True
         for b in batches:
             at = 0
-            for size, h, bounds in _features(b.column(1)):
-                z = np.zeros(size)
-                if len(hashes):
-                    near = np.flatnonzero(first[(h >> np.uint64(48)).astype(np.int64)])
-                    col = np.searchsorted(hashes, h[near])
-                    col[col == len(hashes)] = 0
-                    hit = hashes[col] == h[near]
-                    docs_of = np.searchsorted(bounds, near[hit], side="right") - 1
-                    pair = np.unique(docs_of * len(hashes) + col[hit])
-                    z = np.bincount(pair // len(hashes), weights=weights[pair % len(hashes)], minlength=size)
-                p = known.at_least(z) if len(thresholds) else np.zeros((size, 1))
-                bad = p[:, 0] >= 0.5
+            for size, p in _judged(b.column(1), model):
+                bad = p[:, 0] >= TOXIC_AT
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, size), pa.array(p[:, 0]), pa.array(p.sum(axis=1)), pa.array(bad), pa.array(~bad)], names=["doc_id", "p_toxic", "severity", "toxic", "kept"])
                 at += size
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id long, p_toxic double, severity double, toxic boolean, kept boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(score), "doc_id long, p_toxic double, severity double, toxic boolean, kept boolean")
+
 
+def without_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that aren't toxic: each row's verdict stays with it."""
+    ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        for b in batches:
+            bad = [p[:, 0] >= TOXIC_AT for _, p in _judged(b.column(at).cast(pa.string()), model)]
+            yield b.filter(pa.array(~np.concatenate([np.zeros(0, dtype=bool), *bad])))
 
-def severity_grade() -> Column:
-    """Grades of the labels table: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
-    return F.when(F.col("toxic") >= 1, F.when(F.col("quality") == 0, 2).otherwise(1)).when(F.col("toxic") == 0, 0)
+    return docs.mapInArrow(lean(keep), docs.schema)
