@@ -14,9 +14,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .textcore import span_hashes
+
 #: Entries that a worker's cache may hold; beyond it only those of the last slice stay.
-CACHE = 1_500_000
-SLICE = 16 << 20
+CACHE = 1_000_000
+SLICE = 2 << 20
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[32, *range(9, 14)]] = True
 SPACE = np.zeros(256, dtype=bool)
@@ -71,31 +73,58 @@ def ragged_take(flat: np.ndarray, offs: np.ndarray, index: np.ndarray) -> tuple[
 
 
 class ChunkCodes:
-    """Codes of chunks: ``encode`` takes distinct chunks and returns (flat codes, lengths)."""
+    """Codes of chunks: ``encode`` takes distinct chunks and returns (flat codes, lengths).
+
+    Known chunks are found by a 64-bit hash and then compared byte for byte; of two with one
+    hash only the first is known, the other is encoded again in every slice.
+    """
 
     def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], dtype=np.uint16, limit: int | None = None):
         self.encode, self.limit = encode, limit
         self.known = pa.array([], pa.large_binary())
         self.flat, self.offs = np.zeros(0, dtype=dtype), np.zeros(1, dtype=np.int64)
+        self._index(np.zeros(0, dtype=np.uint64))
+
+    def _index(self, hashes: np.ndarray) -> None:
+        self.places = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.places]
+
+    def _find(self, distinct: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The place of each distinct chunk among the known ones, or -1."""
+        rows = np.full(len(distinct), -1, dtype=np.int64)
+        if len(self.hashes):
+            at = np.searchsorted(self.hashes, hashes)
+            at[at == len(self.hashes)] = 0
+            like = np.flatnonzero(self.hashes[at] == hashes)
+            place = self.places[at[like]].astype(np.int64)
+            same = pc.equal(distinct.take(pa.array(like)), self.known.take(pa.array(place))).to_numpy(zero_copy_only=False).astype(bool)
+            rows[like[same]] = place[same]
+        return rows
 
     def of(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flat, offs, row): chunk i has the codes flat[offs[row[i]]:offs[row[i] + 1]]."""
         coded = chunks.dictionary_encode()
         distinct, index = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-        have = pc.index_in(distinct, value_set=self.known) if len(self.known) else pa.nulls(len(distinct), pa.int32())
-        new = have.is_null()
-        missing = distinct.filter(new)
-        if len(missing):
+        data, offs = chunk_bytes(distinct)
+        hashes = span_hashes(data, offs[:-1], offs[1:])
+        rows = self._find(distinct, hashes)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            missing = distinct.take(pa.array(new))
             flat, size = self.encode(missing)
+            if flat.size and int(flat.max()) > np.iinfo(self.flat.dtype).max:
+                raise ValueError(f"codes do not fit {self.flat.dtype}")
+            rows[new] = len(self.known) + np.arange(len(new))
+            order = np.argsort(hashes[new], kind="stable")
+            at = np.searchsorted(self.hashes, hashes[new][order], side="right")
+            self.hashes = np.insert(self.hashes, at, hashes[new][order])
+            self.places = np.insert(self.places, at, rows[new][order])
             self.flat = np.concatenate([self.flat, flat.astype(self.flat.dtype)])
             self.offs = np.concatenate([self.offs, self.offs[-1] + np.cumsum(size)])
-            rows = have.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            rows[new.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(missing))
             self.known = pa.concat_arrays([self.known, missing])
-        else:
-            rows = have.to_numpy(zero_copy_only=False).astype(np.int64)
         result = self.flat, self.offs, rows[index]
         if len(self.known) > (CACHE if self.limit is None else self.limit):
             flat, size = ragged_take(self.flat, self.offs, rows)
             self.known, self.flat, self.offs = distinct, flat, np.concatenate([[0], np.cumsum(size)])
+            self._index(hashes)
         return result

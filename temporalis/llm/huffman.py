@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ship, stored
+from .shared import lean, range_partitions, ship, stored
 from .tokens import token_slices
 
 LIMIT = 18
@@ -46,10 +46,12 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(np.diff(bounds)), packed_ids(ids, bounds)], names=["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return stored(rows.mapInArrow(encode, "doc_id long, n_tokens long, ids binary"), "ids", "zstd")
+    return stored(rows.mapInArrow(lean(encode), "doc_id long, n_tokens long, ids binary"), "ids", "zstd")
 
 
 def packed_ids(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    if ids.size and int(ids.max()) > 0xFFFF:
+        raise ValueError("ids above 65535 do not fit this format")
     flat = np.ascontiguousarray(ids.astype("<u2"))
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64) * 2), pa.py_buffer(flat)]).cast(pa.binary())
 
@@ -178,7 +180,7 @@ def write_ids(ids: DataFrame, path: str, partitions: int | None = None) -> None:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["id", "n"])
 
     # at most 2^16 rows, whatever the documents
-    found = ids.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    found = ids.select("ids").mapInArrow(lean(count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 << 16, dtype=np.int64)
     for r in found:
         counts[r.id] = r.n
@@ -228,8 +230,8 @@ def write_ids(ids: DataFrame, path: str, partitions: int | None = None) -> None:
             yield take()
 
     order = [F.col("doc_id").asc_nulls_first()]
-    dealt = ids.repartitionByRange(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order, "n_tokens")
-    dealt.select("doc_id", "ids").mapInArrow(encode, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    dealt = ids.repartitionByRange(partitions or range_partitions(spark, 2 * int(counts.sum())), *order).sortWithinPartitions(*order, "n_tokens")
+    dealt.select("doc_id", "ids").mapInArrow(lean(encode), _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -261,5 +263,5 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
         rows.append((r.shard, base))
         base += r.n
     bases = spark.createDataFrame(rows, "shard int, base long")
-    docs = blocks.mapInArrow(decode, "doc_id long, shard int, local long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    docs = blocks.mapInArrow(lean(decode), "doc_id long, shard int, local long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     return docs.join(F.broadcast(bases), "shard").select("doc_id", (F.col("local") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)

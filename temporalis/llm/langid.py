@@ -29,15 +29,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship
+from .shared import lean, ship
 from .textcore import LETTERS, LOWER, find_words, segment_sums, slices
 
 SAMPLE = 1500
 SWITCH = 12.0
 BITS = 16
 CHUNK = 256
-NOT_A_CANDIDATE = -50.0
-SLICE = 4 << 20
+#: Beyond any sum of word scores: languages without the word's script are never chosen for it.
+NOT_A_CANDIDATE = -1e9
+SLICE = 2 << 20
 
 _LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = np.zeros(256, dtype=bool)
@@ -179,7 +180,7 @@ def train_languages(docs: DataFrame) -> LanguageModel:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(have[at])], names=["lang", "bucket", "n"])
 
     # at most (buckets + scripts) rows a language
-    found = some.mapInArrow(counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = some.mapInArrow(lean(counts), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found.lang.unique())
     table = np.full(((1 << BITS) + n_scripts, len(langs)), 0.0)
     for j, lang in enumerate(langs):
@@ -194,47 +195,71 @@ def train_languages(docs: DataFrame) -> LanguageModel:
 
 def label_words(texts, model: LanguageModel):
     """For each slice: it, its words, and the language number of every word."""
-    bar = np.where(model.scripts, 0.0, NOT_A_CANDIDATE).astype(np.float32)
+    bar = np.where(model.scripts, 0.0, NOT_A_CANDIDATE)
     target = max(1 << 18, SLICE * 16 // max(16, len(model.langs) ** 2))
     for s, buf, words, buckets, sizes in _trigrams(texts, target):
         if len(words.starts):
             at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             scores = np.add.reduceat(model.table[buckets], at, axis=0) + bar[_heads(buf, words)]
         else:
-            scores = np.zeros((0, len(model.langs)), dtype=np.float32)
-        yield s, words, viterbi(scores.astype(np.float64), words.bounds)
+            scores = np.zeros((0, len(model.langs)))
+        yield s, words, viterbi(scores, words.bounds)
+
+
+def _main_languages(texts, model: LanguageModel):
+    """For each slice: its size, and of each document whether it has letters, its main language, this one's share, and its spans.
+
+    Without a learned language, language and share are 0.
+    """
+    langs, at = model.langs, 0
+    for s, words, labels in label_words(texts, model) if langs else ((s, None, None) for s in slices(texts)):
+        size = s.last - s.first
+        plain = segment_sums(_ASCII_LETTER[s.buf].astype(np.int64), s.offs) > 0
+        for d in np.flatnonzero(~plain & (np.diff(s.offs) > 0)):
+            plain[d] = bool(_LETTER.search(texts[at + int(d)].as_py()))
+        at += size
+        if not langs:
+            yield size, plain, np.zeros(size, dtype=np.int64), np.zeros(size), np.zeros(size, dtype=np.int64)
+            continue
+        letters = (words.ends - words.starts).astype(np.float64)
+        share = np.stack([segment_sums(np.where(labels == j, letters, 0.0), words.bounds) for j in range(len(langs))], axis=1)
+        total = share.sum(axis=1)
+        best = share.argmax(axis=1)
+        score = np.where(plain, share[np.arange(size), best] / np.maximum(total, 1), 0.0)
+        turn = np.ones(len(labels), dtype=np.int64)
+        turn[1:] = labels[1:] != labels[:-1]
+        turn[words.bounds[:-1][words.counts > 0]] = 1
+        yield size, plain, best, score, np.where(plain, segment_sums(turn, words.bounds), 0)
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_spans of every document."""
     ship(docs.sparkSession)
-    langs = model.langs
+    names = np.array([*model.langs, "und"], dtype=object)
 
     def predict(batches):
         for b in batches:
             at = 0
-            texts = b.column(1)
-            if not langs:
-                n = b.num_rows
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(["und"] * n), pa.array([0.0] * n), pa.array([0] * n, pa.int64())], names=["doc_id", "held_out", "lang_pred", "score", "n_spans"])
-                continue
-            for s, words, labels in label_words(texts, model):
-                size = s.last - s.first
-                letters = (words.ends - words.starts).astype(np.float64)
-                share = np.stack([segment_sums(np.where(labels == j, letters, 0.0), words.bounds) for j in range(len(langs))], axis=1)
-                total = share.sum(axis=1)
-                best = share.argmax(axis=1)
-                plain = segment_sums(_ASCII_LETTER[s.buf].astype(np.int64), s.offs) > 0
-                for d in np.flatnonzero(~plain & (total > 0)):
-                    plain[d] = bool(_LETTER.search(texts[at + int(d)].as_py() or ""))
-                known = plain & (total > 0)
-                score = np.where(known, share[np.arange(size), best] / np.maximum(total, 1), 0.0)
-                turn = np.ones(len(labels), dtype=np.int64)
-                turn[1:] = labels[1:] != labels[:-1]
-                turn[words.bounds[:-1][words.counts > 0]] = 1
-                spans = np.where(known, segment_sums(turn, words.bounds), 0)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, size), b.column(2).slice(at, size), pa.array([langs[j] if k else "und" for j, k in zip(best, known, strict=True)], pa.string()), pa.array(score), pa.array(spans.astype(np.int64))], names=["doc_id", "held_out", "lang_pred", "score", "n_spans"])
+            for size, plain, best, score, spans in _main_languages(b.column(1), model):
+                said = names[np.where(plain, best, -1)] if model.langs else np.full(size, "und", dtype=object)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, size), b.column(2).slice(at, size), pa.array(said.tolist(), pa.string()), pa.array(score), pa.array(spans.astype(np.int64))], names=["doc_id", "held_out", "lang_pred", "score", "n_spans"])
                 at += size
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
-    return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, n_spans long")
+    return rows.mapInArrow(lean(predict), "doc_id long, held_out boolean, lang_pred string, score double, n_spans long")
+
+
+def with_main_language(docs: DataFrame, model: LanguageModel, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a letter and a language with at least this share.
+
+    If no language could be learned, every text with a letter stays.
+    """
+    ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        for b in batches:
+            own = [plain & ((score >= least) if model.langs else True) for _, plain, _, score, _ in _main_languages(b.column(at).cast(pa.string()), model)]
+            yield b.filter(pa.array(np.concatenate([np.zeros(0, dtype=bool), *own])))
+
+    return docs.mapInArrow(lean(keep), docs.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .huffman import packed_ids, unpacked
-from .shared import running_total, ship, stored
+from .shared import lean, range_partitions, running_total, ship, stored
 from .textcore import mix64, segment_sums
 from .tokens import token_slices
 
@@ -87,8 +87,9 @@ def pack(docs: DataFrame, tokenizer: str, width: int = WIDTH, id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(document_keys(ids, bounds, signs)), pa.array(np.diff(bounds)), packed_ids(ids, bounds)], names=["doc_id", "curve", "doc_tokens", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ids = stored(rows.mapInArrow(encode, "doc_id long, curve long, doc_tokens long, ids binary"), "ids", "zstd")
-    placed = running_total(ids, ["curve", "doc_id"], "doc_tokens", compression="zstd")
+    ids = stored(rows.mapInArrow(lean(encode), "doc_id long, curve long, doc_tokens long, ids binary"), "ids", "zstd")
+    total = ids.agg(F.sum("doc_tokens")).first()[0] or 0
+    placed = running_total(ids, ["curve", "doc_id"], "doc_tokens", range_partitions(docs.sparkSession, 2 * total), "zstd")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def cut(batches):
@@ -109,4 +110,4 @@ def pack(docs: DataFrame, tokenizer: str, width: int = WIDTH, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([*columns, packed_ids(flat, cuts)] if with_ids else columns, names=names)
 
     schema = ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in names)
-    return placed.select("doc_id", "ids", "start").mapInArrow(cut, schema)
+    return placed.select("doc_id", "ids", "start").mapInArrow(lean(cut), schema)
