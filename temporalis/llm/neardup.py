@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, drop_tree, lean, scratch_path, ship, stored
+from .shared import Scratch, cut, forget, if_few, lean, ship, stored
 from .textcore import LOWER, find_words, mix64, random_words, sequence_hash, shingle_set, slices, span_hashes
 
 WIDTH = 5
@@ -45,8 +45,6 @@ ROWS = HASHES // BANDS
 #: 300,000 links at the bar itself) a pair isn't read in full.
 LEAST_AGREEING = 74
 BLOCK = 512
-#: So many ids (8 bytes each) may be broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
 
 _MULT = (random_words(21, HASHES) | np.uint64(1)).astype(np.uint32)[:, None]
 _ADD = (random_words(22, HASHES) >> np.uint64(32)).astype(np.uint32)[:, None]
@@ -162,11 +160,9 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, ids: DataFrame, s: Scratch) -> DataFrame:
     """doc_id and full set of the rows with these ids; texts move only if the ids are too many to broadcast."""
-    ids = stored(ids, "ids")
-    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return stored(docs.join(some, "doc_id", "left_semi").mapInArrow(lean(_sets), "doc_id long, shingles binary"), "sets", "none")
+    return s.stored(docs.join(if_few(s.stored(ids, "ids")), "doc_id", "left_semi").mapInArrow(lean(_sets), "doc_id long, shingles binary"), "sets", "none")
 
 
 def _end(df: DataFrame, name: str, value: list[str]) -> DataFrame:
@@ -179,13 +175,13 @@ def _full(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.select("a", "b", "shingles_a", "shingles_b").mapInArrow(lean(_linked), "a long, b long")
 
 
-def _verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, s: Scratch) -> DataFrame:
     """The links (a, b) among candidate pairs; stored. Skewed joins are Spark's to split."""
     near = pairs.join(_end(sigs, "b", ["sig", "n_shingles"]), "b").join(_end(sigs, "a", ["sig", "n_shingles"]), "a")
     near = near.where(100 * F.least("n_shingles_a", "n_shingles_b") >= 75 * F.greatest("n_shingles_a", "n_shingles_b"))
-    near = stored(near.select("a", "b", "sig_a", "sig_b").mapInArrow(lean(_agree), "a long, b long"), "near")
-    sets = _sets_of(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    return stored(_full(near, sets).distinct(), "links")
+    near = s.stored(near.select("a", "b", "sig_a", "sig_b").mapInArrow(lean(_agree), "a long, b long"), "near")
+    sets = _sets_of(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), s)
+    return s.stored(_full(near, sets).distinct(), "links")
 
 
 def alternating_stars(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -306,13 +302,13 @@ def _with_end(batches):
     yield None
 
 
-def _cells(members: DataFrame, extra: DataFrame) -> DataFrame:
+def _cells(members: DataFrame, extra: DataFrame, s: Scratch) -> DataFrame:
     """Members (key, doc_id, component_id) with extra columns, dealt and sorted by pairs of blocks of a bucket.
 
     A bucket of n members has ceil(n / BLOCK) blocks; each pair of blocks is a cell of its
     own, so no cell grows with its bucket.
     """
-    size = stored(members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "sizes")
+    size = s.stored(members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "sizes")
     dealt = members.join(size, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.join(extra, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     columns = [c for c in extra.columns if c != "doc_id"]
@@ -328,36 +324,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     every = stored(docs.mapInArrow(lean(_profile), "doc_id long, n_shingles long, digest binary, sig binary, keys binary"), "profiles", "none")
     able = every.where("doc_id is not null and digest is not null")
-    # exact copies: the smallest id of a class stands for it
-    least = able.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    same = stored(able.select("doc_id", "digest").join(least, "digest").select("doc_id", "rep").distinct(), "classes")
+    s = Scratch()
+    # exact copies: the smallest id of a class stands for it; a class of many rows is Spark's to split
+    copied = s.stored(able.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1"), "copied")
+    same = stored(able.select("doc_id", "digest").join(copied, "digest", "left").select("doc_id", F.coalesce("least", "doc_id").alias("rep")).distinct(), "classes")
     reps = same.where("doc_id = rep").select("doc_id")
 
-    path = scratch_path(spark, "bands")
-    able.select("doc_id", "keys").join(reps, "doc_id", "left_semi").select("doc_id", "keys").mapInArrow(lean(_bands), "key long, doc_id long").write.option("compression", "none").parquet(path)
-    bands = spark.read.schema("key long, doc_id long").parquet(path)
-    shared = stored(bands.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("key"), "shared")
-    members = stored(bands.join(shared, "key").distinct(), "members")
-    drop_tree(spark, path)
-    sigs = stored(able.select("doc_id", "n_shingles", "sig").join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "sigs", "none")
-
-    sizes = stored(members.groupBy("key").agg(F.count("*").alias("size")), "sizes")
-    central = stored(members.join(sizes, "key").groupBy("doc_id").agg(F.sum("size").alias("weight")), "central")
-    pivots = stored(members.join(central, "doc_id").groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("doc_id"))).alias("p")).select("key", F.col("p.doc_id").alias("x")), "pivots")
+    bands = stored(able.select("doc_id", "keys").join(reps, "doc_id", "left_semi").select("doc_id", "keys").mapInArrow(lean(_bands), "key long, doc_id long"), "bands", "none")
+    shared = s.stored(bands.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("key"), "shared")
+    members = s.stored(bands.join(shared, "key").distinct(), "members")
+    forget(bands)
+    sigs = s.stored(able.select("doc_id", "n_shingles", "sig").join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "sigs", "none")
+
+    sizes = s.stored(members.groupBy("key").agg(F.count("*").alias("size")), "sizes")
+    central = s.stored(members.join(sizes, "key").groupBy("doc_id").agg(F.sum("size").alias("weight")), "central")
+    pivots = s.stored(members.join(central, "doc_id").groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("doc_id"))).alias("p")).select("key", F.col("p.doc_id").alias("x")), "pivots")
     pairs = members.join(pivots, "key").where("doc_id <> x").select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct()
-    links = _verify(pairs, sigs, docs)
+    links = _verify(pairs, sigs, docs, s)
     comps = alternating_stars(links)
 
-    known = stored(members.join(comps, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id")), "known")
-    several = stored(known.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi").select("key"), "several")
-    spread = stored(known.join(several, "key"), "spread")
-    near = stored(_cells(spread, sigs).mapInArrow(lean(_each_cell(_near_members, ("key", "a", "b"))), "key long, a long, b long").distinct(), "near")
+    known = s.stored(members.join(comps, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id")), "known")
+    several = s.stored(known.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi").select("key"), "several")
+    spread = s.stored(known.join(several, "key"), "spread")
+    near = s.stored(_cells(spread, sigs, s).mapInArrow(lean(_each_cell(_near_members, ("key", "a", "b"))), "key long, a long, b long").distinct(), "near")
     if not near.isEmpty():
         crowded = near.where("key is not null").select("key", F.col("a").alias("doc_id"))
-        sets = _sets_of(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).where("doc_id is not null").distinct())
-        rest = stored(spread.join(crowded, ["key", "doc_id"]), "rest")
-        more = _cells(rest, sigs.join(sets, "doc_id")).mapInArrow(lean(_each_cell(_joining_links, ("a", "b"))), "a long, b long")
-        links = stored(links.unionByName(_full(near.where("key is null").select("a", "b"), sets)).unionByName(more).distinct(), "links")
+        sets = _sets_of(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).where("doc_id is not null").distinct(), s)
+        rest = s.stored(spread.join(crowded, ["key", "doc_id"]), "rest")
+        more = _cells(rest, sigs.join(sets, "doc_id"), s).mapInArrow(lean(_each_cell(_joining_links, ("a", "b"))), "a long, b long")
+        links = s.stored(links.unionByName(s.stored(_full(near.where("key is null").select("a", "b"), sets), "full")).unionByName(more).distinct(), "links")
         comps = alternating_stars(links)
 
     # rows of different texts under one doc_id can tie classes together: then walk again
@@ -366,6 +361,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = alternating_stars(links.unionByName(copies))
     else:
         found = same.join(comps.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("component_id", "rep").alias("component_id"))
+    s.clear()
     out = every.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))

@@ -16,7 +16,7 @@ from ..session import cut, shared_dir
 from ..session import ship as ship_package
 from .textcore import free_tables
 
-__all__ = ["cut", "shared_dir", "ship", "lean", "scratch_path", "stored", "drop_tree", "forget", "range_partitions", "running_total"]
+__all__ = ["Scratch", "cut", "shared_dir", "ship", "lean", "scratch_path", "stored", "drop_tree", "forget", "if_few", "range_partitions", "running_total"]
 
 #: Settings for wide rows, with Spark's own values, which suit narrow ones: so many texts make
 #: large batches. They are set only where the session still has Spark's own.
@@ -75,6 +75,30 @@ def forget(*tables: DataFrame) -> None:
             drop_tree(df.sparkSession, folder)
 
 
+class Scratch:
+    """Stored tables of one operator's steps, removed together once nothing reads them."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def stored(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        self.tables.append(stored(df, name, compression))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        forget(*self.tables)
+        self.tables.clear()
+
+
+#: So many ids (8 bytes each) may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def if_few(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, to be broadcast if it has at most BROADCAST_IDS rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 #: Bytes that one range partition holds at about.
 RANGE_BYTES = 64 << 20
 
