@@ -1,60 +1,49 @@
-"""Corpus pipeline: five stages over documents, each on all that the one before kept."""
+"""Corpus pipeline: five stages over documents, each on all that the one before kept.
+
+Each row is judged by itself: rows that repeat a doc_id, or have none, are filtered, masked
+and packed like any others, and of near-duplicates one row stays, whatever its id. A null
+text counts as empty: it isn't toxic, goes for its lack of letters, and would otherwise be
+no one's duplicate, hold no secret, and pack as its end id alone. An empty table passes all
+stages with no rows. Other columns, whatever their names, stay with their rows up to packing.
+"""
 
 from pyspark.sql import functions as F
 
-from temporalis.llm.langid import predict_languages, train_languages
+from temporalis.llm.langid import train_languages, with_main_language
 from temporalis.llm.neardup import near_duplicates
 from temporalis.llm.packing import pack
 from temporalis.llm.secrets import mask_secrets, train_secrets
-from temporalis.llm.shared import stored
+from temporalis.llm.shared import if_few, stored
 from temporalis.llm.tokens import tokenizer_path
-from temporalis.llm.toxicity import score_toxicity, severity_grade, train_toxicity
+from temporalis.llm.toxicity import train_toxicity, without_toxic
 
 #: A text is rejected if its main language holds less than this share of its letters.
 LEAST_SHARE = 0.4
-#: The column that tells rows apart within a stage: doc_id may be null or repeat.
-KEY = "_row"
-
-
-def _keyed(docs):
-    """docs with a key of its own for each row; stored, so that retries can't deal the keys anew."""
-    return stored(docs.withColumn(KEY, F.monotonically_increasing_id()), "rows", "zstd")
-
-
-def _by_row(rows):
-    """What the operators look at, with the row's key as doc_id."""
-    return rows.select(F.col(KEY).alias("doc_id"), "text")
-
-
-def _rejected(rows, verdicts):
-    """rows without those whose own verdict is to go, and without the key."""
-    gone = stored(verdicts.select(F.col("doc_id").alias(KEY)), "gone")
-    return rows.join(gone, KEY, "left_anti").drop(KEY)
 
 
 def toxicity(spark, docs, sf_dir):
     """Documents that the ordinal model finds toxic go."""
-    model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), severity_grade())
-    rows = _keyed(docs)
-    return _rejected(rows, score_toxicity(_by_row(rows), model).where("toxic"))
+    return without_toxic(docs, train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def language(spark, docs, sf_dir):
     """Texts without a letter, or of no main language, go; if no language could be learned, only the former."""
-    model = train_languages(docs)
-    if not model.langs:
-        return docs.where(F.col("text").rlike(r"\p{L}"))
-    rows = _keyed(docs)
-    return _rejected(rows, predict_languages(_by_row(rows), model).where((F.col("n_spans") == 0) | (F.col("score") < LEAST_SHARE)))
+    return with_main_language(docs, train_languages(docs), LEAST_SHARE)
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One row of each group of near-duplicates stays: one with the smallest doc_id, or without any if all are."""
-    rows = _keyed(docs)
-    groups = near_duplicates(_by_row(rows)).select(F.col("doc_id").alias(KEY), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", KEY)
-    first = groups.join(rows.select(KEY, "doc_id"), KEY).groupBy("component_id").agg(F.min_by(KEY, order).alias("first"))
-    return rows.join(stored(first.select(F.col("first").alias(KEY)), "kept"), KEY, "left_semi").drop(KEY)
+    """One row of each group of near-duplicates stays: one with the smallest doc_id, or without any if all are.
+
+    doc_id may be null or repeat, so rows get a key of their own, stored, so that retries can't deal the keys anew.
+    """
+    key = next(name for n in range(len(docs.columns) + 1) if (name := f"_row{n}") not in docs.columns)
+    rows = stored(docs.withColumn(key, F.monotonically_increasing_id()), "rows", "zstd")
+    groups = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", key)
+    own = stored(groups.join(rows.select(key, "doc_id"), key).withColumn("order", order), "groups")
+    first = stored(own.groupBy("component_id").agg(F.min("order").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
+    gone = stored(own.join(first, "component_id").where("order <> first").select(key), "gone")
+    return rows.join(if_few(gone), key, "left_anti").drop(key)
 
 
 def secrets(spark, docs, sf_dir):
