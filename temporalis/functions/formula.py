@@ -18,7 +18,7 @@ class Atom:
     lte: bool = False
 
     def __str__(self) -> str:
-        return f"x{self.var} {'<=' if self.lte else '>='} {self.threshold:g}"
+        return f"x{self.var} {'<=' if self.lte else '>='} {repr(float(self.threshold)).removesuffix('.0')}"
 
 
 @dataclass(frozen=True)

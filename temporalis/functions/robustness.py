@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .formula import And, Atom, Eventually, Formula, Globally, Not, Or, Until, horizon
 
 
@@ -98,6 +99,8 @@ def features(panel: DataFrame, formulas: list[Formula], steps: int, vectorised:
     if not (len(formulas) > 64 if vectorised is None else vectorised):
         return panel.select("series_id", "label", "split", F.array(*[column(phi, F.col("vars")) for phi in formulas]).alias("feats"))
 
+    ship(panel.sparkSession)
+
     def evaluate(batches):
         for b in batches:
             n = b.num_rows

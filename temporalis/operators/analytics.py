@@ -33,10 +33,30 @@ def abduce_binary(gains: DataFrame) -> DataFrame:
     return each.join(first, "series_id", "left").select("series_id", F.when(F.col("lb") <= 0, 0).otherwise(F.col("k")).alias("n_needed"), ((F.col("lb") <= 0) | F.col("k").isNotNull()).alias("enough"))
 
 
+def verified_margins(gains: DataFrame, picks: DataFrame) -> DataFrame:
+    """(series_id, competitor, margin, secured): the worst margin when the picks (series_id, formula_id) hold.
+
+    A margin is secured if its picked gains reach its bar lb.
+    """
+    some = picks.select("series_id", "formula_id").distinct().withColumn("picked", F.lit(True))
+    each = gains.join(some, ["series_id", "formula_id"], "left").groupBy("series_id", "competitor").agg(F.sum(F.when(F.col("picked"), F.col("a")).otherwise(0.0)).alias("have"), F.max("lb").alias("lb"))
+    return each.select("series_id", "competitor", (F.col("have") - F.col("lb")).alias("margin"), (F.col("have") >= F.col("lb")).alias("secured"))
+
+
+def prefix_picks(gains: DataFrame) -> DataFrame:
+    """(series_id, formula_id): the picks that ``abduce_binary`` counts; none where no set is enough."""
+    w = Window.partitionBy("series_id").orderBy(F.col("a").desc(), "formula_id")
+    up = gains.where("a > 0").withColumn("before", F.coalesce(F.sum("a").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    return up.where("before < lb").join(abduce_binary(gains).where("enough").select("series_id"), "series_id", "left_semi").select("series_id", "formula_id")
+
+
 def abduce(gains: DataFrame) -> DataFrame:
     """(series_id, picks, n_needed): the fewest features that secure every margin, by branch and bound.
 
-    gains (series_id, competitor, formula_id, a, lb). One series' small table is a group.
+    gains (series_id, competitor, formula_id, a, lb). A group is one series' table, classes times
+    features. The search tries sets of features and can take time exponential in their number where
+    competitors pull against each other; it is exact, and has no cap: against one competitor use
+    ``abduce_binary``, which sorts. Without a set that is enough picks are null and n_needed is -1.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -78,9 +98,12 @@ def separation(long: DataFrame, target: str) -> DataFrame:
 def density(values: DataFrame, points: int = 400) -> DataFrame:
     """(label, g, density): Gaussian kernel density of x on a grid from min - 1 to max + 1, a label at a time.
 
-    Labels of one row, or without spread, have no density. The grid has ``points`` rows a label.
+    Labels of one row, or without spread, have one point, their mean, and no density there. The
+    grid has ``points`` rows a label.
     """
-    stats = values.groupBy("label").agg(F.count("*").alias("n"), F.stddev_samp("x").alias("s"), F.min("x").alias("a"), F.max("x").alias("z")).where("n > 1 and s > 1e-12")
-    grid = stats.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select("label", "n", (F.col("s") * F.pow("n", F.lit(-0.2))).alias("h"), (F.col("a") - 1 + (F.col("z") - F.col("a") + 2) * F.col("k") / (points - 1)).alias("g"), "k")
+    stats = values.groupBy("label").agg(F.count("*").alias("n"), F.stddev_samp("x").alias("s"), F.avg("x").alias("mean"), F.min("x").alias("a"), F.max("x").alias("z"))
+    spread = F.coalesce((F.col("n") > 1) & (F.col("s") > 1e-12), F.lit(False))
+    flat = stats.where(~spread).select("label", F.lit(0).alias("k"), F.col("mean").alias("g"), F.lit(None).cast("double").alias("density"))
+    grid = stats.where(spread).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select("label", "n", (F.col("s") * F.pow("n", F.lit(-0.2))).alias("h"), (F.col("a") - 1 + (F.col("z") - F.col("a") + 2) * F.col("k") / (points - 1)).alias("g"), "k")
     u = (F.col("g") - F.col("x")) / F.col("h")
-    return values.join(F.broadcast(grid), "label").groupBy("label", "k", "g", "h").agg(F.avg(F.exp(-u * u / 2)).alias("e")).select("label", "k", "g", (F.col("e") / (F.col("h") * F.sqrt(F.lit(2.0) * F.pi()))).alias("density"))
+    return values.join(F.broadcast(grid), "label").groupBy("label", "k", "g", "h").agg(F.avg(F.exp(-u * u / 2)).alias("e")).select("label", "k", "g", (F.col("e") / (F.col("h") * F.sqrt(F.lit(2.0) * F.pi()))).alias("density")).unionByName(flat)

@@ -6,6 +6,7 @@ Undefined correlations (a constant feature) are null and never prune.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
@@ -13,11 +14,14 @@ from pyspark.sql import functions as F
 
 from ..functions.formula import Formula, Sampler, shifted
 from ..functions.robustness import features
-from ..session import cut
+from ..session import cut, ship
 from . import scale
 
 #: A feature whose TRAIN deviation is below this counts as constant.
 CONSTANT = 1e-12
+#: The same where the deviation comes from sums of squares, which cancel.
+FLAT = 1e-7
+_SUMS = ["xy", "x", "y", "xx", "yy", "n"]
 
 
 def centres(long: DataFrame) -> DataFrame:
@@ -33,15 +37,33 @@ def centred(long: DataFrame) -> DataFrame:
 def correlations(long: DataFrame) -> DataFrame:
     """(k, i, r) for formulas k < i over TRAIN; r is null if either is constant.
 
-    Each series' features are paired within its own group of formulas, so rows meet by
-    series_id only; sums are partial before the shuffle.
+    Each task adds up the products of its own series' features into one matrix; only these
+    partial sums are shuffled, at most a row a task and pair. A series without a value for
+    some formula is left out of that formula's pairs.
     """
-    own = long.where("split = 'TRAIN'").select("series_id", "formula_id", "rho")
-    a, b = own.select("series_id", F.col("formula_id").alias("k"), F.col("rho").alias("x")), own.select("series_id", F.col("formula_id").alias("i"), F.col("rho").alias("y"))
-    xy = a.join(b, "series_id").where("k < i")
-    sums = xy.groupBy("k", "i").agg(F.avg(F.col("x") * F.col("y")).alias("xy"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
-    spread = F.when((F.col("sx") > CONSTANT) & (F.col("sy") > CONSTANT), F.col("sx") * F.col("sy"))
-    return sums.select("k", "i", ((F.col("xy") - F.col("mx") * F.col("my")) / spread).alias("r"))
+    ship(long.sparkSession)
+    own = long.where("split = 'TRAIN'").groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("formula_id", "rho"))).alias("m"))
+    ids = sorted(r.formula_id for r in long.where("split = 'TRAIN'").select("formula_id").distinct().collect())  # the bank's own size
+    packed = own.select(F.transform(F.lit(ids), lambda j: F.col("m")[j]).alias("v"))
+
+    def sums(batches):
+        n = len(ids)
+        total = np.zeros((6, n, n))
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
+            there = ~np.isnan(x)
+            x, one = np.where(there, x, 0.0), there.astype(float)
+            total += [x.T @ x, x.T @ one, one.T @ x, (x * x).T @ one, one.T @ (x * x), one.T @ one]
+        k, i = np.triu_indices(n, 1)
+        at = total[5, k, i] > 0
+        k, i = k[at], i[at]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, dtype=np.int32)[k]), pa.array(np.array(ids, dtype=np.int32)[i]), *(pa.array(t[k, i]) for t in total)], names=["k", "i", *_SUMS])
+
+    found = packed.mapInArrow(sums, "k int, i int, " + ", ".join(f"{c} double" for c in _SUMS)).groupBy("k", "i").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    mean = found.select("k", "i", *[(F.col(c) / F.col("n")).alias(c) for c in _SUMS[:-1]])
+    sx, sy = (F.sqrt(F.greatest(F.col(f"{c}{c}") - F.col(c) * F.col(c), F.lit(0.0))) for c in "xy")
+    spread = F.when((sx > FLAT * (1 + F.abs("x"))) & (sy > FLAT * (1 + F.abs("y"))), sx * sy)
+    return mean.select("k", "i", ((F.col("xy") - F.col("x") * F.col("y")) / spread).alias("r"))
 
 
 def kept(bank: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -85,10 +107,12 @@ def build_bank(panel: DataFrame, long: DataFrame, steps: int, n_formulas: int, b
         for r in means:
             delta[r.j] = -r.m
         bank += [shifted(phi, d) for phi, d in zip(new, delta, strict=True)]
-        moved = drawn.select("series_id", F.zip_with("feats", F.array(*map(F.lit, delta)), lambda x, d: x + d).alias("more"))
+        # shifts and columns travel as one literal each, not as a thousand
+        moved = drawn.select("series_id", F.zip_with("feats", F.lit(delta), lambda x, d: x + d).alias("more"))
         feats = cut(feats.join(moved, "series_id").select("series_id", "label", "split", F.concat("feats", "more").alias("feats")))
         gone = set(correlated_columns(feats, len(bank), threshold).tolist())
         stay = [j for j in range(len(bank)) if j not in gone][:n_formulas]
         bank = [bank[j] for j in stay]
-        feats = cut(feats.withColumn("feats", F.transform(F.array(*map(F.lit, stay)), lambda j: F.get(F.col("feats"), j))))
+        feats = feats.withColumn("feats", F.transform(F.lit(stay), lambda j: F.get(F.col("feats"), j)))
+    feats = cut(feats)
     return bank, feats

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PATH = (0.1, 0.05, 0.02, 0.01, 0.005, 0.002)
+from ..session import cut
+
+POINTS = 6
+PART_BYTES = 32 << 20
+#: Fits that run side by side.
+FITS = 4
 
 
 def class_weights(rows: DataFrame) -> DataFrame:
@@ -24,16 +31,39 @@ def classes(rows: DataFrame) -> DataFrame:
     return rows.select("label").distinct().withColumn("class_idx", F.row_number().over(Window.orderBy("label")) - 1)
 
 
-def train(feats: DataFrame, folds: int = 3, path: tuple[float, ...] = PATH, seed: int = 0) -> LogisticRegressionModel:
-    """L1 logistic regression without intercept, balanced; the penalty is chosen by stratified folds."""
+def penalties(rows: DataFrame, points: int = POINTS) -> list[float]:
+    """A path of L1 penalties for rows (target, v): from just below the one that leaves no feature down to a 300th of it.
+
+    At zero weights the slope of a class's weight is the distance of its mean from that of all
+    classes, divided by their number; the means are a row a class.
+    """
+    each = [r.m.toArray() for r in rows.groupBy("target").agg(Summarizer.mean(F.col("v")).alias("m")).collect()]
+    std = rows.agg(Summarizer.std(F.col("v")).alias("s")).first().s.toArray()
+    slope = np.abs(np.array(each) - np.mean(each, axis=0))[:, std > 0] / (len(each) * std[std > 0])
+    top = float(slope.max()) if slope.size and slope.max() > 0 else 1.0
+    return [top * 10.0**x for x in np.linspace(-0.5, -2.5, points)]
+
+
+def prototype_path(n: int, points: int = 20) -> list[float]:
+    """Penalties of the older prototype: inverse strengths from 1e-5 to 10, over n balanced rows."""
+    return [1.0 / (c * n) for c in np.logspace(-5, 1, points)]
+
+
+def train(feats: DataFrame, folds: int = 3, path: list[float] | None = None, seed: int = 0, standardised: bool = True) -> LogisticRegressionModel:
+    """L1 logistic regression without intercept, balanced; the penalty is chosen by stratified folds.
+
+    Each fit passes over its rows dozens of times: they are cut first, in parts of about PART_BYTES.
+    """
     own = feats.where("split = 'TRAIN'")
     fold = (F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("series_id"), "series_id")) - 1) % folds
     rows = own.withColumn("fold", fold).join(F.broadcast(classes(own)), "label").join(F.broadcast(class_weights(own).select("label", "weight")), "label")
     rows = rows.select(F.col("class_idx").cast("double").alias("target"), "weight", F.col("fold").cast("int").alias("fold"), array_to_vector("feats").alias("v"))
-    lr = LogisticRegression(featuresCol="v", labelCol="target", weightCol="weight", elasticNetParam=1.0, fitIntercept=False, family="multinomial", maxIter=60)
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(path)).build()
+    size = own.agg(F.sum(F.size("feats")).alias("n")).first().n or 0
+    rows = cut(rows.repartition(max(1, 8 * size // PART_BYTES)))
+    lr = LogisticRegression(featuresCol="v", labelCol="target", weightCol="weight", elasticNetParam=1.0, fitIntercept=False, family="multinomial", maxIter=60, standardization=standardised)
+    grid = ParamGridBuilder().addGrid(lr.regParam, path or penalties(rows)).build()
     score = MulticlassClassificationEvaluator(labelCol="target", metricName="logLoss")
-    return CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=score, numFolds=folds, foldCol="fold", seed=seed).fit(rows).bestModel
+    return CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=score, numFolds=folds, foldCol="fold", seed=seed, parallelism=FITS).fit(rows).bestModel
 
 
 def coefficients(model: LogisticRegressionModel, spark) -> DataFrame:

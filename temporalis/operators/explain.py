@@ -76,31 +76,32 @@ def moved(rho: Column) -> Column:
     return F.col("sign") * rho + F.col("delta")
 
 
-def _place() -> Column:
-    """The bit of a series within its word."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("series_id", F.lit(64)).cast("int"))
+#: TRAIN series a row of words holds a bit of.
+BLOCK = 1 << 14
+
+
+def _words(rows: DataFrame, keys: list[str], on: Column, name: str) -> DataFrame:
+    """(keys, block, name): a bit for each series of a block, in words of 64, in order."""
+    bit = F.when(on, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("series_id", F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))
+    words = rows.groupBy(*keys, F.floor(F.col("series_id") / BLOCK).alias("block"), F.floor(F.col("series_id") / 64).alias("word")).agg(F.bit_or(bit).alias("w"))
+    return words.groupBy(*keys, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "w"))), lambda s: s.w).alias(name))
 
 
 def sign_words(long: DataFrame, reparam: DataFrame) -> DataFrame:
-    """(formula_id, target, words): for each TRAIN series a bit that tells whether the formula holds.
+    """(formula_id, target, block, words): for each TRAIN series a bit that tells whether the formula holds.
 
-    Words of 64 series, in order; all formulas have the same words. reparam has a row a
-    formula and class.
+    A row holds the words of BLOCK series, so rows don't grow with the panel; all formulas
+    have the same words. reparam has a row a formula and class.
     """
-    block = F.floor(F.col("series_id") / 64).alias("block")
-    bit = F.when(moved(F.col("rho")) > 0, _place()).otherwise(F.lit(0).cast("long"))
     rows = long.where("split = 'TRAIN'").join(F.broadcast(reparam), "formula_id")
-    words = rows.groupBy("formula_id", "target", block).agg(F.bit_or(bit).alias("w"))
-    return words.groupBy("formula_id", "target").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "w"))), lambda s: s.w).alias("words"))
+    return _words(rows, ["formula_id", "target"], moved(F.col("rho")) > 0, "words")
 
 
 def class_words(labels: DataFrame) -> DataFrame:
-    """(target, class_words) in the same layout, of TRAIN series (series_id, label, split)."""
+    """(target, block, class_words) in the same layout, of TRAIN series (series_id, label, split)."""
     own = labels.where("split = 'TRAIN'").select("series_id", "label")
     kinds = own.select(F.col("label").alias("target")).distinct()
-    bit = F.when(F.col("label") == F.col("target"), _place()).otherwise(F.lit(0).cast("long"))
-    words = own.crossJoin(F.broadcast(kinds)).groupBy("target", F.floor(F.col("series_id") / 64).alias("block")).agg(F.bit_or(bit).alias("w"))
-    return words.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "w"))), lambda s: s.w).alias("class_words"))
+    return _words(own.crossJoin(F.broadcast(kinds)), ["target"], F.col("label") == F.col("target"), "class_words")
 
 
 def _ones(words: Column) -> Column:
@@ -115,30 +116,38 @@ def greedy_picks(pool: DataFrame, words: DataFrame, of_class: DataFrame, pool_si
     """(series_id, target, picks, precision, n_tp) for a pool (series_id, target, formula_id, rank).
 
     Every round adds the formula whose conjunction with those picked has the best TRAIN
-    precision (the first by rank on ties), until it reaches the threshold or the pool is empty.
+    precision (the first by rank on ties), until it reaches the threshold or the pool is
+    empty. Picks depend on the target and the ordered pool alone: each distinct one is
+    worked on once. Series are counted block by block and only counts are gathered.
     """
-    candidates = cut(pool.join(words, ["formula_id", "target"]).join(F.broadcast(of_class), "target"))
-    state = candidates.select("series_id", "target").distinct().select("series_id", "target", F.array().cast("array<int>").alias("picks"), F.lit(None).cast("array<bigint>").alias("so_far"), F.lit(-1.0).alias("precision"), F.lit(0).cast("long").alias("n_tp"))
+    own = cut(pool.groupBy("series_id", "target").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "formula_id"))), lambda s: s.formula_id).alias("order")))
+    pools = cut(own.groupBy("target", "order").agg(F.min("series_id").alias("pool_id")))
+    left = pools.select("pool_id", "target", F.posexplode("order").alias("rank", "formula_id"))
+    tried = cut(words.join(F.broadcast(of_class), ["target", "block"]))
+    state = pools.select("pool_id", "target", F.array().cast("array<int>").alias("picks"), F.lit(-1.0).alias("precision"), F.lit(0).cast("long").alias("n_tp"))
+    so_far = of_class.select("target", "block", F.transform("class_words", lambda w: F.lit(-1).cast("long")).alias("so_far")).join(pools.select("pool_id", "target"), "target").select("pool_id", "block", "so_far")
     finished = state.where("false")
     for _ in range(pool_size):
-        joined = state.join(candidates, ["series_id", "target"]).where(~F.array_contains("picks", F.col("formula_id").cast("int")))
-        joined = joined.withColumn("now", F.when(F.col("so_far").isNull(), F.col("words")).otherwise(_both(F.col("so_far"), F.col("words"))))
-        tp = _ones(_both(F.col("now"), F.col("class_words")))
-        joined = joined.withColumn("tp", tp).withColumn("p", F.coalesce(F.try_divide(F.col("tp"), _ones(F.col("now"))), F.lit(0.0)))
-        best = joined.withColumn("nth", F.row_number().over(Window.partitionBy("series_id", "target").orderBy(F.col("p").desc(), "rank"))).where("nth = 1")
-        more = best.select("series_id", "target", F.concat("picks", F.array(F.col("formula_id").cast("int"))).alias("picks"), F.col("now").alias("so_far"), F.col("p").alias("precision"), F.col("tp").alias("n_tp"))
-        spent = state.join(more.select("series_id", "target"), ["series_id", "target"], "left_anti")
-        more = cut(more)
-        finished = finished.unionByName(spent).unionByName(more.where(F.col("precision") >= threshold))
-        state = more.where(F.col("precision") < threshold)
+        more = state.select("pool_id", "picks").join(left, "pool_id").where(~F.array_contains("picks", F.col("formula_id").cast("int")))
+        now = more.join(so_far, "pool_id").join(tried, ["formula_id", "target", "block"]).select("pool_id", "target", "picks", "rank", "formula_id", _both(F.col("so_far"), F.col("words")).alias("now"), "class_words")
+        each = now.groupBy("pool_id", "target", "picks", "rank", "formula_id").agg(F.sum(_ones(F.col("now"))).alias("n"), F.sum(_ones(_both(F.col("now"), F.col("class_words")))).alias("tp"))
+        each = each.withColumn("p", F.coalesce(F.try_divide("tp", "n"), F.lit(0.0)))
+        best = each.groupBy("pool_id", "target", "picks").agg(F.min(F.struct((-F.col("p")).alias("m"), "rank", "formula_id", "tp")).alias("b"))
+        best = cut(best.select("pool_id", "target", F.concat("picks", F.array(F.col("b.formula_id").cast("int"))).alias("picks"), (-F.col("b.m")).alias("precision"), F.col("b.tp").alias("n_tp")))
+        spent = state.join(best.select("pool_id"), "pool_id", "left_anti")
+        finished = finished.unionByName(spent).unionByName(best.where(F.col("precision") >= threshold))
+        state = best.where(F.col("precision") < threshold)
         if state.isEmpty():
             break
-    return finished.unionByName(state).where("size(picks) > 0").select("series_id", "target", "picks", "precision", "n_tp")
+        added = state.select("pool_id", "target", F.element_at("picks", -1).alias("formula_id"))
+        so_far = cut(so_far.join(added, "pool_id").join(words, ["formula_id", "target", "block"]).select("pool_id", "block", _both(F.col("so_far"), F.col("words")).alias("so_far")))
+    found = finished.unionByName(state).where("size(picks) > 0").join(pools.select("pool_id", "order"), "pool_id").drop("pool_id")
+    return own.join(found, ["target", "order"]).select("series_id", "target", "picks", "precision", "n_tp")
 
 
 def distinct_locals(local: DataFrame) -> DataFrame:
-    """(target, formula, first_id): distinct local texts of each class, in order of first appearance."""
-    return local.groupBy("target", "formula").agg(F.min("series_id").alias("first_id"))
+    """(target, picks, first_id): distinct locals of each class, told by what they pick, with their first appearance."""
+    return local.groupBy("target", F.array_sort("picks").alias("picks")).agg(F.min("series_id").alias("first_id"))
 
 
 def conjunction_values(long: DataFrame, picks: DataFrame, reparam: DataFrame) -> DataFrame:
