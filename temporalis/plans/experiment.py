@@ -17,6 +17,7 @@ from ..session import cut
 from ..sources import panels, sinks
 
 
+#: Names and defaults of the settings, as config.json holds them.
 @dataclass(frozen=True)
 class Config:
     dataset: str = "embeddings"
@@ -97,13 +98,14 @@ def explain_run(panel: DataFrame, long: DataFrame, steps: int, config: Config) -
     pool = explain.top_m(explain.contributions(rho.where("split = 'TEST'"), coef, pred), config.pool_size)
     pool = pool.join(pred.select("series_id", F.col("pred").alias("target")), "series_id").select("series_id", "target", "formula_id", "rank")
     found = cut(explain.greedy_picks(pool, explain.sign_words(rho, rep), explain.class_words(feats), config.pool_size, config.precision_threshold))
-    local = [(r.series_id, r.target, _text(formulas, chosen, r.target, r.picks), len(r.picks), r.precision, r.n_tp) for r in found.orderBy("series_id").collect()]
-    distinct = found.groupBy("target", "picks").agg(F.min("series_id").alias("pick_id"))
-    picks = distinct.select("target", "pick_id", F.explode("picks").alias("formula_id"))
+    # a conjunction doesn't depend on the order of its picks: texts are of sorted picks, and so are told apart as these are
+    local = [(r.series_id, r.target, _text(formulas, chosen, r.target, sorted(r.picks)), len(r.picks), r.precision, r.n_tp) for r in found.orderBy("series_id").collect()]
+    distinct = explain.distinct_locals(found)
+    picks = distinct.select("target", F.col("first_id").alias("pick_id"), F.explode("picks").alias("formula_id"))
     quality = {r.target: r.f1 for r in explain.global_quality(explain.conjunction_values(rho.where("split = 'TEST'"), picks, rep)).collect()}
-    texts: dict[str, dict[str, None]] = {}
-    for _, target, text, *_ in local:
-        texts.setdefault(target, {})[text] = None
+    texts: dict[str, list[str]] = {}
+    for r in distinct.orderBy("first_id").collect():
+        texts.setdefault(r.target, []).append(_text(formulas, chosen, r.target, r.picks))
     return local, [(target, " | ".join(own), len(own), quality.get(target)) for target, own in texts.items()]
 
 
@@ -118,6 +120,10 @@ def parse(args: list[str] | None = None) -> tuple[Config, str]:
     return replace(Config(), **found), data
 
 
+def _percent(x: float | None) -> str:
+    return "-" if x is None else f"{100 * x:.1f} %"
+
+
 def main(args: list[str] | None = None) -> str:
     config, data = parse(args)
     spark = SparkSession.builder.appName("temporalis").getOrCreate()
@@ -129,7 +135,9 @@ def main(args: list[str] | None = None) -> str:
     sinks.save_locals(local, out)
     sinks.save_globals(overall, out)
     for name, _, n, f1 in overall:
-        print(f"{name:>12} {n:5d} {'-' if f1 is None else f'{100 * f1:.1f} %'}")
+        print(f"{name:>12} {n:5d} {_percent(f1)}")
+    defined = [f1 for *_, f1 in overall if f1 is not None]
+    print(f"{'macro':>12} {'':5} {_percent(sum(defined) / len(defined) if defined else None)}")
     return str(out)
 
 

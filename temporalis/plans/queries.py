@@ -100,6 +100,30 @@ TABLES = {
 }
 
 
+def _greedy_tables(rounds: int) -> str:
+    """Common tables of the greedy picks, a group a round: trials c, best b, held series h, and state g. Returns their names."""
+    TABLES["g0"] = f"g0 {_M} (select distinct series_id, target, []::int[] as picks, -1.0::double as prec, 0::bigint as n_tp from pool)"
+    TABLES["h0"] = f"h0 {_M} (select g.series_id, e.series_id as s from g0 g, emb e where e.split = 'TRAIN')"
+    names = ["g0", "h0"]
+    for r in range(1, rounds + 1):
+        TABLES[f"c{r}"] = f"""c{r} {_M} (
+      select g.series_id, g.target, g.picks, p.formula_id, p.rank, count(*) filter (m.rho > 0 and h.s is not null)::double as pos, count(*) filter (m.rho > 0 and h.s is not null and m.label = g.target)::bigint as tp
+      from g{r - 1} g join pool p using (series_id) join moved m on m.formula_id = p.formula_id and m.target = g.target and m.split = 'TRAIN' left join h{r - 1} h on h.series_id = g.series_id and h.s = m.series_id
+      where g.prec < {LIMIT} and not list_contains(g.picks, p.formula_id) group by all)"""
+        TABLES[f"b{r}"] = f"b{r} {_M} (select series_id, target, picks, formula_id, coalesce(tp / nullif(pos, 0), 0.0) as prec, tp from c{r} qualify row_number() over (partition by series_id order by coalesce(tp / nullif(pos, 0), 0.0) desc, rank) = 1)"
+        TABLES[f"g{r}"] = f"g{r} {_M} (select series_id, target, list_append(picks, formula_id) as picks, prec, tp as n_tp from b{r} union all select * from g{r - 1} where series_id not in (select series_id from b{r}))"
+        TABLES[f"h{r}"] = f"h{r} {_M} (select b.series_id, h.s from b{r} b join h{r - 1} h using (series_id) join moved m on m.series_id = h.s and m.formula_id = b.formula_id and m.target = b.target where m.rho > 0)"
+        names += [f"c{r}", f"b{r}", f"g{r}", f"h{r}"]
+    TABLES["wlocals"] = f"wlocals {_M} (select target, list_sort(picks) as picks, min(series_id) as first_id from g{rounds} group by all)"
+    TABLES["wvals"] = f"""wvals {_M} (select target, series_id, label, max(rho) as rho from (
+      select l.target, l.first_id, m.series_id, m.label, min(m.rho) as rho from (select target, first_id, unnest(picks) as formula_id from wlocals) l join moved m using (formula_id, target) where m.split = 'TEST' group by all) group by target, series_id, label)"""
+    TABLES["wquality"] = TABLES["quality"].replace("quality as", "wquality as").replace("from gvals", "from wvals")
+    return " ".join(names)
+
+
+_GREEDY = _greedy_tables(POOL)
+
+
 def _sql(tables: str, select: str) -> str:
     return "with " + ",\n".join(TABLES[t] for t in tables.split()) + "\n" + select
 
@@ -156,7 +180,7 @@ class Frames:
         return explain.global_quality(explain.conjunction_values(self.feat().where("split = 'TEST'"), picks, self.rep()))
 
     def whole_locals(self):
-        return self.greedy(POOL).groupBy("target", F.array_sort("picks").alias("picks")).agg(F.min("series_id").alias("first_id"))
+        return explain.distinct_locals(self.greedy(POOL))
 
     def whole_glob(self):
         picks = self.whole_locals().select("target", F.col("first_id").alias("pick_id"), F.explode("picks").alias("formula_id"))
@@ -239,16 +263,20 @@ def _all() -> dict[str, Query]:
     add("reparam_values", lambda f: f.feat().join(F.broadcast(f.rep()), "formula_id").select("series_id", "formula_id", "target", r6(explain.moved(F.col("rho"))).alias("rho")), _sql("emb feat med refs rep moved", f"select series_id, formula_id, target, {_r('rho')} as rho from moved"))
     more = base + " topm med refs rep moved pool greedy1"
     add("greedy_round1", lambda f: _rounded(f.first_picks(), "precision"), _sql(more, f"select series_id, target, formula_id, {_r('prec')} as precision, n_tp from greedy1"))
-    add("greedy_picks", lambda f: _rounded(f.greedy(POOL), "precision"), None)
+    whole = more.removesuffix(" greedy1") + " " + _GREEDY
+    said = lambda: F.concat_ws(",", "picks").alias("picks")
+    add("greedy_picks", lambda f: f.greedy(POOL).select("series_id", "target", said(), r6("precision").alias("precision"), "n_tp"), _sql(whole, f"select series_id, target, array_to_string(picks, ',') as picks, {_r('prec')} as precision, n_tp from g{POOL}"))
     add("local_quality", lambda f: f.first_picks().select("target", "formula_id", r6("precision").alias("precision"), "n_tp").distinct(), _sql(more, f"select distinct target, formula_id, {_r('prec')} as precision, n_tp from greedy1"))
     # global explanations
     add("distinct_locals", lambda f: f.locals(), _sql(more + " locals", "select target, formula_id, first_id from locals"))
     add("global_f1", lambda f: _rounded(f.glob(), "precision", "coverage", "f1"), _sql(more + " locals gvals quality", f"select target, n_pos, tp, n_class, {_r('precision')} as precision, {_r('coverage')} as coverage, {_r('f1')} as f1 from quality"))
     add("global_macro", lambda f: _rounded(explain.macro(f.glob()), "macro_f1"), _sql(more + " locals gvals quality", f"select {_r('avg(f1)')} as macro_f1, count(f1) as n_defined from quality"))
-    add("local_quality_whole", lambda f: f.greedy(POOL).select("target", F.array_sort("picks").alias("picks"), r6("precision").alias("precision"), "n_tp").distinct(), None)
-    add("distinct_locals_whole", lambda f: f.whole_locals(), None)
-    add("global_f1_whole", lambda f: _rounded(f.whole_glob(), "precision", "coverage", "f1"), None)
-    add("global_macro_whole", lambda f: _rounded(explain.macro(f.whole_glob()), "macro_f1"), None)
+    add("local_quality_whole", lambda f: f.greedy(POOL).select("target", F.array_sort("picks").alias("picks"), r6("precision").alias("precision"), "n_tp").distinct().select("target", said(), "precision", "n_tp"), _sql(whole, f"select distinct target, array_to_string(list_sort(picks), ',') as picks, {_r('prec')} as precision, n_tp from g{POOL}"))
+    add("distinct_locals_whole", lambda f: f.whole_locals().select("target", said(), "first_id"), _sql(whole + " wlocals", "select target, array_to_string(picks, ',') as picks, first_id from wlocals"))
+    add("disjuncts", lambda f: f.whole_locals().groupBy("target").agg(F.count("*").alias("n_disjuncts")), _sql(whole + " wlocals", "select target, count(*) as n_disjuncts from wlocals group by target"))
+    wq = whole + " wlocals wvals wquality"
+    add("global_f1_whole", lambda f: _rounded(f.whole_glob(), "precision", "coverage", "f1"), _sql(wq, f"select target, n_pos, tp, n_class, {_r('precision')} as precision, {_r('coverage')} as coverage, {_r('f1')} as f1 from wquality"))
+    add("global_macro_whole", lambda f: _rounded(explain.macro(f.whole_glob()), "macro_f1"), _sql(wq, f"select {_r('avg(f1)')} as macro_f1, count(f1) as n_defined from wquality"))
     add("fp_rate", lambda f: f.feat().where("split = 'TEST'").join(F.broadcast(f.rep()), "formula_id").groupBy("formula_id", "target").agg(r6(F.avg(F.when(F.col("label") == F.col("target"), (explain.moved(F.col("rho")) > 0).cast("double")))).alias("tp_rate"), r6(F.avg(F.when(F.col("label") != F.col("target"), (explain.moved(F.col("rho")) > 0).cast("double")))).alias("fp_rate")), _sql("emb feat med refs rep moved", f"select formula_id, target, {_r('avg((rho > 0)::int) filter (label = target)')} as tp_rate, {_r('avg((rho > 0)::int) filter (label <> target)')} as fp_rate from moved where split = 'TEST' group by all"))
     # further analytics
     test = lambda f: f.feat().where("split = 'TEST'")
@@ -268,7 +296,10 @@ def _all() -> dict[str, Query]:
     gain_sql = f"(select f.series_id, f.formula_id, round(d * rho - worst, 9) as a, round(1e-6 - sum_w, 9) as lb from feat f join {worst} using (formula_id) cross join (select sum(worst) as sum_w from {worst}) where f.split = 'TEST')"
     add("abduce_binary", lambda f: analytics.abduce_binary(gains(f)), _sql("emb feat coef box", f"""select series_id, case when max(lb) <= 0 then 0 else min(k) filter (total >= lb) end::int as n_needed, max(lb) <= 0 or count(*) filter (total >= lb) > 0 as enough from (
       select *, case when a > 0 then row_number() over w end as k, case when a > 0 then sum(a) over w end as total from {gain_sql} window w as (partition by series_id order by a desc, formula_id rows between unbounded preceding and current row)) group by series_id"""))
-    add("abduce_check", lambda f: analytics.abduce(gains(f)).select("series_id", "n_needed"), None)
+    ranked = f"(select *, row_number() over w as k, sum(a) over w as total from {gain_sql} where a > 0 window w as (partition by series_id order by a desc, formula_id rows between unbounded preceding and current row))"
+    needed = f"(select series_id, max(lb) as lb, case when max(lb) <= 0 then 0 else min(k) filter (total >= lb) end as n from (select g.series_id, g.lb, r.k, r.total from (select distinct series_id, lb from {gain_sql}) g left join {ranked} r using (series_id)) group by series_id)"
+    add("abduce_check", lambda f: analytics.abduce(gains(f)).select("series_id", "n_needed"), _sql("emb feat coef box", f"select series_id, coalesce(n, -1)::int as n_needed from {needed}"))
+    add("verified_margins", lambda f: _rounded((lambda g: analytics.verified_margins(g, analytics.prefix_picks(g)))(gains(f)), "margin"), _sql("emb feat coef box", f"select series_id, 4 as competitor, {_r('coalesce(total, 0.0) - lb')} as margin, coalesce(total, 0.0) >= lb as secured from {needed} left join (select series_id, k as n, total from {ranked}) using (series_id, n)"))
     add("sufficiency_zero", lambda f: classify.predictions(_rounded(classify.scores(test(f).join(explain.top_m(f.contrib(), POOL).select("series_id", "formula_id"), ["series_id", "formula_id"], "left_semi"), f.coef()), "score")).join(f.pred().select("series_id", F.col("class_idx").alias("own")), "series_id").select("series_id", (F.col("class_idx") == F.col("own")).alias("sufficient")), _sql(base + " topm", f"select series_id, s.class_idx = p.class_idx as sufficient from (select series_id, class_idx, row_number() over (partition by series_id order by {_r('sum(w * rho)')} desc, class_idx) as k from feat join topm using (series_id, formula_id) join coef using (formula_id) group by series_id, class_idx) s join pred p using (series_id) where k = 1"))
     add("separation_loss", lambda f: _rounded(analytics.separation(f.feat(), "3"), "q_t", "q_o", "loss", "delta"), _sql("emb feat", f"select formula_id, {_r('qt')} as q_t, {_r('qo')} as q_o, {_r('-least(qt, -qo)')} as loss, {_r('-(qt + qo) / 2')} as delta from (select formula_id, quantile_cont(rho, 0.25) filter (label = '3') as qt, quantile_cont(rho, 0.75) filter (label <> '3') as qo from feat where split = 'TRAIN' group by formula_id)"))
     halves = lambda f: f.feat().where("split = 'TRAIN'").groupBy("formula_id").agg((2 * (F.percentile("rho", 0.95) - F.percentile("rho", 0.05) + 1e-6)).alias("h"))
@@ -293,7 +324,24 @@ def _all() -> dict[str, Query]:
         own = test(f).join(f.pred().select("series_id", "class_idx"), "series_id")
         return own.join(F.broadcast(low), ["class_idx", "formula_id"]).select("series_id", "competitor", "formula_id", F.round(F.col("d") * F.col("rho") - F.col("worst"), 9).alias("a"), F.round("lb", 9).alias("lb"))
 
-    add("worst_case_whole", lambda f: _rounded(all_pairs(f), "worst"), None)
+    pairs_sql = "(select a.class_idx, b.class_idx as competitor, formula_id, a.w - b.w as d, case when a.w > b.w then (a.w - b.w) * vmin when a.w < b.w then (a.w - b.w) * vmax else 0.0 end as worst from coef a join coef b using (formula_id) join box using (formula_id) where a.class_idx <> b.class_idx)"
+    add("worst_case_whole", lambda f: _rounded(all_pairs(f), "worst"), _sql("emb feat coef box", f"select class_idx, competitor, formula_id, d, {_r('worst')} as worst from {pairs_sql}"))
+    # maps of scores and of contributions, as text in order of class
+    mapped = lambda key, value: F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda s: F.format_string("%d:%.3f", s[key], s[value])))
+    score4 = "(select series_id, class_idx, round(score, 3) + 0.0 as v from score)"
+    add("score_map", lambda f: f.score().withColumn("v", F.round("score", 3) + F.lit(0.0)).groupBy("series_id").agg(mapped("class_idx", "v").alias("scores")), _sql("emb feat coef score", f"select series_id, string_agg(class_idx || ':' || printf('%.3f', v), ',' order by class_idx) as scores from {score4} group by series_id"))
+    add("pick_breakdown", lambda f: f.contrib().join(explain.top_m(f.contrib(), POOL).select("series_id", "formula_id"), ["series_id", "formula_id"], "left_semi").withColumn("v", F.round("c", 3) + F.lit(0.0)).groupBy("series_id", "formula_id").agg(mapped("competitor", "v").alias("by_competitor")), _sql(base + " topm", "select series_id, formula_id, string_agg(competitor || ':' || printf('%.3f', v), ',' order by competitor) as by_competitor from (select c.series_id, c.formula_id, competitor, round(c, 3) + 0.0 as v from contrib c join topm using (series_id, formula_id)) group by all"))
+
+    def three_ways(f: Frames) -> DataFrame:
+        c = f.contrib()
+        each = explain.top_m_each(c, TOP).select("series_id", "competitor", "formula_id", F.lit(True).alias("own"))
+        overall = explain.top_m(c, POOL).select("series_id", "formula_id", F.lit(True).alias("top"))
+        rows = c.join(each, ["series_id", "competitor", "formula_id"], "left").join(overall, ["series_id", "formula_id"], "left")
+        some = lambda flag: r6(F.sum(F.when(F.col(flag), F.col("c")).otherwise(0.0)))
+        return rows.groupBy("series_id", "competitor").agg(r6(F.sum("c")).alias("full_margin"), some("own").alias("own_margin"), some("top").alias("top_margin"))
+
+    add("margins_three_ways", three_ways, _sql(base + " topm", f"select c.series_id, c.competitor, {_r('sum(c.c)')} as full_margin, {_r(f'sum(case when c.rank <= {TOP} then c.c else 0.0 end)')} as own_margin, {_r('sum(case when t.formula_id is not null then c.c else 0.0 end)')} as top_margin from {each} c left join topm t on t.series_id = c.series_id and t.formula_id = c.formula_id group by all"))
+    add("selected_features", lambda f: classify.nonzero_features(f.coef().where("class_idx = 3")).withColumn("selected_idx", F.row_number().over(Window.orderBy("formula_id")) - 1), _sql("coef", "select formula_id, (row_number() over (order by formula_id) - 1)::int as selected_idx from coef where class_idx = 3 and w <> 0"))
     add("abduce_whole", lambda f: analytics.abduce(all_gains(f)).select("series_id", "n_needed"), None)
     add("kde_whole", lambda f: _rounded(analytics.density(f.feat().where("split = 'TRAIN'").select(F.struct("formula_id", "label").alias("label"), F.col("rho").alias("x"))), "g", "density").select(F.col("label.formula_id").alias("formula_id"), F.col("label.label").alias("label"), "k", "g", "density"), None)
     # settings and results
@@ -305,7 +353,7 @@ def _all() -> dict[str, Query]:
     add("results_groupby", lambda f: f.runs().groupBy("n_formulas", "depth_max").agg(r6(F.avg("balanced_accuracy")).alias("mean_acc"), r6(F.stddev_samp("balanced_accuracy")).alias("std_acc"), r6(F.avg(F.col("time_features_s") + F.col("time_train_s"))).alias("mean_time"), F.countDistinct("dataset").alias("n_datasets"), F.max(F.format_string("n=%d d=%d", "n_formulas", "depth_max")).alias("setting")), _sql("runs", f"select n_formulas, depth_max, {_r('avg(balanced_accuracy)')} as mean_acc, {_r('stddev_samp(balanced_accuracy)')} as std_acc, {_r('avg(time_features_s + time_train_s)')} as mean_time, count(distinct dataset) as n_datasets, max('n=' || n_formulas || ' d=' || depth_max) as setting from runs group by all"))
     add("results_pivot", lambda f: f.runs().groupBy("dataset", "n_formulas").pivot("depth_max", [2, 3]).agg(r6(F.avg("balanced_accuracy"))).withColumnsRenamed({"2": "d2", "3": "d3"}), _sql("runs", f"select dataset, n_formulas, {_r('avg(balanced_accuracy) filter (depth_max = 2)')} as d2, {_r('avg(balanced_accuracy) filter (depth_max = 3)')} as d3 from runs group by all"))
     add("results_class_grid_left", lambda f: f.emb().select(F.col("label").alias("class")).distinct().crossJoin(f.runs().select("n_formulas").distinct()).join(f.glob().select(F.col("target").alias("class"), r6("f1").alias("f1")), "class", "left"), _sql(more + " locals gvals quality runs", f"select class, n_formulas, {_r('f1')} as f1 from (select distinct label as class from emb) cross join (select distinct n_formulas from runs) left join quality on quality.target = class"))
-    add("results_class_grid_whole", lambda f: f.emb().select(F.col("label").alias("class")).distinct().crossJoin(f.runs().select("n_formulas").distinct()).join(f.whole_glob().select(F.col("target").alias("class"), r6("f1").alias("f1")), "class", "left"), None)
+    add("results_class_grid_whole", lambda f: f.emb().select(F.col("label").alias("class")).distinct().crossJoin(f.runs().select("n_formulas").distinct()).join(f.whole_glob().select(F.col("target").alias("class"), r6("f1").alias("f1")), "class", "left"), _sql(wq + " runs", f"select class, n_formulas, {_r('f1')} as f1 from (select distinct label as class from emb) cross join (select distinct n_formulas from runs) left join wquality on wquality.target = class"))
     return q
 
 

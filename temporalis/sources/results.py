@@ -11,6 +11,7 @@ MEANS = ["mean_balanced_accuracy", "std_balanced_accuracy", "mean_macro_f1", "me
 SUMMARY = ", ".join(f"{c} double" for c in MEANS) + ", per_run array<struct<" + ", ".join(f"{c}: {t}" for c, t in METRICS.items()) + ">>"
 LOCAL = "sample_idx int, target_class string, formula string, n_picks int, precision_train double, n_tp int"
 GLOBAL = "class string, formula string, n_unique_locals int, f1 double"
+#: The names above are fixed values: those of the result files.
 _KEYS = ["dataset", "n_formulas", "depth_max"]
 
 
@@ -46,3 +47,14 @@ def accuracy_pivot(runs: DataFrame, depths: list[int]) -> DataFrame:
     """Mean balanced accuracy, a row for n_formulas (largest first) and a column a depth."""
     wide = runs.groupBy("dataset", "n_formulas").pivot("depth_max", depths).agg(F.avg("balanced_accuracy"))
     return wide.orderBy("dataset", F.col("n_formulas").desc())
+
+
+def class_means(metrics: DataFrame) -> DataFrame:
+    """Mean F1 of each class over a data set's runs; classes without any value are left out."""
+    means = metrics.groupBy("dataset", "class").agg(F.avg("f1").alias("mean_f1"))
+    return means.where(F.col("mean_f1").isNotNull())
+
+
+def settings(runs: DataFrame) -> DataFrame:
+    """Each data set's distinct settings, sorted."""
+    return runs.select(*_KEYS).dropDuplicates().orderBy(*_KEYS)

@@ -1,4 +1,4 @@
-"""Results of a run as files: small tables, written by the driver of the run."""
+"""Results of a run as files: small tables, written by the driver of the run. File names are fixed values."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pathlib import Path
 
 import numpy as np
 
+from .results import GLOBAL, LOCAL
+
 
 def run_directory(root: str, dataset: str, now: datetime) -> Path:
     """A new directory named by data set and time; it must not exist."""
@@ -29,6 +31,10 @@ def save_accuracy(runs: list[dict], path: Path) -> None:
     (path / "accuracy.json").write_text(json.dumps(head | {"per_run": runs}, indent=2))
 
 
+def _names(schema: str) -> list[str]:
+    return [column.split()[0] for column in schema.split(", ")]
+
+
 def _save(path: Path, columns: list[str], rows) -> None:
     with path.open("w", newline="") as f:
         out = csv.writer(f)
@@ -38,11 +44,9 @@ def _save(path: Path, columns: list[str], rows) -> None:
 
 def save_locals(rows, path: Path) -> None:
     """rows: (series_id, target, formula, n_picks, precision, n_tp), written in order of series_id."""
-    columns = ["sample_idx", "target_class", "formula", "n_picks", "precision_train", "n_tp"]
-    _save(path / "local_explanations.csv", columns, [[*r[:4], round(r[4], 6), r[5]] for r in sorted(rows)])
+    _save(path / "local_explanations.csv", _names(LOCAL), [[*r[:4], round(r[4], 6), r[5]] for r in sorted(rows)])
 
 
 def save_globals(rows, path: Path) -> None:
     """rows: (class, formula, n_unique, f1 or None)."""
-    columns = ["class", "formula", "n_unique_locals", "f1"]
-    _save(path / "global_explanations.csv", columns, [[a, b, n or 0, "" if f is None else round(f, 6)] for a, b, n, f in rows])
+    _save(path / "global_explanations.csv", _names(GLOBAL), [[a, b, n or 0, "" if f is None else round(f, 6)] for a, b, n, f in rows])
