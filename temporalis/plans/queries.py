@@ -2,22 +2,23 @@
 
 The fixed bank and the fixed weights stand in for a sampled bank and a trained model, so
 that both engines can compute every step that follows them. Queries named ``_whole`` take
-every round, pair or formula, as the operators do; SQL follows only round one of the greedy
-picks, so those have none.
+every round, pair or formula, as the operators do.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.formula import And, Atom, Eventually, Globally, Not, Or, Until, horizon
+from ..functions.formula import And, Atom, Eventually, Globally, Not, Or, Until, horizon, variables
 from ..functions.robustness import column, features, long_features, sql, window_trace
 from ..operators import analytics, bank, classify, explain, scale
-from ..session import r6
-from ..sources import panels, results
+from ..session import cut, r6, shared_dir
+from ..sources import panels, results, sinks
+from . import experiment
 
 STEPS = 64
 BANK = [
@@ -137,12 +138,19 @@ class Frames:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._kept: dict[str, DataFrame] = {}
+
+    def _keep(self, *names: str) -> None:
+        """Cut what a query goes over again and again; from then on the methods of these names return it."""
+        for name in names:
+            if name not in self._kept:
+                self._kept[name] = cut(getattr(self, name)())
 
     def emb(self):
         return panels.packed_embeddings(self.spark, self.dir)
 
     def feat(self):
-        return long_features(features(self.emb(), BANK, STEPS))
+        return self._kept.get("feat") or long_features(features(self.emb(), BANK, STEPS))
 
     def coef(self):
         return self.spark.range(10).select(F.col("id").cast("int").alias("class_idx"), F.explode(F.sequence(F.lit(0), F.lit(len(BANK) - 1))).alias("formula_id")).withColumn("w", ((F.col("class_idx") * 7 + F.col("formula_id") * 3) % 5 - 2) / F.lit(4.0))
@@ -151,7 +159,7 @@ class Frames:
         return classify.scores(self.feat().where("split = 'TEST'"), self.coef())
 
     def pred(self):
-        return classify.predictions(self.score().withColumn("score", F.round("score", 9))).withColumn("pred", F.col("class_idx").cast("string"))
+        return self._kept.get("pred") or classify.predictions(self.score().withColumn("score", F.round("score", 9))).withColumn("pred", F.col("class_idx").cast("string"))
 
     def judged(self):
         return self.emb().select("series_id", "label").join(self.pred().select("series_id", "pred"), "series_id")
@@ -160,12 +168,13 @@ class Frames:
         return explain.contributions(self.feat(), self.coef(), self.pred())
 
     def rep(self):
-        return explain.reparametrised(explain.reference_classes(explain.class_medians(self.feat())))
+        return self._kept.get("rep") or explain.reparametrised(explain.reference_classes(explain.class_medians(self.feat())))
 
     def pool(self):
         return explain.top_m(self.contrib(), POOL).join(self.pred().select("series_id", F.col("pred").alias("target")), "series_id").select("series_id", "target", "formula_id", "rank")
 
     def greedy(self, rounds: int):
+        self._keep("feat", "pred", "rep")
         long = self.feat()
         return explain.greedy_picks(self.pool(), explain.sign_words(long, self.rep()), explain.class_words(self.emb()), rounds, LIMIT)
 
@@ -182,6 +191,20 @@ class Frames:
     def whole_locals(self):
         return explain.distinct_locals(self.greedy(POOL))
 
+    def run_directories(self):
+        """(runs, locals, globals) read back from run directories that are written first; one has no metrics."""
+        root, write = f"{shared_dir(self.spark)}/runs-{uuid.uuid4().hex}", sinks.shared_writer(self.spark)
+        for ds, nf in [(d, n) for d in range(4) for n in (100, 1000)]:
+            path = f"{root}/d{ds}_{nf}"
+            sinks.save_config(experiment.Config(dataset=f"d{ds}", n_formulas=nf, n_run=3), path, write)
+            f1 = lambda run, k: ((ds * 17 + nf + run * 29 + k * 11) % 90) / 100
+            each = lambda run, k: {"precision": 0.5, "recall": 0.5, "f1": None if k == 2 else f1(run, k), "support": 10 + k}
+            sinks.save_accuracy([{"run": run, "seed": run, "balanced_accuracy": f1(run, 5), "accuracy": f1(run, 6), "macro_f1": f1(run, 7), "per_class": {f"c{k}": each(run, k) for k in range(3)}, "time_features_s": 1.5, "time_train_s": 2.5, "time_total_s": 4.0} for run in range(3)], path, write)
+            sinks.save_locals([(i, f"c{i % 2}", f"G[0,{i}](x0 >= 0.5)", 1, i / 7, i) for i in range(ds + 2)], path, write)
+            sinks.save_globals([("c0", "F[0,1](x0 <= 1)", ds, None if ds == 0 else 0.25 * ds)], path, write)
+        sinks.save_config(experiment.Config(dataset="unfinished"), f"{root}/unfinished", write)
+        return results.load_results(self.spark, root)
+
     def whole_glob(self):
         picks = self.whole_locals().select("target", F.col("first_id").alias("pick_id"), F.explode("picks").alias("formula_id"))
         return explain.global_quality(explain.conjunction_values(self.feat().where("split = 'TEST'"), picks, self.rep()))
@@ -354,6 +377,36 @@ def _all() -> dict[str, Query]:
     add("results_pivot", lambda f: f.runs().groupBy("dataset", "n_formulas").pivot("depth_max", [2, 3]).agg(r6(F.avg("balanced_accuracy"))).withColumnsRenamed({"2": "d2", "3": "d3"}), _sql("runs", f"select dataset, n_formulas, {_r('avg(balanced_accuracy) filter (depth_max = 2)')} as d2, {_r('avg(balanced_accuracy) filter (depth_max = 3)')} as d3 from runs group by all"))
     add("results_class_grid_left", lambda f: f.emb().select(F.col("label").alias("class")).distinct().crossJoin(f.runs().select("n_formulas").distinct()).join(f.glob().select(F.col("target").alias("class"), r6("f1").alias("f1")), "class", "left"), _sql(more + " locals gvals quality runs", f"select class, n_formulas, {_r('f1')} as f1 from (select distinct label as class from emb) cross join (select distinct n_formulas from runs) left join quality on quality.target = class"))
     add("results_class_grid_whole", lambda f: f.emb().select(F.col("label").alias("class")).distinct().crossJoin(f.runs().select("n_formulas").distinct()).join(f.whole_glob().select(F.col("target").alias("class"), r6("f1").alias("f1")), "class", "left"), _sql(wq + " runs", f"select class, n_formulas, {_r('f1')} as f1 from (select distinct label as class from emb) cross join (select distinct n_formulas from runs) left join wquality on wquality.target = class"))
+    # run directories, written and read back
+    made = f"(select 'd' || ds as dataset, nf as n_formulas, 3 as depth_max, run, ds, (ds * 17 + nf + run * 29) as b from (select unnest(range(0, 4))::int as ds), (values (100), (1000)) as a(nf), (select unnest(range(0, 3))::int as run))"
+    part = lambda k: f"((b + {k} * 11) % 90) / 100.0::double"
+    keys = ["dataset", "n_formulas", "depth_max"]
+    add("results_loaded", lambda f: f.run_directories()[0].select(*keys, "run", "seed", *[r6(c).alias(c) for c in ("balanced_accuracy", "accuracy", "macro_f1")], (F.col("time_features_s") + F.col("time_train_s")).alias("time_s")), f"select dataset, n_formulas, depth_max, run, run as seed, {_r(part(5))} as balanced_accuracy, {_r(part(6))} as accuracy, {_r(part(7))} as macro_f1, 4.0::double as time_s from {made}")
+    add("results_class_metrics", lambda f: results.class_metrics(f.run_directories()[0]).select(*keys, "run", "class", "precision", "recall", r6("f1").alias("f1"), "support"), f"select dataset, n_formulas, depth_max, run, 'c' || k as class, 0.5::double as precision, 0.5::double as recall, case when k < 2 then {_r('((b + k * 11) % 90) / 100.0::double')} end as f1, (10 + k)::int as support from {made}, (select unnest(range(0, 3))::int as k)")
+    add("results_class_means", lambda f: _rounded(results.class_means(results.class_metrics(f.run_directories()[0])), "mean_f1"), f"select dataset, 'c' || k as class, {_r('avg(((b + k * 11) % 90) / 100.0::double)')} as mean_f1 from {made}, (select unnest(range(0, 2))::int as k) group by all")
+    add("results_settings", lambda f: results.settings(f.run_directories()[0]), f"select distinct dataset, n_formulas, depth_max from {made}")
+    add("results_accuracy_pivot", lambda f: results.accuracy_pivot(f.run_directories()[0], [2, 3]).select("dataset", "n_formulas", r6(F.col("2")).alias("d2"), r6(F.col("3")).alias("d3")), f"select dataset, n_formulas, null::double as d2, {_r(f'avg({part(5)})')} as d3 from {made} group by all")
+    add("results_locals", lambda f: f.run_directories()[1].select("run_dir", "sample_idx", "target_class", "formula", "n_picks", r6("precision_train").alias("precision_train"), "n_tp"), f"select 'd' || ds || '_' || nf as run_dir, i as sample_idx, 'c' || (i % 2) as target_class, 'G[0,' || i || '](x0 >= 0.5)' as formula, 1 as n_picks, {_r('i / 7.0::double')} as precision_train, i as n_tp from (select unnest(range(0, 4))::int as ds), (values (100), (1000)) as a(nf), (select unnest(range(0, 6))::int as i) where i < ds + 2")
+    add("results_globals", lambda f: f.run_directories()[2].select("run_dir", "class", "formula", "n_unique_locals", "f1"), "select 'd' || ds || '_' || nf as run_dir, 'c0' as class, 'F[0,1](x0 <= 1)' as formula, ds as n_unique_locals, case when ds > 0 then 0.25 * ds end::double as f1 from (select unnest(range(0, 4))::int as ds), (values (100), (1000)) as a(nf)")
+
+    # a sampled bank and a trained model: no SQL can follow them
+    def sampled(f: Frames) -> DataFrame:
+        panel = cut(panels.packed_embeddings(f.spark, f.dir))
+        formulas, feats = bank.build_bank(panel, panels.embeddings(f.spark, f.dir), STEPS, 12, batch=24, threshold=CORR, depth=2, seed=7)
+        about = f.spark.createDataFrame([(j, horizon(phi), len(variables(phi))) for j, phi in enumerate(formulas)], "formula_id int, horizon int, n_variables int")
+        means = long_features(feats).where("split = 'TRAIN'").groupBy("formula_id").agg(r6(F.avg("rho")).alias("train_mean"), F.count("*").alias("n"))
+        return means.join(F.broadcast(about), "formula_id")
+
+    def trained(f: Frames) -> DataFrame:
+        feats = cut(features(f.emb(), BANK, STEPS))
+        model = classify.train(feats)
+        found = classify.predictions(classify.scores(long_features(feats).where("split = 'TEST'"), classify.coefficients(model, f.spark)))
+        names = classify.classes(feats.where("split = 'TRAIN'")).withColumnRenamed("label", "pred")
+        judged = feats.where("split = 'TEST'").select("series_id", "label").join(found, "series_id").join(F.broadcast(names), "class_idx")
+        return _rounded(classify.report(classify.confusion(judged)), "precision", "recall", "f1")
+
+    add("bank_built", sampled, None)
+    add("trained_report", trained, None)
     return q
 
 

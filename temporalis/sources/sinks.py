@@ -1,17 +1,41 @@
-"""Results of a run as files: small tables, written by the driver of the run. File names are fixed values."""
+"""Results of a run as files: small tables, written by the driver of the run. File names are fixed values.
+
+Every function takes a ``write``, for files of this machine or (``shared_writer``) of any store that Spark reaches.
+"""
 
 from __future__ import annotations
 
 import csv
+import io
 import json
+from collections.abc import Callable
 from dataclasses import asdict
 from datetime import datetime
 from pathlib import Path
 
 import numpy as np
+from pyspark.sql import SparkSession
 
 from .results import GLOBAL, LOCAL
 
+Write = Callable[[str, str], None]
+
+
+def local_writer(path: str, text: str) -> None:
+    Path(path).write_text(text, newline="")
+
+
+def shared_writer(spark: SparkSession) -> Write:
+    """Writes through Spark's file systems."""
+
+    def write(path: str, text: str) -> None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    return write
+
 
 def run_directory(root: str, dataset: str, now: datetime) -> Path:
     """A new directory named by data set and time; it must not exist."""
@@ -20,33 +44,30 @@ def run_directory(root: str, dataset: str, now: datetime) -> Path:
     return path
 
 
-def save_config(config, path: Path) -> None:
-    (path / "config.json").write_text(json.dumps(asdict(config), indent=2))
+def save_config(config, path: Path | str, write: Write = local_writer) -> None:
+    write(f"{path}/config.json", json.dumps(asdict(config), indent=2))
 
 
-def save_accuracy(runs: list[dict], path: Path) -> None:
+def save_accuracy(runs: list[dict], path: Path | str, write: Write = local_writer) -> None:
     mean = lambda k: float(np.mean([r[k] for r in runs]))
     head = {"mean_balanced_accuracy": mean("balanced_accuracy"), "std_balanced_accuracy": float(np.std([r["balanced_accuracy"] for r in runs])), "mean_macro_f1": mean("macro_f1")}
     head |= {f"mean_{k}": mean(k) for k in ("time_features_s", "time_train_s", "time_total_s")}
-    (path / "accuracy.json").write_text(json.dumps(head | {"per_run": runs}, indent=2))
-
-
-def _names(schema: str) -> list[str]:
-    return [column.split()[0] for column in schema.split(", ")]
+    write(f"{path}/accuracy.json", json.dumps(head | {"per_run": runs}, indent=2))
 
 
-def _save(path: Path, columns: list[str], rows) -> None:
-    with path.open("w", newline="") as f:
-        out = csv.writer(f)
-        out.writerow(columns)
-        out.writerows(rows)
+def _sheet(schema: str, rows) -> str:
+    out = io.StringIO()
+    sheet = csv.writer(out)
+    sheet.writerow([column.split()[0] for column in schema.split(", ")])
+    sheet.writerows(rows)
+    return out.getvalue()
 
 
-def save_locals(rows, path: Path) -> None:
+def save_locals(rows, path: Path | str, write: Write = local_writer) -> None:
     """rows: (series_id, target, formula, n_picks, precision, n_tp), written in order of series_id."""
-    _save(path / "local_explanations.csv", _names(LOCAL), [[*r[:4], round(r[4], 6), r[5]] for r in sorted(rows)])
+    write(f"{path}/local_explanations.csv", _sheet(LOCAL, [[*r[:4], round(r[4], 6), r[5]] for r in sorted(rows)]))
 
 
-def save_globals(rows, path: Path) -> None:
+def save_globals(rows, path: Path | str, write: Write = local_writer) -> None:
     """rows: (class, formula, n_unique, f1 or None)."""
-    _save(path / "global_explanations.csv", _names(GLOBAL), [[a, b, n or 0, "" if f is None else round(f, 6)] for a, b, n, f in rows])
+    write(f"{path}/global_explanations.csv", _sheet(GLOBAL, [[a, b, n or 0, "" if f is None else round(f, 6)] for a, b, n, f in rows]))

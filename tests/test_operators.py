@@ -107,6 +107,17 @@ def test_abduction_equals_all_subsets(spark):
     assert all((x.n_needed if x.enough else -1) == x.k for x in both)
 
 
+def test_flat_densities_and_margins(spark):
+    values = spark.createDataFrame([("a", 2.0), ("b", 3.0), ("b", 3.0), ("c", 1.0), ("c", 2.0)], "label string, x double")
+    got = analytics.density(values, 5).collect()
+    assert sorted((r.label, r.g, r.density) for r in got if r.label != "c") == [("a", 2.0, None), ("b", 3.0, None)]
+    assert len([r for r in got if r.label == "c" and r.density > 0]) == 5
+    gains = spark.createDataFrame([(1, 4, j, a, 1.0) for j, a in enumerate([0.5, 0.7, -0.2])] + [(2, 4, 0, 0.3, 1.0), (3, 4, 0, 0.3, -1.0)], "series_id long, competitor int, formula_id int, a double, lb double")
+    picks = analytics.prefix_picks(gains)
+    assert sorted(map(tuple, picks.collect())) == [(1, 0), (1, 1)]
+    assert {r.series_id: (round(r.margin, 9), r.secured) for r in analytics.verified_margins(gains, picks).collect()} == {1: (0.2, True), 2: (-1.0, False), 3: (1.0, True)}
+
+
 def test_experiment_and_results(spark, tmp_path):
     r = np.random.default_rng(0)
     rows = [(i, [float(v) for v in np.sin(np.arange(16) * (0.3 + 0.5 * (i % 3))) + 0.05 * r.normal(size=16)], i % 3) for i in range(90)]
