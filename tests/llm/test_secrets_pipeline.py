@@ -213,3 +213,25 @@ def test_ratio_table_equals_counts_by_hand():
             ordinary = sum(weight(t, a) * share(t, a, b) for t in texts[1:]) / sum(weight(t, a) for t in texts[1:])
             assert abs(got[ord(a) * 256 + ord(b)] - np.log(share(texts[0], a, b) / ordinary)) < 1e-9
     assert np.allclose(ratio_table(tables[0], tables[1], np.zeros(65536, dtype=np.int64)), ratio_table(tables[0], tables[1]), atol=1e-6)
+
+
+def test_pipeline_takes_empty_tables_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rows, text = made_corpus(spark, tmp_path)
+    clean = text()
+    odd = [(None, None, "en"), (900, None, None), (901, "", "en"), (902, clean, None), (902, clean, None), (None, clean + " 日本 token=abcdefgh", "en")]
+    docs = spark.createDataFrame([(*x, 1, "x", 2) for x in rows + odd], "doc_id long, text string, lang string, _row0 int, toxic string, component_id int")
+    columns = docs.columns
+    for kept in (docs.where("false"), docs):
+        for name, stage in p.STAGES[:-1]:
+            kept = stage(spark, kept, str(tmp_path))
+            assert kept.columns == columns, name
+        got = sorted(((x.doc_id, x.text) for x in kept.collect()), key=str)
+        assert {tuple(x)[3:] for x in kept.select(columns).collect()} <= {(1, "x", 2)}
+        if got:
+            clean_rows = [(i, t) for i, t, _ in rows if i % 3]
+            # 902 comes twice and is near the row without an id: one stays, that with an id
+            assert got == sorted([*clean_rows, (902, clean)], key=str)
+        pieces = p.STAGES[-1][1](spark, kept, str(tmp_path)).collect()
+        assert {x.doc_id for x in pieces} == {i for i, _ in got}
