@@ -9,9 +9,8 @@ rest), so a query leaves as soon as its k-th verified distance is no larger than
 the others go on.
 
 Copies of a code are searched once: a code keeps its k smallest ids (no other copy can be
-among a query's k, since ties go by id), queries with one code are one query. When a
-round would probe more keys than there are codes (k near the number of rows, or far-off
-queries), the queries that are left are compared with all codes, in blocks of ``BLOCK`` queries.
+among a query's k, since ties go by id), queries with one code are one query. Far-off queries,
+and a k near the number of rows, take more steps, up to radius b / m, where all codes are seen.
 
 Nulls: a row without an id, or with no code, is neither indexed nor a query. Rows that
 repeat an id and a code are one; an id with several codes stands for each of them, and the
@@ -33,8 +32,7 @@ from .shared import stored
 
 K = 10
 BITS = 32
-BLOCK = 2048
-#: A round that needs more masks than this is replaced by the comparison in blocks.
+#: A step probes at most this many keys a query; segments of 16 bits never need more.
 MASKS = 20_000
 
 
@@ -68,51 +66,45 @@ def _first_codes(seen: DataFrame, k: int) -> DataFrame:
     return kept.withColumn("upto", F.sum("n").over(order))
 
 
-def _compare(active: DataFrame, codes: DataFrame, k: int) -> DataFrame:
-    """The first codes of each query among all codes, a block of queries at a time."""
-    blocks = max(1, -(-active.count() // BLOCK))
-    parts = []
-    for b in range(blocks):
-        some = active.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
-        # about BLOCK rows
-        every = codes.crossJoin(F.broadcast(some)).select("q", "code", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"), "least", "n")
-        parts.append(stored(_first_codes(every, k), "compared"))
-    return reduce(DataFrame.unionByName, parts)
+def _search(wanted: DataFrame, codes: DataFrame, m: int, k: int, bits: int) -> DataFrame:
+    """q, code, distance, least, n: the first codes of each query, by steps over m segments.
 
-
-def top_k(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -> DataFrame:
-    """query_id, rank, id, distance: the k rows nearest to each query; both have (id, code)."""
-    spark = rows.sparkSession
-    every = rows.select(F.col("id").cast("long").alias("id"), F.col("code").cast("long").alias("code")).dropna().distinct()
-    own = every.withColumn("_n", F.row_number().over(W.partitionBy("code").orderBy("id"))).where(F.col("_n") <= k).drop("_n")
-    pairs = stored(own, "pairs")
-    asked = stored(queries.select(F.col("id").cast("long").alias("query_id"), F.col("code").cast("long").alias("q")).dropna().distinct(), "asked")
-    wanted = stored(asked.select("q").distinct(), "wanted")
-    codes = stored(pairs.groupBy("code").agg(F.count("*").alias("n"), F.min("id").alias("least")), "codes")
-    size = codes.count()
-    m = segments_for(size, bits)
+    A step that would need more than MASKS keys a query isn't made: the queries still active
+    start over with more segments, whose steps need fewer.
+    """
     width = bits // m
     index = stored(reduce(DataFrame.unionByName, [codes.select(F.lit(i).alias("segment"), _segment(F.col("code"), i, width).alias("key"), "code", "least", "n") for i in range(m)]), "index")
-    names = ["q", "code", "distance", "least", "n"]
     best, active = None, wanted
     for radius, i in product(range(width + 1), range(m)):
-        if math.comb(width, radius) > min(MASKS, max(size, 64)):
-            rest = _compare(active, codes, k).select(*names)
-            best = rest if best is None else rest.unionByName(best.join(active, "q", "left_anti"))
-            break
-        masks = spark.createDataFrame([(sum(1 << b for b in c),) for c in combinations(range(width), radius)], "mask long")
-        # at most MASKS rows
-        probes = active.crossJoin(F.broadcast(masks)).select("q", _segment(F.col("q"), i, width).bitwiseXOR(F.col("mask")).alias("key"))
+        if math.comb(width, radius) > MASKS:
+            finer = next(more for more in range(m + 1, bits + 1) if bits % more == 0)
+            rest = _search(active, codes, finer, k, bits)
+            return rest if best is None else rest.unionByName(best.join(active, "q", "left_anti"))
+        # one constant array, at most MASKS long
+        masks = F.split(F.lit(",".join(str(sum(1 << b for b in c)) for c in combinations(range(width), radius))), ",").cast("array<long>")
+        probes = active.select("q", F.explode(masks).alias("mask")).select("q", _segment(F.col("q"), i, width).bitwiseXOR(F.col("mask")).alias("key"))
         both = F.col("q").bitwiseXOR(F.col("code"))
         # a pair counts in the step that sees it first
         first = reduce(lambda x, y: x & y, [F.bit_count(_segment(both, j, width)) >= (radius + 1 if j < i else radius) for j in range(m) if j != i], F.lit(True))
         seen = probes.join(index.where(F.col("segment") == i), "key").where(first).select("q", "code", F.bit_count(both).alias("distance"), "least", "n")
         ranked = stored(_first_codes(seen if best is None else seen.unionByName(best), k), "best")
-        best = ranked.select(*names)
+        best = ranked.select("q", "code", "distance", "least", "n")
         kth = ranked.groupBy("q").agg(F.min(F.when(F.col("upto") >= k, F.col("distance"))).alias("kth"))
         active = stored(wanted.join(kth, "q", "left").where(F.col("kth").isNull() | (F.col("kth") > m * radius + i)).select("q"), "active")
         if active.isEmpty():
             break
+    return best
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -> DataFrame:
+    """query_id, rank, id, distance: the k rows nearest to each query; both have (id, code)."""
+    every = rows.select(F.col("id").cast("long").alias("id"), F.col("code").cast("long").alias("code")).dropna().distinct()
+    own = every.withColumn("_n", F.row_number().over(W.partitionBy("code").orderBy("id"))).where(F.col("_n") <= k).drop("_n")
+    pairs = stored(own, "pairs")
+    asked = stored(queries.select(F.col("id").cast("long").alias("query_id"), F.col("code").cast("long").alias("q")).dropna().distinct(), "asked")
+    wanted = stored(asked.select("q").distinct(), "wanted")
+    codes = stored(pairs.groupBy("code").agg(F.count("*").alias("n"), F.min("id").alias("least")), "codes")
+    best = _search(wanted, codes, segments_for(codes.count(), bits), k, bits)
     near = asked.join(best.select("q", "code", "distance"), "q").join(pairs, "code").groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
     ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", F.col("distance").cast("int").alias("distance"))

@@ -25,10 +25,9 @@ def brute(rows, queries, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("bits,k,masks,block", [(32, 5, 20_000, 2048), (16, 7, 10, 3), (16, 400, 100, 2048)])
-def test_top_k_equals_brute_force(spark, monkeypatch, bits, k, masks, block):
+@pytest.mark.parametrize("bits,k,masks", [(32, 5, 20_000), (16, 7, 10), (16, 400, 100)])
+def test_top_k_equals_brute_force(spark, monkeypatch, bits, k, masks):
     monkeypatch.setattr(hamming, "MASKS", masks)
-    monkeypatch.setattr(hamming, "BLOCK", block)
     r = random.Random(bits + k)
     base = [r.getrandbits(bits) for _ in range(40)]
     rows = [(i, r.choice(base) ^ (1 << r.randrange(bits)) if r.random() < 0.5 else r.getrandbits(bits)) for i in range(200)]
