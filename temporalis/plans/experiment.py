@@ -7,13 +7,14 @@ import time
 from dataclasses import dataclass, fields, replace
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formula import And, Formula, Not, fold, shifted, simplify
 from ..functions.robustness import long_features
 from ..operators import bank, classify, explain, scale
-from ..session import cut
+from ..session import cut, ship
 from ..sources import panels, sinks
 
 
@@ -88,8 +89,8 @@ def _text(formulas: list[Formula], chosen, target: str, picks) -> str:
     return str(simplify(fold(parts, And)))
 
 
-def explain_run(panel: DataFrame, long: DataFrame, steps: int, config: Config) -> tuple[list[tuple], list[tuple]]:
-    """(locals, globals) for the TEST series: rows as the sinks take them."""
+def explain_run(panel: DataFrame, long: DataFrame, steps: int, config: Config) -> tuple[DataFrame, list[tuple]]:
+    """Local explanations, a row a TEST series, and global ones, a row a class as its sink takes them."""
     formulas, feats, model, _, _ = _fit(panel, long, steps, config, config.base_seed + config.n_run)
     rho, coef, pred = _predicted(feats, model)
     pred = cut(pred)
@@ -98,15 +99,23 @@ def explain_run(panel: DataFrame, long: DataFrame, steps: int, config: Config) -
     pool = explain.top_m(explain.contributions(rho.where("split = 'TEST'"), coef, pred), config.pool_size)
     pool = pool.join(pred.select("series_id", F.col("pred").alias("target")), "series_id").select("series_id", "target", "formula_id", "rank")
     found = cut(explain.greedy_picks(pool, explain.sign_words(rho, rep), explain.class_words(feats), config.pool_size, config.precision_threshold))
+
+    @F.pandas_udf("string")
+    def written(targets: pd.Series, picks: pd.Series) -> pd.Series:
+        return pd.Series([_text(formulas, chosen, t, [int(j) for j in own]) for t, own in zip(targets, picks, strict=True)], dtype=object)
+
+    ship(panel.sparkSession)
     # a conjunction doesn't depend on the order of its picks: texts are of sorted picks, and so are told apart as these are
-    local = [(r.series_id, r.target, _text(formulas, chosen, r.target, sorted(r.picks)), len(r.picks), r.precision, r.n_tp) for r in found.orderBy("series_id").collect()]
-    distinct = explain.distinct_locals(found)
+    distinct = cut(explain.distinct_locals(found).withColumn("formula", written("target", "picks")))
+    texts = distinct.select("target", F.col("picks").alias("sorted"), "formula")
+    local = found.withColumn("sorted", F.array_sort("picks")).join(texts, ["target", "sorted"])
+    local = local.select(F.col("series_id").alias("sample_idx"), F.col("target").alias("target_class"), "formula", F.size("picks").alias("n_picks"), F.col("precision").alias("precision_train"), "n_tp")
     picks = distinct.select("target", F.col("first_id").alias("pick_id"), F.explode("picks").alias("formula_id"))
-    quality = {r.target: r.f1 for r in explain.global_quality(explain.conjunction_values(rho.where("split = 'TEST'"), picks, rep)).collect()}
-    texts: dict[str, list[str]] = {}
-    for r in distinct.orderBy("first_id").collect():
-        texts.setdefault(r.target, []).append(_text(formulas, chosen, r.target, r.picks))
-    return local, [(target, " | ".join(own), len(own), quality.get(target)) for target, own in texts.items()]
+    quality = explain.global_quality(explain.conjunction_values(rho.where("split = 'TEST'"), picks, rep)).select("target", "f1")
+    # a class's global explanation is one text, whatever its length
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("first_id", "formula"))), lambda x: x.formula)
+    overall = distinct.groupBy("target").agg(F.array_join(parts, " | ").alias("formula"), F.count("*").alias("n"), F.min("first_id").alias("first_id"))
+    return local, [(r.target, r.formula, r.n, r.f1) for r in overall.join(quality, "target", "left").orderBy("first_id").collect()]
 
 
 def parse(args: list[str] | None = None) -> tuple[Config, str]:
@@ -127,18 +136,19 @@ def _percent(x: float | None) -> str:
 def main(args: list[str] | None = None) -> str:
     config, data = parse(args)
     spark = SparkSession.builder.appName("temporalis").getOrCreate()
-    out = sinks.run_directory(config.output_dir, config.dataset, datetime.now())
-    sinks.save_config(config, out)
+    write = sinks.shared_writer(spark)
+    out = sinks.run_directory(spark, config.output_dir, config.dataset, datetime.now())
+    sinks.save_config(config, out, write)
     long, panel, steps = load(spark, config.dataset, data)
-    sinks.save_accuracy([run_single(panel, long, steps, config, i) for i in range(config.n_run)], out)
+    sinks.save_accuracy([run_single(panel, long, steps, config, i) for i in range(config.n_run)], out, write)
     local, overall = explain_run(panel, long, steps, config)
     sinks.save_locals(local, out)
-    sinks.save_globals(overall, out)
+    sinks.save_globals(overall, out, write)
     for name, _, n, f1 in overall:
         print(f"{name:>12} {n:5d} {_percent(f1)}")
     defined = [f1 for *_, f1 in overall if f1 is not None]
     print(f"{'macro':>12} {'':5} {_percent(sum(defined) / len(defined) if defined else None)}")
-    return str(out)
+    return out
 
 
 if __name__ == "__main__":

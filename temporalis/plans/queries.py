@@ -200,7 +200,7 @@ class Frames:
             f1 = lambda run, k: ((ds * 17 + nf + run * 29 + k * 11) % 90) / 100
             each = lambda run, k: {"precision": 0.5, "recall": 0.5, "f1": None if k == 2 else f1(run, k), "support": 10 + k}
             sinks.save_accuracy([{"run": run, "seed": run, "balanced_accuracy": f1(run, 5), "accuracy": f1(run, 6), "macro_f1": f1(run, 7), "per_class": {f"c{k}": each(run, k) for k in range(3)}, "time_features_s": 1.5, "time_train_s": 2.5, "time_total_s": 4.0} for run in range(3)], path, write)
-            sinks.save_locals([(i, f"c{i % 2}", f"G[0,{i}](x0 >= 0.5)", 1, i / 7, i) for i in range(ds + 2)], path, write)
+            sinks.save_locals(self.spark.createDataFrame([(i, f"c{i % 2}", f"G[0,{i}](x0 >= 0.5)", 1, i / 7, i) for i in range(ds + 2)], results.LOCAL), path)
             sinks.save_globals([("c0", "F[0,1](x0 <= 1)", ds, None if ds == 0 else 0.25 * ds)], path, write)
         sinks.save_config(experiment.Config(dataset="unfinished"), f"{root}/unfinished", write)
         return results.load_results(self.spark, root)

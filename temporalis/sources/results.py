@@ -30,7 +30,8 @@ def load_results(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame,
     keys = read("config.json", CONFIG).select("run_dir", *_KEYS)
     runs = read("accuracy.json", SUMMARY).join(keys, "run_dir").select("run_dir", *_KEYS, F.explode("per_run").alias("r")).select("run_dir", *_KEYS, "r.*")
     done = runs.select("run_dir", *_KEYS).distinct()
-    return runs, sheet("local_explanations.csv", LOCAL).join(done, "run_dir"), sheet("global_explanations.csv", GLOBAL).join(done, "run_dir")
+    # local explanations are one file, or a folder of parts
+    return runs, sheet("{local_explanations.csv,part-*.csv}", LOCAL).join(done, "run_dir"), sheet("global_explanations.csv", GLOBAL).join(done, "run_dir")
 
 
 def class_metrics(runs: DataFrame) -> DataFrame:

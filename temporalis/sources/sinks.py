@@ -1,6 +1,8 @@
-"""Results of a run as files: small tables, written by the driver of the run. File names are fixed values.
+"""Results of a run as files. File names are fixed values.
 
-Every function takes a ``write``, for files of this machine or (``shared_writer``) of any store that Spark reaches.
+Settings and metrics, which have a row a run or class, are written by the driver of the run; their
+functions take a ``write``, for files of this machine or (``shared_writer``) of any store that Spark
+reaches. Local explanations have a row a series: Spark writes them, as a folder of CSV parts.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from datetime import datetime
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .results import GLOBAL, LOCAL
 
@@ -37,10 +40,14 @@ def shared_writer(spark: SparkSession) -> Write:
     return write
 
 
-def run_directory(root: str, dataset: str, now: datetime) -> Path:
-    """A new directory named by data set and time; it must not exist."""
-    path = Path(root) / f"{dataset}_{now:%Y%m%d_%H%M%S}"
-    path.mkdir(parents=True, exist_ok=False)
+def run_directory(spark: SparkSession, root: str, dataset: str, now: datetime) -> str:
+    """A new directory named by data set and time, in any store that Spark reaches; it must not exist."""
+    path = f"{root}/{dataset}_{now:%Y%m%d_%H%M%S}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(p):
+        raise FileExistsError(path)
+    files.mkdirs(p)
     return path
 
 
@@ -63,9 +70,10 @@ def _sheet(schema: str, rows) -> str:
     return out.getvalue()
 
 
-def save_locals(rows, path: Path | str, write: Write = local_writer) -> None:
-    """rows: (series_id, target, formula, n_picks, precision, n_tp), written in order of series_id."""
-    write(f"{path}/local_explanations.csv", _sheet(LOCAL, [[*r[:4], round(r[4], 6), r[5]] for r in sorted(rows)]))
+def save_locals(rows: DataFrame, path: Path | str) -> None:
+    """rows have the columns of LOCAL; written in order of sample_idx."""
+    names = [column.split()[0] for column in LOCAL.split(", ")]
+    rows.select(*names).withColumn("precision_train", F.round("precision_train", 6)).orderBy("sample_idx").write.option("header", True).csv(f"{path}/local_explanations.csv")
 
 
 def save_globals(rows, path: Path | str, write: Write = local_writer) -> None:

@@ -128,19 +128,26 @@ def test_experiment_and_results(spark, tmp_path):
     run = experiment.run_single(panel, long, steps, config, 0)
     assert run["balanced_accuracy"] > 0.8 and run["time_total_s"] > 0
     local, overall = experiment.explain_run(panel, long, steps, config)
-    assert len(local) == panel.where("split = 'TEST'").count() and all(1 <= x[3] <= 4 for x in local)
+    told = local.collect()
+    assert len(told) == panel.where("split = 'TEST'").count() and all(1 <= x.n_picks <= 4 for x in told)
+    for name, formula, n, _ in overall:
+        own = {x.formula for x in told if x.target_class == name}
+        assert n == len(own) and set(formula.split(" | ")) == {part for text in own for part in text.split(" | ")}
     from datetime import datetime
 
-    out = sinks.run_directory(config.output_dir, config.dataset, datetime(2024, 1, 2, 3, 4, 5))
-    assert out.name == "embeddings_20240102_030405"
+    out = sinks.run_directory(spark, config.output_dir, config.dataset, datetime(2024, 1, 2, 3, 4, 5))
+    assert out == f"{config.output_dir}/embeddings_20240102_030405"
+    with pytest.raises(FileExistsError):
+        sinks.run_directory(spark, config.output_dir, config.dataset, datetime(2024, 1, 2, 3, 4, 5))
     sinks.save_config(config, out)
     sinks.save_accuracy([run, run | {"run": 1}], out)
     sinks.save_locals(local, out)
     sinks.save_globals(overall, out)
-    (out.parent / "half").mkdir()
-    (out.parent / "half" / "config.json").write_text(json.dumps({"dataset": "no"}))
-    runs, locals_, globals_ = results.load_results(spark, str(out.parent))
-    assert runs.count() == 2 and locals_.count() == len(local) and globals_.count() == len(overall)
+    (tmp_path / "out" / "half").mkdir()
+    (tmp_path / "out" / "half" / "config.json").write_text(json.dumps({"dataset": "no"}))
+    runs, locals_, globals_ = results.load_results(spark, config.output_dir)
+    assert runs.count() == 2 and locals_.count() == len(told) and globals_.count() == len(overall)
+    assert {(x.sample_idx, x.formula) for x in locals_.collect()} == {(x.sample_idx, x.formula) for x in told}
     assert results.class_metrics(runs).where("run = 0").count() == len(run["per_class"])
     s = results.summary(runs).first()
     assert s.mean_balanced_accuracy == pytest.approx(run["balanced_accuracy"]) and s.std_balanced_accuracy == pytest.approx(0) and s.n_run == 2
