@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -55,6 +56,29 @@ def test_monotone_and_accurate():
     assert MONOTONE.any()
 
 
+def test_forest_equals_a_walk_down_each_tree():
+    r = np.random.default_rng(6)
+    x = np.round(r.random((600, len(STATS))), 2)  # ties with thresholds
+    forest = fit_forest(x, (x[:, 0] + x[:, 3] * x[:, 5] + 0.2 * r.normal(size=600) < 0.8).astype(float))
+    got = forest.score(x)
+    for row, p in zip(x.tolist(), got.tolist(), strict=True):
+        z = forest.start
+        for node in forest.roots.tolist():
+            while forest.left[node] >= 0:
+                node = (forest.left if row[forest.feature[node]] <= forest.threshold[node] else forest.right)[node]
+            z += forest.value[node]
+        assert p == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-12)
+    assert got.min() < 0.5 < got.max()
+
+
+def test_very_long_texts(spark):
+    plain = " ".join(f"w{i}" for i in range(600_000))
+    rows = [(1, plain), (2, plain + "\n" + plain), (3, "#" * 4_000_000), (4, "a b c d e\n" * 200_000)]
+    got = {r.doc_id: tuple(r)[1:7] for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), None).collect()}
+    chars = sum(len(f"w{i}") for i in range(600_000))
+    assert got == {1: (600_000, chars, 0, 0, 0, False), 2: (1_200_000, 2 * chars, 0, 1, 1_200_000, True), 3: (1, 4_000_000, 4_000_000, 0, 0, True), 4: (1_000_000, 1_000_000, 0, 199_999, 1_000_000, True)}
+
+
 @pytest.mark.parametrize("kinds", [2, 1, 0])
 def test_training_nulls_empty(spark, kinds):
     good = [(i, " ".join(f"word{(i * 7 + k * k) % 97}" for k in range(30)) + ".") for i in range(80)]

@@ -37,6 +37,12 @@ def test_rules_equal_brute_force(spark):
     assert find_secrets(docs.where("false"), np.zeros(65536)).count() == 0
 
 
+def test_very_long_texts(spark):
+    rows = [(1, "word " * 600_000 + "token=abcdefgh " + "é" * 500_000 + " AKIA" + "Q" * 16 + " " + "0123456789abcdef" * 100_000), (2, "g" * 3_000_000), (3, "token=" * 300_000)]
+    got = find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), np.zeros(65536)).collect()
+    assert sorted((r.doc_id, [r.n_assign, r.n_access, r.n_hex], r.base_sha256, r.spans) for r in got) == [(i, *brute(t)) for i, t in rows]
+
+
 def test_markov_adds_spans_and_mask_takes_all(spark):
     r = random.Random(4)
     words = "configuration_of_the_parser internationalisation run.this.function-name".split()
