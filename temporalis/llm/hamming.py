@@ -86,7 +86,8 @@ def _search(wanted: DataFrame, codes: DataFrame, m: int, k: int, bits: int) -> D
         both = F.col("q").bitwiseXOR(F.col("code"))
         # a pair counts in the step that sees it first
         first = reduce(lambda x, y: x & y, [F.bit_count(_segment(both, j, width)) >= (radius + 1 if j < i else radius) for j in range(m) if j != i], F.lit(True))
-        seen = probes.join(index.where(F.col("segment") == i), "key").where(first).select("q", "code", F.bit_count(both).alias("distance"), "least", "n")
+        # Spark takes the exploded probes for no larger than the queries, and would broadcast them
+        seen = probes.hint("merge").join(index.where(F.col("segment") == i), "key").where(first).select("q", "code", F.bit_count(both).alias("distance"), "least", "n")
         ranked = stored(_first_codes(seen if best is None else seen.unionByName(best), k), "best")
         best = ranked.select("q", "code", "distance", "least", "n")
         kth = ranked.groupBy("q").agg(F.min(F.when(F.col("upto") >= k, F.col("distance"))).alias("kth"))
