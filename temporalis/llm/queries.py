@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .counts import token_counts
 from .hamming import comparison_code, top_k
 from .huffman import read_ids, tokenised, write_ids
 from .langid import predict_languages, train_languages
@@ -106,6 +107,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), literal=False)
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 OP6_SQL = """
 with c as materialized (
   select vec_id as id, list_sum(list_transform(range(1, 33), lambda i: case when embedding[i] > embedding[i + 32] then 1::bigint << (i - 1)::int else 0 end))::bigint as code
@@ -143,6 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_packing": op10_packing,
+        "op13_token_counts": op13_token_counts,
     }
 
 
