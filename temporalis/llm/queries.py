@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import clustered, with_inertia
 from .counts import token_counts
 from .hamming import comparison_code, top_k
 from .huffman import read_ids, tokenised, write_ids
@@ -107,6 +108,38 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), literal=False)
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_inertia(*clustered(_table(spark, sf_dir, "embeddings")))
+
+
+def _op11_sql(k: int = 16, rounds: int = 3) -> str:
+    """A group of common tables a round: nearest centroids n, means m, centroids c."""
+    far = "list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint"
+    near = f"select i, q, c, d from (select v.i, v.q, c.c, {far} as d from v, c{{r}} c) qualify row_number() over (partition by i order by d, c) = 1"
+    text = f"""
+with v as materialized (
+  select row_number() over (order by vec_id, embedding) as i, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as q from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64
+),
+c0 as materialized (
+  select (row_number() over (order by sha256('1:' || vec_id), vec_id, q) - 1)::int as c, q from v where vec_id is not null qualify c < {k}
+)"""
+    for r in range(rounds):
+        text += f""",
+n{r} as materialized ({near.format(r=r)}),
+m{r} as materialized (
+  select c, list(case when s < 0 then -((n - 1 - s) // n) else s // n end order by j) as q from (
+    select c, j, sum(q[j])::bigint as s, count(*) as n from n{r}, (select unnest(range(1, 65)) as j) group by c, j) group by c
+),
+c{r + 1} as materialized (select a.c, coalesce(m.q, a.q)::bigint[] as q from c{r} a left join m{r} m using (c))"""
+    return text + f""",
+a as materialized (select v.vec_id, f.c, f.d from ({near.format(r=rounds)}) f join v using (i)),
+s as (select c, sum(d)::bigint as own from a group by c)
+select vec_id, c as cluster, d as distance, own as cluster_inertia, (select sum(d)::bigint from a) as inertia, sha256(array_to_string(z.q, ',')) as centroid_sha256
+from a join s using (c) join c{rounds} z using (c)
+"""
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -148,6 +181,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_packing": op10_packing,
+        "op11_centroid_clusters": op11_centroid_clusters,
         "op13_token_counts": op13_token_counts,
     }
 
@@ -157,4 +191,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_hamming_top_k": OP6_SQL,
         "op7_warc": OP7_SQL,
         "op9_near_duplicates": OP9_SQL,
+        "op11_centroid_clusters": _op11_sql(),
     }
