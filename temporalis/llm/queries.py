@@ -20,6 +20,7 @@ from .secrets import find_secrets, train_secrets
 from .shared import scratch_path
 from .tokens import tokenizer_path
 from .toxicity import score_toxicity, train_toxicity
+from .trie import own_turns, prefix_trie, rebuilt
 from .warc import read_warc, write_warc
 
 #: Words and 5-word sets as the contracts define them, for the SQL forms.
@@ -140,6 +141,37 @@ from a join s using (c) join c{rounds} z using (c)
 """
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt(own_turns(_table(spark, sf_dir, "conversations"))))
+
+
+_CRC = """xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, len(conv_id::varchar) + 1), lambda i: ord(substr(conv_id::varchar, i, 1))::bigint)),
+    lambda a, x: list_reduce(list_concat([xor(a, x)], range(8)), lambda y, k: case when y % 2 = 1 then xor(y // 2, 3988292384) else y // 2 end)), 4294967295)"""
+OP12_SQL = f"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+o as materialized (
+  select conv_id, {_CRC} % 6 as h, list({{'role': role, 'text': text}} order by turn nulls first, sha256(length(role)::varchar || ':' || role || text)) as ts from t group by conv_id
+),
+r as materialized (select a.conv_id, list_concat(coalesce(b.ts[1:a.h], []), a.ts[a.h + 1:]) as ts from o a left join o b on b.conv_id = a.conv_id - a.conv_id % 100),
+p as materialized (
+  select conv_id, d, d = len(ts) as ends, case when d > 0 then length(ts[d].text) else 0 end as size, sha256(to_json(ts[1:d])::varchar) as key, case when d > 0 then sha256(to_json(ts[1:d - 1])::varchar) end as up
+  from r, unnest(range(0, len(ts) + 1)) as u(d)
+),
+n as materialized (
+  select key, any_value(d) as depth, any_value(up) as up, any_value(size) as size, min(conv_id) as conv_id, count(*) as n,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256
+  from p group by key
+),
+c as materialized (select up as key, count(*) as n_children from n where up is not null group by up),
+s as materialized (
+  select p.key, count(*) filter (c.key is null) as n_leaves, sum((n.n - 1) * n.size)::bigint as saved_tokens
+  from n join p on p.conv_id = n.conv_id and p.d <= n.depth left join c on c.key = n.key group by p.key
+)
+select n.conv_id, n.depth, m.conv_id as parent_conv_id, n.n as n_convs, coalesce(c.n_children, 0) as n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+from n join s using (key) left join c using (key) left join n m on m.key = n.up
+"""
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -182,6 +214,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_duplicates": op9_near_duplicates,
         "op10_packing": op10_packing,
         "op11_centroid_clusters": op11_centroid_clusters,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_token_counts": op13_token_counts,
     }
 
@@ -192,4 +225,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": OP7_SQL,
         "op9_near_duplicates": OP9_SQL,
         "op11_centroid_clusters": _op11_sql(),
+        "op12_prefix_trie": OP12_SQL,
     }
