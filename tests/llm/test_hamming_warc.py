@@ -39,6 +39,23 @@ def test_top_k_equals_brute_force(spark, monkeypatch, bits, k, masks):
     assert top_k(df.where("false"), df, k, bits).count() == 0 and top_k(df, df.where("false"), k, bits).count() == 0
 
 
+def test_ids_with_several_codes(spark):
+    r = random.Random(8)
+    for n, each, k, near in ((20, 5, 4, 3), (60, 4, 5, 6)):
+        q = r.getrandbits(32)
+        rows = [(i, q ^ sum(1 << b for b in r.sample(range(32), r.randint(0, near)))) for i in range(n) for _ in range(each)]
+        queries = [(0, q), (1, r.getrandbits(32)), (1, q ^ 1)]  # a query of two codes
+        frame = lambda x: spark.createDataFrame(x, "id long, code long")
+        got = sorted(map(tuple, top_k(frame(rows), frame(queries), k).collect()))
+        want = []
+        for name in (0, 1):
+            least: dict = {}
+            for i, c in rows:
+                least[i] = min([least.get(i, 99), *((c ^ code).bit_count() for n, code in queries if n == name)])
+            want += [(name, nth, i, d) for nth, (d, i) in enumerate(sorted((d, i) for i, d in least.items())[:k], 1)]
+        assert got == want and len(got) == 2 * k
+
+
 def test_codes(spark):
     rows = [([1.0, 5.0, 2.0, 4.0],), ([1.0, 5.0, 0.5, 6.0],), (None,), ([1.0],), ([1.0, None, 2.0, 3.0],)]
     got = [r[0] for r in spark.createDataFrame(rows, "v array<float>").select(comparison_code(F.col("v"), 2)).collect()]
