@@ -65,31 +65,138 @@ def sql(phi: Formula, series: str = "vars", t: str = "0", depth: int = 0) -> str
     raise TypeError(f"not a formula: {phi!r}")
 
 
+def extrema(x: np.ndarray, lo: int, hi: int, steps: int, pick: np.ufunc) -> np.ndarray:
+    """pick over x[t + lo : t + hi + 1] for the first steps t of x [step, series], in three passes whatever the width.
+
+    x is cut into blocks as wide as the window: any window is the end of one and the start of the next.
+    """
+    width = hi - lo + 1
+    own = x[lo : lo + steps + width - 1]
+    if width == 1:
+        return own
+    if steps == 1:
+        return pick.reduce(own, axis=0, keepdims=True)
+    size, n = own.shape
+    blocks = np.pad(own, ((0, -size % width), (0, 0))).reshape(-1, width, n)
+    fore, back = blocks.copy(), blocks
+    for k in range(1, width):  # a pass over all series of all blocks at once
+        pick(fore[:, k], fore[:, k - 1], out=fore[:, k])
+        pick(back[:, -1 - k], back[:, -k], out=back[:, -1 - k])
+    return pick(back.reshape(-1, n)[:steps], fore.reshape(-1, n)[width - 1 : width - 1 + steps])
+
+
+def until(left: np.ndarray, right: np.ndarray, lo: int, hi: int, steps: int, least: np.ufunc, most: np.ufunc) -> np.ndarray:
+    """Until at the first steps in one pass from the end, of left and right [step, series].
+
+    It holds as far as right does within the window, left holds up to lo, and from lo on left holds
+    until right does at any later step: where that is after hi, left holds at all steps before.
+    """
+    reach = np.empty(right.shape)
+    later = np.full(right.shape[1], np.nan)
+    for t in range(len(right) - 1, -1, -1):
+        later = reach[t] = np.fmax(right[t], np.where(np.isnan(later), np.nan, least(left[t], later)))
+    found, after = extrema(right, lo, hi, steps, most), reach[lo : lo + steps]
+    out = np.where(np.isnan(found) | np.isnan(after), np.nan, np.minimum(found, after))
+    return np.where(np.isnan(out), np.nan, least(out, extrema(left, 0, lo - 1, steps, least))) if lo else out
+
+
+class Graph:
+    """The distinct sub-formulas of a list of formulas, each evaluated once a batch and freed after its last use.
+
+    A threshold only shifts a value, and a negation turns least into most: so chains of negations
+    and windows over one variable are nodes without either (``_refer`` keeps sign and shift beside),
+    and formulas share them whatever their thresholds. Rounding keeps order, so values are the same.
+    """
+
+    def __init__(self, formulas: list[Formula], steps: int = 1):
+        self.steps = steps
+        self.nodes: list[tuple] = []
+        self._known: dict[tuple, int] = {}
+        self.roots = [self._refer(phi) for phi in formulas]
+        self._known.clear()
+        self.need = [0] * len(self.nodes)
+        self.uses = [0] * len(self.nodes)
+        for i, _, _ in self.roots:
+            self.need[i], self.uses[i] = steps, self.uses[i] + 1
+        for i in range(len(self.nodes) - 1, -1, -1):
+            kind, refs, lo, hi = self.nodes[i]
+            if kind == "x":
+                continue
+            for j, _, _ in refs:
+                self.need[j], self.uses[j] = max(self.need[j], self.need[i] + hi), self.uses[j] + 1
+
+    def _node(self, kind: str, refs: tuple, lo: int = 0, hi: int = 0) -> tuple[int, int, float]:
+        key = (kind, refs, lo, hi)
+        if key not in self._known:
+            self._known[key] = len(self.nodes)
+            self.nodes.append(key)
+        return self._known[key], 1, 0.0
+
+    def _refer(self, phi: Formula) -> tuple[int, int, float]:
+        """(node, sign, shift): the formula's value is sign * node + shift."""
+        match phi:
+            case Atom(v, c, lte):
+                i, _, _ = self._node("x", (v,))
+                return (i, -1, c) if lte else (i, 1, -c)
+            case Not(c):
+                i, sign, shift = self._refer(c)
+                return i, -sign, -shift
+            case And(a, b) | Or(a, b):
+                return self._node("and" if isinstance(phi, And) else "or", (self._refer(a), self._refer(b)))
+            case Globally(c, lo, hi) | Eventually(c, lo, hi):
+                i, sign, shift = self._refer(c)
+                j, _, _ = self._node("least" if isinstance(phi, Globally) == (sign > 0) else "most", ((i, 1, 0.0),), lo, hi)
+                return j, sign, shift
+            case Until(a, b, lo, hi):
+                return self._node("until", (self._refer(a), self._refer(b)), lo, hi)
+        raise TypeError(f"not a formula: {phi!r}")
+
+    def horizon(self) -> int:
+        return max(self.need, default=self.steps) - self.steps
+
+    def values(self, x: np.ndarray, absent: bool = False):
+        """(formula's place, robustness [steps, series]) of each formula as it is done, for x [variable, step, series].
+
+        With absent a NaN is a step without a value: windows pass over it, and over none but such are NaN.
+        """
+        least, most = (np.fmin, np.fmax) if absent else (np.minimum, np.maximum)
+        held: list[np.ndarray | None] = [None] * len(self.nodes)
+        left = list(self.uses)
+        wanted: dict[int, list[tuple[int, int, float]]] = {}
+        for place, (i, sign, shift) in enumerate(self.roots):
+            wanted.setdefault(i, []).append((place, sign, shift))
+
+        def moved(ref: tuple[int, int, float], n: int) -> np.ndarray:
+            i, sign, shift = ref
+            v = held[i][:n]
+            return v if (sign, shift) == (1, 0.0) else v + shift if sign > 0 else shift - v
+
+        for i, (kind, refs, lo, hi) in enumerate(self.nodes):
+            n = self.need[i]
+            if kind == "x":
+                held[i] = x[refs[0], :n]
+            elif kind in ("and", "or"):
+                a, b = (moved(r, n) for r in refs)
+                held[i] = (least if kind == "and" else most)(a, b)
+            elif kind == "until":
+                a, b = (moved(r, n + hi) for r in refs)
+                held[i] = until(a, b, lo, hi, n, least, most)
+            else:
+                held[i] = extrema(held[refs[0][0]], lo, hi, n, least if kind == "least" else most)
+            for place, sign, shift in wanted.get(i, ()):
+                yield place, moved((i, sign, shift), self.steps)
+                left[i] -= 1
+            for j in {r[0] for r in refs} if kind != "x" else ():
+                left[j] -= sum(r[0] == j for r in refs)
+                if not left[j]:
+                    held[j] = None
+            if not left[i]:
+                held[i] = None
+
+
 def trace(phi: Formula, x: np.ndarray, steps: int = 1) -> np.ndarray:
     """Robustness [series, t] at the first steps, of series x [series, variable, step]."""
-    match phi:
-        case Atom(v, c, lte):
-            own = x[:, v, :steps]
-            return c - own if lte else own - c
-        case Not(c):
-            return -trace(c, x, steps)
-        case And(a, b):
-            return np.minimum(trace(a, x, steps), trace(b, x, steps))
-        case Or(a, b):
-            return np.maximum(trace(a, x, steps), trace(b, x, steps))
-        case Globally(c, lo, hi) | Eventually(c, lo, hi):
-            inner = trace(c, x, steps + hi)[:, lo:]
-            windows = np.lib.stride_tricks.sliding_window_view(inner, hi - lo + 1, axis=1)
-            return windows.min(axis=2) if isinstance(phi, Globally) else windows.max(axis=2)
-        case Until(a, b, lo, hi):
-            left, right = trace(a, x, steps + hi), trace(b, x, steps + hi)
-            out, so_far = np.full((len(x), steps), -np.inf), np.full((len(x), steps), np.inf)
-            for k in range(hi + 1):
-                if k >= lo:
-                    out = np.maximum(out, np.minimum(right[:, k : k + steps], so_far))
-                so_far = np.minimum(so_far, left[:, k : k + steps])
-            return out
-    raise TypeError(f"not a formula: {phi!r}")
+    return next(v for _, v in Graph([phi], steps).values(np.moveaxis(x, 0, 2))).T
 
 
 def features(panel: DataFrame, formulas: list[Formula], steps: int, vectorised: bool | None = None) -> DataFrame:
@@ -102,12 +209,15 @@ def features(panel: DataFrame, formulas: list[Formula], steps: int, vectorised:
     ship(panel.sparkSession)
 
     def evaluate(batches):
+        graph = Graph(formulas)
         for b in batches:
             n = b.num_rows
             lists = b.column(3)
             x = lists.flatten().flatten().to_numpy(zero_copy_only=False).reshape(n, -1, steps) if n else np.zeros((0, 1, steps))
-            rho = np.stack([trace(phi, x)[:, 0] for phi in formulas], axis=1) if formulas else np.zeros((n, 0))
-            feats = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(formulas), pa.int32()), pa.array(rho.ravel()))
+            rho = np.empty((len(formulas), n))
+            for place, own in graph.values(np.ascontiguousarray(np.moveaxis(x, 0, 2))):
+                rho[place] = own[0]
+            feats = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(formulas), pa.int32()), pa.array(rho.T.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), feats], names=["series_id", "label", "split", "feats"])
 
     return panel.select("series_id", "label", "split", "vars").mapInArrow(evaluate, "series_id long, label string, split string, feats array<double>")
@@ -118,13 +228,3 @@ def long_features(feats: DataFrame) -> DataFrame:
     return feats.select("series_id", "label", "split", F.posexplode("feats").alias("formula_id", "rho"))
 
 
-def window_trace(long: DataFrame, phi: Formula) -> DataFrame:
-    """(series_id, t, rho) of G or F of an atom at every step, by a window frame; cut short at the end."""
-    from pyspark.sql import Window
-
-    if not isinstance(phi, Globally | Eventually) or not isinstance(phi.child, Atom):
-        raise ValueError("a window trace takes G or F of an atom")
-    atom, pick = phi.child, F.min if isinstance(phi, Globally) else F.max
-    rho = F.lit(atom.threshold) - F.col("x") if atom.lte else F.col("x") - F.lit(atom.threshold)
-    frame = Window.partitionBy("series_id").orderBy("t").rowsBetween(phi.lo, phi.hi)
-    return long.where(F.col("var") == atom.var).select("series_id", "t", pick(rho).over(frame).alias("rho"))

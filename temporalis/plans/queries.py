@@ -13,8 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.formula import And, Atom, Eventually, Globally, Not, Or, Until, horizon, variables
-from ..functions.robustness import column, features, long_features, sql, window_trace
+from ..functions.formula import And, Atom, Eventually, Globally, Not, Or, Sampler, Until, horizon, variables
+from ..functions.robustness import column, features, long_features, sql
+from ..functions.traces import block_traces, trace_sql, window_trace
 from ..operators import analytics, bank, classify, explain, scale
 from ..session import cut, r6, shared_dir
 from ..sources import panels, results, sinks
@@ -36,6 +37,10 @@ ONE = {
     "atom_ge": Atom(0, 0.1), "atom_le": Atom(0, 0.1, True), "stl_not": BANK[6], "stl_and": BANK[4], "stl_or": BANK[5], "stl_globally": BANK[0], "stl_eventually": BANK[1], "stl_until": BANK[7], "stl_nested_gf": BANK[2], "stl_nested_fg": BANK[3],
 }
 MULTI = And(Globally(Or(Atom(0, 40.0, True), Atom(1, 1.0)), 0, 20), Eventually(And(Atom(2, 5.0), Not(Atom(3, 30.0))), 3, 28))
+#: Formulas over the daily events, some of whose windows pass the end of a series.
+EVENT_BANK = [MULTI, Until(Atom(0, 60.0, True), And(Atom(1, 2.0), Not(Atom(4, 30.0))), 2, 11), Not(Until(Not(Atom(2, 1.0)), Atom(3, 20.0), 0, 25)), Eventually(Globally(Or(Atom(2, 3.0), Atom(0, 1.0, True)), 1, 4), 0, 40)]
+#: Formulas drawn as a bank draws them.
+SAMPLED = 100
 TOP, POOL, LIMIT, CORR = 3, 4, 0.75, 0.9
 
 # Text shared by the SQL forms: each entry is one common table.
@@ -251,9 +256,17 @@ def _all() -> dict[str, Query]:
     add("stl_trace", lambda f: _rounded(window_trace(panels.embeddings(f.spark, f.dir), Globally(Atom(0, 0.05), 2, 9)), "rho"), _sql("emb embl", f"select series_id, t, {_r('min(x - 0.05) over (partition by series_id order by t rows between 2 following and 9 following)')} as rho from embl"))
     pct = lambda c: F.percentile("rho", c)
     add("stl_trace_quantiles", lambda f: window_trace(panels.embeddings(f.spark, f.dir), Eventually(Atom(0, 0.05), 0, 5)).groupBy("series_id").agg(r6(pct(0.25)).alias("q25"), r6(pct(0.5)).alias("q50"), r6(pct(0.75)).alias("q75")), _sql("emb embl", f"select series_id, {', '.join(_r(f'quantile_cont(rho, {p})') + f' as q{int(100 * p)}' for p in (0.25, 0.5, 0.75))} from (select series_id, max(x - 0.05) over (partition by series_id order by t rows between current row and 5 following) as rho from embl) group by series_id"))
+    for name, phi, table in (("stl_trace_nested", And(BANK[2], Not(BANK[3])), "emb embl"), ("stl_trace_until", BANK[7], "emb embl"), ("stl_trace_multivar", Not(EVENT_BANK[1]), "evtc evtl")):
+        add(name, lambda f, phi=phi, table=table: _rounded(window_trace(panels.embeddings(f.spark, f.dir) if table == "emb embl" else f.events(), phi), "rho"), _sql(table, f"select series_id, t, {_r('rho')} as rho from ({trace_sql(phi, table.split()[1])})"))
+    blocks = lambda f, **how: block_traces(f.events(), EVENT_BANK, **how).select("series_id", "t", F.posexplode("rhos").alias("formula_id", "rho"))
+    by_sql = " union all ".join(f"select series_id, t, {j} as formula_id, rho from ({trace_sql(p, 'evtl')})" for j, p in enumerate(EVENT_BANK))
+    add("stl_trace_blocks", lambda f: _rounded(blocks(f, block=7), "rho"), _sql("evtc evtl", f"select series_id, t::bigint as t, formula_id, {_r('rho')} as rho from ({by_sql})"))
+    add("feature_matrix_blocks", lambda f: _rounded(blocks(f, first_only=True).drop("t"), "rho"), _sql("evtc evtl", f"select series_id, formula_id, {_r('rho')} as rho from ({by_sql}) where t = 0"))
     add("horizon_pruned", lambda f: panels.embeddings(f.spark, f.dir).where(F.col("t") <= horizon(BANK[0])).groupBy("series_id").agg(r6(F.min(F.col("x") + 0.25)).alias("rho")), _sql("emb embl", f"select series_id, {_r('min(x + 0.25)')} as rho from embl where t <= {horizon(BANK[0])} group by series_id"))
     add("feature_matrix_long", lambda f: _rounded(f.feat(), "rho"), _sql("emb feat", f"select series_id, label, split, formula_id, {_r('rho')} as rho from feat"))
     add("feature_matrix_vectorised", lambda f: _rounded(long_features(features(f.emb(), BANK, STEPS, vectorised=True)), "rho"), _sql("emb feat", f"select series_id, label, split, formula_id, {_r('rho')} as rho from feat"))
+    drawn = Sampler([-0.3], [0.3], STEPS - 1, 3, 17, until_weight=1.0).sample(SAMPLED)
+    add("feature_matrix_sampled", lambda f: _rounded(long_features(features(f.emb(), drawn, STEPS)).select("series_id", "formula_id", "rho"), "rho"), _sql("emb", f"select series_id, unnest(range(0, {SAMPLED}))::int as formula_id, {_r('unnest([' + ', '.join(sql(p) for p in drawn) + '])')} as rho from emb"))
     add("feature_matrix_wide", lambda f: features(f.emb(), BANK, STEPS).select("series_id", *[r6(F.get("feats", F.lit(j))).alias(f"f{j}") for j in range(len(BANK))]), _sql("emb", "select series_id, " + ", ".join(f"{_r(sql(p))} as f{j}" for j, p in enumerate(BANK)) + " from emb"))
     # bank
     add("center_features", lambda f: _rounded(bank.centred(f.feat()).select("series_id", "split", "formula_id", "rho"), "rho"), _sql("emb feat deltas", f"select series_id, split, formula_id, {_r('rho + delta')} as rho from feat join deltas using (formula_id)"))
