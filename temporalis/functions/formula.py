@@ -6,6 +6,7 @@ counting as +inf. ``horizon`` is the last step that the value at step 0 looks at
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -159,6 +160,61 @@ def simplify(phi: Formula) -> Formula:
     return phi
 
 
+_TOKEN = re.compile(r"\s*(?:(x)(\d+)\s*(>=|<=)\s*([-+]?(?:\d+\.?\d*(?:e[-+]?\d+)?|inf))|([GFU])\[(\d+),(\d+)\]|([!&|()]))")
+
+
+def parse(text: str) -> Formula:
+    """Read a formula as ``str`` writes it. Without brackets, ! and windows bind most, then U, &, and |; like ones from the left."""
+    tokens, at = [], 0
+    while at < len(text.rstrip()):
+        found = _TOKEN.match(text, at)
+        if not found:
+            raise ValueError(f"no formula at place {at}: {text}")
+        tokens.append(found.groups())
+        at = found.end()
+    place = 0
+
+    def sign() -> str | None:
+        """The mark or window letter at this place."""
+        return tokens[place][7] or tokens[place][4] if place < len(tokens) else None
+
+    def take(wanted: str | None = None) -> tuple:
+        nonlocal place
+        if place == len(tokens) or (wanted and sign() != wanted):
+            raise ValueError(f"{wanted or 'a formula'} is missing: {text}")
+        place += 1
+        return tokens[place - 1]
+
+    def single() -> Formula:
+        t = take()
+        if t[0]:
+            return Atom(int(t[1]), float(t[3]), t[2] == "<=")
+        if t[7] == "!":
+            return Not(single())
+        if t[7] == "(":
+            inner = joined(0)
+            take(")")
+            return inner
+        if t[4] in ("G", "F"):
+            return (Globally if t[4] == "G" else Eventually)(single(), int(t[5]), int(t[6]))
+        raise ValueError(f"a formula is missing: {text}")
+
+    def joined(level: int) -> Formula:
+        if level == 3:
+            return single()
+        out = joined(level + 1)
+        while sign() == "|&U"[level]:
+            t = take()
+            right = joined(level + 1)
+            out = Until(out, right, int(t[5]), int(t[6])) if level == 2 else (Or, And)[level](out, right)
+        return out
+
+    whole = joined(0)
+    if place < len(tokens):
+        raise ValueError(f"more than a formula: {text}")
+    return whole
+
+
 class Sampler:
     """Random formulas; thresholds lie within each variable's bounds, horizons within t_max."""
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .formula import And, Atom, Eventually, Formula, Globally, Not, Or, Until, horizon
+from .formula import And, Atom, Eventually, Formula, Globally, Not, Or, Until, horizon, parse
 
 
 def check_horizon(phi: Formula, steps: int) -> None:
@@ -223,6 +223,47 @@ def features(panel: DataFrame, formulas: list[Formula], steps: int, vectorised:
     return panel.select("series_id", "label", "split", "vars").mapInArrow(evaluate, "series_id long, label string, split string, feats array<double>")
 
 
+#: Formulas that a worker keeps parsed.
+PARSED = 10_000
+_graphs: dict[str, Graph] = {}
+
+
+def robustness_of(series: pa.Array, texts: pa.Array) -> pa.Array:
+    """Robustness at step 0 of each series (an array a variable) under the formula that its text tells.
+
+    Rows of one text and shape are evaluated side by side. Null where series, text or any value is null, or where the
+    variables differ in length; a formula that looks beyond its series, or at a variable that it lacks, is an error.
+    """
+    texts, rows = texts.to_pylist(), series.to_pylist()
+    groups: dict[tuple, list[int]] = {}
+    for i, (text, own) in enumerate(zip(texts, rows, strict=True)):
+        if text is not None and own and all(v is not None and len(v) == len(own[0]) and None not in v for v in own):
+            groups.setdefault((text, len(own), len(own[0])), []).append(i)
+    out = np.full(len(texts), np.nan)
+    for (text, count, steps), at in groups.items():
+        if text not in _graphs:
+            if len(_graphs) >= PARSED:
+                _graphs.clear()
+            _graphs[text] = Graph([parse(text)])
+        graph = _graphs[text]
+        if graph.horizon() >= steps or any(kind == "x" and refs[0] >= count for kind, refs, _, _ in graph.nodes):
+            raise ValueError(f"{text}: a series has {count} variables and {steps} steps")
+        x = np.ascontiguousarray(np.moveaxis(np.array([rows[i] for i in at]), 0, 2))
+        out[at] = next(v for _, v in graph.values(x))[0]
+    return pa.array(out, mask=np.isnan(out))
+
+
+def register_robustness(spark: SparkSession) -> None:
+    """The SQL function ``robustness(vars, formula)``: the formula is a column of texts."""
+    ship(spark)
+
+    @F.arrow_udf("double")
+    def robustness(series: pa.Array, texts: pa.Array) -> pa.Array:
+        return robustness_of(series, texts)
+
+    spark.udf.register("robustness", robustness)
+
+
 def long_features(feats: DataFrame) -> DataFrame:
     """One row (series_id, label, split, formula_id, rho) a series and formula."""
     return feats.select("series_id", "label", "split", F.posexplode("feats").alias("formula_id", "rho"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.formula import And, Atom, Eventually, Globally, Not, Or, Sampler, Until, horizon, variables
-from ..functions.robustness import column, features, long_features, sql
+from ..functions.robustness import column, features, long_features, register_robustness, sql
 from ..functions.traces import block_traces, trace_sql, window_trace
 from ..operators import analytics, bank, classify, explain, scale
 from ..session import cut, r6, shared_dir
@@ -265,6 +265,15 @@ def _all() -> dict[str, Query]:
     add("horizon_pruned", lambda f: panels.embeddings(f.spark, f.dir).where(F.col("t") <= horizon(BANK[0])).groupBy("series_id").agg(r6(F.min(F.col("x") + 0.25)).alias("rho")), _sql("emb embl", f"select series_id, {_r('min(x + 0.25)')} as rho from embl where t <= {horizon(BANK[0])} group by series_id"))
     add("feature_matrix_long", lambda f: _rounded(f.feat(), "rho"), _sql("emb feat", f"select series_id, label, split, formula_id, {_r('rho')} as rho from feat"))
     add("feature_matrix_vectorised", lambda f: _rounded(long_features(features(f.emb(), BANK, STEPS, vectorised=True)), "rho"), _sql("emb feat", f"select series_id, label, split, formula_id, {_r('rho')} as rho from feat"))
+
+    def by_text(f: Frames) -> DataFrame:
+        """Each series under each formula of a table of texts, in SQL."""
+        register_robustness(f.spark)
+        texts = f.spark.createDataFrame([(j, str(p)) for j, p in enumerate(BANK)], "formula_id int, formula string")
+        return f.spark.sql("select series_id, formula_id, formula, robustness(vars, formula) as rho from {emb}, {texts}", emb=f.emb(), texts=F.broadcast(texts))
+
+    said_bank = "[" + ", ".join(f"'{p}'" for p in BANK) + "]"
+    add("robustness_sql", lambda f: _rounded(by_text(f), "rho"), _sql("emb feat", f"select series_id, formula_id, {said_bank}[formula_id + 1] as formula, {_r('rho')} as rho from feat"))
     drawn = Sampler([-0.3], [0.3], STEPS - 1, 3, 17, until_weight=1.0).sample(SAMPLED)
     add("feature_matrix_sampled", lambda f: _rounded(long_features(features(f.emb(), drawn, STEPS)).select("series_id", "formula_id", "rho"), "rho"), _sql("emb", f"select series_id, unnest(range(0, {SAMPLED}))::int as formula_id, {_r('unnest([' + ', '.join(sql(p) for p in drawn) + '])')} as rho from emb"))
     add("feature_matrix_wide", lambda f: features(f.emb(), BANK, STEPS).select("series_id", *[r6(F.get("feats", F.lit(j))).alias(f"f{j}") for j in range(len(BANK))]), _sql("emb", "select series_id, " + ", ".join(f"{_r(sql(p))} as f{j}" for j, p in enumerate(BANK)) + " from emb"))

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from temporalis.functions.formula import And, Atom, Eventually, Globally, Not, Or, Sampler, Until, children, fold, horizon, shifted, simplify, variables
-from temporalis.functions.robustness import Graph, check_horizon, column, extrema, features, long_features, sql, trace
+from temporalis.functions.formula import And, Atom, Eventually, Globally, Not, Or, Sampler, Until, children, fold, horizon, parse, shifted, simplify, variables
+from temporalis.functions.robustness import Graph, check_horizon, column, extrema, features, long_features, register_robustness, sql, trace
 from temporalis.functions.traces import block_traces, trace_sql, window_trace
 
 
@@ -45,6 +45,31 @@ def test_numpy_equals_definition_and_shift_identity():
         assert trace(Not(Not(phi)), x)[:, 0] == pytest.approx(got)
 
 
+def test_text_is_read_back():
+    for phi in drawn(500, 11, v=12, steps=80):
+        for p in (phi, simplify(phi), shifted(phi, 1e-7), Or(phi, phi)):
+            assert parse(str(p)) == p and str(parse(str(p))) == str(p)
+    a, b, c = Atom(0, 1.0), Atom(1, -2.5e-7, True), Atom(10, float("inf"))
+    assert parse(" x0 >= 1 | x1<=-2.5e-07&x10 >= inf U[0,3] !x0 >= 1 ") == Or(a, And(b, Until(c, Not(a), 0, 3)))
+    assert parse("x0 >= 1 | x1 <= -2.5e-07 | x0 >= 1") == Or(Or(a, b), a) and parse("G[1,2]F[0,3] x0 >= 1") == Globally(Eventually(a, 0, 3), 1, 2)
+    for bad in ("", "x0", "x0 >= ", "(x0 >= 1", "x0 >= 1)", "G[1,2]", "x0 >= 1 &", "x0 > 1", "H[0,1](x0 >= 1)", "x0 >= 1 x0 >= 1", "U[0,1]"):
+        with pytest.raises(ValueError):
+            parse(bad)
+
+
+def test_robustness_in_sql(spark):
+    r = random.Random(3)
+    some = drawn(20, 8)
+    rows = [(i, [[r.uniform(-1, 1) for _ in range(9 + i % 2)] for _ in range(2)], str(some[i % 20])) for i in range(60)]
+    odd = [(100, None, "x0 >= 1"), (101, [[1.0]], None), (102, [[None, 1.0]], "x0 >= 1"), (103, [], "x0 >= 1"), (104, [[1.0], [1.0, 2.0]], "x0 >= 1")]
+    register_robustness(spark)
+    got = {x.i: x.rho for x in spark.sql("select i, robustness(v, text) as rho from {t}", t=spark.createDataFrame(rows + odd, "i int, v array<array<double>>, text string")).collect()}
+    assert got == {i: brute(some[i % 20], v) for i, v, _ in rows} | {i: None for i, *_ in odd}
+    for text in ("x5 >= 1", "G[0,9](x0 >= 1)", "x0 !"):
+        with pytest.raises(Exception, match="x5|G|no formula|missing|more"):
+            spark.sql("select robustness(array(array(1D)), {text})", text=text).collect()
+
+
 def test_columns_sql_and_numpy_agree(spark):
     import duckdb
 
