@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from . import path
 
 POINTS = 6
 PART_BYTES = 32 << 20
-#: Fits that run side by side.
+#: Paths that run side by side, and the duality gap that is near enough to compare penalties.
 FITS = 4
+FOLD_TOL = 1e-3
 
 
 def class_weights(rows: DataFrame) -> DataFrame:
@@ -31,17 +30,11 @@ def classes(rows: DataFrame) -> DataFrame:
     return rows.select("label").distinct().withColumn("class_idx", F.row_number().over(Window.orderBy("label")) - 1)
 
 
-def penalties(rows: DataFrame, points: int = POINTS) -> list[float]:
-    """A path of L1 penalties for rows (target, v): from just below the one that leaves no feature down to a 300th of it.
-
-    At zero weights the slope of a class's weight is the distance of its mean from that of all
-    classes, divided by their number; the means are a row a class.
-    """
-    each = [r.m.toArray() for r in rows.groupBy("target").agg(Summarizer.mean(F.col("v")).alias("m")).collect()]
-    std = rows.agg(Summarizer.std(F.col("v")).alias("s")).first().s.toArray()
-    slope = np.abs(np.array(each) - np.mean(each, axis=0))[:, std > 0] / (len(each) * std[std > 0])
-    top = float(slope.max()) if slope.size and slope.max() > 0 else 1.0
-    return [top * 10.0**x for x in np.linspace(-0.5, -2.5, points)]
+def penalties(data: path.Rows, points: int = POINTS) -> list[float]:
+    """L1 penalties from just below the one that leaves no weight down to a 300th of it."""
+    slopes = path.sums(data, np.zeros((data.classes, data.features)), np.zeros(0, dtype=int)).slopes
+    top = float(np.abs(slopes).max()) if slopes.size else 0.0
+    return [(top or 1.0) * 10.0**x for x in np.linspace(-0.5, -2.5, points)]
 
 
 def prototype_path(n: int, points: int = 20) -> list[float]:
@@ -49,27 +42,41 @@ def prototype_path(n: int, points: int = 20) -> list[float]:
     return [1.0 / (c * n) for c in np.logspace(-5, 1, points)]
 
 
-def train(feats: DataFrame, folds: int = 3, path: list[float] | None = None, seed: int = 0, standardised: bool = True) -> LogisticRegressionModel:
-    """L1 logistic regression without intercept, balanced; the penalty is chosen by stratified folds.
-
-    Each fit passes over its rows dozens of times: they are cut first, in parts of about PART_BYTES.
-    """
+def balanced_rows(feats: DataFrame, folds: int = 1) -> DataFrame:
+    """(class_idx, weight, feats, fold) of TRAIN, stored, in parts of about PART_BYTES: fits pass over them many times."""
     own = feats.where("split = 'TRAIN'")
     fold = (F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("series_id"), "series_id")) - 1) % folds
-    rows = own.withColumn("fold", fold).join(F.broadcast(classes(own)), "label").join(F.broadcast(class_weights(own).select("label", "weight")), "label")
-    rows = rows.select(F.col("class_idx").cast("double").alias("target"), "weight", F.col("fold").cast("int").alias("fold"), array_to_vector("feats").alias("v"))
+    rows = own.withColumn("fold", fold if folds > 1 else F.lit(0)).join(F.broadcast(classes(own)), "label").join(F.broadcast(class_weights(own).select("label", "weight")), "label")
     size = own.agg(F.sum(F.size("feats")).alias("n")).first().n or 0
-    rows = cut(rows.repartition(max(1, 8 * size // PART_BYTES)))
-    lr = LogisticRegression(featuresCol="v", labelCol="target", weightCol="weight", elasticNetParam=1.0, fitIntercept=False, family="multinomial", maxIter=60, standardization=standardised)
-    grid = ParamGridBuilder().addGrid(lr.regParam, path or penalties(rows)).build()
-    score = MulticlassClassificationEvaluator(labelCol="target", metricName="logLoss")
-    return CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=score, numFolds=folds, foldCol="fold", seed=seed, parallelism=FITS).fit(rows).bestModel
+    return cut(rows.select("class_idx", "weight", "feats", F.col("fold").cast("int").alias("fold")).repartition(max(1, 8 * size // PART_BYTES)))
+
+
+def train(feats: DataFrame, folds: int = 3, penalty_path: list[float] | None = None, standardised: bool = True) -> np.ndarray:
+    """Weights [class, feature] of balanced L1 logistic regression without intercept; the penalty is chosen by stratified folds.
+
+    Each fold's path is fitted on the other folds (FITS paths side by side) and read on its own;
+    the penalty of least mean loss is fitted on all rows, down the path to it.
+    """
+    rows = balanced_rows(feats, folds)
+    data = path.prepared(rows, standardised)
+    if not data.features:
+        return np.zeros((data.classes, 0))
+    wanted = sorted(penalty_path or penalties(data), reverse=True)
+    if folds > 1 and len(wanted) > 1:
+
+        def losses(k: int) -> list[float]:
+            rest = path.prepared(rows.where(F.col("fold") != k), standardised)._replace(classes=data.classes)
+            return path.held_out_loss(rows.where(F.col("fold") == k), path.l1_path(rest, wanted, tol=FOLD_TOL))
+
+        with ThreadPoolExecutor(FITS) as pool:
+            mean = np.mean(list(pool.map(losses, range(folds))), axis=0)
+        wanted = wanted[: int(mean.argmin()) + 1]
+    return path.l1_path(data, wanted)[-1].weights
 
 
-def coefficients(model: LogisticRegressionModel, spark) -> DataFrame:
+def coefficients(weights: np.ndarray, spark) -> DataFrame:
     """(class_idx, formula_id, w): small, a row a class and feature."""
-    w = model.coefficientMatrix.toArray()
-    return spark.createDataFrame([(i, j, float(w[i, j])) for i in range(w.shape[0]) for j in range(w.shape[1])], "class_idx int, formula_id int, w double")
+    return spark.createDataFrame([(i, j, float(weights[i, j])) for i in range(weights.shape[0]) for j in range(weights.shape[1])], "class_idx int, formula_id int, w double")
 
 
 def binary_expanded(coef: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def _fit(panel, long, steps, config: Config, seed: int):
     began = time.perf_counter()
     formulas, feats = bank.build_bank(panel, long, steps, config.n_formulas, config.batch_size, config.threshold_corr, config.max_iter, config.depth_max, config.only_temporal, config.until_weight, seed)
     middle = time.perf_counter()
-    model = classify.train(feats, config.cv, seed=seed)
+    model = classify.train(feats, config.cv)
     return formulas, feats, model, middle - began, time.perf_counter() - middle
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.formula import And, Atom, Eventually, Globally, Not, Or, Sampler, Until, horizon, variables
 from ..functions.robustness import column, features, long_features, register_robustness, sql
 from ..functions.traces import block_traces, trace_sql, window_trace
-from ..operators import analytics, bank, classify, explain, scale
+from ..operators import analytics, bank, classify, explain, path, scale
 from ..session import cut, r6, shared_dir
 from ..sources import panels, results, sinks
 from . import experiment
@@ -56,8 +56,10 @@ TABLES = {
       select l.user_id as series_id, l.label, case when l.user_id % 3 < 2 then 'TRAIN' else 'TEST' end as split, k.var, d.t, coalesce(c.x, 0.0) as x
       from lab l cross join kinds k cross join days d left join evtc c on c.user_id = l.user_id and c.event_type = k.event_type and c.dt = d.dt)""",
     "cust": f"""cust {_M} (
-      with cells as (select o_custkey, (year(o_orderdate) - 1995) * 4 + quarter(o_orderdate) - 1 as t, count(*)::double as n, sum(o_totalprice) as price from orders group by all),
-      grid as (select c_custkey, c_mktsegment, t::int as t from customer, unnest(range(0, 27)) as u(t))
+      with dated as (select o_custkey, year(o_orderdate) * 4 + quarter(o_orderdate) as q, o_totalprice from orders where o_orderdate is not null),
+      span as (select min(q) as a, max(q) as z from dated),
+      cells as (select o_custkey, (q - a)::int as t, count(*)::double as n, sum(o_totalprice) as price from dated, span group by all),
+      grid as (select c_custkey, c_mktsegment, t::int as t from customer, (select unnest(range(0, z - a + 1)) as t from span))
       select c_custkey as series_id, c_mktsegment as label, case when c_custkey % 3 < 2 then 'TRAIN' else 'TEST' end as split, var, g.t, case when var = 0 then coalesce(n, 0.0) else coalesce(price, 0.0) end as x
       from grid g left join cells c on c.o_custkey = g.c_custkey and c.t = g.t cross join (values (0), (1)) as v(var))""",
     "stats": f"stats {_M} (select var, avg(x) as mean, stddev_pop(x) as std from evtl where split = 'TRAIN' group by var)",
@@ -419,6 +421,13 @@ def _all() -> dict[str, Query]:
         means = long_features(feats).where("split = 'TRAIN'").groupBy("formula_id").agg(r6(F.avg("rho")).alias("train_mean"), F.count("*").alias("n"))
         return means.join(F.broadcast(about), "formula_id")
 
+    def l1_path(f: Frames) -> DataFrame:
+        """A row a penalty of the prototype's path: features with a weight, loss, and how far at most the objective is from its least."""
+        data = path.prepared(classify.balanced_rows(features(f.emb(), BANK, STEPS)), standardised=False)
+        fits = path.l1_path(data, classify.prototype_path(round(data.total)))
+        told = [(x.penalty, int((x.weights != 0).any(axis=0).sum()), x.loss, x.gap) for x in fits]
+        return f.spark.createDataFrame(told, "penalty double, n_nonzero int, loss double, gap double")
+
     def trained(f: Frames) -> DataFrame:
         feats = cut(features(f.emb(), BANK, STEPS))
         model = classify.train(feats)
@@ -428,6 +437,7 @@ def _all() -> dict[str, Query]:
         return _rounded(classify.report(classify.confusion(judged)), "precision", "recall", "f1")
 
     add("bank_built", sampled, None)
+    add("l1_path", l1_path, None)
     add("trained_report", trained, None)
     return q
 

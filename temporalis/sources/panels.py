@@ -40,11 +40,16 @@ def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quarterly_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long panel: each customer's number (0) and price (1) of orders by quarter from 1995 on, 27 of them."""
+    """Long panel: each customer's number (0) and price (1) of orders by quarter, from the table's first quarter to its last.
+
+    The grid of quarters is as long as the table's span of dates. Without any dated order it has no step.
+    """
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", ((F.year("o_orderdate") - 1995) * 4 + F.quarter("o_orderdate") - 1).alias("t"), "o_totalprice")
-    cells = o.groupBy(F.col("o_custkey").alias("c_custkey"), "t").agg(F.count("*").cast("double").alias("n"), F.sum("o_totalprice").alias("price"))
-    grid = c.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(26)))).join(cells, ["c_custkey", "t"], "left")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", (F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).alias("quarter"), "o_totalprice").where("quarter is not null")
+    span = o.agg(F.min("quarter").alias("first"), F.max("quarter").alias("last"))
+    cells = o.groupBy(F.col("o_custkey").alias("c_custkey"), "quarter").agg(F.count("*").cast("double").alias("n"), F.sum("o_totalprice").alias("price"))
+    steps = span.where("first is not null").select(F.posexplode(F.sequence("first", "last")).alias("t", "quarter"))
+    grid = c.crossJoin(F.broadcast(steps)).join(cells, ["c_custkey", "quarter"], "left")  # a row a quarter
     both = F.array(F.coalesce("n", F.lit(0.0)), F.coalesce("price", F.lit(0.0)))
     return grid.select(F.col("c_custkey").alias("series_id"), F.col("c_mktsegment").alias("label"), split_of(F.col("c_custkey")).alias("split"), "t", F.posexplode(both).alias("var", "x")).select("series_id", "label", "split", "var", "t", "x")
 
