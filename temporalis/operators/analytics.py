@@ -7,11 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import quantiles
+
 
 def quantile_box(long: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """(formula_id, vmin, vmax): linear quantiles of each feature over TRAIN."""
-    q = F.percentile("rho", F.array(F.lit(low), F.lit(high)))
-    return long.where("split = 'TRAIN'").groupBy("formula_id").agg(q.alias("q")).select("formula_id", F.get("q", F.lit(0)).alias("vmin"), F.get("q", F.lit(1)).alias("vmax"))
+    q = quantiles(long.where("split = 'TRAIN'"), ["formula_id"], "rho", [low, high])
+    return q.select("formula_id", F.get("q", F.lit(0)).alias("vmin"), F.get("q", F.lit(1)).alias("vmax"))
 
 
 def worst_case(contrib_d: DataFrame, box: DataFrame) -> DataFrame:
@@ -88,11 +90,66 @@ def abduce(gains: DataFrame) -> DataFrame:
     return gains.groupBy("series_id").applyInPandas(solve, "series_id long, picks array<int>, n_needed int")
 
 
-def separation(long: DataFrame, target: str) -> DataFrame:
-    """(formula_id, q_t, q_o, loss, delta): quartiles of the target and the others, and the best shift."""
-    own = F.col("label") == target
-    rows = long.where("split = 'TRAIN'").groupBy("formula_id").agg(F.percentile(F.when(own, F.col("rho")), 0.25).alias("q_t"), F.percentile(F.when(~own, F.col("rho")), 0.75).alias("q_o"))
-    return rows.select("formula_id", "q_t", "q_o", (-F.least("q_t", -F.col("q_o"))).alias("loss"), (-(F.col("q_t") + F.col("q_o")) / 2).alias("delta"))
+def _sides(long: DataFrame, classes: DataFrame) -> DataFrame:
+    """TRAIN rows (formula_id, target, own, rho): each row once for each class, as its own or one of the others."""
+    return long.where("split = 'TRAIN'").crossJoin(F.broadcast(classes.select(F.col("label").alias("target")))).select("formula_id", "target", (F.col("label") == F.col("target")).alias("own"), "rho")  # a row a class
+
+
+def separation(long: DataFrame, classes: DataFrame) -> DataFrame:
+    """(formula_id, target, q_t, q_o, loss, delta) of every class (label): the target's lower and the others' upper quartile, and the best shift.
+
+    A class without rows, or without others, has null quartiles.
+    """
+    both = quantiles(_sides(long, classes), ["formula_id", "target", "own"], "rho", [0.25, 0.75])
+    side = lambda own, i: F.max(F.when(F.col("own") == own, F.get("q", F.lit(i))))
+    rows = both.groupBy("formula_id", "target").agg(side(True, 0).alias("q_t"), side(False, 1).alias("q_o"))
+    return rows.select("formula_id", "target", "q_t", "q_o", (-F.least("q_t", -F.col("q_o"))).alias("loss"), (-(F.col("q_t") + F.col("q_o")) / 2).alias("delta"))
+
+
+def diagnostics(long: DataFrame, reparam: DataFrame) -> DataFrame:
+    """(formula_id, target, med_target, med_others, satisfied, violated) of re-thresholded formulas over TRAIN."""
+    sides = _sides(long, reparam.select(F.col("target").alias("label")).distinct()).join(F.broadcast(reparam), ["formula_id", "target"])  # a row a formula and class
+    sides = sides.select("formula_id", "target", "own", (F.col("sign") * F.col("rho") + F.col("delta")).alias("v"))
+    q = quantiles(sides, ["formula_id", "target", "own"], "v", [0.5])
+    side = lambda own: F.max(F.when(F.col("own") == own, F.get("q", F.lit(0))))
+    share = lambda own, on: F.avg(F.when(F.col("own") == own, on.cast("double")))
+    n = sides.groupBy("formula_id", "target").agg(share(True, F.col("v") > 0).alias("satisfied"), share(False, F.col("v") <= 0).alias("violated"))
+    return q.groupBy("formula_id", "target").agg(side(True).alias("med_target"), side(False).alias("med_others")).join(n, ["formula_id", "target"])
+
+
+def shift_bounds(long: DataFrame) -> DataFrame:
+    """(formula_id, half): how far shifts are looked for, twice the spread from the 5 % to the 95 % quantile over TRAIN."""
+    q = quantiles(long.where("split = 'TRAIN'"), ["formula_id"], "rho", [0.05, 0.95])
+    return q.select("formula_id", (2 * (F.get("q", F.lit(1)) - F.get("q", F.lit(0)) + 1e-6)).alias("half"))
+
+
+def searched_shifts(long: DataFrame, coef: DataFrame, classes: DataFrame, points: int = 201) -> DataFrame:
+    """The older prototype's re-thresholding of every formula for every class.
+
+    coef (formula_id, target, w) has the weight of each: a formula of negative weight is negated. The
+    loss, minus the lesser of the target's lower quartile and minus the others' upper one, is read on a grid of shifts
+    (first least), then taken to its least between the neighbours of that point: it falls with slope 1 and
+    rises with slope 1, so that least is where both sides meet, or the nearer bound. The prototype shifts below the
+    negation and doesn't turn the shift around: delta is added to a value, but taken from a negated one.
+    (formula_id, target, negated, best_k, delta, loss, med_target, med_others, satisfied, violated).
+    """
+    sides = _sides(long, classes).join(F.broadcast(coef.select("formula_id", "target", (F.col("w") < 0).alias("negated"))), ["formula_id", "target"])  # a row a formula and class
+    sides = sides.withColumn("rho", F.when(F.col("negated"), -F.col("rho")).otherwise(F.col("rho")))
+    both = quantiles(sides, ["formula_id", "target", "negated", "own"], "rho", [0.25, 0.5, 0.75])
+    side = lambda own, i: F.max(F.when(F.col("own") == own, F.get("q", F.lit(i))))
+    q = both.groupBy("formula_id", "target", "negated").agg(side(True, 0).alias("q_t"), side(False, 2).alias("q_o"), side(True, 1).alias("m_t"), side(False, 1).alias("m_o"))
+    q = q.join(F.broadcast(shift_bounds(long)), "formula_id").withColumn("step", 2 * F.col("half") / (points - 1))
+    way = F.when(F.col("negated"), -1).otherwise(1)
+    loss = lambda d: -F.least(F.col("q_t") + way * d, -(F.col("q_o") + way * d))
+    at = lambda k: -F.col("half") + F.col("step") * k
+    best = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.struct(F.round(loss(at(k)), 9).alias("loss"), k.alias("k")))).k
+    meet = -way * (F.col("q_t") + F.col("q_o")) / 2
+    q = q.withColumn("best_k", best).withColumn("delta", F.least(F.greatest(meet, at(F.col("best_k")) - F.col("step")), at(F.col("best_k")) + F.col("step")))
+    chosen = q.select("formula_id", "target", "delta")
+    n = sides.join(F.broadcast(chosen), ["formula_id", "target"]).groupBy("formula_id", "target").agg(
+        F.avg(F.when(F.col("own"), (F.col("rho") + way * F.col("delta") > 0).cast("double"))).alias("satisfied"), F.avg(F.when(~F.col("own"), (F.col("rho") + way * F.col("delta") < 0).cast("double"))).alias("violated")
+    )
+    return q.select("formula_id", "target", "negated", "best_k", "delta", loss(F.col("delta")).alias("loss"), (F.col("m_t") + way * F.col("delta")).alias("med_target"), (F.col("m_o") + way * F.col("delta")).alias("med_others")).join(n, ["formula_id", "target"])
 
 
 def density(values: DataFrame, points: int = 400) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .order import quantiles
 
 
 def contributions(long: DataFrame, coef: DataFrame, target: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def top_m_each(contrib: DataFrame, m: int) -> DataFrame:
 
 
 def class_medians(long: DataFrame) -> DataFrame:
-    return long.where("split = 'TRAIN'").groupBy("formula_id", "label").agg(F.median("rho").alias("med"))
+    return quantiles(long.where("split = 'TRAIN'"), ["formula_id", "label"], "rho", [0.5]).select("formula_id", "label", F.get("q", F.lit(0)).alias("med"))
 
 
 def reference_classes(medians: DataFrame) -> DataFrame:

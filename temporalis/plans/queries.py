@@ -348,13 +348,24 @@ def _all() -> dict[str, Query]:
     add("abduce_check", lambda f: analytics.abduce(gains(f)).select("series_id", "n_needed"), _sql("emb feat coef box", f"select series_id, coalesce(n, -1)::int as n_needed from {needed}"))
     add("verified_margins", lambda f: _rounded((lambda g: analytics.verified_margins(g, analytics.prefix_picks(g)))(gains(f)), "margin"), _sql("emb feat coef box", f"select series_id, 4 as competitor, {_r('coalesce(total, 0.0) - lb')} as margin, coalesce(total, 0.0) >= lb as secured from {needed} left join (select series_id, k as n, total from {ranked}) using (series_id, n)"))
     add("sufficiency_zero", lambda f: classify.predictions(_rounded(classify.scores(test(f).join(explain.top_m(f.contrib(), POOL).select("series_id", "formula_id"), ["series_id", "formula_id"], "left_semi"), f.coef()), "score")).join(f.pred().select("series_id", F.col("class_idx").alias("own")), "series_id").select("series_id", (F.col("class_idx") == F.col("own")).alias("sufficient")), _sql(base + " topm", f"select series_id, s.class_idx = p.class_idx as sufficient from (select series_id, class_idx, row_number() over (partition by series_id order by {_r('sum(w * rho)')} desc, class_idx) as k from feat join topm using (series_id, formula_id) join coef using (formula_id) group by series_id, class_idx) s join pred p using (series_id) where k = 1"))
-    add("separation_loss", lambda f: _rounded(analytics.separation(f.feat(), "3"), "q_t", "q_o", "loss", "delta"), _sql("emb feat", f"select formula_id, {_r('qt')} as q_t, {_r('qo')} as q_o, {_r('-least(qt, -qo)')} as loss, {_r('-(qt + qo) / 2')} as delta from (select formula_id, quantile_cont(rho, 0.25) filter (label = '3') as qt, quantile_cont(rho, 0.75) filter (label <> '3') as qo from feat where split = 'TRAIN' group by formula_id)"))
-    halves = lambda f: f.feat().where("split = 'TRAIN'").groupBy("formula_id").agg((2 * (F.percentile("rho", 0.95) - F.percentile("rho", 0.05) + 1e-6)).alias("h"))
-    add("delta_grid", lambda f: halves(f).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(200)))).join(F.broadcast(analytics.separation(f.feat(), "3")), "formula_id").select("formula_id", "k", (-F.col("h") + 2 * F.col("h") * F.col("k") / 200).alias("g"), "q_t", "q_o").groupBy("formula_id").agg(F.min_by("k", F.struct(F.round(-F.least(F.col("q_t") + F.col("g"), -(F.col("q_o") + F.col("g"))), 9), "k")).alias("best_k")), _sql("emb feat", """select formula_id, k::int as best_k from (
-      select formula_id, k, row_number() over (partition by formula_id order by round(-least(qt + g, -(qo + g)), 9), k) as nth from (
-        select formula_id, k, qt, qo, -h + 2 * h * k / 200 as g from (select formula_id, 2 * (quantile_cont(rho, 0.95) - quantile_cont(rho, 0.05) + 1e-6) as h, quantile_cont(rho, 0.25) filter (label = '3') as qt, quantile_cont(rho, 0.75) filter (label <> '3') as qo from feat where split = 'TRAIN' group by formula_id), (select unnest(range(0, 201)) as k))) where nth = 1"""))
-    own = lambda: F.col("label") == F.col("target")
-    add("reparam_diagnostics", lambda f: f.feat().where("split = 'TRAIN'").join(F.broadcast(f.rep()), "formula_id").withColumn("v", explain.moved(F.col("rho"))).groupBy("formula_id", "target").agg(r6(F.median(F.when(own(), F.col("v")))).alias("med_target"), r6(F.median(F.when(~own(), F.col("v")))).alias("med_others"), r6(F.avg(F.when(own(), (F.col("v") > 0).cast("double")))).alias("satisfied"), r6(F.avg(F.when(~own(), (F.col("v") <= 0).cast("double")))).alias("violated")), _sql("emb feat med refs rep moved", f"select formula_id, target, {_r('median(rho) filter (label = target)')} as med_target, {_r('median(rho) filter (label <> target)')} as med_others, {_r('avg((rho > 0)::int) filter (label = target)')} as satisfied, {_r('avg((rho <= 0)::int) filter (label <> target)')} as violated from moved where split = 'TRAIN' group by all"))
+    kinds = lambda f: f.emb().select("label").distinct()
+    quarters = "(select f.formula_id, t.target, quantile_cont(rho, 0.25) filter (f.label = t.target) as qt, quantile_cont(rho, 0.75) filter (f.label <> t.target) as qo from feat f cross join (select distinct label as target from emb) t where f.split = 'TRAIN' group by all)"
+    add("separation_loss", lambda f: _rounded(analytics.separation(f.feat(), kinds(f)), "q_t", "q_o", "loss", "delta"), _sql("emb feat", f"select formula_id, target, {_r('qt')} as q_t, {_r('qo')} as q_o, {_r('-least(qt, -qo)')} as loss, {_r('-(qt + qo) / 2')} as delta from {quarters}"))
+    weighted = lambda f, w: f.coef().select("formula_id", F.col("class_idx").cast("string").alias("target"), w.alias("w"))
+
+    def shifts_sql(w: str, select: str) -> str:
+        """The prototype's search for weights w of coef, by its grid and where both sides of the loss meet."""
+        return _sql("emb feat coef", f"""select {select} from (
+      select *, case when negated then -1 else 1 end as way, greatest(least(-(case when negated then -1 else 1 end) * (qt + qo) / 2, g + 2 * h / 200), g - 2 * h / 200) as delta from (
+        select *, -h + 2 * h * k / 200 as g, row_number() over (partition by formula_id, target order by round(-least(qt + case when negated then -1 else 1 end * (-h + 2 * h * k / 200), -(qo + case when negated then -1 else 1 end * (-h + 2 * h * k / 200))), 9), k) as nth from (
+          select f.formula_id, t.target, t.negated, quantile_cont(v, 0.25) filter (own) as qt, quantile_cont(v, 0.75) filter (not own) as qo, median(v) filter (own) as mt, median(v) filter (not own) as mo, list(v) filter (own) as vt, list(v) filter (not own) as vo
+          from (select formula_id, class_idx::varchar as target, {w} < 0 as negated from coef) t join lateral (select f.formula_id, f.label = t.target as own, case when t.negated then -f.rho else f.rho end as v from feat f where f.formula_id = t.formula_id and f.split = 'TRAIN') f on true group by all)
+        join (select formula_id, 2 * (quantile_cont(rho, 0.95) - quantile_cont(rho, 0.05) + 1e-6) as h from feat where split = 'TRAIN' group by formula_id) using (formula_id), (select unnest(range(0, 201))::int as k)) where nth = 1)""")
+
+    add("delta_grid", lambda f: analytics.searched_shifts(f.feat(), weighted(f, F.lit(1.0)), kinds(f)).select("formula_id", "target", "best_k"), shifts_sql("1", "formula_id, target, k as best_k"))
+    found = ["delta", "loss", "med_target", "med_others", "satisfied", "violated"]
+    add("reparam_prototype", lambda f: _rounded(analytics.searched_shifts(f.feat(), weighted(f, F.col("w")), kinds(f)).drop("best_k"), *found), shifts_sql("w", f"formula_id, target, negated, {_r('delta')} as delta, {_r('-least(qt + way * delta, -(qo + way * delta))')} as loss, {_r('mt + way * delta')} as med_target, {_r('mo + way * delta')} as med_others, {_r('list_avg(list_transform(vt, lambda v: (v + way * delta > 0)::int))')} as satisfied, {_r('list_avg(list_transform(vo, lambda v: (v + way * delta < 0)::int))')} as violated"))
+    add("reparam_diagnostics", lambda f: _rounded(analytics.diagnostics(f.feat(), f.rep()), "med_target", "med_others", "satisfied", "violated"), _sql("emb feat med refs rep moved", f"select formula_id, target, {_r('median(rho) filter (label = target)')} as med_target, {_r('median(rho) filter (label <> target)')} as med_others, {_r('avg((rho > 0)::int) filter (label = target)')} as satisfied, {_r('avg((rho <= 0)::int) filter (label <> target)')} as violated from moved where split = 'TRAIN' group by all"))
     add("kde", lambda f: _rounded(analytics.density(f.feat().where("split = 'TRAIN' and formula_id = 1").select("label", F.col("rho").alias("x")), 50), "g", "density"), _sql("emb feat", f"""select v.label, k::int as k, {_r('g')} as g, {_r('avg(exp(-(((g - rho) / h) ** 2) / 2)) / (h * sqrt(2 * pi()))')} as density from (select label, rho from feat where split = 'TRAIN' and formula_id = 1) v
       join (select label, k, s * n ** -0.2 as h, a - 1 + (z - a + 2) * k / 49 as g from (select label, count(*)::double as n, stddev_samp(rho) as s, min(rho) as a, max(rho) as z from feat where split = 'TRAIN' and formula_id = 1 group by label), (select unnest(range(0, 50))::double as k)) t on v.label = t.label group by v.label, k, g, h"""))
     def all_pairs(f: Frames) -> DataFrame:
