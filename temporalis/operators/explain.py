@@ -6,10 +6,12 @@ re-thresholded formula is sign * rho + delta of the stored feature. Undefined me
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, ship
 from .order import quantiles
 
 
@@ -77,32 +79,80 @@ def moved(rho: Column) -> Column:
     return F.col("sign") * rho + F.col("delta")
 
 
-#: TRAIN series a row of words holds a bit of.
-BLOCK = 1 << 14
+#: Series that a row of words holds a bit of.
+BLOCK = 1 << 11
+#: Stands for no formula: its words hold every series, and those of the class.
+EVERY = -1
 
 
-def _words(rows: DataFrame, keys: list[str], on: Column, name: str) -> DataFrame:
-    """(keys, block, name): a bit for each series of a block, in words of 64, in order."""
-    bit = F.when(on, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("series_id", F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))
-    words = rows.groupBy(*keys, F.floor(F.col("series_id") / BLOCK).alias("block"), F.floor(F.col("series_id") / 64).alias("word")).agg(F.bit_or(bit).alias("w"))
-    return words.groupBy(*keys, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "w"))), lambda s: s.w).alias(name))
+def numbered(feats: DataFrame, split: str) -> DataFrame:
+    """The rows of a split with place: 0, 1, ... in order of series_id, whatever the ids are.
 
-
-def sign_words(long: DataFrame, reparam: DataFrame) -> DataFrame:
-    """(formula_id, target, block, words): for each TRAIN series a bit that tells whether the formula holds.
-
-    A row holds the words of BLOCK series, so rows don't grow with the panel; all formulas
-    have the same words. reparam has a row a formula and class.
+    Rows are range-sorted; a row a partition tells where each begins.
     """
-    rows = long.where("split = 'TRAIN'").join(F.broadcast(reparam), "formula_id")
-    return _words(rows, ["formula_id", "target"], moved(F.col("rho")) > 0, "words")
+    rows = feats.where(F.col("split") == split)
+    parts = int(feats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = cut(rows.repartitionByRange(parts, "series_id").sortWithinPartitions("series_id").withColumn("row", F.monotonically_increasing_id()))
+    part = F.shiftright("row", 33)
+    sizes = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    begin = sizes.select("part", (F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("first")).alias("move"))
+    return ordered.withColumn("part", part).join(F.broadcast(begin), "part").withColumn("place", F.col("row") + F.col("move")).drop("row", "part", "move")
+
 
+def block_words(feats: DataFrame, reparam: DataFrame, split: str) -> DataFrame:
+    """(formula_id, target, block, on, own): bits that tell for which series of a block a formula holds, and which of them are the target's.
 
-def class_words(labels: DataFrame) -> DataFrame:
-    """(target, block, class_words) in the same layout, of TRAIN series (series_id, label, split)."""
-    own = labels.where("split = 'TRAIN'").select("series_id", "label")
-    kinds = own.select(F.col("label").alias("target")).distinct()
-    return _words(own.crossJoin(F.broadcast(kinds)), ["target"], F.col("label") == F.col("target"), "class_words")
+    feats are packed rows; a block of BLOCK series is packed in one task, into M x K rows of BLOCK / 64 words.
+    reparam has a row a formula and class. A missing value doesn't hold.
+    """
+    ship(feats.sparkSession)
+    told = reparam.select("formula_id", "target", "sign", "delta").collect()  # a row a formula and class
+    targets = sorted({r.target for r in told})
+    count = max((r.formula_id for r in told), default=-1) + 1
+    sign, delta = np.zeros((count, len(targets))), np.full((count, len(targets)), np.nan)
+    for r in told:
+        sign[r.formula_id, targets.index(r.target)], delta[r.formula_id, targets.index(r.target)] = r.sign, r.delta
+    width = BLOCK // 64
+
+    def words(bits: np.ndarray) -> np.ndarray:
+        """[..., series] to [..., words]."""
+        return np.packbits(np.pad(bits, [*[(0, 0)] * (bits.ndim - 1), (0, BLOCK - bits.shape[-1])]), axis=-1, bitorder="little").view(np.int64)
+
+    def packed(block: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        at = (t.column("place").to_numpy() - block * BLOCK).astype(np.int64)
+        rho = np.full((count, BLOCK), np.nan)
+        rho[:, at] = t.column("feats").chunk(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), -1).T[:count]
+        there, label = np.zeros(BLOCK, dtype=bool), np.full(BLOCK, None, dtype=object)
+        there[at], label[at] = True, t.column("label").to_pylist()
+        of_class = np.array([there & (label == k) for k in targets]).reshape(len(targets), BLOCK)
+        on = [words(np.broadcast_to(there, of_class.shape))]
+        own = [words(of_class)]
+        for j in range(count):
+            holds = sign[j][:, None] * rho[j] + delta[j][:, None] > 0  # NaN doesn't
+            on.append(words(holds)), own.append(words(holds & of_class))
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange((count + 1) * len(targets) + 1, dtype=np.int32) * width), pa.array(np.concatenate(w).ravel())) for w in (on, own)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.arange(-1, count, dtype=np.int32), len(targets))), pa.array(targets * (count + 1)), pa.array(np.full((count + 1) * len(targets), block, dtype=np.int64)), *lists],
+            names=["formula_id", "target", "block", "on", "own"],
+        )
+
+    def pack(batches):
+        block, held = None, []
+        for b in batches:
+            blocks = b.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)] if len(blocks) else [0]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if held and blocks[lo] != block:
+                    yield packed(block, held)
+                    held = []
+                block = int(blocks[lo])
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield packed(block, held)
+
+    rows = numbered(feats, split).select(F.floor(F.col("place") / BLOCK).alias("block"), "place", "label", "feats")
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(pack, "formula_id int, target string, block long, on array<long>, own array<long>")
 
 
 def _ones(words: Column) -> Column:
@@ -113,36 +163,48 @@ def _both(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x.bitwiseAND(y))
 
 
-def greedy_picks(pool: DataFrame, words: DataFrame, of_class: DataFrame, pool_size: int, threshold: float) -> DataFrame:
+def greedy_picks(pool: DataFrame, words: DataFrame, pool_size: int, threshold: float) -> DataFrame:
     """(series_id, target, picks, precision, n_tp) for a pool (series_id, target, formula_id, rank).
 
     Every round adds the formula whose conjunction with those picked has the best TRAIN
     precision (the first by rank on ties), until it reaches the threshold or the pool is
-    empty. Picks depend on the target and the ordered pool alone: each distinct one is
-    worked on once. Series are counted block by block and only counts are gathered.
+    empty. What a set of picks holds for depends on the target and the set alone: pools with
+    the same set share one state, whose words and trials are worked out once. The first round has one state a
+    target and needs no words of its own. words should be stored (``block_words`` of TRAIN).
     """
-    own = cut(pool.groupBy("series_id", "target").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "formula_id"))), lambda s: s.formula_id).alias("order")))
+    own = cut(pool.groupBy("series_id", "target").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "formula_id"))), lambda s: s.formula_id.cast("int")).alias("order")))
     pools = cut(own.groupBy("target", "order").agg(F.min("series_id").alias("pool_id")))
-    left = pools.select("pool_id", "target", F.posexplode("order").alias("rank", "formula_id"))
-    tried = cut(words.join(F.broadcast(of_class), ["target", "block"]))
-    state = pools.select("pool_id", "target", F.array().cast("array<int>").alias("picks"), F.lit(-1.0).alias("precision"), F.lit(0).cast("long").alias("n_tp"))
-    so_far = of_class.select("target", "block", F.transform("class_words", lambda w: F.lit(-1).cast("long")).alias("so_far")).join(pools.select("pool_id", "target"), "target").select("pool_id", "block", "so_far")
-    finished = state.where("false")
+    left = pools.select("pool_id", F.posexplode("order").alias("rank", "formula_id"))
+    none = F.array().cast("array<int>")
+    at = pools.select("pool_id", "target", none.alias("held"), none.alias("picks"), F.lit(-1.0).alias("precision"), F.lit(0).cast("long").alias("n_tp"))
+    states, finished = None, at.where("false")
     for _ in range(pool_size):
-        more = state.select("pool_id", "picks").join(left, "pool_id").where(~F.array_contains("picks", F.col("formula_id").cast("int")))
-        now = more.join(so_far, "pool_id").join(tried, ["formula_id", "target", "block"]).select("pool_id", "target", "picks", "rank", "formula_id", _both(F.col("so_far"), F.col("words")).alias("now"), "class_words")
-        each = now.groupBy("pool_id", "target", "picks", "rank", "formula_id").agg(F.sum(_ones(F.col("now"))).alias("n"), F.sum(_ones(_both(F.col("now"), F.col("class_words")))).alias("tp"))
-        each = each.withColumn("p", F.coalesce(F.try_divide("tp", "n"), F.lit(0.0)))
-        best = each.groupBy("pool_id", "target", "picks").agg(F.min(F.struct((-F.col("p")).alias("m"), "rank", "formula_id", "tp")).alias("b"))
-        best = cut(best.select("pool_id", "target", F.concat("picks", F.array(F.col("b.formula_id").cast("int"))).alias("picks"), (-F.col("b.m")).alias("precision"), F.col("b.tp").alias("n_tp")))
-        spent = state.join(best.select("pool_id"), "pool_id", "left_anti")
-        finished = finished.unionByName(spent).unionByName(best.where(F.col("precision") >= threshold))
-        state = best.where(F.col("precision") < threshold)
-        if state.isEmpty():
+        more = at.select("pool_id", "target", "held").join(left, "pool_id").where(~F.array_contains("held", F.col("formula_id")))
+        if states is None:
+            tried = words.where(F.col("formula_id") != EVERY).withColumn("held", none).withColumns({"n": _ones(F.col("on")), "tp": _ones(F.col("own"))})
+        else:
+            trials = more.select("target", "held", "formula_id").distinct().join(states, ["target", "held"])
+            tried = trials.join(words, ["formula_id", "target", "block"]).withColumns({"n": _ones(_both(F.col("so_far"), F.col("on"))), "tp": _ones(_both(F.col("so_far"), F.col("own")))})
+        counts = tried.groupBy("target", "held", "formula_id").agg(F.sum("n").alias("n"), F.sum("tp").alias("tp"))
+        each = more.join(counts, ["target", "held", "formula_id"], "left").withColumn("p", F.coalesce(F.try_divide("tp", "n"), F.lit(0.0)))
+        best = each.groupBy("pool_id").agg(F.min(F.struct((-F.col("p")).alias("m"), "rank", "formula_id", F.coalesce("tp", F.lit(0)).alias("tp"))).alias("b"))
+        now = cut(at.join(best, "pool_id", "left"))
+        finished = finished.unionByName(now.where("b is null").drop("b"))
+        picked = F.col("b.formula_id")
+        moved_on = now.where("b is not null").select("pool_id", "target", F.array_sort(F.array_append("held", picked)).alias("held"), F.array_append("picks", picked).alias("picks"), (-F.col("b.m")).alias("precision"), F.col("b.tp").alias("n_tp"), F.col("held").alias("from"), picked.alias("added"))
+        finished = finished.unionByName(moved_on.where(F.col("precision") >= threshold).drop("from", "added"))
+        going = moved_on.where(F.col("precision") < threshold)
+        at = going.drop("from", "added")
+        if at.isEmpty():
             break
-        added = state.select("pool_id", "target", F.element_at("picks", -1).alias("formula_id"))
-        so_far = cut(so_far.join(added, "pool_id").join(words, ["formula_id", "target", "block"]).select("pool_id", "block", _both(F.col("so_far"), F.col("words")).alias("so_far")))
-    found = finished.unionByName(state).where("size(picks) > 0").join(pools.select("pool_id", "order"), "pool_id").drop("pool_id")
+        new = going.groupBy("target", "held").agg(F.min(F.struct("from", F.col("added").alias("formula_id"))).alias("s")).select("target", "held", "s.from", "s.formula_id")
+        on = new.join(words, ["formula_id", "target"])
+        if states is None:
+            on = on.select("target", "held", "block", F.col("on").alias("so_far"))
+        else:
+            on = on.join(states.withColumnRenamed("held", "from"), ["target", "from", "block"]).select("target", "held", "block", _both(F.col("so_far"), F.col("on")).alias("so_far"))
+        states = cut(on)
+    found = finished.unionByName(at).where("size(picks) > 0").select("pool_id", "picks", "precision", "n_tp").join(pools, "pool_id").drop("pool_id")
     return own.join(found, ["target", "order"]).select("series_id", "target", "picks", "precision", "n_tp")
 
 
@@ -151,18 +213,23 @@ def distinct_locals(local: DataFrame) -> DataFrame:
     return local.groupBy("target", F.array_sort("picks").alias("picks")).agg(F.min("series_id").alias("first_id"))
 
 
-def conjunction_values(long: DataFrame, picks: DataFrame, reparam: DataFrame) -> DataFrame:
-    """(target, pick_id, series_id, label, rho): least moved robustness over the formulas of each conjunction."""
-    each = picks.join(F.broadcast(reparam), ["formula_id", "target"])
-    return long.join(each, "formula_id").groupBy("target", "pick_id", "series_id", "label").agg(F.min(moved(F.col("rho"))).alias("rho"))
+def global_quality(words: DataFrame, picks: DataFrame) -> DataFrame:
+    """(target, n_pos, tp, n_class, precision, coverage, f1) of each class's disjunction of conjunctions; null where undefined.
+
+    words are those of TEST, picks (target, pick_id, formula_id) the conjunctions. Words meet by AND in a
+    conjunction (as many as it has picks), and by OR in its class, a word at a time; only counts leave.
+    """
+    each = picks.join(words, ["formula_id", "target"]).groupBy("target", "pick_id", "block").agg(F.collect_list("on").alias("all"))
+    holds = each.select("target", "block", F.posexplode(F.aggregate(F.slice("all", 2, F.size("all")), F.col("all")[0], lambda a, b: F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)))).alias("i", "w"))
+    any_of = holds.groupBy("target", "block", "i").agg(F.bit_or("w").alias("w"))
+    every = words.where(F.col("formula_id") == EVERY).join(picks.select("target").distinct(), "target").select("target", "block", F.posexplode("own").alias("i", "of_class"))
+    n = every.join(any_of, ["target", "block", "i"], "left").groupBy("target").agg(*[F.coalesce(F.sum(F.bit_count(c)), F.lit(0)).cast("long").alias(name) for c, name in ((F.col("w"), "n_pos"), (F.col("w").bitwiseAND(F.col("of_class")), "tp"), (F.col("of_class"), "n_class"))])
+    return qualities(n)
 
 
-def global_quality(values: DataFrame) -> DataFrame:
-    """(target, n_pos, tp, n_class, precision, coverage, f1) of each class's disjunction; null where undefined."""
-    any_of = values.groupBy("target", "series_id", "label").agg(F.max("rho").alias("rho"))
-    on, own = F.col("rho") > 0, F.col("label") == F.col("target")
-    n = any_of.groupBy("target").agg(F.count_if(on).alias("n_pos"), F.count_if(on & own).alias("tp"), F.count_if(own).alias("n_class"))
-    n = n.withColumn("precision", F.try_divide("tp", "n_pos")).withColumn("coverage", F.try_divide("tp", "n_class"))
+def qualities(counts: DataFrame) -> DataFrame:
+    """precision, coverage and f1 beside the counts (n_pos, tp, n_class)."""
+    n = counts.withColumn("precision", F.try_divide("tp", "n_pos")).withColumn("coverage", F.try_divide("tp", "n_class"))
     return n.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("coverage"), F.col("precision") + F.col("coverage")))
 
 

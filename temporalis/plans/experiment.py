@@ -98,7 +98,7 @@ def explain_run(panel: DataFrame, long: DataFrame, steps: int, config: Config) -
     chosen = {(r.formula_id, r.target): (r.sign, r.delta) for r in rep.collect()}  # a row a formula and class
     pool = explain.top_m(explain.contributions(rho.where("split = 'TEST'"), coef, pred), config.pool_size)
     pool = pool.join(pred.select("series_id", F.col("pred").alias("target")), "series_id").select("series_id", "target", "formula_id", "rank")
-    found = cut(explain.greedy_picks(pool, explain.sign_words(rho, rep), explain.class_words(feats), config.pool_size, config.precision_threshold))
+    found = cut(explain.greedy_picks(pool, cut(explain.block_words(feats, rep, "TRAIN")), config.pool_size, config.precision_threshold))
 
     @F.pandas_udf("string")
     def written(targets: pd.Series, picks: pd.Series) -> pd.Series:
@@ -111,7 +111,7 @@ def explain_run(panel: DataFrame, long: DataFrame, steps: int, config: Config) -
     local = found.withColumn("sorted", F.array_sort("picks")).join(texts, ["target", "sorted"])
     local = local.select(F.col("series_id").alias("sample_idx"), F.col("target").alias("target_class"), "formula", F.size("picks").alias("n_picks"), F.col("precision").alias("precision_train"), "n_tp")
     picks = distinct.select("target", F.col("first_id").alias("pick_id"), F.explode("picks").alias("formula_id"))
-    quality = explain.global_quality(explain.conjunction_values(rho.where("split = 'TEST'"), picks, rep)).select("target", "f1")
+    quality = explain.global_quality(cut(explain.block_words(feats, rep, "TEST")), picks).select("target", "f1")
     # a class's global explanation is one text, whatever its length
     parts = F.transform(F.array_sort(F.collect_list(F.struct("first_id", "formula"))), lambda x: x.formula)
     overall = distinct.groupBy("target").agg(F.array_join(parts, " | ").alias("formula"), F.count("*").alias("n"), F.min("first_id").alias("first_id"))

@@ -157,7 +157,7 @@ class Frames:
         return panels.packed_embeddings(self.spark, self.dir)
 
     def feat(self):
-        return self._kept.get("feat") or long_features(features(self.emb(), BANK, STEPS))
+        return long_features(self.packed())
 
     def coef(self):
         return self.spark.range(10).select(F.col("id").cast("int").alias("class_idx"), F.explode(F.sequence(F.lit(0), F.lit(len(BANK) - 1))).alias("formula_id")).withColumn("w", ((F.col("class_idx") * 7 + F.col("formula_id") * 3) % 5 - 2) / F.lit(4.0))
@@ -180,10 +180,17 @@ class Frames:
     def pool(self):
         return explain.top_m(self.contrib(), POOL).join(self.pred().select("series_id", F.col("pred").alias("target")), "series_id").select("series_id", "target", "formula_id", "rank")
 
+    def packed(self):
+        return self._kept.get("packed") or features(self.emb(), BANK, STEPS)
+
+    def words(self, split: str):
+        if split not in self._kept:
+            self._kept[split] = cut(explain.block_words(self.packed(), self.rep(), split))
+        return self._kept[split]
+
     def greedy(self, rounds: int):
-        self._keep("feat", "pred", "rep")
-        long = self.feat()
-        return explain.greedy_picks(self.pool(), explain.sign_words(long, self.rep()), explain.class_words(self.emb()), rounds, LIMIT)
+        self._keep("packed", "pred", "rep")
+        return explain.greedy_picks(self.pool(), self.words("TRAIN"), rounds, LIMIT)
 
     def first_picks(self):
         return self.greedy(1).select("series_id", "target", F.get("picks", F.lit(0)).alias("formula_id"), "precision", "n_tp")
@@ -193,7 +200,7 @@ class Frames:
 
     def glob(self):
         picks = self.locals().select("target", F.col("first_id").alias("pick_id"), "formula_id")
-        return explain.global_quality(explain.conjunction_values(self.feat().where("split = 'TEST'"), picks, self.rep()))
+        return explain.global_quality(self.words("TEST"), picks)
 
     def whole_locals(self):
         return explain.distinct_locals(self.greedy(POOL))
@@ -214,7 +221,7 @@ class Frames:
 
     def whole_glob(self):
         picks = self.whole_locals().select("target", F.col("first_id").alias("pick_id"), F.explode("picks").alias("formula_id"))
-        return explain.global_quality(explain.conjunction_values(self.feat().where("split = 'TEST'"), picks, self.rep()))
+        return explain.global_quality(self.words("TEST"), picks)
 
     def events(self):
         return panels.daily_events(self.spark, self.dir)

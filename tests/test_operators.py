@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from temporalis.functions.robustness import long_features
 from temporalis.operators import analytics, bank, classify, explain
 from temporalis.plans import experiment
+from temporalis.session import cut
 from temporalis.sources import results, sinks
 
 
@@ -70,7 +71,7 @@ def test_greedy_picks_equal_a_plain_loop(spark):
     rep = spark.createDataFrame([(j, k, s, 0.1 * j) for j in range(m) for k, s in (("a", 1), ("b", -1))], "formula_id int, target string, sign int, delta double")
     orders = [r.sample(range(m), 5) for _ in range(12)]
     pool = spark.createDataFrame([(i, "ab"[i % 2], j, rank) for i, o in enumerate(orders) for rank, j in enumerate(o, 1)], "series_id long, target string, formula_id int, rank int")
-    got = {x.series_id: x for x in explain.greedy_picks(pool, explain.sign_words(long_features(feats), rep), explain.class_words(feats), 5, 0.8).collect()}
+    got = {x.series_id: x for x in explain.greedy_picks(pool, cut(explain.block_words(feats, rep, "TRAIN")), 5, 0.8).collect()}
     for i, order in enumerate(orders):
         target, sign = "ab"[i % 2], 1 if i % 2 == 0 else -1
         on = {j: {s for s in range(n) if sign * cols[j][s] + 0.1 * j > 0} for j in order}
@@ -88,10 +89,35 @@ def test_report_and_global_quality(spark):
     rows = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "c"), ("b", "c")], "label string, pred string")
     got = {x.label: (x.precision, x.recall, x.f1, x.support) for x in classify.report(classify.confusion(rows)).collect()}
     assert got == {"a": (1.0, 0.5, pytest.approx(2 / 3), 2), "b": (0.0, 0.0, 0.0, 2), "c": (0.0, 0.0, 0.0, 0)}
-    values = spark.createDataFrame([("a", 1, 1, "a", -1.0), ("a", 2, 1, "a", 1.0), ("a", 1, 2, "b", -1.0), ("z", 3, 1, "a", 1.0), ("y", 3, 1, "y", -1.0)], "target string, pick_id int, series_id int, label string, rho double")
-    got = {x.target: (x.precision, x.coverage, x.f1) for x in explain.global_quality(values).collect()}
-    assert got == {"a": (1.0, 1.0, 1.0), "z": (0.0, None, None), "y": (None, 0.0, None)}
-    assert tuple(explain.macro(explain.global_quality(values)).first()) == (1.0, 1)
+    # a formula a column; the first two are both picked by one local of a
+    rows = [(10**12 + 7 * i, k, "TEST", v) for i, (k, v) in enumerate([("a", [-1.0, 1.0, 1.0]), ("a", [1.0, 1.0, -1.0]), ("b", [-1.0, 1.0, None]), ("y", [-1.0, -1.0, 1.0])])]
+    feats = spark.createDataFrame([*rows, (5, "z", "TRAIN", [1.0, 1.0, 1.0])], "series_id long, label string, split string, feats array<double>")
+    rep = spark.createDataFrame([(j, k, 1, 0.0) for j in range(3) for k in "ayz"], "formula_id int, target string, sign int, delta double")
+    picks = spark.createDataFrame([("a", 1, 0), ("a", 1, 1), ("a", 2, 2), ("z", 3, 2), ("y", 4, 0)], "target string, pick_id long, formula_id int")
+    found = explain.global_quality(explain.block_words(feats, rep, "TEST"), picks)
+    got = {x.target: (x.n_pos, x.tp, x.n_class, x.precision, x.coverage, x.f1) for x in found.collect()}
+    assert got == {"a": (3, 2, 2, pytest.approx(2 / 3), 1.0, pytest.approx(0.8)), "z": (2, 0, 0, 0.0, None, None), "y": (1, 0, 1, 0.0, 0.0, None)}
+    assert explain.macro(found).first().n_defined == 1
+
+
+def test_states_are_shared_and_words_dense(spark):
+    """Hashed ids pack as tightly as dense ones; pools with one set of picks share its words."""
+    r = random.Random(9)
+    ids = [r.getrandbits(60) for _ in range(5000)]
+    label = ["ab"[r.random() < 0.5] for _ in ids]
+    feats = spark.createDataFrame([(i, k, "TRAIN", [r.uniform(-1, 1) for _ in range(4)]) for i, k in zip(ids, label, strict=True)], "series_id long, label string, split string, feats array<double>")
+    rep = spark.createDataFrame([(j, k, 1, 0.0) for j in range(4) for k in "ab"], "formula_id int, target string, sign int, delta double")
+    words = cut(explain.block_words(feats, rep, "TRAIN"))
+    blocks = -(-len(ids) // explain.BLOCK)
+    assert words.count() == blocks * 5 * 2 and words.where(F.size("on") != explain.BLOCK // 64).count() == 0
+    assert words.where("formula_id = -1").agg(F.sum(F.aggregate("own", F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w)))).first()[0] == len(ids)
+    pool = spark.createDataFrame([(i, "a", j, rank) for i in range(300) for rank, j in enumerate(r.sample(range(4), 3))], "series_id long, target string, formula_id int, rank int")
+    found = explain.greedy_picks(pool, words, 3, 2.0).collect()  # a threshold that none reaches
+    sets = {tuple(sorted(x.picks[:n])) for x in found for n in range(1, 4)}
+    assert len(found) == 300 and len(sets) <= 4 + 6 + 4  # no more states than sets, whatever the number of pools
+    rows = [(k, v) for k, v in zip(label, (x.feats for x in feats.select("feats").collect()), strict=True)]
+    for picks, n_tp in {(tuple(x.picks), x.n_tp) for x in found}:
+        assert n_tp == sum(k == "a" and all(v[j] > 0 for j in picks) for k, v in rows)
 
 
 def test_abduction_equals_all_subsets(spark):
