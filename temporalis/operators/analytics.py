@@ -52,40 +52,104 @@ def prefix_picks(gains: DataFrame) -> DataFrame:
     return up.where("before < lb").join(abduce_binary(gains).where("enough").select("series_id"), "series_id", "left_semi").select("series_id", "formula_id")
 
 
+def _multipliers(a: np.ndarray, lb: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Weights of the constraints a p >= lb and the bound that they give on the number of features.
+
+    For any weights y >= 0 at least y lb - sum of max(0, y a_j - 1) features are needed; steps along its slope raise it.
+    """
+    y = np.zeros(len(lb))
+    best, at = 0.0, y.copy()
+    scale = max(float(np.abs(a).max(initial=0.0)), 1e-12)
+    for i in range(rounds):
+        r = y @ a
+        value = float(y @ lb - np.maximum(r - 1.0, 0.0).sum())
+        if value > best:
+            best, at = value, y.copy()
+        slope = lb - a[:, r > 1.0].sum(axis=1)
+        if not (size := float(np.sqrt(slope @ slope))):
+            break
+        y = np.maximum(y + slope / size / scale * 2.0 / np.sqrt(1.0 + i), 0.0)
+    return at, best
+
+
+def _enough(short: np.ndarray) -> bool:
+    return bool((short <= 1e-12).all())
+
+
+def fewest_features(a: np.ndarray, lb: np.ndarray) -> list[int] | None:
+    """The fewest columns of a whose sums reach lb in every row; null if no set does.
+
+    A first set comes from taking the column that closes most of what is missing. Then sets of each smaller
+    size from the bound on are looked for on a stack: columns in order of their weighted gain, one
+    that is no better anywhere than an earlier one left out only after it, branches cut by the weighted bound
+    and by what the largest gains of each row could still reach.
+    """
+    if _enough(lb):
+        return []
+    rows, m = a.shape
+    gain = np.maximum(a, 0.0)
+    y, bound = _multipliers(a, lb)
+    if bound > m + 1e-9 or (gain.sum(axis=1) < lb - 1e-12).any():
+        return None
+    order = np.argsort(-(y @ a + 1e-9 * gain.sum(axis=0)), kind="stable")
+    a, gain = a[:, order], gain[:, order]
+    over = np.concatenate([np.cumsum(np.maximum(y @ a - 1.0, 0.0)[::-1])[::-1], [0.0]])
+    rest = np.concatenate([np.cumsum(gain[:, ::-1], axis=1)[:, ::-1], np.zeros((rows, 1))], axis=1)
+    top = np.cumsum(-np.sort(-gain, axis=1), axis=1)
+
+    first: list[int] | None = []
+    short = lb.copy()
+    while not _enough(short):
+        missing = np.maximum(short[:, None] - a, 0.0).sum(axis=0)
+        missing[first] = np.inf
+        k = int(missing.argmin())
+        if missing[k] >= np.maximum(short, 0.0).sum() - 1e-12:
+            first = None
+            break
+        first.append(k)
+        short = short - a[:, k]
+
+    def found(limit: int) -> list[int] | None:
+        stack = [(0, lb, ())]
+        while stack:
+            k, short, picks = stack.pop()
+            if _enough(short):
+                return list(picks)
+            left = limit - len(picks)
+            if k == m or left <= 0 or y @ short - over[k] > left + 1e-9 or (short > rest[:, k] + 1e-12).any() or (short > top[:, min(left, m) - 1] + 1e-12).any():
+                continue
+            after = k + 1
+            while after < m and (a[:, after] <= a[:, k]).all():  # no better than the one left out
+                after += 1
+            stack.append((after, short, picks))
+            stack.append((k + 1, short - a[:, k], (*picks, k)))
+        return None
+
+    best = first if first is not None else found(m)
+    if best is None:
+        return None
+    for size in range(max(1, int(np.ceil(bound - 1e-9))), len(best)):
+        smaller = found(size)
+        if smaller is not None:
+            best = smaller
+            break
+    return sorted(int(order[k]) for k in best)
+
+
 def abduce(gains: DataFrame) -> DataFrame:
-    """(series_id, picks, n_needed): the fewest features that secure every margin, by branch and bound.
+    """(series_id, picks, n_needed): the fewest features that secure every margin.
 
     gains (series_id, competitor, formula_id, a, lb). A group is one series' table, classes times
-    features. The search tries sets of features and can take time exponential in their number where
-    competitors pull against each other; it is exact, and has no cap: against one competitor use
-    ``abduce_binary``, which sorts. Without a set that is enough picks are null and n_needed is -1.
+    features; a missing gain is 0. The search (``fewest_features``) is exact and has no cap, and its worst case is
+    exponential: against one competitor ``abduce_binary`` sorts. Without a set that is enough picks are null and
+    n_needed is -1. Null gains count as 0; without rows there are none.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = pdf.pivot_table(index="competitor", columns="formula_id", values="a", fill_value=0.0)
+        a = pdf.pivot_table(index="competitor", columns="formula_id", values="a", fill_value=0.0, dropna=False).fillna(0.0)
         lb = pdf.groupby("competitor").lb.first().reindex(a.index).to_numpy()
-        m, ids = a.to_numpy(), a.columns.to_numpy()
-        order = np.argsort(-np.maximum(m, 0).sum(axis=0), kind="stable")
-        m, ids = m[:, order], ids[order]
-        rest = np.cumsum(np.maximum(m, 0)[:, ::-1], axis=1)[:, ::-1]
-        best: list[int] | None = None
-        gains_down = -np.sort(-np.maximum(m, 0), axis=1)
-        reach = np.cumsum(gains_down, axis=1)
-
-        def walk(k: int, have: np.ndarray, picks: list[int]) -> None:
-            nonlocal best
-            short = lb - have
-            if (short <= 1e-12).all():
-                best = list(picks)
-                return
-            least = max(int(np.searchsorted(reach[c], short[c] - 1e-12)) + 1 for c in range(len(lb)) if short[c] > 1e-12)
-            if k == m.shape[1] or (best is not None and len(picks) + least >= len(best)) or (have + rest[:, k] < lb - 1e-12).any():
-                return
-            walk(k + 1, have + m[:, k], [*picks, k])
-            walk(k + 1, have, picks)
-
-        walk(0, np.zeros(len(lb)), [])
-        return pd.DataFrame({"series_id": [pdf.series_id.iloc[0]], "picks": [sorted(int(ids[k]) for k in best) if best is not None else None], "n_needed": [len(best) if best is not None else -1]})
+        best = fewest_features(a.to_numpy(), lb)
+        return pd.DataFrame({"series_id": [pdf.series_id.iloc[0]], "picks": [[int(a.columns[k]) for k in best] if best is not None else None], "n_needed": [len(best) if best is not None else -1]})
 
     return gains.groupBy("series_id").applyInPandas(solve, "series_id long, picks array<int>, n_needed int")
 
@@ -161,6 +225,9 @@ def density(values: DataFrame, points: int = 400) -> DataFrame:
     stats = values.groupBy("label").agg(F.count("*").alias("n"), F.stddev_samp("x").alias("s"), F.avg("x").alias("mean"), F.min("x").alias("a"), F.max("x").alias("z"))
     spread = F.coalesce((F.col("n") > 1) & (F.col("s") > 1e-12), F.lit(False))
     flat = stats.where(~spread).select("label", F.lit(0).alias("k"), F.col("mean").alias("g"), F.lit(None).cast("double").alias("density"))
-    grid = stats.where(spread).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select("label", "n", (F.col("s") * F.pow("n", F.lit(-0.2))).alias("h"), (F.col("a") - 1 + (F.col("z") - F.col("a") + 2) * F.col("k") / (points - 1)).alias("g"), "k")
-    u = (F.col("g") - F.col("x")) / F.col("h")
-    return values.join(F.broadcast(grid), "label").groupBy("label", "k", "g", "h").agg(F.avg(F.exp(-u * u / 2)).alias("e")).select("label", "k", "g", (F.col("e") / (F.col("h") * F.sqrt(F.lit(2.0) * F.pi()))).alias("density")).unionByName(flat)
+    scale = stats.where(spread).select("label", (F.col("s") * F.pow("n", F.lit(-0.2))).alias("h"), "a", "z")
+    each = values.join(scale, "label").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    g = F.col("a") - 1 + (F.col("z") - F.col("a") + 2) * F.col("k") / (points - 1)
+    u = (g - F.col("x")) / F.col("h")
+    sums = each.groupBy("label", "k").agg(F.avg(F.exp(-u * u / 2)).alias("e"), F.first(g).alias("g"), F.first("h").alias("h"))
+    return sums.select("label", "k", "g", (F.col("e") / (F.col("h") * F.sqrt(F.lit(2.0) * F.pi()))).alias("density")).unionByName(flat)

@@ -140,11 +140,17 @@ def _r(x: str) -> str:
     return f"round({x}, 6) + 0.0"
 
 
+def _unlike(text: str) -> str:
+    """The SQL form with the weights of ``Frames.with_unlike_classes``."""
+    return text.replace(TABLES["coef"], TABLES["coef"].replace("/ 4.0::double as w", "/ 4.0::double + ((c * 3 + f * 5) % 7 - 3) / 40.0::double as w"))
+
+
 class Frames:
     """The DataFrames that the queries share, by the names of the SQL tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self.unlike = False
         self._kept: dict[str, DataFrame] = {}
 
     def _keep(self, *names: str) -> None:
@@ -160,7 +166,15 @@ class Frames:
         return long_features(self.packed())
 
     def coef(self):
-        return self.spark.range(10).select(F.col("id").cast("int").alias("class_idx"), F.explode(F.sequence(F.lit(0), F.lit(len(BANK) - 1))).alias("formula_id")).withColumn("w", ((F.col("class_idx") * 7 + F.col("formula_id") * 3) % 5 - 2) / F.lit(4.0))
+        rows = self.spark.range(10).select(F.col("id").cast("int").alias("class_idx"), F.explode(F.sequence(F.lit(0), F.lit(len(BANK) - 1))).alias("formula_id"))
+        w = ((F.col("class_idx") * 7 + F.col("formula_id") * 3) % 5 - 2) / F.lit(4.0)
+        return rows.withColumn("w", w + ((F.col("class_idx") * 3 + F.col("formula_id") * 5) % 7 - 3) / F.lit(40.0) if self.unlike else w)
+
+    def with_unlike_classes(self) -> Frames:
+        """The same with weights under which no two classes tie (those of coef repeat after five classes)."""
+        other = Frames(self.spark, self.dir)
+        other.unlike = True
+        return other
 
     def score(self):
         return classify.scores(self.feat().where("split = 'TEST'"), self.coef())
@@ -407,8 +421,29 @@ def _all() -> dict[str, Query]:
 
     add("margins_three_ways", three_ways, _sql(base + " topm", f"select c.series_id, c.competitor, {_r('sum(c.c)')} as full_margin, {_r(f'sum(case when c.rank <= {TOP} then c.c else 0.0 end)')} as own_margin, {_r('sum(case when t.formula_id is not null then c.c else 0.0 end)')} as top_margin from {each} c left join topm t on t.series_id = c.series_id and t.formula_id = c.formula_id group by all"))
     add("selected_features", lambda f: classify.nonzero_features(f.coef().where("class_idx = 3")).withColumn("selected_idx", F.row_number().over(Window.orderBy("formula_id")) - 1), _sql("coef", "select formula_id, (row_number() over (order by formula_id) - 1)::int as selected_idx from coef where class_idx = 3 and w <> 0"))
-    add("abduce_whole", lambda f: analytics.abduce(all_gains(f)).select("series_id", "n_needed"), None)
-    add("kde_whole", lambda f: _rounded(analytics.density(f.feat().where("split = 'TRAIN'").select(F.struct("formula_id", "label").alias("label"), F.col("rho").alias("x"))), "g", "density").select(F.col("label.formula_id").alias("formula_id"), F.col("label.label").alias("label"), "k", "g", "density"), None)
+    # every subset of the bank, for every competitor of the predicted class
+    subsets_sql = f"""(with low as materialized (select *, sum(worst) over (partition by class_idx, competitor) as sum_w from {pairs_sql}),
+      g as materialized (select f.series_id, l.competitor, list(round(l.d * f.rho - l.worst, 9) order by f.formula_id) as a, any_value(round(1e-6 - l.sum_w, 9)) as lb
+        from feat f join pred p using (series_id) join low l on l.class_idx = p.class_idx and l.formula_id = f.formula_id where f.split = 'TEST' group by all),
+      s as (select unnest(range(0, {1 << len(BANK)})) as mask)
+      select series_id, coalesce(min(n), -1)::int as n_needed from (select distinct series_id from g) left join (
+        select series_id, mask, bit_count(mask)::int as n from g, s group by series_id, mask having min({' + '.join(f'(mask >> {j} & 1) * a[{j + 1}]' for j in range(len(BANK)))} - lb) >= -1e-12) using (series_id) group by series_id)"""
+    abduced = "emb feat coef score pred box"
+    add("abduce_whole", lambda f: analytics.abduce(all_gains(f.with_unlike_classes())).select("series_id", "n_needed"), _unlike(_sql(abduced, f"select series_id, n_needed from {subsets_sql}")))
+
+    def verified(f: Frames) -> DataFrame:
+        """Margins under the picks against every competitor, of series that some set secures."""
+        gains_of = cut(all_gains(f.with_unlike_classes()))
+        picks = analytics.abduce(gains_of).where("n_needed >= 0").select("series_id", F.explode_outer("picks").alias("formula_id"))
+        return analytics.verified_margins(gains_of.join(picks.select("series_id").distinct(), "series_id", "left_semi"), picks).select("series_id", "competitor", "secured")
+
+    add("verified_margins_whole", verified, _unlike(_sql(abduced, f"select series_id, c.class_idx as competitor, true as secured from {subsets_sql} n join pred p using (series_id) join (select distinct class_idx from coef) c on c.class_idx <> p.class_idx where n_needed >= 0")))
+    add("kde_whole", lambda f: _rounded(analytics.density(f.feat().where("split = 'TRAIN'").select(F.struct("formula_id", "label").alias("label"), F.col("rho").alias("x"))), "g", "density").select(F.col("label.formula_id").alias("formula_id"), F.col("label.label").alias("label"), "k", "g", "density"), _sql("emb feat", f"""select formula_id, label, k::int as k, {_r('g')} as g, {_r('density')} as density from (
+      with v as (select formula_id, label, rho from feat where split = 'TRAIN'),
+      t as (select formula_id, label, count(*)::double as n, avg(rho) as mean, stddev_samp(rho) as s, min(rho) as a, max(rho) as z from v group by formula_id, label),
+      h as (select formula_id, label, k, s * n ** -0.2 as h, a - 1 + (z - a + 2) * k / 399 as g from t, (select unnest(range(0, 400))::double as k) where n > 1 and s > 1e-12)
+      select v.formula_id, v.label, k, g, avg(exp(-(((g - rho) / h) ** 2) / 2)) / (h * sqrt(2 * pi())) as density from v join h on v.formula_id = h.formula_id and v.label = h.label group by v.formula_id, v.label, k, g, h
+      union all select formula_id, label, 0, mean, null from t where not coalesce(n > 1 and s > 1e-12, false))"""))
     # settings and results
     grid = lambda f: f.spark.range(26 * 2).select(F.col("id").alias("task"), F.pmod("id", F.lit(26)).alias("dataset_no"), F.when(F.floor(F.col("id") / 26) % 2 == 0, 100).otherwise(1000).alias("n_formulas"), F.lit(3).alias("depth_max"))
     task = "select task, task % 26 as dataset_no, case when (task // 26) % 2 = 0 then 100 else 1000 end as n_formulas, 3 as depth_max from (select unnest(range(0, 52)) as task)"

@@ -133,6 +133,29 @@ def test_abduction_equals_all_subsets(spark):
     assert all((x.n_needed if x.enough else -1) == x.k for x in both)
 
 
+def test_fewest_features():
+    r = np.random.default_rng(7)
+    for _ in range(150):
+        rows, m = int(r.integers(1, 4)), int(r.integers(1, 9))
+        a, lb = r.normal(0.3, 1, (rows, m)), r.uniform(-0.5, 2.5, rows)
+        sets = [s for k in range(m + 1) for s in itertools.combinations(range(m), k)]
+        fits = [s for s in sets if (a[:, list(s)].sum(axis=1) >= lb - 1e-12).all()]
+        got = analytics.fewest_features(a, lb)
+        assert (got is None) == (not fits)
+        assert not fits or (len(got) == len(fits[0]) and (a[:, got].sum(axis=1) >= lb - 1e-9).all())
+
+
+def test_abduction_of_a_bank_of_thousands(spark):
+    """1,100 features of one series, which a recursion can't walk; 1,000 against 25 competitors."""
+    r = np.random.default_rng(1)
+    one = spark.createDataFrame([(1, 0, j, 0.001, 1.0999) for j in range(1100)], "series_id long, competitor int, formula_id int, a double, lb double")
+    assert analytics.abduce(one).first().n_needed == 1100
+    a = np.where(r.random((25, 1000)) < 0.1, r.gamma(1.0, 1.0, (25, 1000)), 0.01 * r.normal(size=(25, 1000)))
+    a[:, :3] = np.kron(np.eye(3), np.ones((1, 9))).reshape(3, 27)[:, :25].T * 6 + 0.5
+    got = analytics.fewest_features(a, np.full(25, 5.0))
+    assert got is not None and len(got) <= 3 and (a[:, got].sum(axis=1) >= 5.0).all()
+
+
 def test_flat_densities_and_margins(spark):
     values = spark.createDataFrame([("a", 2.0), ("b", 3.0), ("b", 3.0), ("c", 1.0), ("c", 2.0)], "label string, x double")
     got = analytics.density(values, 5).collect()

@@ -58,7 +58,7 @@ def test_whole_picks_equal_plain_loops(spark):
 
 
 def test_whole_abduction_equals_all_subsets(spark):
-    f = queries.Frames(spark, SF)
+    f = queries.Frames(spark, SF).with_unlike_classes()
     feat, w = {}, {(r.class_idx, r.formula_id): r.w for r in f.coef().collect()}
     train: dict = {}
     for r in f.feat().collect():
@@ -68,7 +68,7 @@ def test_whole_abduction_equals_all_subsets(spark):
     formulas, classes = range(len(queries.BANK)), range(10)
     box = {j: np.quantile([x for (k, _), v in train.items() if k == j for x in v], [0.1, 0.9]) for j in formulas}
     worst = {(a, b, j): (w[a, j] - w[b, j]) * box[j][0 if w[a, j] > w[b, j] else 1] for a in classes for b in classes if a != b for j in formulas}
-    got = run(spark, "worst_case_whole")
+    got = queries.ALL["worst_case_whole"][0](f).collect()
     assert len(got) == len(worst) and all(r.worst == pytest.approx(worst[r.class_idx, r.competitor, r.formula_id], abs=2e-6) for r in got)
     subsets = np.array(sorted(itertools.product((0, 1), repeat=len(formulas)), key=sum))
     pred = {r.series_id: r.class_idx for r in f.pred().collect()}
@@ -79,7 +79,9 @@ def test_whole_abduction_equals_all_subsets(spark):
         bar = np.array([round(1e-6 - sum(worst[a, b, j] for j in formulas), 9) for b in others])
         ok = (subsets @ gain >= bar - 1e-12).all(axis=1)
         need[s] = int(subsets[ok.argmax()].sum()) if ok.any() else -1
-    assert {r.series_id: r.n_needed for r in run(spark, "abduce_whole")} == need
+    assert {r.series_id: r.n_needed for r in run(spark, "abduce_whole")} == need and max(need.values()) > 2
+    secured = run(spark, "verified_margins_whole")
+    assert len(secured) == 9 * sum(n >= 0 for n in need.values()) > 0 and all(r.secured for r in secured)
     kde = [r for r in run(spark, "kde_whole") if r.density is not None]
     wide = {k for k, v in train.items() if len(v) > 1 and np.std(v, ddof=1) > 1e-12}
     assert {(r.formula_id, r.label) for r in kde} == wide and len(kde) == 400 * len(wide)
