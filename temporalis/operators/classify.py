@@ -5,10 +5,11 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, ship
 from . import path
 
 POINTS = 6
@@ -88,14 +89,48 @@ def nonzero_features(coef: DataFrame) -> DataFrame:
     return coef.groupBy("formula_id").agg(F.max(F.abs("w")).alias("top")).where("top > 0").select("formula_id")
 
 
-def scores(long: DataFrame, coef: DataFrame) -> DataFrame:
-    """(series_id, class_idx, score): the weighted sum of features. coef is broadcast: classes times features."""
-    return long.join(F.broadcast(coef), "formula_id").groupBy("series_id", "class_idx").agg(F.sum(F.col("w") * F.col("rho")).alias("score"))
+def weights_of(coef: DataFrame) -> np.ndarray:
+    """The weights [class, feature] of coef (class_idx, formula_id, w): a row a class and feature."""
+    told = coef.collect()
+    weights = np.zeros((max((r.class_idx for r in told), default=-1) + 1, max((r.formula_id for r in told), default=-1) + 1))
+    for r in told:
+        weights[r.class_idx, r.formula_id] = r.w
+    return weights
 
 
-def predictions(scored: DataFrame) -> DataFrame:
-    """(series_id, class_idx) of the largest score, the first class on ties."""
-    return scored.groupBy("series_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "class_idx")).alias("top")).select("series_id", F.col("top.class_idx").alias("class_idx"))
+def scored(feats: DataFrame, coef: DataFrame) -> DataFrame:
+    """Packed rows (series_id, label, split, feats) with scores, the weighted sum of features a class, and class_idx.
+
+    class_idx has the largest score to nine digits, the first class on ties. A missing feature counts as 0. Nothing
+    is shuffled: the product is taken in the row.
+    """
+    ship(feats.sparkSession)
+    weights = weights_of(coef)
+
+    def work(batches):
+        for b in batches:
+            x = np.nan_to_num(b.column(3).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1))
+            z = x @ weights.T
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(weights)), pa.array(z.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(np.round(z, 9).argmax(axis=1).astype(np.int32))], names=["series_id", "label", "split", "feats", "scores", "class_idx"])
+
+    rows = feats.select("series_id", "label", "split", "feats")
+    return rows.mapInArrow(work, f"{rows.schema.simpleString()[7:-1]}, scores array<double>, class_idx int".replace(":", " "))
+
+
+def scores(rows: DataFrame) -> DataFrame:
+    """(series_id, class_idx, score) of scored rows."""
+    return rows.select("series_id", F.posexplode("scores").alias("class_idx", "score"))
+
+
+def predictions(long_scores: DataFrame) -> DataFrame:
+    """(series_id, class_idx) of the largest score, the first class on ties, of rows (series_id, class_idx, score)."""
+    return long_scores.groupBy("series_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "class_idx")).alias("top")).select("series_id", F.col("top.class_idx").alias("class_idx"))
+
+
+def long_scores(long: DataFrame, coef: DataFrame) -> DataFrame:
+    """(series_id, class_idx, score) of some features only, given as rows (series_id, formula_id, rho)."""
+    return long.join(F.broadcast(coef), "formula_id").groupBy("series_id", "class_idx").agg(F.sum(F.col("w") * F.col("rho")).alias("score"))  # classes times features
 
 
 def confusion(rows: DataFrame) -> DataFrame:

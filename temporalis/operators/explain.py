@@ -12,31 +12,105 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, ship
+from . import classify
 from .order import quantiles
 
+#: Products of features and weights that are held at a time.
+SIDE_BY_SIDE = 1 << 21
 
-def contributions(long: DataFrame, coef: DataFrame, target: DataFrame) -> DataFrame:
-    """(series_id, competitor, formula_id, c): (w of the target class - w of the competitor) * rho."""
-    own = target.select("series_id", F.col("class_idx").alias("target_idx"))
-    rows = long.select("series_id", "formula_id", "rho").join(own, "series_id")
-    a = coef.select(F.col("class_idx").alias("target_idx"), "formula_id", F.col("w").alias("w_t"))
-    b = coef.select(F.col("class_idx").alias("competitor"), "formula_id", F.col("w").alias("w_c"))
-    # both have a row a class and feature
-    return rows.join(F.broadcast(a), ["target_idx", "formula_id"]).join(F.broadcast(b), "formula_id").where("competitor <> target_idx").select("series_id", "competitor", "formula_id", ((F.col("w_t") - F.col("w_c")) * F.col("rho")).alias("c"))
 
+def _each_series(rows: DataFrame, coef: DataFrame, schema: str, work) -> DataFrame:
+    """work(class_idx, feats, weights) gives, for the series of a batch, (place of its series, columns of schema) of the rows to return.
 
-def top_m(contrib: DataFrame, m: int) -> DataFrame:
+    rows (series_id, class_idx, feats) are packed, the model is a row a class and feature: nothing is shuffled.
+    A missing feature counts as 0.
+    """
+    ship(rows.sparkSession)
+    weights = classify.weights_of(coef)
+
+    def run(batches):
+        for b in batches:
+            x = np.nan_to_num(b.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1))
+            # as many series at a time as keep the products small
+            share = max(1, SIDE_BY_SIDE // max(1, weights.size))
+            for lo in range(0, b.num_rows, share):
+                at, *columns = work(b.column(1)[lo : lo + share].to_numpy(zero_copy_only=False).astype(np.int64), x[lo : lo + share], weights)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + lo)), *map(pa.array, columns)], names=["series_id", *(c.split()[0] for c in schema.split(", "))])
+
+    kind = rows.schema["series_id"].dataType.simpleString()
+    return rows.select("series_id", "class_idx", "feats").mapInArrow(run, f"series_id {kind}, {schema}")
+
+
+def _against(t: np.ndarray, x: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(competitors [series, K - 1], (w of the class - w of the competitor) * rho [series, K - 1, M])."""
+    others = np.array([[c for c in range(len(weights)) if c != k] for k in range(len(weights))], dtype=np.int64).reshape(len(weights), -1)[t]
+    return others, (weights[t][:, None] - weights[others]) * x[:, None]
+
+
+def _first_m(values: np.ndarray, m: int) -> np.ndarray:
+    """The places of the m largest of the last axis to nine digits, the first of equal ones first."""
+    return np.argsort(-np.round(values, 9), axis=-1, kind="stable")[..., :m]
+
+
+def contributions(rows: DataFrame, coef: DataFrame) -> DataFrame:
+    """(series_id, competitor, formula_id, c): (w of the series' class - w of the competitor) * rho."""
+
+    def work(t, x, weights):
+        others, c = _against(t, x, weights)
+        n, k, m = c.shape
+        return np.repeat(np.arange(n), k * m), np.repeat(others.ravel(), m).astype(np.int32), np.tile(np.arange(m, dtype=np.int32), n * k), c.ravel()
+
+    return _each_series(rows, coef, "competitor int, formula_id int, c double", work)
+
+
+def class_contributions(rows: DataFrame, coef: DataFrame) -> DataFrame:
+    """(series_id, class_idx, formula_id, c): w * rho of every class."""
+
+    def work(t, x, weights):
+        c = weights[None] * x[:, None]
+        n, k, m = c.shape
+        return np.repeat(np.arange(n), k * m), np.tile(np.repeat(np.arange(k, dtype=np.int32), m), n), np.tile(np.arange(m, dtype=np.int32), n * k), c.ravel()
+
+    return _each_series(rows, coef, "class_idx int, formula_id int, c double", work)
+
+
+def top_m(rows: DataFrame, coef: DataFrame, m: int) -> DataFrame:
     """(series_id, formula_id, total, rank): the m features of largest sum over competitors."""
-    total = contrib.groupBy("series_id", "formula_id").agg(F.sum("c").alias("total"))
-    rank = F.row_number().over(Window.partitionBy("series_id").orderBy(F.round("total", 9).desc(), "formula_id"))
-    return total.withColumn("rank", rank).where(F.col("rank") <= m)
+
+    def work(t, x, weights):
+        total = (len(weights) * weights - weights.sum(axis=0))[t] * x
+        first = _first_m(total, m)
+        n, k = first.shape
+        return np.repeat(np.arange(n), k), first.ravel().astype(np.int32), np.take_along_axis(total, first, 1).ravel(), np.tile(np.arange(1, k + 1, dtype=np.int32), n)
+
+    return _each_series(rows, coef, "formula_id int, total double, rank int", work)
 
 
-def top_m_each(contrib: DataFrame, m: int) -> DataFrame:
+def top_m_each(rows: DataFrame, coef: DataFrame, m: int) -> DataFrame:
     """The same against each competitor, with the role of each pick."""
-    rank = F.row_number().over(Window.partitionBy("series_id", "competitor").orderBy(F.round("c", 9).desc(), "formula_id"))
-    role = F.when(F.col("c") > 0, "supports").otherwise("threatens")
-    return contrib.withColumn("rank", rank).where(F.col("rank") <= m).withColumn("role", role)
+
+    def work(t, x, weights):
+        others, c = _against(t, x, weights)
+        first = _first_m(c, m)
+        n, k, count = first.shape
+        return np.repeat(np.arange(n), k * count), np.repeat(others.ravel(), count).astype(np.int32), first.ravel().astype(np.int32), np.take_along_axis(c, first, 2).ravel(), np.tile(np.arange(1, count + 1, dtype=np.int32), n * k)
+
+    found = _each_series(rows, coef, "competitor int, formula_id int, c double, rank int", work)
+    return found.withColumn("role", F.when(F.col("c") > 0, "supports").otherwise("threatens"))
+
+
+def margins(rows: DataFrame, coef: DataFrame, each: int, overall: int) -> DataFrame:
+    """(series_id, competitor, full_margin, own_margin, top_margin): of all features, of the best against that competitor, and of the best over all."""
+
+    def work(t, x, weights):
+        others, c = _against(t, x, weights)
+        n, k, _ = c.shape
+        own = np.take_along_axis(c, _first_m(c, each), 2).sum(axis=2)
+        first = _first_m((len(weights) * weights - weights.sum(axis=0))[t] * x, overall)
+        top = np.take_along_axis(c, np.repeat(first[:, None], k, axis=1), 2).sum(axis=2)
+        return np.repeat(np.arange(n), k), others.ravel().astype(np.int32), c.sum(axis=2).ravel(), own.ravel(), top.ravel()
+
+    return _each_series(rows, coef, "competitor int, full_margin double, own_margin double, top_margin double", work)
 
 
 def class_medians(long: DataFrame) -> DataFrame:

@@ -56,22 +56,18 @@ def _fit(panel, long, steps, config: Config, seed: int):
     return formulas, feats, model, middle - began, time.perf_counter() - middle
 
 
-def _predicted(feats: DataFrame, model) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(long features, coefficients, (series_id, class_idx, pred) of TEST)."""
-    spark = feats.sparkSession
-    long = long_features(feats)
-    coef = classify.coefficients(model, spark)
-    names = classify.classes(feats.where("split = 'TRAIN'"))
-    found = classify.predictions(classify.scores(long.where("split = 'TEST'"), coef))
-    return long, coef, found.join(F.broadcast(names.withColumnRenamed("label", "pred")), "class_idx")
+def _predicted(feats: DataFrame, model) -> tuple[DataFrame, DataFrame]:
+    """(coefficients, scored rows of TEST with pred)."""
+    coef = classify.coefficients(model, feats.sparkSession)
+    names = classify.classes(feats.where("split = 'TRAIN'")).withColumnRenamed("label", "pred")
+    return coef, classify.scored(feats.where("split = 'TEST'"), coef).join(F.broadcast(names), "class_idx")  # a row a class
 
 
 def run_single(panel: DataFrame, long: DataFrame, steps: int, config: Config, run: int) -> dict:
     """Metrics and times of one run."""
     seed = config.base_seed + run
     _, feats, model, t_features, t_train = _fit(panel, long, steps, config, seed)
-    _, _, pred = _predicted(feats, model)
-    rows = cut(feats.where("split = 'TEST'").select("series_id", "label").join(pred, "series_id"))
+    rows = cut(_predicted(feats, model)[1].select("series_id", "label", "pred"))
     per_class = classify.report(classify.confusion(rows)).orderBy("label").collect()
     accuracy = rows.agg(F.avg((F.col("label") == F.col("pred")).cast("double"))).first()[0]
     return {
@@ -92,12 +88,10 @@ def _text(formulas: list[Formula], chosen, target: str, picks) -> str:
 def explain_run(panel: DataFrame, long: DataFrame, steps: int, config: Config) -> tuple[DataFrame, list[tuple]]:
     """Local explanations, a row a TEST series, and global ones, a row a class as its sink takes them."""
     formulas, feats, model, _, _ = _fit(panel, long, steps, config, config.base_seed + config.n_run)
-    rho, coef, pred = _predicted(feats, model)
-    pred = cut(pred)
-    rep = cut(explain.reparametrised(explain.reference_classes(explain.class_medians(rho))))
+    coef, rows = _predicted(feats, model)
+    rep = cut(explain.reparametrised(explain.reference_classes(explain.class_medians(long_features(feats)))))
     chosen = {(r.formula_id, r.target): (r.sign, r.delta) for r in rep.collect()}  # a row a formula and class
-    pool = explain.top_m(explain.contributions(rho.where("split = 'TEST'"), coef, pred), config.pool_size)
-    pool = pool.join(pred.select("series_id", F.col("pred").alias("target")), "series_id").select("series_id", "target", "formula_id", "rank")
+    pool = explain.top_m(rows, coef, config.pool_size).join(rows.select("series_id", F.col("pred").alias("target")), "series_id").select("series_id", "target", "formula_id", "rank")
     found = cut(explain.greedy_picks(pool, cut(explain.block_words(feats, rep, "TRAIN")), config.pool_size, config.precision_threshold))
 
     @F.pandas_udf("string")

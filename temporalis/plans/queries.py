@@ -176,23 +176,32 @@ class Frames:
         other.unlike = True
         return other
 
+    def scored(self):
+        return self._kept.get("scored") or classify.scored(self.packed().where("split = 'TEST'"), self.coef())
+
     def score(self):
-        return classify.scores(self.feat().where("split = 'TEST'"), self.coef())
+        return classify.scores(self.scored())
 
     def pred(self):
-        return self._kept.get("pred") or classify.predictions(self.score().withColumn("score", F.round("score", 9))).withColumn("pred", F.col("class_idx").cast("string"))
+        return self.scored().select("series_id", "class_idx", F.col("class_idx").cast("string").alias("pred"))
 
     def judged(self):
-        return self.emb().select("series_id", "label").join(self.pred().select("series_id", "pred"), "series_id")
+        return self.scored().select("series_id", "label", F.col("class_idx").cast("string").alias("pred"))
 
     def contrib(self):
-        return explain.contributions(self.feat(), self.coef(), self.pred())
+        return explain.contributions(self.scored(), self.coef())
+
+    def top_m(self, m: int):
+        return explain.top_m(self.scored(), self.coef(), m)
+
+    def top_m_each(self):
+        return explain.top_m_each(self.scored(), self.coef(), TOP)
 
     def rep(self):
         return self._kept.get("rep") or explain.reparametrised(explain.reference_classes(explain.class_medians(self.feat())))
 
     def pool(self):
-        return explain.top_m(self.contrib(), POOL).join(self.pred().select("series_id", F.col("pred").alias("target")), "series_id").select("series_id", "target", "formula_id", "rank")
+        return self.top_m(POOL).join(self.pred().select("series_id", F.col("pred").alias("target")), "series_id").select("series_id", "target", "formula_id", "rank")
 
     def packed(self):
         return self._kept.get("packed") or features(self.emb(), BANK, STEPS)
@@ -203,7 +212,7 @@ class Frames:
         return self._kept[split]
 
     def greedy(self, rounds: int):
-        self._keep("packed", "pred", "rep")
+        self._keep("packed", "scored", "rep")
         return explain.greedy_picks(self.pool(), self.words("TRAIN"), rounds, LIMIT)
 
     def first_picks(self):
@@ -321,10 +330,10 @@ def _all() -> dict[str, Query]:
     # local explanations
     base = "emb feat coef score pred contrib"
     add("contributions", lambda f: _rounded(f.contrib(), "c"), _sql(base, f"select series_id, competitor, formula_id, {_r('c')} as c from contrib"))
-    add("topm_aggregate", lambda f: _rounded(explain.top_m(f.contrib(), POOL), "total"), _sql(base + " topm", f"select series_id, formula_id, {_r('total')} as total, rank from topm"))
+    add("topm_aggregate", lambda f: _rounded(f.top_m(POOL), "total"), _sql(base + " topm", f"select series_id, formula_id, {_r('total')} as total, rank from topm"))
     each = f"(select *, row_number() over (partition by series_id, competitor order by round(c, 9) desc, formula_id)::int as rank from contrib)"
-    add("topm_per_competitor", lambda f: _rounded(explain.top_m_each(f.contrib(), TOP), "c"), _sql(base, f"select series_id, competitor, formula_id, {_r('c')} as c, rank, case when c > 0 then 'supports' else 'threatens' end as role from {each} where rank <= {TOP}"))
-    add("picks_union", lambda f: explain.top_m_each(f.contrib(), TOP).select("series_id", "formula_id").distinct(), _sql(base, f"select distinct series_id, formula_id from {each} where rank <= {TOP}"))
+    add("topm_per_competitor", lambda f: _rounded(f.top_m_each(), "c"), _sql(base, f"select series_id, competitor, formula_id, {_r('c')} as c, rank, case when c > 0 then 'supports' else 'threatens' end as role from {each} where rank <= {TOP}"))
+    add("picks_union", lambda f: f.top_m_each().select("series_id", "formula_id").distinct(), _sql(base, f"select distinct series_id, formula_id from {each} where rank <= {TOP}"))
     add("class_medians", lambda f: _rounded(explain.class_medians(f.feat()), "med"), _sql("emb feat med", f"select formula_id, label, {_r('med')} as med from med"))
     add("reference_class", lambda f: _rounded(explain.reference_classes(explain.class_medians(f.feat())), "med_t", "med_r"), _sql("emb feat med refs", f"select formula_id, target, {_r('med_t')} as med_t, reference, {_r('med_r')} as med_r from refs"))
     add("reparam", lambda f: _rounded(f.rep(), "delta"), _sql("emb feat med refs rep", f"select formula_id, target, reference, sign, {_r('delta')} as delta from rep"))
@@ -348,8 +357,8 @@ def _all() -> dict[str, Query]:
     add("fp_rate", lambda f: f.feat().where("split = 'TEST'").join(F.broadcast(f.rep()), "formula_id").groupBy("formula_id", "target").agg(r6(F.avg(F.when(F.col("label") == F.col("target"), (explain.moved(F.col("rho")) > 0).cast("double")))).alias("tp_rate"), r6(F.avg(F.when(F.col("label") != F.col("target"), (explain.moved(F.col("rho")) > 0).cast("double")))).alias("fp_rate")), _sql("emb feat med refs rep moved", f"select formula_id, target, {_r('avg((rho > 0)::int) filter (label = target)')} as tp_rate, {_r('avg((rho > 0)::int) filter (label <> target)')} as fp_rate from moved where split = 'TEST' group by all"))
     # further analytics
     test = lambda f: f.feat().where("split = 'TEST'")
-    add("contribution_grid", lambda f: test(f).join(F.broadcast(f.coef()), "formula_id").select("series_id", "class_idx", "formula_id", r6(F.col("w") * F.col("rho")).alias("c")), _sql("emb feat coef", f"select series_id, class_idx, formula_id, {_r('w * rho')} as c from feat join coef using (formula_id) where split = 'TEST'"))
-    add("margins", lambda f: f.contrib().groupBy("series_id", "competitor").agg(r6(F.sum("c")).alias("margin")), _sql(base, f"select series_id, competitor, {_r('sum(c)')} as margin from contrib group by all"))
+    add("contribution_grid", lambda f: explain.class_contributions(f.scored(), f.coef()).withColumn("c", r6("c")), _sql("emb feat coef", f"select series_id, class_idx, formula_id, {_r('w * rho')} as c from feat join coef using (formula_id) where split = 'TEST'"))
+    add("margins", lambda f: explain.margins(f.scored(), f.coef(), TOP, POOL).select("series_id", "competitor", r6("full_margin").alias("margin")), _sql(base, f"select series_id, competitor, {_r('sum(c)')} as margin from contrib group by all"))
     a, b = "coef a", "coef b"
     pair = lambda f: f.coef().where("class_idx = 1").select("formula_id", F.col("w").alias("w1")).join(f.coef().where("class_idx = 4").select("formula_id", F.col("w").alias("w4")), "formula_id").select("formula_id", (F.col("w1") - F.col("w4")).alias("d"))
     add("quantile_box", lambda f: _rounded(analytics.quantile_box(f.feat()), "vmin", "vmax"), _sql("emb feat box", f"select formula_id, {_r('vmin')} as vmin, {_r('vmax')} as vmax from box"))
@@ -368,7 +377,7 @@ def _all() -> dict[str, Query]:
     needed = f"(select series_id, max(lb) as lb, case when max(lb) <= 0 then 0 else min(k) filter (total >= lb) end as n from (select g.series_id, g.lb, r.k, r.total from (select distinct series_id, lb from {gain_sql}) g left join {ranked} r using (series_id)) group by series_id)"
     add("abduce_check", lambda f: analytics.abduce(gains(f)).select("series_id", "n_needed"), _sql("emb feat coef box", f"select series_id, coalesce(n, -1)::int as n_needed from {needed}"))
     add("verified_margins", lambda f: _rounded((lambda g: analytics.verified_margins(g, analytics.prefix_picks(g)))(gains(f)), "margin"), _sql("emb feat coef box", f"select series_id, 4 as competitor, {_r('coalesce(total, 0.0) - lb')} as margin, coalesce(total, 0.0) >= lb as secured from {needed} left join (select series_id, k as n, total from {ranked}) using (series_id, n)"))
-    add("sufficiency_zero", lambda f: classify.predictions(_rounded(classify.scores(test(f).join(explain.top_m(f.contrib(), POOL).select("series_id", "formula_id"), ["series_id", "formula_id"], "left_semi"), f.coef()), "score")).join(f.pred().select("series_id", F.col("class_idx").alias("own")), "series_id").select("series_id", (F.col("class_idx") == F.col("own")).alias("sufficient")), _sql(base + " topm", f"select series_id, s.class_idx = p.class_idx as sufficient from (select series_id, class_idx, row_number() over (partition by series_id order by {_r('sum(w * rho)')} desc, class_idx) as k from feat join topm using (series_id, formula_id) join coef using (formula_id) group by series_id, class_idx) s join pred p using (series_id) where k = 1"))
+    add("sufficiency_zero", lambda f: classify.predictions(_rounded(classify.long_scores(test(f).join(f.top_m(POOL).select("series_id", "formula_id"), ["series_id", "formula_id"], "left_semi"), f.coef()), "score")).join(f.pred().select("series_id", F.col("class_idx").alias("own")), "series_id").select("series_id", (F.col("class_idx") == F.col("own")).alias("sufficient")), _sql(base + " topm", f"select series_id, s.class_idx = p.class_idx as sufficient from (select series_id, class_idx, row_number() over (partition by series_id order by {_r('sum(w * rho)')} desc, class_idx) as k from feat join topm using (series_id, formula_id) join coef using (formula_id) group by series_id, class_idx) s join pred p using (series_id) where k = 1"))
     kinds = lambda f: f.emb().select("label").distinct()
     quarters = "(select f.formula_id, t.target, quantile_cont(rho, 0.25) filter (f.label = t.target) as qt, quantile_cont(rho, 0.75) filter (f.label <> t.target) as qo from feat f cross join (select distinct label as target from emb) t where f.split = 'TRAIN' group by all)"
     add("separation_loss", lambda f: _rounded(analytics.separation(f.feat(), kinds(f)), "q_t", "q_o", "loss", "delta"), _sql("emb feat", f"select formula_id, target, {_r('qt')} as q_t, {_r('qo')} as q_o, {_r('-least(qt, -qo)')} as loss, {_r('-(qt + qo) / 2')} as delta from {quarters}"))
@@ -409,16 +418,9 @@ def _all() -> dict[str, Query]:
     mapped = lambda key, value: F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda s: F.format_string("%d:%.3f", s[key], s[value])))
     score4 = "(select series_id, class_idx, round(score, 3) + 0.0 as v from score)"
     add("score_map", lambda f: f.score().withColumn("v", F.round("score", 3) + F.lit(0.0)).groupBy("series_id").agg(mapped("class_idx", "v").alias("scores")), _sql("emb feat coef score", f"select series_id, string_agg(class_idx || ':' || printf('%.3f', v), ',' order by class_idx) as scores from {score4} group by series_id"))
-    add("pick_breakdown", lambda f: f.contrib().join(explain.top_m(f.contrib(), POOL).select("series_id", "formula_id"), ["series_id", "formula_id"], "left_semi").withColumn("v", F.round("c", 3) + F.lit(0.0)).groupBy("series_id", "formula_id").agg(mapped("competitor", "v").alias("by_competitor")), _sql(base + " topm", "select series_id, formula_id, string_agg(competitor || ':' || printf('%.3f', v), ',' order by competitor) as by_competitor from (select c.series_id, c.formula_id, competitor, round(c, 3) + 0.0 as v from contrib c join topm using (series_id, formula_id)) group by all"))
-
-    def three_ways(f: Frames) -> DataFrame:
-        c = f.contrib()
-        each = explain.top_m_each(c, TOP).select("series_id", "competitor", "formula_id", F.lit(True).alias("own"))
-        overall = explain.top_m(c, POOL).select("series_id", "formula_id", F.lit(True).alias("top"))
-        rows = c.join(each, ["series_id", "competitor", "formula_id"], "left").join(overall, ["series_id", "formula_id"], "left")
-        some = lambda flag: r6(F.sum(F.when(F.col(flag), F.col("c")).otherwise(0.0)))
-        return rows.groupBy("series_id", "competitor").agg(r6(F.sum("c")).alias("full_margin"), some("own").alias("own_margin"), some("top").alias("top_margin"))
+    add("pick_breakdown", lambda f: f.contrib().join(f.top_m(POOL).select("series_id", "formula_id"), ["series_id", "formula_id"], "left_semi").withColumn("v", F.round("c", 3) + F.lit(0.0)).groupBy("series_id", "formula_id").agg(mapped("competitor", "v").alias("by_competitor")), _sql(base + " topm", "select series_id, formula_id, string_agg(competitor || ':' || printf('%.3f', v), ',' order by competitor) as by_competitor from (select c.series_id, c.formula_id, competitor, round(c, 3) + 0.0 as v from contrib c join topm using (series_id, formula_id)) group by all"))
 
+    three_ways = lambda f: _rounded(explain.margins(f.scored(), f.coef(), TOP, POOL), "full_margin", "own_margin", "top_margin")
     add("margins_three_ways", three_ways, _sql(base + " topm", f"select c.series_id, c.competitor, {_r('sum(c.c)')} as full_margin, {_r(f'sum(case when c.rank <= {TOP} then c.c else 0.0 end)')} as own_margin, {_r('sum(case when t.formula_id is not null then c.c else 0.0 end)')} as top_margin from {each} c left join topm t on t.series_id = c.series_id and t.formula_id = c.formula_id group by all"))
     add("selected_features", lambda f: classify.nonzero_features(f.coef().where("class_idx = 3")).withColumn("selected_idx", F.row_number().over(Window.orderBy("formula_id")) - 1), _sql("coef", "select formula_id, (row_number() over (order by formula_id) - 1)::int as selected_idx from coef where class_idx = 3 and w <> 0"))
     # every subset of the bank, for every competitor of the predicted class
@@ -484,9 +486,8 @@ def _all() -> dict[str, Query]:
     def trained(f: Frames) -> DataFrame:
         feats = cut(features(f.emb(), BANK, STEPS))
         model = classify.train(feats)
-        found = classify.predictions(classify.scores(long_features(feats).where("split = 'TEST'"), classify.coefficients(model, f.spark)))
         names = classify.classes(feats.where("split = 'TRAIN'")).withColumnRenamed("label", "pred")
-        judged = feats.where("split = 'TEST'").select("series_id", "label").join(found, "series_id").join(F.broadcast(names), "class_idx")
+        judged = classify.scored(feats.where("split = 'TEST'"), classify.coefficients(model, f.spark)).join(F.broadcast(names), "class_idx")
         return _rounded(classify.report(classify.confusion(judged)), "precision", "recall", "f1")
 
     add("bank_built", sampled, None)
