@@ -97,6 +97,10 @@ def horizon(phi: Formula) -> int:
     return getattr(phi, "hi", 0) + max((horizon(c) for c in children(phi)), default=0)
 
 
+def depth(phi: Formula) -> int:
+    return 1 + max(map(depth, children(phi))) if children(phi) else 0
+
+
 def variables(phi: Formula) -> set[int]:
     return {phi.var} if isinstance(phi, Atom) else set().union(*map(variables, children(phi)))
 

@@ -80,6 +80,19 @@ def coefficients(weights: np.ndarray, spark) -> DataFrame:
     return spark.createDataFrame([(i, j, float(weights[i, j])) for i in range(weights.shape[0]) for j in range(weights.shape[1])], "class_idx int, formula_id int, w double")
 
 
+def class_means(long: DataFrame) -> DataFrame:
+    """(class_idx, formula_id, d): how far the TRAIN mean of a feature in each class lies above that of all."""
+    own = long.where("split = 'TRAIN'")
+    of_each = own.groupBy("label", "formula_id").agg(F.avg("rho").alias("m"))
+    of_all = own.groupBy("formula_id").agg(F.avg("rho").alias("all"))
+    return of_each.join(F.broadcast(of_all), "formula_id").join(F.broadcast(classes(own)), "label").select("class_idx", "formula_id", F.round(F.col("m") - F.col("all"), 9).alias("d"))  # a row a formula, a row a class
+
+
+def shrunken(means: DataFrame, shrink: float) -> DataFrame:
+    """Weights (class_idx, formula_id, w): class means drawn towards the mean of all by shrink, zero where that passes it."""
+    return means.select("class_idx", "formula_id", (F.signum("d") * F.greatest(F.abs("d") - F.lit(float(shrink)), F.lit(0.0))).alias("w"))
+
+
 def binary_expanded(coef: DataFrame) -> DataFrame:
     """One row of weights stands for two classes: its negative and itself."""
     return coef.select(F.lit(0).alias("class_idx"), "formula_id", (-F.col("w")).alias("w")).unionByName(coef.select(F.lit(1).alias("class_idx"), "formula_id", "w"))
@@ -110,7 +123,7 @@ def scored(feats: DataFrame, coef: DataFrame) -> DataFrame:
     def work(batches):
         for b in batches:
             x = np.nan_to_num(b.column(3).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1))
-            z = x @ weights.T
+            z = x[:, : weights.shape[1]] @ weights.T  # features without a weight count nothing
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(weights)), pa.array(z.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(np.round(z, 9).argmax(axis=1).astype(np.int32))], names=["series_id", "label", "split", "feats", "scores", "class_idx"])
 
@@ -133,17 +146,19 @@ def long_scores(long: DataFrame, coef: DataFrame) -> DataFrame:
     return long.join(F.broadcast(coef), "formula_id").groupBy("series_id", "class_idx").agg(F.sum(F.col("w") * F.col("rho")).alias("score"))  # classes times features
 
 
-def confusion(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("label", "pred").agg(F.count("*").alias("n"))
+def confusion(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, label, pred, n) of judged rows; by: what tells runs apart."""
+    return rows.groupBy(*(by or []), "label", "pred").agg(F.count("*").alias("n"))
 
 
-def report(conf: DataFrame) -> DataFrame:
+def report(conf: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Precision, recall and F1 (0 where undefined) and support of every class that occurs or is predicted."""
-    true = conf.groupBy("label").agg(F.sum("n").alias("support"), F.sum(F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"))
-    pred = conf.groupBy(F.col("pred").alias("label")).agg(F.sum("n").alias("positives"))
-    both = true.join(pred, "label", "full").select("label", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("support", "tp", "positives")])
+    by = by or []
+    sides = conf.select(*by, "n", "label", F.lit(True).alias("true"), (F.col("label") == F.col("pred")).alias("right")).unionByName(conf.select(*by, "n", F.col("pred").alias("label"), F.lit(False).alias("true"), F.lit(False).alias("right")))
+    some = lambda on: F.coalesce(F.sum(F.when(on, F.col("n"))), F.lit(0)).cast("long")
+    both = sides.groupBy(*by, "label").agg(some(F.col("true")).alias("support"), some(F.col("right")).alias("tp"), some(~F.col("true")).alias("positives"))
     zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    return both.select("label", zero(F.col("tp"), F.col("positives")).alias("precision"), zero(F.col("tp"), F.col("support")).alias("recall"), zero(2 * F.col("tp"), F.col("positives") + F.col("support")).alias("f1"), "support")
+    return both.select(*by, "label", zero(F.col("tp"), F.col("positives")).alias("precision"), zero(F.col("tp"), F.col("support")).alias("recall"), zero(2 * F.col("tp"), F.col("positives") + F.col("support")).alias("f1"), "support")
 
 
 def balanced_accuracy(rows: DataFrame) -> DataFrame:

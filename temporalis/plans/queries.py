@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.formula import And, Atom, Eventually, Globally, Not, Or, Sampler, Until, horizon, variables
+from ..functions.formula import And, Atom, Eventually, Globally, Not, Or, Sampler, Until, depth, horizon, variables
 from ..functions.robustness import column, features, long_features, register_robustness, sql
 from ..functions.traces import block_traces, trace_sql, window_trace
 from ..operators import analytics, bank, classify, explain, path, scale
@@ -41,6 +41,9 @@ MULTI = And(Globally(Or(Atom(0, 40.0, True), Atom(1, 1.0)), 0, 20), Eventually(A
 EVENT_BANK = [MULTI, Until(Atom(0, 60.0, True), And(Atom(1, 2.0), Not(Atom(4, 30.0))), 2, 11), Not(Until(Not(Atom(2, 1.0)), Atom(3, 20.0), 0, 25)), Eventually(Globally(Or(Atom(2, 3.0), Atom(0, 1.0, True)), 1, 4), 0, 40)]
 #: Formulas drawn as a bank draws them.
 SAMPLED = 100
+#: Numbers of formulas and depths of the runs, and how far each run shrinks its class means.
+SETTINGS = [(5, 2), (5, 3), (9, 3)]
+SHRINKS = [0.0, 0.008, 0.016]
 TOP, POOL, LIMIT, CORR = 3, 4, 0.75, 0.9
 
 # Text shared by the SQL forms: each entry is one common table.
@@ -102,9 +105,21 @@ TABLES = {
     "quality": f"""quality {_M} (select *, 2 * precision * coverage / nullif(precision + coverage, 0) as f1 from (
       select *, tp / nullif(n_pos::double, 0) as precision, tp / nullif(n_class::double, 0) as coverage from (
         select target, count(*) filter (rho > 0) as n_pos, count(*) filter (rho > 0 and label = target) as tp, count(*) filter (label = target) as n_class from gvals group by target)))""",
+    "means": f"means {_M} (select label, formula_id, round(avg(rho) - any_value(m), 9) as d from feat join (select formula_id, avg(rho) as m from feat where split = 'TRAIN' group by formula_id) using (formula_id) where split = 'TRAIN' group by label, formula_id)",
+    "shrunk": f"shrunk {_M} (select (dense_rank() over (order by label) - 1)::int as class_idx, formula_id, sign(d) * greatest(abs(d) - {SHRINKS[-1]}::double, 0.0) as w from means)",
+    "judgedr": f"""judgedr {_M} (
+      with settings(n_formulas, depth_max, ids) as (values {', '.join(f'({n}, {d}, {[j for j, p in enumerate(BANK) if depth(p) <= d][:n]})' for n, d in SETTINGS)}),
+      shrinks(run, shrink) as (values {', '.join(f'({i}, {x}::double)' for i, x in enumerate(SHRINKS))}),
+      s as (select n_formulas, depth_max, run, series_id, f.label, m.label as pred, sum(sign(d) * greatest(abs(d) - shrink, 0.0) * rho) as score
+        from feat f join means m using (formula_id) join settings on list_contains(ids, formula_id) cross join shrinks where f.split = 'TEST' group by all)
+      select n_formulas, depth_max, run, label, pred from s qualify row_number() over (partition by n_formulas, depth_max, run, series_id order by round(score, 9) desc, pred) = 1)""",
+    "reportr": f"""reportr {_M} (
+      select n_formulas, depth_max, run, label, coalesce(tp / nullif(positives, 0), 0.0) as precision, coalesce(tp / nullif(support, 0), 0.0) as recall, coalesce(2 * tp / nullif(positives + support, 0), 0.0) as f1, support from (
+        select n_formulas, depth_max, run, label, count(*) filter (side = 't')::double as support, count(*) filter (side = 't' and label = other)::double as tp, count(*) filter (side = 'p')::double as positives
+        from (select n_formulas, depth_max, run, label, pred as other, 't' as side from judgedr union all select n_formulas, depth_max, run, pred, label, 'p' from judgedr) group by all))""",
     "runs": f"""runs {_M} (
-      select 'd' || ds as dataset, nf as n_formulas, depth as depth_max, run, ((ds * 31 + nf * 7 + depth * 3 + run * 13) % 100) / 100.0::double as balanced_accuracy, ((ds * 17 + nf + depth * 5 + run * 29) % 90) / 100.0::double as macro_f1, (nf * depth + run) / 10.0::double as time_features_s, (nf + ds) / 20.0::double as time_train_s
-      from (select unnest(range(0, 26))::int as ds), (values (100), (1000)) as a(nf), (values (2), (3)) as b(depth), (select unnest(range(0, 5))::int as run))""",
+      select 'embeddings' as dataset, * from (select n_formulas, depth_max, run, avg(recall) filter (support > 0) as balanced_accuracy, avg(f1) as macro_f1 from reportr group by all)
+      join (select n_formulas, depth_max, run, avg((label = pred)::int) as accuracy from judgedr group by all) using (n_formulas, depth_max, run))""",
 }
 
 
@@ -228,18 +243,19 @@ class Frames:
     def whole_locals(self):
         return explain.distinct_locals(self.greedy(POOL))
 
-    def run_directories(self):
-        """(runs, locals, globals) read back from run directories that are written first; one has no metrics."""
+    def run_directories(self, explained: bool = False):
+        """(runs, locals, globals) read back from directories of runs over the panel that are written first; one has no metrics."""
         root, write = f"{shared_dir(self.spark)}/runs-{uuid.uuid4().hex}", sinks.shared_writer(self.spark)
-        for ds, nf in [(d, n) for d in range(4) for n in (100, 1000)]:
-            path = f"{root}/d{ds}_{nf}"
-            sinks.save_config(experiment.Config(dataset=f"d{ds}", n_formulas=nf, n_run=3), path, write)
-            f1 = lambda run, k: ((ds * 17 + nf + run * 29 + k * 11) % 90) / 100
-            each = lambda run, k: {"precision": 0.5, "recall": 0.5, "f1": None if k == 2 else f1(run, k), "support": 10 + k}
-            sinks.save_accuracy([{"run": run, "seed": run, "balanced_accuracy": f1(run, 5), "accuracy": f1(run, 6), "macro_f1": f1(run, 7), "per_class": {f"c{k}": each(run, k) for k in range(3)}, "time_features_s": 1.5, "time_train_s": 2.5, "time_total_s": 4.0} for run in range(3)], path, write)
-            sinks.save_locals(self.spark.createDataFrame([(i, f"c{i % 2}", f"G[0,{i}](x0 >= 0.5)", 1, i / 7, i) for i in range(ds + 2)], results.LOCAL), path)
-            sinks.save_globals([("c0", "F[0,1](x0 <= 1)", ds, None if ds == 0 else 0.25 * ds)], path, write)
-        sinks.save_config(experiment.Config(dataset="unfinished"), f"{root}/unfinished", write)
+        configs = [experiment.Config(dataset="embeddings", n_formulas=n, depth_max=d, n_run=len(SHRINKS)) for n, d in SETTINGS]
+        for config, runs in zip(configs, experiment.grid_runs(self.packed(), BANK, configs, SHRINKS), strict=True):
+            out = f"{root}/embeddings_{config.n_formulas}_{config.depth_max}"
+            sinks.save_config(config, out, write)
+            sinks.save_accuracy(runs, out, write)
+        sinks.save_config(configs[0], f"{root}/unfinished", write)
+        if explained:
+            local, disjuncts, kinds = experiment.explanations(cut(self.greedy(POOL)), BANK, self.rep(), self.words("TEST"))
+            sinks.save_locals(local, out)
+            sinks.save_globals(disjuncts, kinds, out)
         return results.load_results(self.spark, root)
 
     def whole_glob(self):
@@ -250,12 +266,11 @@ class Frames:
         return panels.daily_events(self.spark, self.dir)
 
     def runs(self):
-        s = self.spark
-        grid = s.range(26).select(F.col("id").cast("int").alias("ds")).crossJoin(s.createDataFrame([(n, d) for n in (100, 1000) for d in (2, 3)], "nf int, depth int")).crossJoin(s.range(5).select(F.col("id").cast("int").alias("run")))
-        ds, nf, depth, run = (F.col(c) for c in ("ds", "nf", "depth", "run"))
-        return grid.select(
-            F.concat(F.lit("d"), ds).alias("dataset"), nf.alias("n_formulas"), depth.alias("depth_max"), "run", (((ds * 31 + nf * 7 + depth * 3 + run * 13) % 100) / 100.0).alias("balanced_accuracy"), (((ds * 17 + nf + depth * 5 + run * 29) % 90) / 100.0).alias("macro_f1"), ((nf * depth + run) / 10.0).alias("time_features_s"), ((nf + ds) / 20.0).alias("time_train_s")
-        )
+        return self.run_directories()[0]
+
+    def shrunken(self):
+        """Weights of class means, drawn towards that of all until some are zero."""
+        return classify.shrunken(classify.class_means(self.feat()), SHRINKS[-1])
 
 
 Query = tuple[Callable[[Frames], DataFrame], str | None]
@@ -320,8 +335,10 @@ def _all() -> dict[str, Query]:
     add("class_weights", lambda f: _rounded(classify.class_weights(f.emb().where("split = 'TRAIN'")), "weight"), _sql("emb", f"select label, count(*) as n, {_r('sum(count(*)) over () / (count(*) over () * count(*))')} as weight from emb where split = 'TRAIN' group by label"))
     add("decision_scores", lambda f: _rounded(f.score(), "score"), _sql("emb feat coef score", f"select series_id, class_idx, {_r('score')} as score from score"))
     add("predict_argmax", lambda f: f.pred().select("series_id", "class_idx"), _sql("emb feat coef score pred", "select series_id, class_idx from pred"))
-    add("binary_expand", lambda f: classify.binary_expanded(f.coef().where("class_idx = 3").select("formula_id", "w")).select("class_idx", "formula_id", (F.col("w") + F.lit(0.0)).alias("w")), _sql("coef", "select 0 as class_idx, formula_id, -w + 0.0 as w from coef where class_idx = 3 union all select 1, formula_id, w + 0.0 from coef where class_idx = 3"))
-    add("nonzero_features", lambda f: classify.nonzero_features(f.coef().where("class_idx = 3")), _sql("coef", "select formula_id from coef where class_idx = 3 and w <> 0"))
+    fit = "emb feat means shrunk"
+    two = lambda f: f.shrunken().where("class_idx = 3").select("formula_id", "w")  # noqa: E731  one class against all others
+    add("binary_expand", lambda f: classify.binary_expanded(two(f)).select("class_idx", "formula_id", r6("w").alias("w")), _sql(fit, f"select 0 as class_idx, formula_id, {_r('-w')} as w from shrunk where class_idx = 3 union all select 1, formula_id, {_r('w')} from shrunk where class_idx = 3"))
+    add("nonzero_features", lambda f: classify.nonzero_features(f.shrunken()), _sql(fit, "select formula_id from shrunk group by formula_id having max(abs(w)) > 0"))
     add("accuracy", lambda f: f.judged().agg(r6(F.avg((F.col("label") == F.col("pred")).cast("double"))).alias("accuracy")), _sql("emb feat coef score pred judged", f"select {_r('avg((label = pred)::int)')} as accuracy from judged"))
     add("balanced_accuracy", lambda f: _rounded(classify.balanced_accuracy(f.judged()), "balanced_accuracy"), _sql("emb feat coef score pred judged", f"select {_r('avg(r)')} as balanced_accuracy, count(*) as n_classes from (select label, avg((label = pred)::int) as r from judged group by label)"))
     add("confusion", lambda f: classify.confusion(f.judged()), _sql("emb feat coef score pred judged conf", "select * from conf"))
@@ -422,7 +439,7 @@ def _all() -> dict[str, Query]:
 
     three_ways = lambda f: _rounded(explain.margins(f.scored(), f.coef(), TOP, POOL), "full_margin", "own_margin", "top_margin")
     add("margins_three_ways", three_ways, _sql(base + " topm", f"select c.series_id, c.competitor, {_r('sum(c.c)')} as full_margin, {_r(f'sum(case when c.rank <= {TOP} then c.c else 0.0 end)')} as own_margin, {_r('sum(case when t.formula_id is not null then c.c else 0.0 end)')} as top_margin from {each} c left join topm t on t.series_id = c.series_id and t.formula_id = c.formula_id group by all"))
-    add("selected_features", lambda f: classify.nonzero_features(f.coef().where("class_idx = 3")).withColumn("selected_idx", F.row_number().over(Window.orderBy("formula_id")) - 1), _sql("coef", "select formula_id, (row_number() over (order by formula_id) - 1)::int as selected_idx from coef where class_idx = 3 and w <> 0"))
+    add("selected_features", lambda f: classify.nonzero_features(f.shrunken()).withColumn("selected_idx", F.row_number().over(Window.orderBy("formula_id")) - 1), _sql(fit, "select formula_id, (row_number() over (order by formula_id) - 1)::int as selected_idx from shrunk group by formula_id having max(abs(w)) > 0"))
     # every subset of the bank, for every competitor of the predicted class
     subsets_sql = f"""(with low as materialized (select *, sum(worst) over (partition by class_idx, competitor) as sum_w from {pairs_sql}),
       g as materialized (select f.series_id, l.competitor, list(round(l.d * f.rho - l.worst, 9) order by f.formula_id) as a, any_value(round(1e-6 - l.sum_w, 9)) as lb
@@ -447,26 +464,36 @@ def _all() -> dict[str, Query]:
       select v.formula_id, v.label, k, g, avg(exp(-(((g - rho) / h) ** 2) / 2)) / (h * sqrt(2 * pi())) as density from v join h on v.formula_id = h.formula_id and v.label = h.label group by v.formula_id, v.label, k, g, h
       union all select formula_id, label, 0, mean, null from t where not coalesce(n > 1 and s > 1e-12, false))"""))
     # settings and results
-    grid = lambda f: f.spark.range(26 * 2).select(F.col("id").alias("task"), F.pmod("id", F.lit(26)).alias("dataset_no"), F.when(F.floor(F.col("id") / 26) % 2 == 0, 100).otherwise(1000).alias("n_formulas"), F.lit(3).alias("depth_max"))
-    task = "select task, task % 26 as dataset_no, case when (task // 26) % 2 = 0 then 100 else 1000 end as n_formulas, 3 as depth_max from (select unnest(range(0, 52)) as task)"
+    # the tasks of a grid: every data set (here, a nation's customers would be one) in each setting
+    def grid(f: Frames) -> DataFrame:
+        names = f.spark.read.parquet(f"{f.dir}/nation.parquet").select((F.row_number().over(Window.orderBy("n_nationkey")) - 1).cast("long").alias("dataset_no"), F.col("n_name").alias("dataset"))  # a row a data set
+        tasks = f.spark.range(2 * names.count()).select(F.col("id").alias("task"))
+        n = names.agg(F.count("*").alias("n"))
+        of_each = tasks.crossJoin(F.broadcast(n)).select("task", F.pmod("task", "n").alias("dataset_no"), F.when(F.floor(F.col("task") / F.col("n")) % 2 == 0, 100).otherwise(1000).alias("n_formulas"), F.lit(3).alias("depth_max"))
+        return of_each.join(F.broadcast(names), "dataset_no")
+
+    task = "select task, dataset_no, dataset, case when (task // n) % 2 = 0 then 100 else 1000 end as n_formulas, 3 as depth_max from (select n, unnest(range(0, 2 * n)) as task from (select count(*) as n from nation)) join (select row_number() over (order by n_nationkey) - 1 as dataset_no, n_name as dataset from nation) on dataset_no = task % n"
     add("task_decode", grid, task)
     add("config_grid", lambda f: grid(f).groupBy("n_formulas", "depth_max").agg(F.count("*").alias("n_tasks")), f"select n_formulas, depth_max, count(*) as n_tasks from ({task}) group by all")
-    add("run_summary", lambda f: _rounded(results.summary(f.runs()), "mean_balanced_accuracy", "std_balanced_accuracy", "mean_macro_f1"), _sql("runs", f"select dataset, n_formulas, depth_max, {_r('avg(balanced_accuracy)')} as mean_balanced_accuracy, {_r('stddev_pop(balanced_accuracy)')} as std_balanced_accuracy, {_r('avg(macro_f1)')} as mean_macro_f1, count(*) as n_run from runs group by all"))
-    add("results_groupby", lambda f: f.runs().groupBy("n_formulas", "depth_max").agg(r6(F.avg("balanced_accuracy")).alias("mean_acc"), r6(F.stddev_samp("balanced_accuracy")).alias("std_acc"), r6(F.avg(F.col("time_features_s") + F.col("time_train_s"))).alias("mean_time"), F.countDistinct("dataset").alias("n_datasets"), F.max(F.format_string("n=%d d=%d", "n_formulas", "depth_max")).alias("setting")), _sql("runs", f"select n_formulas, depth_max, {_r('avg(balanced_accuracy)')} as mean_acc, {_r('stddev_samp(balanced_accuracy)')} as std_acc, {_r('avg(time_features_s + time_train_s)')} as mean_time, count(distinct dataset) as n_datasets, max('n=' || n_formulas || ' d=' || depth_max) as setting from runs group by all"))
-    add("results_pivot", lambda f: f.runs().groupBy("dataset", "n_formulas").pivot("depth_max", [2, 3]).agg(r6(F.avg("balanced_accuracy"))).withColumnsRenamed({"2": "d2", "3": "d3"}), _sql("runs", f"select dataset, n_formulas, {_r('avg(balanced_accuracy) filter (depth_max = 2)')} as d2, {_r('avg(balanced_accuracy) filter (depth_max = 3)')} as d3 from runs group by all"))
-    add("results_class_grid_left", lambda f: f.emb().select(F.col("label").alias("class")).distinct().crossJoin(f.runs().select("n_formulas").distinct()).join(f.glob().select(F.col("target").alias("class"), r6("f1").alias("f1")), "class", "left"), _sql(more + " locals gvals quality runs", f"select class, n_formulas, {_r('f1')} as f1 from (select distinct label as class from emb) cross join (select distinct n_formulas from runs) left join quality on quality.target = class"))
-    add("results_class_grid_whole", lambda f: f.emb().select(F.col("label").alias("class")).distinct().crossJoin(f.runs().select("n_formulas").distinct()).join(f.whole_glob().select(F.col("target").alias("class"), r6("f1").alias("f1")), "class", "left"), _sql(wq + " runs", f"select class, n_formulas, {_r('f1')} as f1 from (select distinct label as class from emb) cross join (select distinct n_formulas from runs) left join wquality on wquality.target = class"))
-    # run directories, written and read back
-    made = f"(select 'd' || ds as dataset, nf as n_formulas, 3 as depth_max, run, ds, (ds * 17 + nf + run * 29) as b from (select unnest(range(0, 4))::int as ds), (values (100), (1000)) as a(nf), (select unnest(range(0, 3))::int as run))"
-    part = lambda k: f"((b + {k} * 11) % 90) / 100.0::double"
+    # runs over the panel, written as run directories and read back
+    ran = "emb feat means judgedr reportr runs"
+    add("run_summary", lambda f: _rounded(results.summary(f.runs()), "mean_balanced_accuracy", "std_balanced_accuracy", "mean_macro_f1"), _sql(ran, f"select dataset, n_formulas, depth_max, {_r('avg(balanced_accuracy)')} as mean_balanced_accuracy, {_r('stddev_pop(balanced_accuracy)')} as std_balanced_accuracy, {_r('avg(macro_f1)')} as mean_macro_f1, count(*) as n_run from runs group by all"))
+    timed = lambda: F.min((F.col("time_total_s") > 0) & (F.abs(F.col("time_features_s") + F.col("time_train_s") - F.col("time_total_s")) < 1e-3)).alias("timed")
+    add("results_groupby", lambda f: f.runs().groupBy("n_formulas", "depth_max").agg(r6(F.avg("balanced_accuracy")).alias("mean_acc"), r6(F.stddev_samp("balanced_accuracy")).alias("std_acc"), timed(), F.countDistinct("dataset").alias("n_datasets"), F.max(F.format_string("n=%d d=%d", "n_formulas", "depth_max")).alias("setting")), _sql(ran, f"select n_formulas, depth_max, {_r('avg(balanced_accuracy)')} as mean_acc, {_r('stddev_samp(balanced_accuracy)')} as std_acc, true as timed, count(distinct dataset) as n_datasets, max('n=' || n_formulas || ' d=' || depth_max) as setting from runs group by all"))
+    by_depth = f"select dataset, n_formulas, {_r('avg(balanced_accuracy) filter (depth_max = 2)')} as d2, {_r('avg(balanced_accuracy) filter (depth_max = 3)')} as d3 from runs group by all"
+    add("results_pivot", lambda f: f.runs().groupBy("dataset", "n_formulas").pivot("depth_max", [2, 3]).agg(r6(F.avg("balanced_accuracy"))).withColumnsRenamed({"2": "d2", "3": "d3"}), _sql(ran, by_depth))
+    add("results_class_grid_left", lambda f: f.emb().select(F.col("label").alias("class")).distinct().crossJoin(f.runs().select("n_formulas").distinct()).join(f.glob().select(F.col("target").alias("class"), r6("f1").alias("f1")), "class", "left"), _sql(more + " locals gvals quality means judgedr reportr runs", f"select class, n_formulas, {_r('f1')} as f1 from (select distinct label as class from emb) cross join (select distinct n_formulas from runs) left join quality on quality.target = class"))
+    add("results_class_grid_whole", lambda f: f.emb().select(F.col("label").alias("class")).distinct().crossJoin(f.runs().select("n_formulas").distinct()).join(f.whole_glob().select(F.col("target").alias("class"), r6("f1").alias("f1")), "class", "left"), _sql(wq + " means judgedr reportr runs", f"select class, n_formulas, {_r('f1')} as f1 from (select distinct label as class from emb) cross join (select distinct n_formulas from runs) left join wquality on wquality.target = class"))
     keys = ["dataset", "n_formulas", "depth_max"]
-    add("results_loaded", lambda f: f.run_directories()[0].select(*keys, "run", "seed", *[r6(c).alias(c) for c in ("balanced_accuracy", "accuracy", "macro_f1")], (F.col("time_features_s") + F.col("time_train_s")).alias("time_s")), f"select dataset, n_formulas, depth_max, run, run as seed, {_r(part(5))} as balanced_accuracy, {_r(part(6))} as accuracy, {_r(part(7))} as macro_f1, 4.0::double as time_s from {made}")
-    add("results_class_metrics", lambda f: results.class_metrics(f.run_directories()[0]).select(*keys, "run", "class", "precision", "recall", r6("f1").alias("f1"), "support"), f"select dataset, n_formulas, depth_max, run, 'c' || k as class, 0.5::double as precision, 0.5::double as recall, case when k < 2 then {_r('((b + k * 11) % 90) / 100.0::double')} end as f1, (10 + k)::int as support from {made}, (select unnest(range(0, 3))::int as k)")
-    add("results_class_means", lambda f: _rounded(results.class_means(results.class_metrics(f.run_directories()[0])), "mean_f1"), f"select dataset, 'c' || k as class, {_r('avg(((b + k * 11) % 90) / 100.0::double)')} as mean_f1 from {made}, (select unnest(range(0, 2))::int as k) group by all")
-    add("results_settings", lambda f: results.settings(f.run_directories()[0]), f"select distinct dataset, n_formulas, depth_max from {made}")
-    add("results_accuracy_pivot", lambda f: results.accuracy_pivot(f.run_directories()[0], [2, 3]).select("dataset", "n_formulas", r6(F.col("2")).alias("d2"), r6(F.col("3")).alias("d3")), f"select dataset, n_formulas, null::double as d2, {_r(f'avg({part(5)})')} as d3 from {made} group by all")
-    add("results_locals", lambda f: f.run_directories()[1].select("run_dir", "sample_idx", "target_class", "formula", "n_picks", r6("precision_train").alias("precision_train"), "n_tp"), f"select 'd' || ds || '_' || nf as run_dir, i as sample_idx, 'c' || (i % 2) as target_class, 'G[0,' || i || '](x0 >= 0.5)' as formula, 1 as n_picks, {_r('i / 7.0::double')} as precision_train, i as n_tp from (select unnest(range(0, 4))::int as ds), (values (100), (1000)) as a(nf), (select unnest(range(0, 6))::int as i) where i < ds + 2")
-    add("results_globals", lambda f: f.run_directories()[2].select("run_dir", "class", "formula", "n_unique_locals", "f1"), "select 'd' || ds || '_' || nf as run_dir, 'c0' as class, 'F[0,1](x0 <= 1)' as formula, ds as n_unique_locals, case when ds > 0 then 0.25 * ds end::double as f1 from (select unnest(range(0, 4))::int as ds), (values (100), (1000)) as a(nf)")
+    metrics = ("balanced_accuracy", "accuracy", "macro_f1")
+    add("results_loaded", lambda f: f.runs().select(*keys, "run", "seed", *[r6(c).alias(c) for c in metrics]), _sql(ran, f"select dataset, n_formulas, depth_max, run, run as seed, {', '.join(f'{_r(c)} as {c}' for c in metrics)} from runs"))
+    add("results_class_metrics", lambda f: _rounded(results.class_metrics(f.runs()).select(*keys, "run", "class", "precision", "recall", "f1", "support"), "precision", "recall", "f1"), _sql(ran, f"select 'embeddings' as dataset, n_formulas, depth_max, run, label as class, {_r('precision')} as precision, {_r('recall')} as recall, {_r('f1')} as f1, support::int as support from reportr"))
+    add("results_class_means", lambda f: _rounded(results.class_means(results.class_metrics(f.runs())), "mean_f1"), _sql(ran, "select 'embeddings' as dataset, label as class, round(avg(round(f1, 6)), 6) + 0.0 as mean_f1 from reportr group by label"))
+    add("results_settings", lambda f: results.settings(f.runs()), _sql(ran, "select distinct dataset, n_formulas, depth_max from runs"))
+    add("results_accuracy_pivot", lambda f: results.accuracy_pivot(f.runs(), [2, 3]).select("dataset", "n_formulas", r6(F.col("2")).alias("d2"), r6(F.col("3")).alias("d3")), _sql(ran, by_depth))
+    last = f"'embeddings_{SETTINGS[-1][0]}_{SETTINGS[-1][1]}' as run_dir"
+    add("results_locals", lambda f: f.run_directories(explained=True)[1].select("run_dir", "sample_idx", "target_class", (F.length("formula") > 0).alias("worded"), "n_picks", r6("precision_train").alias("precision_train"), "n_tp"), _sql(whole, f"select {last}, series_id as sample_idx, target as target_class, true as worded, len(picks)::int as n_picks, {_r('prec')} as precision_train, n_tp from g{POOL}"))
+    add("results_globals", lambda f: f.run_directories(explained=True)[2].select("run_dir", "class", (F.size(F.split("formula", r" \| ")) >= F.col("n_unique_locals")).alias("worded"), "n_unique_locals", r6("f1").alias("f1")), _sql(wq, f"select {last}, target as class, true as worded, n::int as n_unique_locals, {_r('f1')} as f1 from wquality join (select target, count(*) as n from wlocals group by target) using (target)"))
 
     # a sampled bank and a trained model: no SQL can follow them
     def sampled(f: Frames) -> DataFrame:

@@ -9,7 +9,7 @@ CONFIG = "dataset string, n_formulas int, depth_max int, batch_size int, thresho
 METRICS = {"run": "int", "seed": "int", "balanced_accuracy": "double", "accuracy": "double", "macro_f1": "double", "per_class": "map<string, struct<precision: double, recall: double, f1: double, support: int>>", "time_features_s": "double", "time_train_s": "double", "time_total_s": "double"}
 MEANS = ["mean_balanced_accuracy", "std_balanced_accuracy", "mean_macro_f1", "mean_time_features_s", "mean_time_train_s", "mean_time_total_s"]
 SUMMARY = ", ".join(f"{c} double" for c in MEANS) + ", per_run array<struct<" + ", ".join(f"{c}: {t}" for c, t in METRICS.items()) + ">>"
-LOCAL = "sample_idx int, target_class string, formula string, n_picks int, precision_train double, n_tp int"
+LOCAL = "sample_idx long, target_class string, formula string, n_picks int, precision_train double, n_tp long"
 GLOBAL = "class string, formula string, n_unique_locals int, f1 double"
 #: The names above are fixed values: those of the result files.
 _KEYS = ["dataset", "n_formulas", "depth_max"]
@@ -26,12 +26,16 @@ def load_results(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame,
     directory has explanations.
     """
     read = lambda name, schema: _run_dir(spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(root))
-    sheet = lambda name, schema: _run_dir(spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).csv(root))
+
+    def sheet(name: str, schema: str) -> DataFrame:
+        """One file a run, or a folder of that name with its parts."""
+        found = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{name},part-*.csv}}").csv(root)
+        return _run_dir(found.where(F.col("_metadata.file_path").contains(f"/{name}")))
+
     keys = read("config.json", CONFIG).select("run_dir", *_KEYS)
     runs = read("accuracy.json", SUMMARY).join(keys, "run_dir").select("run_dir", *_KEYS, F.explode("per_run").alias("r")).select("run_dir", *_KEYS, "r.*")
     done = runs.select("run_dir", *_KEYS).distinct()
-    # local explanations are one file, or a folder of parts
-    return runs, sheet("{local_explanations.csv,part-*.csv}", LOCAL).join(done, "run_dir"), sheet("global_explanations.csv", GLOBAL).join(done, "run_dir")
+    return runs, sheet("local_explanations.csv", LOCAL).join(done, "run_dir"), sheet("global_explanations.csv", GLOBAL).join(done, "run_dir")
 
 
 def class_metrics(runs: DataFrame) -> DataFrame:

@@ -2,13 +2,11 @@
 
 Settings and metrics, which have a row a run or class, are written by the driver of the run; their
 functions take a ``write``, for files of this machine or (``shared_writer``) of any store that Spark
-reaches. Local explanations have a row a series: Spark writes them, as a folder of CSV parts.
+reaches. Explanations are as many as series, or as long as there are: Spark writes them, as folders of CSV parts.
 """
 
 from __future__ import annotations
 
-import csv
-import io
 import json
 from collections.abc import Callable
 from dataclasses import asdict
@@ -19,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .results import GLOBAL, LOCAL
+from .results import LOCAL
 
 Write = Callable[[str, str], None]
 
@@ -62,20 +60,19 @@ def save_accuracy(runs: list[dict], path: Path | str, write: Write = local_write
     write(f"{path}/accuracy.json", json.dumps(head | {"per_run": runs}, indent=2))
 
 
-def _sheet(schema: str, rows) -> str:
-    out = io.StringIO()
-    sheet = csv.writer(out)
-    sheet.writerow([column.split()[0] for column in schema.split(", ")])
-    sheet.writerows(rows)
-    return out.getvalue()
-
-
 def save_locals(rows: DataFrame, path: Path | str) -> None:
     """rows have the columns of LOCAL; written in order of sample_idx."""
     names = [column.split()[0] for column in LOCAL.split(", ")]
     rows.select(*names).withColumn("precision_train", F.round("precision_train", 6)).orderBy("sample_idx").write.option("header", True).csv(f"{path}/local_explanations.csv")
 
 
-def save_globals(rows, path: Path | str, write: Write = local_writer) -> None:
-    """rows: (class, formula, n_unique, f1 or None)."""
-    write(f"{path}/global_explanations.csv", _sheet(GLOBAL, [[a, b, n or 0, "" if f is None else round(f, 6)] for a, b, n, f in rows]))
+def save_globals(disjuncts: DataFrame, kinds: DataFrame, path: Path | str) -> None:
+    """disjuncts (class, first_id, formula), kinds (class, first_id, n_unique_locals, f1): two folders of CSV parts.
+
+    global_disjuncts.csv has a row a disjunct; in global_explanations.csv each class has one text of them all, joined by the task that
+    writes it, and classes come in order of their first explanation.
+    """
+    disjuncts.select("class", "first_id", "formula").write.option("header", True).csv(f"{path}/global_disjuncts.csv")
+    texts = disjuncts.groupBy("class").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_id", "formula"))), lambda x: x.formula), " | ").alias("formula"))
+    rows = kinds.join(texts, "class").orderBy("first_id").select("class", "formula", F.col("n_unique_locals").cast("int").alias("n_unique_locals"), F.round("f1", 6).alias("f1"))
+    rows.write.option("header", True).csv(f"{path}/global_explanations.csv")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from temporalis.functions.robustness import long_features
+from temporalis.functions.robustness import long_features, register_robustness
 from temporalis.operators import analytics, bank, classify, explain
 from temporalis.plans import experiment
 from temporalis.session import cut
@@ -176,12 +176,12 @@ def test_experiment_and_results(spark, tmp_path):
     long, panel, steps = experiment.load(spark, "embeddings", data)
     run = experiment.run_single(panel, long, steps, config, 0)
     assert run["balanced_accuracy"] > 0.8 and run["time_total_s"] > 0
-    local, overall = experiment.explain_run(panel, long, steps, config)
+    local, disjuncts, kinds = experiment.explain_run(panel, long, steps, config)
     told = local.collect()
     assert len(told) == panel.where("split = 'TEST'").count() and all(1 <= x.n_picks <= 4 for x in told)
-    for name, formula, n, _ in overall:
-        own = {x.formula for x in told if x.target_class == name}
-        assert n == len(own) and set(formula.split(" | ")) == {part for text in own for part in text.split(" | ")}
+    for x in kinds.collect():
+        own = {y.formula for y in told if y.target_class == x["class"]}
+        assert x.n_unique_locals == len(own) and {y.formula for y in disjuncts.where(F.col("class") == x["class"]).collect()} == own
     from datetime import datetime
 
     out = sinks.run_directory(spark, config.output_dir, config.dataset, datetime(2024, 1, 2, 3, 4, 5))
@@ -191,13 +191,47 @@ def test_experiment_and_results(spark, tmp_path):
     sinks.save_config(config, out)
     sinks.save_accuracy([run, run | {"run": 1}], out)
     sinks.save_locals(local, out)
-    sinks.save_globals(overall, out)
+    sinks.save_globals(disjuncts, kinds, out)
     (tmp_path / "out" / "half").mkdir()
     (tmp_path / "out" / "half" / "config.json").write_text(json.dumps({"dataset": "no"}))
     runs, locals_, globals_ = results.load_results(spark, config.output_dir)
-    assert runs.count() == 2 and locals_.count() == len(told) and globals_.count() == len(overall)
+    assert runs.count() == 2 and locals_.count() == len(told) and globals_.count() == kinds.count()
     assert {(x.sample_idx, x.formula) for x in locals_.collect()} == {(x.sample_idx, x.formula) for x in told}
+    # what was read back says what was found: the local explanations' precision over TRAIN, the global ones' F1 over TEST
+    register_robustness(spark)
+    texts = locals_.select("formula", "target_class", "precision_train").distinct()
+    read = spark.sql("select formula, target_class, precision_train, avg(if(label = target_class, 1.0, 0.0)) as p from {p}, {t} where split = 'TRAIN' and robustness(vars, formula) > 0 group by all", p=panel, t=texts).collect()
+    assert read and all(x.precision_train == pytest.approx(float(x.p), abs=0.02) for x in read)
+    for x in globals_.collect():
+        test = spark.sql("select count_if(h) as n, count_if(h and label = {c}) as tp, count_if(label = {c}) as own from (select label, robustness(vars, {f}) > 0 as h from {p} where split = 'TEST')", p=panel, f=x.formula, c=x["class"]).first()
+        assert (x.f1 or 0.0) == pytest.approx(2 * test.tp / (test.n + test.own), abs=0.02)
     assert results.class_metrics(runs).where("run = 0").count() == len(run["per_class"])
     s = results.summary(runs).first()
     assert s.mean_balanced_accuracy == pytest.approx(run["balanced_accuracy"]) and s.std_balanced_accuracy == pytest.approx(0) and s.n_run == 2
     assert results.accuracy_pivot(runs, [2, 3]).first()["2"] == pytest.approx(run["balanced_accuracy"])
+
+
+def test_main_writes_a_whole_run(spark, tmp_path, capsys):
+    """The command line: runs over a panel, explanations, files, and what it prints."""
+    rows = [(i, [float(v) for v in np.sin(np.arange(12) * (0.3 + 0.5 * (i % 2))) + 0.01 * i], i % 2) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = experiment.main(["--data", str(tmp_path), "--n_formulas", "8", "--batch_size", "20", "--n_run", "1", "--depth_max", "1", "--cv", "2", "--pool_size", "2", "--output_dir", str(tmp_path / "out")])
+    runs, local, overall = results.load_results(spark, str(tmp_path / "out"))
+    assert out.startswith(f"{tmp_path}/out/embeddings_") and runs.count() == 1 and runs.first().seed == 0
+    assert local.count() == sum(i % 3 == 2 for i in range(40)) and 1 <= overall.count() <= 2
+    said = capsys.readouterr().out.split("\n")
+    assert len([line for line in said if "%" in line]) == overall.count() + 1 and any("macro" in line for line in said)
+
+
+def test_orders_of_any_quarter(spark, tmp_path):
+    from datetime import date
+
+    from temporalis.sources import panels
+
+    spark.createDataFrame([(1, "A"), (2, "B")], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(1, date(1971, 2, 1), 5.0), (1, date(1971, 3, 1), 6.0), (2, date(2031, 12, 31), 7.0), (2, None, 9.0)]
+    spark.createDataFrame(orders, "o_custkey long, o_orderdate date, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = panels.quarterly_orders(spark, str(tmp_path)).collect()
+    last = 60 * 4 + 3
+    assert len(rows) == 2 * 2 * (last + 1) and sum(r.x for r in rows if r["var"] == 0) == 3
+    assert {(r.series_id, r["var"], r.t): r.x for r in rows if r.x} == {(1, 0, 0): 2.0, (1, 1, 0): 11.0, (2, 0, last): 1.0, (2, 1, last): 7.0}
