@@ -199,11 +199,14 @@ def trace(phi: Formula, x: np.ndarray, steps: int = 1) -> np.ndarray:
     return next(v for _, v in Graph([phi], steps).values(np.moveaxis(x, 0, 2))).T
 
 
-def features(panel: DataFrame, formulas: list[Formula], steps: int, vectorised: bool | None = None) -> DataFrame:
-    """panel (series_id, label, split, vars) with feats: the robustness of each formula, in order."""
+def features(panel: DataFrame, formulas: list[Formula], steps: int, vectorised: bool | None = None, append: bool = False) -> DataFrame:
+    """panel (series_id, label, split, vars) with feats: the robustness of each formula, in order.
+
+    With append, panel has feats already: they come first, and vars stay in the row.
+    """
     for phi in formulas:
         check_horizon(phi, steps)
-    if not (len(formulas) > 64 if vectorised is None else vectorised):
+    if not append and not (len(formulas) > 64 if vectorised is None else vectorised):
         return panel.select("series_id", "label", "split", F.array(*[column(phi, F.col("vars")) for phi in formulas]).alias("feats"))
 
     ship(panel.sparkSession)
@@ -217,9 +220,15 @@ def features(panel: DataFrame, formulas: list[Formula], steps: int, vectorised:
             rho = np.empty((len(formulas), n))
             for place, own in graph.values(np.ascontiguousarray(np.moveaxis(x, 0, 2))):
                 rho[place] = own[0]
-            feats = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(formulas), pa.int32()), pa.array(rho.T.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), feats], names=["series_id", "label", "split", "feats"])
-
+            own = rho.T
+            if append:
+                own = np.hstack([b.column(4).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1), own]) if n else own
+            feats = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * own.shape[1], pa.int32()), pa.array(own.ravel()))
+            kept = [b.column(0), b.column(1), b.column(2), *([lists] if append else [])]
+            yield pa.RecordBatch.from_arrays([*kept, feats], names=["series_id", "label", "split", *(["vars"] if append else []), "feats"])
+
+    if append:
+        return panel.select("series_id", "label", "split", "vars", "feats").mapInArrow(evaluate, "series_id long, label string, split string, vars array<array<double>>, feats array<double>")
     return panel.select("series_id", "label", "split", "vars").mapInArrow(evaluate, "series_id long, label string, split string, feats array<double>")
 
 

@@ -326,11 +326,11 @@ def _all() -> dict[str, Query]:
     add("feature_matrix_wide", lambda f: features(f.emb(), BANK, STEPS).select("series_id", *[r6(F.get("feats", F.lit(j))).alias(f"f{j}") for j in range(len(BANK))]), _sql("emb", "select series_id, " + ", ".join(f"{_r(sql(p))} as f{j}" for j, p in enumerate(BANK)) + " from emb"))
     # bank
     add("center_features", lambda f: _rounded(bank.centred(f.feat()).select("series_id", "split", "formula_id", "rho"), "rho"), _sql("emb feat deltas", f"select series_id, split, formula_id, {_r('rho + delta')} as rho from feat join deltas using (formula_id)"))
-    add("corr_pairs", lambda f: _rounded(bank.correlations(f.feat()), "r"), _sql("emb feat corr", f"select k, i, {_r('r')} as r from corr"))
+    add("corr_pairs", lambda f: _rounded(bank.correlations(f.packed(), len(BANK)), "r"), _sql("emb feat corr", f"select k, i, {_r('r')} as r from corr"))
     ids = lambda f: f.spark.range(len(BANK)).select(F.col("id").cast("int").alias("formula_id"))
     gone = f"formula_id not in (select i from corr where abs(r) > {CORR})"
-    add("corr_prune_anti", lambda f: bank.kept(ids(f), bank.correlations(f.feat()), CORR), _sql("emb feat corr", f"select formula_id from (select unnest(range(0, {len(BANK)}))::int as formula_id) where {gone}"))
-    add("bank_trim", lambda f: bank.kept(ids(f), bank.correlations(f.feat()), CORR).withColumn("ord", F.row_number().over(Window.orderBy("formula_id")) - 1).where("ord < 5"), _sql("emb feat corr", f"select formula_id, ord from (select formula_id, (row_number() over (order by formula_id) - 1)::int as ord from (select unnest(range(0, {len(BANK)}))::int as formula_id) where {gone}) where ord < 5"))
+    add("corr_prune_anti", lambda f: bank.kept(ids(f), bank.correlations(f.packed(), len(BANK)), CORR), _sql("emb feat corr", f"select formula_id from (select unnest(range(0, {len(BANK)}))::int as formula_id) where {gone}"))
+    add("bank_trim", lambda f: bank.kept(ids(f), bank.correlations(f.packed(), len(BANK)), CORR).withColumn("ord", F.row_number().over(Window.orderBy("formula_id")) - 1).where("ord < 5"), _sql("emb feat corr", f"select formula_id, ord from (select formula_id, (row_number() over (order by formula_id) - 1)::int as ord from (select unnest(range(0, {len(BANK)}))::int as formula_id) where {gone}) where ord < 5"))
     # classifier and metrics
     add("class_weights", lambda f: _rounded(classify.class_weights(f.emb().where("split = 'TRAIN'")), "weight"), _sql("emb", f"select label, count(*) as n, {_r('sum(count(*)) over () / (count(*) over () * count(*))')} as weight from emb where split = 'TRAIN' group by label"))
     add("decision_scores", lambda f: _rounded(f.score(), "score"), _sql("emb feat coef score", f"select series_id, class_idx, {_r('score')} as score from score"))

@@ -25,13 +25,34 @@ def test_correlation_pruning_is_not_sequential_and_keeps_constants(spark):
     b = a + 0.15 * r.normal(size=200)
     c = b + 0.15 * r.normal(size=200)
     feats = table(spark, [a, b, c, np.ones(200), np.ones(200)], ["x"] * 200)
-    pairs = bank.correlations(long_features(feats))
+    pairs = bank.correlations(feats, 5)
     got = {(x.k, x.i): x.r for x in pairs.collect()}
     bar = (abs(got[0, 1]) + abs(got[0, 2])) / 2  # a~b and b~c, but not a~c
     assert got[0, 3] is None and got[3, 4] is None
     ids = spark.range(5).select(F.col("id").cast("int").alias("formula_id"))
     assert {x.formula_id for x in bank.kept(ids, pairs, bar).collect()} == {0, 3, 4}
-    assert bank.correlated_columns(feats, 5, bar).tolist() == [1, 2]
+    assert sorted(x.formula_id for x in bank.correlated(feats, 5, bar).collect()) == [1, 2]
+
+
+def test_tiles_equal_one_matrix(spark):
+    """Several blocks of columns, and pairs of series that some formulas have no value for."""
+    r = np.random.default_rng(4)
+    m = 2 * bank.WIDTH + 60
+    x = r.normal(size=(60, m))
+    x[:, 5], x[:, 300] = 2.0, x[:, 7] + 0.01 * x[:, 8]
+    x[:, 570] = -x[:, 300]
+    frame = lambda x: spark.createDataFrame([(i, "a", "TRAIN", [None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(x)], "series_id long, label string, split string, feats array<double>").repartition(3)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        want = np.corrcoef(x.T)
+    got = {(p.k, p.i): p.r for p in bank.correlations(frame(x), m).collect()}
+    assert len(got) == m * (m - 1) // 2 and all((r is None) == (5 in key) for key, r in got.items())
+    assert max(abs(r - want[key]) for key, r in got.items() if r is not None) < 1e-9
+    assert sorted(p.formula_id for p in bank.correlated(frame(x), m, 0.9).collect()) == [300, 570]
+    x[r.random(x.shape) < 0.1] = np.nan
+    got = {(p.k, p.i): p.r for p in bank.correlations(frame(x), m).collect()}
+    for k, i in [(7, 300), (0, 1), (300, 570), (2, 571)]:
+        both = ~np.isnan(x[:, k]) & ~np.isnan(x[:, i])
+        assert got[k, i] == pytest.approx(np.corrcoef(x[both, k], x[both, i])[0, 1])
 
 
 def medians(target, others):
