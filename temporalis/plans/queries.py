@@ -18,7 +18,7 @@ from ..functions.robustness import column, features, long_features, register_rob
 from ..functions.traces import block_traces, trace_sql, window_trace
 from ..operators import analytics, bank, classify, explain, path, scale
 from ..session import cut, r6, shared_dir
-from ..sources import panels, results, sinks
+from ..sources import archives, panels, results, sinks
 from . import experiment
 
 STEPS = 64
@@ -291,6 +291,14 @@ def _all() -> dict[str, Query]:
     add("scan_events_panel", lambda f: _rounded(f.events(), "x"), _sql("evtc evtl", f"select series_id, label, split, var, t, {_r('x')} as x from evtl"))
     add("scan_orders_panel", lambda f: f.spark and panels.quarterly_orders(f.spark, f.dir).withColumn("x", F.round("x", 2) + F.lit(0.0)), _sql("cust", "select series_id, label, split, var, t, round(x, 2) + 0.0 as x from cust"))
     add("pack_unpack", lambda f: _rounded(panels.unpacked(panels.packed(f.events())), "x"), _sql("evtc evtl", f"select series_id, label, split, var, t, {_r('x')} as x from evtl"))
+
+    def archived(f: Frames) -> DataFrame:
+        """The events panel, written in the text layout and read back."""
+        path = f"{shared_dir(f.spark)}/archive-{uuid.uuid4().hex}"
+        archives.write_archive(panels.packed(f.events()), path, "events")
+        return _rounded(panels.unpacked(archives.read_archive(f.spark, f"{path}/*")).drop("series_id"), "x")
+
+    add("archive_round_trip", archived, _sql("evtc evtl", f"select label, split, var, t, {_r('x')} as x from evtl"))
     add("scale_stats", lambda f: _rounded(scale.fit(f.events()), "mean", "std"), _sql("evtc evtl stats", f"select var, {_r('mean')} as mean, {_r('std')} as std from stats"))
     add("scale_stats_sample", lambda f: _rounded(scale.fit(f.events(), sample=True), "mean", "std"), _sql("evtc evtl", f"select var, {_r('avg(x)')} as mean, {_r('stddev_samp(x)')} as std from evtl where split = 'TRAIN' group by var"))
     add("scale_apply", lambda f: _rounded(scale.transform(f.events(), scale.fit(f.events())), "x").select("series_id", "label", "split", "var", "t", "x"), _sql("evtc evtl stats", f"select series_id, label, split, var, t, {_r('(x - mean) / (std + 1e-8)')} as x from evtl join stats using (var)"))
