@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, ship
 from . import path
+from .order import placed
 
 POINTS = 6
 PART_BYTES = 32 << 20
@@ -44,10 +45,16 @@ def prototype_path(n: int, points: int = 20) -> list[float]:
 
 
 def balanced_rows(feats: DataFrame, folds: int = 1) -> DataFrame:
-    """(class_idx, weight, feats, fold) of TRAIN, stored, in parts of about PART_BYTES: fits pass over them many times."""
+    """(class_idx, weight, feats, fold) of TRAIN, stored, in parts of about PART_BYTES: fits pass over them many times.
+
+    Folds are dealt in turn, in order of label and a hash: every fold has its share of each class.
+    """
     own = feats.where("split = 'TRAIN'")
-    fold = (F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("series_id"), "series_id")) - 1) % folds
-    rows = own.withColumn("fold", fold if folds > 1 else F.lit(0)).join(F.broadcast(classes(own)), "label").join(F.broadcast(class_weights(own).select("label", "weight")), "label")
+    if folds > 1:
+        dealt = placed(own.withColumn("_hash", F.xxhash64("series_id")), ["label", "_hash", "series_id"]).withColumn("fold", F.col("place") % folds)
+    else:
+        dealt = own.withColumn("fold", F.lit(0))
+    rows = dealt.join(F.broadcast(classes(own)), "label").join(F.broadcast(class_weights(own).select("label", "weight")), "label")
     size = own.agg(F.sum(F.size("feats")).alias("n")).first().n or 0
     return cut(rows.select("class_idx", "weight", "feats", F.col("fold").cast("int").alias("fold")).repartition(max(1, 8 * size // PART_BYTES)))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, ship
 from . import classify
-from .order import quantiles
+from .order import placed, quantiles
 
 #: Products of features and weights that are held at a time.
 SIDE_BY_SIDE = 1 << 21
@@ -159,20 +159,6 @@ BLOCK = 1 << 11
 EVERY = -1
 
 
-def numbered(feats: DataFrame, split: str) -> DataFrame:
-    """The rows of a split with place: 0, 1, ... in order of series_id, whatever the ids are.
-
-    Rows are range-sorted; a row a partition tells where each begins.
-    """
-    rows = feats.where(F.col("split") == split)
-    parts = int(feats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cut(rows.repartitionByRange(parts, "series_id").sortWithinPartitions("series_id").withColumn("row", F.monotonically_increasing_id()))
-    part = F.shiftright("row", 33)
-    sizes = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("row").alias("first"))
-    begin = sizes.select("part", (F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("first")).alias("move"))
-    return ordered.withColumn("part", part).join(F.broadcast(begin), "part").withColumn("place", F.col("row") + F.col("move")).drop("row", "part", "move")
-
-
 def block_words(feats: DataFrame, reparam: DataFrame, split: str) -> DataFrame:
     """(formula_id, target, block, on, own): bits that tell for which series of a block a formula holds, and which of them are the target's.
 
@@ -225,7 +211,8 @@ def block_words(feats: DataFrame, reparam: DataFrame, split: str) -> DataFrame:
         if held:
             yield packed(block, held)
 
-    rows = numbered(feats, split).select(F.floor(F.col("place") / BLOCK).alias("block"), "place", "label", "feats")
+    # places are dense, whatever the ids are
+    rows = placed(feats.where(F.col("split") == split), ["series_id"]).select(F.floor(F.col("place") / BLOCK).alias("block"), "place", "label", "feats")
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(pack, "formula_id int, target string, block long, on array<long>, own array<long>")
 
 

@@ -51,3 +51,16 @@ def ranked_quantiles(rows: DataFrame, keys: list[str], probs: list[float]) -> Da
     each = found.groupBy(*keys, "i", "h").agg(low.alias("low"), high.alias("high"))
     value = F.when(F.floor("h") == F.ceil("h"), F.col("low")).otherwise((F.ceil("h") - F.col("h")) * F.col("low") + (F.col("h") - F.floor("h")) * F.col("high"))
     return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("x")))), lambda s: s.x).alias("q"))  # as many as probs
+
+
+def placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows, stored, with place: 0, 1, ... in the order of some columns.
+
+    Rows are range-sorted; a row a partition tells where each begins.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()))
+    part = F.shiftright("_row", 33)
+    sizes = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("n"), F.min("_row").alias("first"))
+    begin = sizes.select("_part", (F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("first")).alias("_move"))
+    return ordered.withColumn("_part", part).join(F.broadcast(begin), "_part").withColumn("place", F.col("_row") + F.col("_move")).drop("_row", "_part", "_move")  # a row a partition
