@@ -85,6 +85,8 @@ def load_vocabulary(path: str) -> Vocabulary:
             pieces.append(b"")
         else:
             normal[i] = True
+            if _BAR in word.lstrip(_BAR):
+                raise ValueError(f"{path}: {word} holds a space after another character, so texts can't be cut into cells")
             pieces.append(word.replace(_BAR, " ").encode())
     _loaded[path] = build_vocabulary(pieces, scores, byte_ids, normal)
     return _loaded[path]

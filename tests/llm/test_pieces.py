@@ -71,3 +71,23 @@ def test_operator_round_trip_nulls_long(spark):
     back = {r.doc_id: r.text for r in decode_ids(out.where("rank = 1"), PATH).collect() if r.doc_id != 2}
     assert back == {i: t for i, t in rows if i != 2}
     assert encode_nbest(docs.where("false"), PATH).count() == 0
+
+
+def test_vocabularies_that_cross_cells_are_refused(monkeypatch):
+    import sentencepiece
+
+    class Model:
+        def __init__(self, model_file):
+            pass
+
+        def get_piece_size(self):
+            return 1
+
+        def id_to_piece(self, i):
+            return "▁of▁the"
+
+        get_score = is_byte = is_control = is_unknown = is_unused = lambda self, i: 0
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Model)
+    with pytest.raises(ValueError, match="of▁the"):
+        pieces.load_vocabulary("no such file")
