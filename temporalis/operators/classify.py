@@ -129,6 +129,8 @@ def scored(feats: DataFrame, coef: DataFrame) -> DataFrame:
 
     def work(batches):
         for b in batches:
+            if not b.num_rows:
+                continue
             x = np.nan_to_num(b.column(3).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1))
             z = x[:, : weights.shape[1]] @ weights.T  # features without a weight count nothing
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(weights)), pa.array(z.ravel()))

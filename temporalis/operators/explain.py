@@ -30,6 +30,8 @@ def _each_series(rows: DataFrame, coef: DataFrame, schema: str, work) -> DataFra
 
     def run(batches):
         for b in batches:
+            if not b.num_rows:
+                continue
             x = np.nan_to_num(b.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1))
             # as many series at a time as keep the products small
             share = max(1, SIDE_BY_SIDE // max(1, weights.size))

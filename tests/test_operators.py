@@ -34,6 +34,32 @@ def test_correlation_pruning_is_not_sequential_and_keeps_constants(spark):
     assert sorted(x.formula_id for x in bank.correlated(feats, 5, bar).collect()) == [1, 2]
 
 
+def test_rows_in_place(spark):
+    """Scores, contributions, top-m and margins of packed rows, with ties, a missing feature, and none at all."""
+    rows = [(1, "a", "TEST", [1.0, -2.0, 0.5]), (2, "b", "TEST", [0.0, 0.0, 0.0]), (3, "b", "TEST", [None, 1.0, 1.0])]
+    feats = spark.createDataFrame(rows, "series_id long, label string, split string, feats array<double>").repartition(2)
+    w = np.array([[1.0, 0.0, 2.0], [0.5, -1.0, 0.0], [0.0, 1.0, 2.0]])
+    coef = spark.createDataFrame([(c, j, float(w[c, j])) for c in range(3) for j in range(3)], "class_idx int, formula_id int, w double")
+    scored = cut(classify.scored(feats, coef))
+    x = {i: np.nan_to_num(np.array(v, dtype=float)) for i, _, _, v in rows}
+    best = {i: int((w @ v).argmax()) for i, v in x.items()}
+    assert {r.series_id: (r.class_idx, r.scores) for r in scored.collect()} == {i: (best[i], (w @ v).tolist()) for i, v in x.items()} and best == {1: 1, 2: 0, 3: 2}
+    told = {(r.series_id, r.competitor, r.formula_id): r.c for r in explain.contributions(scored, coef).collect()}
+    assert told == {(i, c, j): (w[best[i], j] - w[c, j]) * v[j] for i, v in x.items() for c in range(3) if c != best[i] for j in range(3)}
+    total = {i: [sum(told[i, c, j] for c in range(3) if c != best[i]) for j in range(3)] for i in x}
+    first = {i: sorted(range(3), key=lambda j: (-round(total[i][j], 9), j))[:2] for i in x}
+    assert {(r.series_id, r.rank): (r.formula_id, r.total) for r in explain.top_m(scored, coef, 2).collect()} == {(i, k + 1): (j, pytest.approx(total[i][j])) for i in x for k, j in enumerate(first[i])}
+    each = {(i, c): sorted(range(3), key=lambda j: (-round(told[i, c, j], 9), j))[:1] for i, c, _ in told}
+    assert {(r.series_id, r.competitor): (r.formula_id, r.role) for r in explain.top_m_each(scored, coef, 1).collect()} == {k: (v[0], "supports" if told[*k, v[0]] > 0 else "threatens") for k, v in each.items()}
+    for r in explain.margins(scored, coef, 1, 2).collect():
+        own = [told[r.series_id, r.competitor, j] for j in range(3)]
+        assert (r.full_margin, r.own_margin, r.top_margin) == pytest.approx((sum(own), max(own), sum(own[j] for j in first[r.series_id])))
+    none = classify.scored(feats.where("false"), coef)
+    assert none.count() == 0 and explain.contributions(none, coef).count() == 0 and explain.top_m(none, coef, 2).count() == 0
+    plan = explain.top_m(classify.scored(feats, coef), coef, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan  # nothing is shuffled by series
+
+
 def test_tiles_equal_one_matrix(spark):
     """Several blocks of columns, and pairs of series that some formulas have no value for."""
     r = np.random.default_rng(4)

@@ -20,11 +20,17 @@ def plain(rows, names):
     return sorted((tuple(value(r[i]) for i in order) for r in rows), key=str)
 
 
+@pytest.fixture(scope="module")
+def frames(spark):
+    """One for all queries: what several of them go over is worked out once."""
+    return queries.Frames(spark, SF)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 @pytest.mark.parametrize("name", sorted(queries.ALL))
-def test_query_equals_sql(spark, name):
+def test_query_equals_sql(frames, name):
     build, text = queries.ALL[name]
-    df = build(queries.Frames(spark, SF))
+    df = build(frames)
     got = plain([tuple(r) for r in df.collect()], df.columns)
     assert got
     if text is None:
