@@ -16,6 +16,10 @@ from ..session import ship
 from .formula import And, Atom, Eventually, Formula, Globally, Not, Or, Until, horizon, parse
 
 
+#: More formulas than these are evaluated by numpy in Arrow batches: array functions aren't compiled by Spark.
+COLUMNS = 4
+
+
 def check_horizon(phi: Formula, steps: int) -> None:
     if horizon(phi) > steps - 1:
         raise ValueError(f"{phi} looks {horizon(phi)} steps ahead, a series has {steps}")
@@ -206,7 +210,7 @@ def features(panel: DataFrame, formulas: list[Formula], steps: int, vectorised:
     """
     for phi in formulas:
         check_horizon(phi, steps)
-    if not append and not (len(formulas) > 64 if vectorised is None else vectorised):
+    if not append and not (len(formulas) > COLUMNS if vectorised is None else vectorised):
         return panel.select("series_id", "label", "split", F.array(*[column(phi, F.col("vars")) for phi in formulas]).alias("feats"))
 
     ship(panel.sparkSession)

@@ -318,7 +318,7 @@ def _all() -> dict[str, Query]:
     add("stl_trace_blocks", lambda f: _rounded(blocks(f, block=7), "rho"), _sql("evtc evtl", f"select series_id, t::bigint as t, formula_id, {_r('rho')} as rho from ({by_sql})"))
     add("feature_matrix_blocks", lambda f: _rounded(blocks(f, first_only=True).drop("t"), "rho"), _sql("evtc evtl", f"select series_id, formula_id, {_r('rho')} as rho from ({by_sql}) where t = 0"))
     add("horizon_pruned", lambda f: panels.embeddings(f.spark, f.dir).where(F.col("t") <= horizon(BANK[0])).groupBy("series_id").agg(r6(F.min(F.col("x") + 0.25)).alias("rho")), _sql("emb embl", f"select series_id, {_r('min(x + 0.25)')} as rho from embl where t <= {horizon(BANK[0])} group by series_id"))
-    add("feature_matrix_long", lambda f: _rounded(f.feat(), "rho"), _sql("emb feat", f"select series_id, label, split, formula_id, {_r('rho')} as rho from feat"))
+    add("feature_matrix_long", lambda f: _rounded(long_features(features(f.emb(), BANK, STEPS, vectorised=False)), "rho"), _sql("emb feat", f"select series_id, label, split, formula_id, {_r('rho')} as rho from feat"))
     add("feature_matrix_vectorised", lambda f: _rounded(long_features(features(f.emb(), BANK, STEPS, vectorised=True)), "rho"), _sql("emb feat", f"select series_id, label, split, formula_id, {_r('rho')} as rho from feat"))
 
     def by_text(f: Frames) -> DataFrame:
@@ -331,7 +331,7 @@ def _all() -> dict[str, Query]:
     add("robustness_sql", lambda f: _rounded(by_text(f), "rho"), _sql("emb feat", f"select series_id, formula_id, {said_bank}[formula_id + 1] as formula, {_r('rho')} as rho from feat"))
     drawn = Sampler([-0.3], [0.3], STEPS - 1, 3, 17, until_weight=1.0).sample(SAMPLED)
     add("feature_matrix_sampled", lambda f: _rounded(long_features(features(f.emb(), drawn, STEPS)).select("series_id", "formula_id", "rho"), "rho"), _sql("emb", f"select series_id, unnest(range(0, {SAMPLED}))::int as formula_id, {_r('unnest([' + ', '.join(sql(p) for p in drawn) + '])')} as rho from emb"))
-    add("feature_matrix_wide", lambda f: features(f.emb(), BANK, STEPS).select("series_id", *[r6(F.get("feats", F.lit(j))).alias(f"f{j}") for j in range(len(BANK))]), _sql("emb", "select series_id, " + ", ".join(f"{_r(sql(p))} as f{j}" for j, p in enumerate(BANK)) + " from emb"))
+    add("feature_matrix_wide", lambda f: features(f.emb(), BANK, STEPS, vectorised=False).select("series_id", *[r6(F.get("feats", F.lit(j))).alias(f"f{j}") for j in range(len(BANK))]), _sql("emb", "select series_id, " + ", ".join(f"{_r(sql(p))} as f{j}" for j, p in enumerate(BANK)) + " from emb"))
     # bank
     add("center_features", lambda f: _rounded(bank.centred(f.feat()).select("series_id", "split", "formula_id", "rho"), "rho"), _sql("emb feat deltas", f"select series_id, split, formula_id, {_r('rho + delta')} as rho from feat join deltas using (formula_id)"))
     add("corr_pairs", lambda f: _rounded(bank.correlations(f.packed(), len(BANK)), "r"), _sql("emb feat corr", f"select k, i, {_r('r')} as r from corr"))
