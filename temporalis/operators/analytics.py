@@ -52,6 +52,10 @@ def prefix_picks(gains: DataFrame) -> DataFrame:
     return up.where("before < lb").join(abduce_binary(gains).where("enough").select("series_id"), "series_id", "left_semi").select("series_id", "formula_id")
 
 
+#: Weightings that first sets are taken under.
+STARTS = 24
+
+
 def _multipliers(a: np.ndarray, lb: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights of the constraints a p >= lb and the bound that they give on the number of features.
 
@@ -76,42 +80,56 @@ def _enough(short: np.ndarray) -> bool:
     return bool((short <= 1e-12).all())
 
 
-def fewest_features(a: np.ndarray, lb: np.ndarray) -> list[int] | None:
-    """The fewest columns of a whose sums reach lb in every row; null if no set does.
+def _taken(a: np.ndarray, lb: np.ndarray, weights: np.ndarray) -> list[int] | None:
+    """A set that is enough, from taking the column that closes most of what is missing, row by weighted row; null if that gets stuck."""
+    picks: list[int] = []
+    short = lb.copy()
+    while not _enough(short):
+        missing = weights @ np.maximum(short[:, None] - a, 0.0)
+        missing[picks] = np.inf
+        k = int(missing.argmin())
+        if missing[k] >= weights @ np.maximum(short, 0.0) - 1e-12:
+            return None
+        picks.append(k)
+        short = short - a[:, k]
+    return picks
+
+
+def fewest_features(a: np.ndarray, lb: np.ndarray, steps: int | None = None) -> tuple[list[int] | None, int | None]:
+    """(the fewest columns of a whose sums reach lb in every row, a proven lower bound of their number).
 
-    A first set comes from taking the column that closes most of what is missing. Then sets of each smaller
+    First sets come from ``_taken`` under STARTS weightings. Then sets of each smaller
     size from the bound on are looked for on a stack: columns in order of their weighted gain, one
     that is no better anywhere than an earlier one left out only after it, branches cut by the weighted bound
-    and by what the largest gains of each row could still reach.
+    and by what the largest gains of each row could still reach. Without a limit of steps the set is the
+    fewest and the bound its size; with one it is the best found, and the bound may lie below. (None, None) if no set is enough.
     """
     if _enough(lb):
-        return []
+        return [], 0
     rows, m = a.shape
     gain = np.maximum(a, 0.0)
     y, bound = _multipliers(a, lb)
     if bound > m + 1e-9 or (gain.sum(axis=1) < lb - 1e-12).any():
-        return None
+        return None, None
     order = np.argsort(-(y @ a + 1e-9 * gain.sum(axis=0)), kind="stable")
     a, gain = a[:, order], gain[:, order]
     over = np.concatenate([np.cumsum(np.maximum(y @ a - 1.0, 0.0)[::-1])[::-1], [0.0]])
     rest = np.concatenate([np.cumsum(gain[:, ::-1], axis=1)[:, ::-1], np.zeros((rows, 1))], axis=1)
     top = np.cumsum(-np.sort(-gain, axis=1), axis=1)
 
-    first: list[int] | None = []
-    short = lb.copy()
-    while not _enough(short):
-        missing = np.maximum(short[:, None] - a, 0.0).sum(axis=0)
-        missing[first] = np.inf
-        k = int(missing.argmin())
-        if missing[k] >= np.maximum(short, 0.0).sum() - 1e-12:
-            first = None
-            break
-        first.append(k)
-        short = short - a[:, k]
+    random = np.random.default_rng(0)
+    starts = [np.ones(rows), *((y / max(y.max(), 1e-300) + 0.05) * random.uniform(0.3, 1.7, (STARTS - 1, rows)))]
+    best = min((s for w in starts if (s := _taken(a, lb, w)) is not None), key=len, default=None)
+    left_steps = steps
 
     def found(limit: int) -> list[int] | None:
+        nonlocal left_steps
         stack = [(0, lb, ())]
         while stack:
+            if left_steps is not None:
+                left_steps -= 1
+                if left_steps < 0:
+                    return None
             k, short, picks = stack.pop()
             if _enough(short):
                 return list(picks)
@@ -125,33 +143,38 @@ def fewest_features(a: np.ndarray, lb: np.ndarray) -> list[int] | None:
             stack.append((k + 1, short - a[:, k], (*picks, k)))
         return None
 
-    best = first if first is not None else found(m)
+    least = max(1, int(np.ceil(bound - 1e-9)))
+    told = lambda picks: sorted(int(order[k]) for k in picks)
     if best is None:
-        return None
-    for size in range(max(1, int(np.ceil(bound - 1e-9))), len(best)):
+        best = found(m)
+        if best is None:
+            return None, None if left_steps is None or left_steps >= 0 else least
+    for size in range(least, len(best)):
         smaller = found(size)
         if smaller is not None:
-            best = smaller
-            break
-    return sorted(int(order[k]) for k in best)
+            return told(smaller), size
+        if left_steps is not None and left_steps < 0:
+            return told(best), size
+    return told(best), len(best)
 
 
-def abduce(gains: DataFrame) -> DataFrame:
-    """(series_id, picks, n_needed): the fewest features that secure every margin.
+def abduce(gains: DataFrame, steps: int | None = None) -> DataFrame:
+    """(series_id, picks, n_needed, at_least): the fewest features that secure every margin.
 
     gains (series_id, competitor, formula_id, a, lb). A group is one series' table, classes times
-    features; a missing gain is 0. The search (``fewest_features``) is exact and has no cap, and its worst case is
-    exponential: against one competitor ``abduce_binary`` sorts. Without a set that is enough picks are null and
+    features; a missing gain is 0. The search (``fewest_features``) is exact by default, and its worst case is
+    exponential: against one competitor ``abduce_binary`` sorts. With a limit of steps a series gets the best set found, and
+    at_least tells how few it could be. Without a set that is enough picks and at_least are null and
     n_needed is -1. Null gains count as 0; without rows there are none.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         a = pdf.pivot_table(index="competitor", columns="formula_id", values="a", fill_value=0.0, dropna=False).fillna(0.0)
         lb = pdf.groupby("competitor").lb.first().reindex(a.index).to_numpy()
-        best = fewest_features(a.to_numpy(), lb)
-        return pd.DataFrame({"series_id": [pdf.series_id.iloc[0]], "picks": [[int(a.columns[k]) for k in best] if best is not None else None], "n_needed": [len(best) if best is not None else -1]})
+        best, least = fewest_features(a.to_numpy(), lb, steps)
+        return pd.DataFrame({"series_id": [pdf.series_id.iloc[0]], "picks": [[int(a.columns[k]) for k in best] if best is not None else None], "n_needed": [len(best) if best is not None else -1], "at_least": pd.array([least], dtype="Int32")})
 
-    return gains.groupBy("series_id").applyInPandas(solve, "series_id long, picks array<int>, n_needed int")
+    return gains.groupBy("series_id").applyInPandas(solve, "series_id long, picks array<int>, n_needed int, at_least int")
 
 
 def _sides(long: DataFrame, classes: DataFrame) -> DataFrame:
