@@ -13,8 +13,10 @@ them once in 200,000. A bucket never emits all its pairs: first each member meet
 bucket's most central member (the one whose buckets are largest in sum). The links found give
 components; only buckets that still span several are looked at again, block against block
 inside tasks, between members of different components only. So links within a component
-(which can't change the result) are the only ones left out. Those blocks first compare
-signatures. A block with no more near pairs than members returns these pairs, to be verified
+(which can't change the result) are the only ones left out. Of these buckets, one of more than
+32 blocks is banded again: its members fall into 32 buckets of the minima i, i + 32, i + 64 and
+i + 96, so two of them meet if eight minima agree (seven in four of the buckets); a pair at
+similarity 0.75 misses all of them once in 370,000. Blocks first compare signatures. A block with no more near pairs than members returns these pairs, to be verified
 as above; another returns its members that have a near partner, and the blocks of these
 then compare full sets and return links that join components, at most one fewer than members.
 
@@ -317,6 +319,24 @@ def _cells(members: DataFrame, extra: DataFrame, s: Scratch) -> DataFrame:
     return dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
 
 
+def _banded_again(spread: DataFrame, sigs: DataFrame, s: Scratch) -> DataFrame:
+    """Members (key, doc_id, component_id) with those of wide buckets dealt into buckets of other minima.
+
+    Blocks would copy a member of such a bucket more than BANDS times, and compare it with
+    all others; this copies it BANDS times, and only buckets that span several components stay.
+    """
+    wide = s.stored(spread.groupBy("key").count().where(F.col("count") > BLOCK * BANDS).select("key"), "wide")
+    if wide.isEmpty():
+        return spread
+    wide = if_few(wide)
+    minima = [[F.substring("sig", i + r * BANDS + 1, 1) for r in range(ROWS)] for i in range(BANDS)]
+    keys = F.array(*[F.xxhash64("key", F.lit(i), *four) for i, four in enumerate(minima)])
+    again = spread.join(wide, "key", "left_semi").join(sigs.select("doc_id", "sig"), "doc_id").select(F.explode(keys).alias("key"), "doc_id", "component_id")
+    again = s.stored(again, "again")
+    several = again.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi").select("key")
+    return s.stored(spread.join(wide, "key", "left_anti").unionByName(again.join(several, "key", "left_semi")), "banded")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     spark = docs.sparkSession
@@ -345,7 +365,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     known = s.stored(members.join(comps, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id")), "known")
     several = s.stored(known.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi").select("key"), "several")
-    spread = s.stored(known.join(several, "key"), "spread")
+    spread = _banded_again(s.stored(known.join(several, "key"), "spread"), sigs, s)
     near = s.stored(_cells(spread, sigs, s).mapInArrow(lean(_each_cell(_near_members, ("key", "a", "b"))), "key long, a long, b long").distinct(), "near")
     if not near.isEmpty():
         crowded = near.where("key is not null").select("key", F.col("a").alias("doc_id"))

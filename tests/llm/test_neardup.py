@@ -84,6 +84,61 @@ def test_blocks(spark, monkeypatch, seed):
     assert got == brute(rows)
 
 
+def crowd(seed, members=120):
+    """Texts that share two thirds of their words, so buckets hold many unlike ones, and a few linked ones among them."""
+    r = random.Random(seed)
+    common = [f"c{i}" for i in range(80)]
+    rows = []
+    for i in range(members):
+        own = [f"o{r.random()}" for _ in range(30)]
+        rows.append((i, " ".join(common + own)))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join(common + own[:-3] + ["else"] * 3)))
+    return rows
+
+
+def test_crowded_buckets_are_banded_again(spark, monkeypatch):
+    from temporalis.llm import neardup
+
+    tables = []
+    again = neardup._banded_again
+
+    def watched(spread, sigs, s):
+        out = again(spread, sigs, s)
+        tables.append((spread.groupBy("key").count().agg({"count": "max"}).first()[0], out is not spread))
+        return out
+
+    monkeypatch.setattr(neardup, "BLOCK", 1)
+    monkeypatch.setattr(neardup, "_banded_again", watched)
+    rows = crowd(11)
+    got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute(rows)
+    assert tables[0][0] > neardup.BANDS and tables[0][1]
+
+
+def test_banding_again_leaves_few_pairs(spark):
+    """A bucket of 20,000 members with signatures of their own, of which 100 pairs are alike in 96 minima."""
+    import numpy as np
+
+    from temporalis.llm import neardup
+    from temporalis.llm.shared import Scratch
+
+    g = np.random.default_rng(4)
+    sigs = g.integers(0, 256, (20_000, neardup.HASHES), dtype=np.uint8)
+    for i in range(100):
+        same = g.permutation(neardup.HASHES)[:96]
+        sigs[2 * i + 1, same] = sigs[2 * i, same]
+    frame = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sigs)], "doc_id long, sig binary")
+    s = Scratch()
+    spread = spark.range(20_000).selectExpr("7L as key", "id as doc_id", "id as component_id")
+    out = neardup._banded_again(spread, frame, s)
+    pairs = out.alias("x").join(out.alias("y"), "key").where("x.doc_id < y.doc_id").selectExpr("x.doc_id as a", "y.doc_id as b").distinct()
+    found = {tuple(r) for r in pairs.collect()}
+    s.clear()
+    assert {(2 * i, 2 * i + 1) for i in range(100)} <= found
+    assert len(found) < 1_000
+
+
 def test_unfinished_components_are_an_error(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
     with pytest.raises(RuntimeError, match="rounds"):
