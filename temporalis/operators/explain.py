@@ -19,11 +19,11 @@ from .order import placed, quantiles
 SIDE_BY_SIDE = 1 << 21
 
 
-def _each_series(rows: DataFrame, coef: DataFrame, schema: str, work) -> DataFrame:
+def _each_series(rows: DataFrame, coef: DataFrame, schema: str, work, missing: float = 0.0) -> DataFrame:
     """work(class_idx, feats, weights) gives, for the series of a batch, (place of its series, columns of schema) of the rows to return.
 
     rows (series_id, class_idx, feats) are packed, the model is a row a class and feature: nothing is shuffled.
-    A missing feature counts as 0.
+    A missing feature counts as 0; if missing is NaN, work gets features as they are.
     """
     ship(rows.sparkSession)
     weights = classify.weights_of(coef)
@@ -32,12 +32,13 @@ def _each_series(rows: DataFrame, coef: DataFrame, schema: str, work) -> DataFra
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.nan_to_num(b.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1))
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+            x = x if np.isnan(missing) else np.nan_to_num(x, nan=missing)
             # as many series at a time as keep the products small
             share = max(1, SIDE_BY_SIDE // max(1, weights.size))
             for lo in range(0, b.num_rows, share):
                 at, *columns = work(b.column(1)[lo : lo + share].to_numpy(zero_copy_only=False).astype(np.int64), x[lo : lo + share], weights)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + lo)), *map(pa.array, columns)], names=["series_id", *(c.split()[0] for c in schema.split(", "))])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + lo)), *(c if isinstance(c, pa.Array) else pa.array(c) for c in columns)], names=["series_id", *(c.split()[0] for c in schema.split(", "))])
 
     kind = rows.schema["series_id"].dataType.simpleString()
     return rows.select("series_id", "class_idx", "feats").mapInArrow(run, f"series_id {kind}, {schema}")

@@ -456,7 +456,13 @@ def _all() -> dict[str, Query]:
       select series_id, coalesce(min(n), -1)::int as n_needed from (select distinct series_id from g) left join (
         select series_id, mask, bit_count(mask)::int as n from g, s group by series_id, mask having min({' + '.join(f'(mask >> {j} & 1) * a[{j + 1}]' for j in range(len(BANK)))} - lb) >= -1e-12) using (series_id) group by series_id)"""
     abduced = "emb feat coef score pred box"
-    add("abduce_whole", lambda f: analytics.abduce(all_gains(f.with_unlike_classes())).select("series_id", "n_needed"), _unlike(_sql(abduced, f"select series_id, n_needed from {subsets_sql}")))
+
+    def against_all(f: Frames, search: Callable) -> DataFrame:
+        """What each formula of a TEST series adds to the margin of its predicted class over every other one, searched in packed rows."""
+        f = f.with_unlike_classes()
+        return search(f.scored(), f.coef(), analytics.quantile_box(f.feat()))
+
+    add("abduce_whole", lambda f: against_all(f, analytics.abduced).select("series_id", "n_needed"), _unlike(_sql(abduced, f"select series_id, n_needed from {subsets_sql}")))
 
     def verified(f: Frames) -> DataFrame:
         """Margins under the picks against every competitor, of series that some set secures."""
