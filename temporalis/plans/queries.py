@@ -429,14 +429,6 @@ def _all() -> dict[str, Query]:
         d = a.join(b, "formula_id").where("class_idx <> competitor").select("class_idx", "competitor", "formula_id", (F.col("w") - F.col("other")).alias("d"))
         return analytics.worst_case(d, analytics.quantile_box(f.feat())).select("class_idx", "competitor", "formula_id", "d", "worst")
 
-    def all_gains(f: Frames) -> DataFrame:
-        """What each formula of a TEST series adds to the margin of its predicted class over every other one."""
-        low = all_pairs(f)
-        bars = low.groupBy("class_idx", "competitor").agg((F.lit(1e-6) - F.sum("worst")).alias("lb"))
-        low = low.join(F.broadcast(bars), ["class_idx", "competitor"])
-        own = test(f).join(f.pred().select("series_id", "class_idx"), "series_id")
-        return own.join(F.broadcast(low), ["class_idx", "formula_id"]).select("series_id", "competitor", "formula_id", F.round(F.col("d") * F.col("rho") - F.col("worst"), 9).alias("a"), F.round("lb", 9).alias("lb"))
-
     pairs_sql = "(select a.class_idx, b.class_idx as competitor, formula_id, a.w - b.w as d, case when a.w > b.w then (a.w - b.w) * vmin when a.w < b.w then (a.w - b.w) * vmax else 0.0 end as worst from coef a join coef b using (formula_id) join box using (formula_id) where a.class_idx <> b.class_idx)"
     add("worst_case_whole", lambda f: _rounded(all_pairs(f), "worst"), _sql("emb feat coef box", f"select class_idx, competitor, formula_id, d, {_r('worst')} as worst from {pairs_sql}"))
     # maps of scores and of contributions, as text in order of class
@@ -463,14 +455,7 @@ def _all() -> dict[str, Query]:
         return search(f.scored(), f.coef(), analytics.quantile_box(f.feat()))
 
     add("abduce_whole", lambda f: against_all(f, analytics.abduced).select("series_id", "n_needed"), _unlike(_sql(abduced, f"select series_id, n_needed from {subsets_sql}")))
-
-    def verified(f: Frames) -> DataFrame:
-        """Margins under the picks against every competitor, of series that some set secures."""
-        gains_of = cut(all_gains(f.with_unlike_classes()))
-        picks = analytics.abduce(gains_of).where("n_needed >= 0").select("series_id", F.explode_outer("picks").alias("formula_id"))
-        return analytics.verified_margins(gains_of.join(picks.select("series_id").distinct(), "series_id", "left_semi"), picks).select("series_id", "competitor", "secured")
-
-    add("verified_margins_whole", verified, _unlike(_sql(abduced, f"select series_id, c.class_idx as competitor, true as secured from {subsets_sql} n join pred p using (series_id) join (select distinct class_idx from coef) c on c.class_idx <> p.class_idx where n_needed >= 0")))
+    add("verified_margins_whole", lambda f: against_all(f, analytics.abduced_margins).select("series_id", "competitor", "secured"), _unlike(_sql(abduced, f"select series_id, c.class_idx as competitor, true as secured from {subsets_sql} n join pred p using (series_id) join (select distinct class_idx from coef) c on c.class_idx <> p.class_idx where n_needed >= 0")))
     add("kde_whole", lambda f: _rounded(analytics.density(f.feat().where("split = 'TRAIN'").select(F.struct("formula_id", "label").alias("label"), F.col("rho").alias("x"))), "g", "density").select(F.col("label.formula_id").alias("formula_id"), F.col("label.label").alias("label"), "k", "g", "density"), _sql("emb feat", f"""select formula_id, label, k::int as k, {_r('g')} as g, {_r('density')} as density from (
       with v as (select formula_id, label, rho from feat where split = 'TRAIN'),
       t as (select formula_id, label, count(*)::double as n, avg(rho) as mean, stddev_samp(rho) as s, min(rho) as a, max(rho) as z from v group by formula_id, label),

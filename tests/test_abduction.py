@@ -83,3 +83,21 @@ def test_long_abduction_keeps_its_parts(spark):
 def test_whole_abduction_meets_no_series_in_a_task(spark):
     """Only the box is grouped (by formula), before; the search itself is taken in the packed row."""
     assert "FlatMapGroups" not in (found := plan(queries.ALL["abduce_whole"][0](queries.Frames(spark, SF)))) and "Exchange" not in found
+
+
+def test_packed_margins_equal_joined_ones(spark):
+    coef, box, rows = model(spark, np.random.default_rng(11))
+    found = analytics.abduced_margins(rows, coef, box)
+    assert "Exchange" not in plan(found) and "Join" not in plan(found)
+    picks = analytics.abduced(rows, coef, box).where("n_needed >= 0").select("series_id", F.explode_outer("picks").alias("formula_id"))
+    gains = long_gains(rows, coef, box).join(picks.select("series_id").distinct(), "series_id", "left_semi").withColumn("a", F.when(~F.isnan("a"), F.col("a")))
+    want = {(x.series_id, x.competitor): x.margin for x in analytics.verified_margins(gains, picks).collect()}
+    got = found.collect()
+    assert len(got) == len(want) > 60 and all(x.secured and x.margin == pytest.approx(want[x.series_id, x.competitor], abs=1e-9) for x in got)
+    assert analytics.abduced_margins(rows, coef, box.limit(0)).count() == 0
+
+
+@tables
+def test_whole_margins_meet_no_series_in_a_task(spark):
+    found = plan(queries.ALL["verified_margins_whole"][0](queries.Frames(spark, SF)))
+    assert "MapInArrow" in found and not any(x in found for x in ("FlatMapGroups", "Exchange", "Join"))
