@@ -400,7 +400,14 @@ def _all() -> dict[str, Query]:
       select *, case when a > 0 then row_number() over w end as k, case when a > 0 then sum(a) over w end as total from {gain_sql} window w as (partition by series_id order by a desc, formula_id rows between unbounded preceding and current row)) group by series_id"""))
     ranked = f"(select *, row_number() over w as k, sum(a) over w as total from {gain_sql} where a > 0 window w as (partition by series_id order by a desc, formula_id rows between unbounded preceding and current row))"
     needed = f"(select series_id, max(lb) as lb, case when max(lb) <= 0 then 0 else min(k) filter (total >= lb) end as n from (select g.series_id, g.lb, r.k, r.total from (select distinct series_id, lb from {gain_sql}) g left join {ranked} r using (series_id)) group by series_id)"
-    add("abduce_check", lambda f: analytics.abduce(gains(f)).select("series_id", "n_needed"), _sql("emb feat coef box", f"select series_id, coalesce(n, -1)::int as n_needed from {needed}"))
+
+    def one_pair(f: Frames) -> DataFrame:
+        """The search in packed rows for the gains of class 1 over class 4, as classes 0 and 1."""
+        two = f.coef().where("class_idx in (1, 4)").withColumn("class_idx", F.when(F.col("class_idx") == 1, 0).otherwise(1))
+        rows = f.packed().where("split = 'TEST'").withColumn("class_idx", F.lit(0))
+        return analytics.abduced(rows, two, analytics.quantile_box(f.feat()))
+
+    add("abduce_check", lambda f: one_pair(f).select("series_id", "n_needed"), _sql("emb feat coef box", f"select series_id, coalesce(n, -1)::int as n_needed from {needed}"))
     add("verified_margins", lambda f: _rounded((lambda g: analytics.verified_margins(g, analytics.prefix_picks(g)))(gains(f)), "margin"), _sql("emb feat coef box", f"select series_id, 4 as competitor, {_r('coalesce(total, 0.0) - lb')} as margin, coalesce(total, 0.0) >= lb as secured from {needed} left join (select series_id, k as n, total from {ranked}) using (series_id, n)"))
     add("sufficiency_zero", lambda f: classify.predictions(_rounded(classify.long_scores(test(f).join(f.top_m(POOL).select("series_id", "formula_id"), ["series_id", "formula_id"], "left_semi"), f.coef()), "score")).join(f.pred().select("series_id", F.col("class_idx").alias("own")), "series_id").select("series_id", (F.col("class_idx") == F.col("own")).alias("sufficient")), _sql(base + " topm", f"select series_id, s.class_idx = p.class_idx as sufficient from (select series_id, class_idx, row_number() over (partition by series_id order by {_r('sum(w * rho)')} desc, class_idx) as k from feat join topm using (series_id, formula_id) join coef using (formula_id) group by series_id, class_idx) s join pred p using (series_id) where k = 1"))
     kinds = lambda f: f.emb().select("label").distinct()

@@ -101,3 +101,13 @@ def test_packed_margins_equal_joined_ones(spark):
 def test_whole_margins_meet_no_series_in_a_task(spark):
     found = plan(queries.ALL["verified_margins_whole"][0](queries.Frames(spark, SF)))
     assert "MapInArrow" in found and not any(x in found for x in ("FlatMapGroups", "Exchange", "Join"))
+
+
+@tables
+def test_one_pair_meets_no_series_in_a_task(spark):
+    """In the packed row, and no other answer than from sorted gains of the pair."""
+    f = queries.Frames(spark, SF)
+    found = queries.ALL["abduce_check"][0](f)
+    assert "FlatMapGroups" not in plan(found) and "Exchange" not in plan(found)
+    want = {x.series_id: x.n_needed if x.enough else -1 for x in queries.ALL["abduce_binary"][0](f).collect()}
+    assert {x.series_id: x.n_needed for x in found.collect()} == want and len(set(want.values())) > 2
