@@ -89,11 +89,12 @@ class ChunkCodes:
         self.places = np.argsort(hashes, kind="stable").astype(np.int32)
         self.hashes = hashes[self.places]
 
-    def _find(self, distinct: pa.Array, hashes: np.ndarray) -> np.ndarray:
-        """The place of each distinct chunk among the known ones, or -1."""
+    def _find(self, distinct: pa.Array, hashes: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """The place of each distinct chunk among the known ones, or -1; order sorts the hashes."""
         rows = np.full(len(distinct), -1, dtype=np.int64)
         if len(self.hashes):
-            at = np.searchsorted(self.hashes, hashes)
+            at = np.empty(len(hashes), dtype=np.int64)
+            at[order] = np.searchsorted(self.hashes, hashes[order])  # sorted, it stays in the processor's caches
             at[at == len(self.hashes)] = 0
             like = np.flatnonzero(self.hashes[at] == hashes)
             place = self.places[at[like]].astype(np.int64)
@@ -107,7 +108,8 @@ class ChunkCodes:
         distinct, index = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         data, offs = chunk_bytes(distinct)
         hashes = span_hashes(data, offs[:-1], offs[1:])
-        rows = self._find(distinct, hashes)
+        sort = np.argsort(hashes, kind="stable")
+        rows = self._find(distinct, hashes, sort)
         new = np.flatnonzero(rows < 0)
         if len(new):
             missing = distinct.take(pa.array(new))
@@ -115,10 +117,10 @@ class ChunkCodes:
             if flat.size and int(flat.max()) > np.iinfo(self.flat.dtype).max:
                 raise ValueError(f"codes do not fit {self.flat.dtype}")
             rows[new] = len(self.known) + np.arange(len(new))
-            order = np.argsort(hashes[new], kind="stable")
-            at = np.searchsorted(self.hashes, hashes[new][order], side="right")
-            self.hashes = np.insert(self.hashes, at, hashes[new][order])
-            self.places = np.insert(self.places, at, rows[new][order])
+            order = sort[rows[sort] >= len(self.known)]
+            at = np.searchsorted(self.hashes, hashes[order], side="right")
+            self.hashes = np.insert(self.hashes, at, hashes[order])
+            self.places = np.insert(self.places, at, rows[order])
             self.flat = np.concatenate([self.flat, flat.astype(self.flat.dtype)])
             self.offs = np.concatenate([self.offs, self.offs[-1] + np.cumsum(size)])
             self.known = pa.concat_arrays([self.known, missing])

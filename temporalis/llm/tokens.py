@@ -4,6 +4,10 @@ Both tokenizers cut a text by a pattern that never crosses from other characters
 space, so a text's ids are the chain of its chunks' ids (see chunks.py). A run of white
 space stays whole within a chunk.
 
+The word tokenizer drops white space and case, and its pattern cuts between letters, digits
+and other characters. So its new chunks are cut into words first (``cut_words``) and only
+distinct words go to the library: ``Word``, `` word,`` and ``word!`` cost it one word.
+
 The library takes a special token that a text holds literally (``<|endoftext|>``) for that
 token: texts are cut around these strings, and each is a chunk of its own. With ``literal``
 they are encoded like any other characters instead.
@@ -19,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 
 from .chunks import SLICE, WHITE, ChunkCodes, _after_wide_space, chunk_bytes, cut_chunks, ragged_take
-from .textcore import segment_sums, slices
+from .textcore import LOWER, segment_sums, slices
 
 END_ID = 1
 _JOINED = 1 << 18
+#: Bytes of a text for the library at about; longer ones take it more time a byte.
+_TEXT = 1 << 9
 #: One token of the word tokenizer, put between chunks to find where each begins.
 _MARK = "\U0001f602"
 #: Byte kinds: 0 white space, 1 letter, 2 digit, 3 other, 4 not to be told from bytes alone.
@@ -41,11 +47,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _groups(ends: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of about _JOINED bytes; ends are the summed sizes."""
+def _groups(ends: np.ndarray, target: int = _JOINED) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of about target bytes; ends are the summed sizes."""
     i = 0
     while i < len(ends):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _JOINED)))
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + target)))
         yield i, j
         i = j
 
@@ -64,8 +70,10 @@ def _alone(tok, chunks: pa.Array, at: np.ndarray):
     return at, np.array([x for e in ids for x in e], dtype=np.int64), np.array([len(e) for e in ids], dtype=np.int64)
 
 
-def _ids(tok, text: bytes) -> np.ndarray:
-    return np.array(tok.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=np.int64)
+def _ids(tok, texts: list[bytes]) -> np.ndarray:
+    """The ids of several texts, end to end."""
+    found = tok.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+    return np.array([x for e in found for x in e.ids], dtype=np.int64)
 
 
 def _chained(tok, chunks: pa.Array, at: np.ndarray, closes):
@@ -74,11 +82,34 @@ def _chained(tok, chunks: pa.Array, at: np.ndarray, closes):
     data, offs = chunk_bytes(some)
     for i, j in _groups(offs[1:]):
         lo, hi = offs[i], offs[j]
-        ids = _ids(tok, data[lo:hi].tobytes())
-        upto = closes(ids, data[lo:hi], offs[i : j + 1] - lo)
+        here = offs[i : j + 1] - lo
+        ids = _ids(tok, [data[lo + here[a] : lo + here[b]].tobytes() for a, b in _groups(here[1:], _TEXT)])
+        upto = closes(ids, data[lo:hi], here)
         yield at[i:j], ids, np.diff(upto, prepend=0)
 
 
+def cut_words(data: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(words, bounds) of chunks: those of chunk c are ``bounds[c]`` up to ``bounds[c + 1]``, each behind one space.
+
+    Besides white space, cuts lie where ASCII letters, ASCII digits and other ASCII characters
+    meet, before and after every such digit, and behind a letter of Latin-1; none beside an
+    apostrophe, which may begin a contraction. ASCII letters become small ones, unless a
+    character beyond ASCII follows, which might compose with them.
+    """
+    kind = np.where(data < 128, _KIND[data], np.int8(4))
+    before, follows = np.zeros(len(data), dtype=np.int8), np.zeros(len(data), dtype=np.uint8)
+    before[1:], follows[:-1] = kind[:-1], data[1:]
+    before[2:][(data[:-2] == 0xC3) & (data[1:-1] >= 0x80) & (data[1:-1] < 0xC0) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)] = 1
+    solid = ~WHITE[data]
+    first = solid & ((before == 0) | (before != 4) & (kind != 4) & ((kind != before) | (kind == 2)))
+    first[offs[:-1]] = solid[offs[:-1]]
+    begins = np.flatnonzero(first[solid])
+    flat = np.insert(np.where(follows < 128, LOWER[data], data)[solid], begins, 32)
+    cuts = np.append(begins, int(solid.sum())) + np.arange(len(begins) + 1)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(cuts), pa.py_buffer(flat)])
+    return words, np.searchsorted(np.flatnonzero(first), offs)
+
+
 def chunk_encoder(path: str, literal: bool = True) -> tuple[ChunkCodes, list[bytes]]:
     """Codes of chunks under a tokenizers file, and the special tokens to cut around; one a worker process, file and mode."""
     if (path, literal) in _made:
@@ -135,13 +166,33 @@ def chunk_encoder(path: str, literal: bool = True) -> tuple[ChunkCodes, list[byt
         at = rest[~odd]
         some = chunks.take(pa.array(at)).to_pylist()
         for i, j in _groups(np.cumsum([len(c) + 6 for c in some])):
-            ids = _ids(tok, (b" " + own + b" ").join([*some[i:j], b""]))
+            ids = _ids(tok, [(b" " + own + b" ").join([*some[i + a : i + b], b""]) for a, b in _groups(np.cumsum([len(c) + 6 for c in some[i:j]]), _TEXT)])
             cut = ids == mark[0]
             at_mark = np.flatnonzero(cut)
             parts.append((at[i:j], ids[~cut], np.diff(at_mark - np.arange(len(at_mark)), prepend=0)))
         return _place(parts, len(chunks))
 
-    _made[path, literal] = ChunkCodes(level if by_bytes else worded), sorted((t.content.encode() for t in special), key=lambda t: (-len(t), t))
+    strings = sorted((t.content.encode() for t in special), key=lambda t: (-len(t), t))
+    words = ChunkCodes(worded)
+
+    def spelled(chunks: pa.Array):
+        """Chunks by their words; those that hold a special token, in small letters too, as they are."""
+        data, offs = chunk_bytes(chunks)
+        whole = np.zeros(len(chunks), dtype=bool)
+        if any(t.lower() in data.tobytes().lower() for t in strings):
+            whole[:] = [any(t.lower() in c.lower() for t in strings) for c in chunks.to_pylist()]
+        rest, parts = np.flatnonzero(~whole), []
+        if len(rest):
+            cut, bounds = cut_words(*chunk_bytes(chunks.take(pa.array(rest))) if whole.any() else (data, offs))
+            flat, upto, row = words.of(cut)
+            ids, size = ragged_take(flat, upto, row)
+            parts.append((rest, ids, segment_sums(size, bounds)))
+        if whole.any():
+            at = np.flatnonzero(whole)
+            parts.append((at, *worded(chunks.take(pa.array(at)))))
+        return _place(parts, len(chunks))
+
+    _made[path, literal] = ChunkCodes(level if by_bytes else spelled), strings
     return _made[path, literal]
 
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from temporalis.llm import chunks, huffman
+from temporalis.llm import chunks, huffman, tokens
 from temporalis.llm.huffman import code_lengths, decode_blocks, decoding_table, encode_bits, read_ids, tokenised, write_ids
 from temporalis.llm.packing import BITS, DIMS, WIDTH, hilbert_keys, pack
 from temporalis.llm.shared import scratch_path
@@ -156,3 +156,36 @@ def test_queries_take_special_tokens(spark, tmp_path):
         got = {x.doc_id: x for x in queries()[query](spark, str(tmp_path)).collect()}
         for i, ids in enumerate(as_library(name, texts)):
             assert (got[i][size], got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_a_word_goes_to_the_library_once(monkeypatch):
+    given, plain_ids = [], tokens._ids
+
+    def counted(tok, texts):
+        given.append(len(texts) if isinstance(texts, bytes) else sum(map(len, texts)))
+        return plain_ids(tok, texts)
+
+    monkeypatch.setattr(tokens, "_made", {})
+    monkeypatch.setattr(tokens, "_ids", counted)
+    r = random.Random(8)
+    words = sorted({"".join(r.choice("abcdefghijklmnopqrstuvwxyzéü") for _ in range(8)) for _ in range(500)})
+    forms = [w[0].upper() + w[1:] if w.isascii() else w for w in words] + words
+    texts = [" ".join(a + w + b for w in r.sample(forms, 200)) for a in ("", "(", "\n", "1") for b in ("", ",", ".", "!?", "\t", "77", '",') for _ in range(6)]
+    want = as_library(FILES[0], texts)
+    for first, last, ids, bounds in token_slices(pa.array(texts), tokenizer_path(FILES[0]), 1 << 12, literal=False):
+        for i in range(first, last):
+            assert ids[bounds[i - first] : bounds[i - first + 1]].tolist() == want[i], repr(texts[i])
+    assert sum(given) < 2 * sum(len(w.encode()) + 9 for w in words)
+
+
+@pytest.mark.parametrize("literal", [False, True])
+@pytest.mark.parametrize("cache", [0, 1 << 20])
+def test_words_are_cut_as_the_library_cuts_them(literal, cache, monkeypatch):
+    monkeypatch.setattr(chunks, "CACHE", cache)
+    r = random.Random(9)
+    parts = [*"aSTJKzI09.,=<|>_-é×÷ÉÃãß", "'", "'S", "'re", "'LL", "\u0301", "\u030c", "\u0338", "\u0307", "\u212a", "İ", "ǅ", "²", "ª", "٣", " ", "\n", "\xa0", "\u2003", "\x1c", "\x00", "\x7f", "한", "\u1100", "\u1161", "\U0001f602", "ﬁ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|endof", "text|>"]
+    texts = ["J\u030c j\u030c", "x',s y's, ('s) '12 'stop", "<|ENDOFTEXT|><|endoftext|>A", "A\u0301,B 1a1A", *("".join(r.choice(parts) for _ in range(r.randint(0, 24))) for _ in range(6000))]
+    want = (plain if literal else as_library)(FILES[0], texts)
+    for first, last, ids, bounds in token_slices(pa.array(texts), tokenizer_path(FILES[0]), 1 << 13, literal=literal):
+        for i in range(first, last):
+            assert ids[bounds[i - first] : bounds[i - first + 1]].tolist() == want[i], repr(texts[i])
